@@ -32,9 +32,9 @@ _POS = 30  # bits of a packed value that hold the position
 RULES = {
     "symbols": "CASE WHEN n_symbols > 0.2 * n_words THEN -1 WHEN n_symbols <= 0.05 * n_words THEN 1 ELSE 0 END",
     "word_length": "CASE WHEN word_chars < 3 * n_words OR word_chars > 9 * n_words THEN -1 WHEN word_chars <= 6.5 * n_words AND word_chars >= 4 * n_words THEN 1 ELSE 0 END",
-    "letters": "CASE WHEN n_letter_words < 0.7 * n_words THEN -1 WHEN n_letter_words >= 0.9 * n_words THEN 1 ELSE 0 END",
-    "repeats": "CASE WHEN n_repeat_words > 0.3 * n_words THEN -1 WHEN n_repeat_words <= 0.05 * n_words THEN 1 ELSE 0 END",
-    "lines": "CASE WHEN n_dup_lines > 0.3 * n_lines THEN -1 WHEN n_dup_lines <= 0.1 * n_lines THEN 1 ELSE 0 END",
+    "plain_words": "CASE WHEN n_plain_words < 0.6 * n_words THEN -1 WHEN n_plain_words >= 0.8 * n_words THEN 1 ELSE 0 END",
+    "repeats": "CASE WHEN n_repeat_words > 0.3 * n_words THEN -1 ELSE 0 END",
+    "lines": "CASE WHEN n_dup_lines > 0.3 * n_lines THEN -1 ELSE 0 END",
     "line_ends": "CASE WHEN n_ended_lines < 0.5 * n_lines THEN -1 WHEN n_ended_lines >= 0.95 * n_lines THEN 1 ELSE 0 END",
 }
 
@@ -75,7 +75,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         F.expr("aggregate(transform(p, (x, k) -> if(k = size(p) - 1, 3, least(3, p[k + 1] - x))), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
         F.expr("cast(size(lines) as long)").alias("n_lines"),
         F.expr(r"cast(size(filter(lines, x -> x rlike '[.!?:;\"”»)]\\s*$')) as long)").alias("n_ended_lines"),
-        F.expr(r"cast(size(filter(w, x -> x rlike '\\p{L}')) as long)").alias("n_letter_words"),
+        F.expr(r"cast(size(filter(w, x -> x rlike '^[^#*$%&|<>{}=_0-9]*\\p{L}[^#*$%&|<>{}=_]*$')) as long)").alias("n_plain_words"),
     )
 
 
