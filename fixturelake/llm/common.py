@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and \t \n \v \f \r.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 _own: list[str] = []
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +37,14 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Whole texts go to Python in batches of few rows, so that a batch of long texts fits in memory."""
+    """Before a step in Python: send the package to the executors, and texts in batches of few rows, so that long ones fit in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        package = Path(__file__).resolve().parents[1]
+        base = Path(tempfile.mkdtemp(prefix="spark-")) / package.name
+        context.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
 
 
 def utf8(text: str = "text") -> Column:

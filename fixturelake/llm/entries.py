@@ -5,7 +5,8 @@ from __future__ import annotations
 from .quality import op10_quality_rules
 from .sharding import op8_sharding
 from .tokens import op6_token_counts
+from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op6_token_counts, op8_sharding, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
