@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .html import op3_html_extraction
+from .jaccard import op1_ngram_jaccard_join
 from .quality import op10_quality_rules
 from .sharding import op8_sharding
 from .tokens import op6_token_counts
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_html_extraction, op4_toxicity, op6_token_counts, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_html_extraction, op4_toxicity, op6_token_counts, op8_sharding, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
