@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op5_benchmark_decontamination
 from .html import op3_html_extraction
 from .jaccard import op1_ngram_jaccard_join
 from .quality import op10_quality_rules
@@ -9,6 +10,6 @@ from .sharding import op8_sharding
 from .tokens import op6_token_counts
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_html_extraction, op4_toxicity, op6_token_counts, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_html_extraction, op4_toxicity, op5_benchmark_decontamination, op6_token_counts, op8_sharding, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
