@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise, small_batches, table
 from .graph import components
@@ -143,12 +142,16 @@ def linked_classes(keyed: DataFrame, coded: DataFrame, width: int, threshold: fl
     below = (leaf - 1) / leaf
     share = (threshold - below) / (1 - below)  # of the union, at least, lies in equal slices
     reps = coded.where("size(items) > 0").groupBy("sig").agg(F.min("key").alias("key"))
-    unique = coded.join(reps, ["key", "sig"]).select("sig", "n", F.explode("items").alias("cell"))
-    crowded = unique.groupBy("cell").agg(F.count("*").alias("members"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("cell", "members")
-    met = unique.join(crowded, "cell").distinct()
-    need = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n") / leaf - 1e-9))
-    rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("members"), "cell"))
-    cells = materialise(met.withColumn("rank", rank).where(F.col("rank") >= need).select("cell", F.col("sig").alias("node"), "n"), "cells")
+    # copies have one signature, so that they do not crowd a region
+    cut = coded.select("sig", "n", F.explode_outer("items").alias("cell")).where("cell IS NOT NULL")
+    crowded = cut.groupBy("cell").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("cell")
+    met = materialise(cut.join(crowded, "cell").distinct(), "met")
+    members = met.groupBy("cell").agg(F.count("*").alias("members"))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n") / leaf - 1e-9)).cast("int")
+    # a set's regions, the most crowded first: as many as a text has slices at most
+    lists = met.join(members, "cell").groupBy(F.col("sig").alias("node")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("members", "cell")), asc=False).alias("all"))
+    lists = materialise(lists.select("node", "n", need.alias("need"), F.transform("all", lambda x: x["cell"]).alias("all")), "lists")
+    cells = lists.select("node", "n", F.explode_outer(F.expr("slice(all, need, greatest(size(all) - need + 1, 0))")).alias("cell")).where("cell IS NOT NULL")
     fits = F.least("n", "pn") >= threshold * F.greatest("n", "pn") - 1e-9
 
     labels: DataFrame | None = None
@@ -165,7 +168,9 @@ def linked_classes(keyed: DataFrame, coded: DataFrame, width: int, threshold: fl
     def measure(pairs: DataFrame) -> bool:
         """Compare new pairs; whether there were any."""
         nonlocal labels, tested, linked
-        pairs = materialise(pairs, "pairs")
+        few = lists.select("node", "need", "all")
+        pairs = pairs.join(few.toDF("u", "nu", "au"), "u").join(few.toDF("v", "nv", "av"), "v")
+        pairs = materialise(pairs.where(F.size(F.array_intersect("au", "av")) >= F.greatest("nu", "nv")).select("u", "v"), "pairs")
         if pairs.isEmpty():
             return False
         got = materialise(_compare(pairs, materialise(sets_of(pairs), "sets"), threshold), "measured")
@@ -177,10 +182,13 @@ def linked_classes(keyed: DataFrame, coded: DataFrame, width: int, threshold: fl
         return True
 
     def open_rows() -> DataFrame:
+        nonlocal cells
         rows = cells if labels is None else cells.join(labels, "node", "left")
         rows = rows.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
         mixed = rows.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("cell", "members")
-        return materialise(rows.join(mixed, "cell"), "open")
+        rows = materialise(rows.join(mixed, "cell"), "open")
+        cells = rows.select("cell", "node", "n")  # a closed region stays closed
+        return rows
 
     def untested(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
