@@ -15,7 +15,7 @@ from fixturelake.llm.toxicity import learn, toxicity_scores
 #: Of word shingles in the near-duplicate stage.
 WIDTH, SIMILARITY = 5, 0.8
 QUALITY_DOMAIN = "CASE WHEN quality = 1 THEN 'high' ELSE 'low' END"
-QUALITY_TARGETS = {"high": 0.9, "low": 0.1}
+QUALITY_TARGETS = {"high": 0.92, "low": 0.08}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
