@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chunks import op9_substring_dedup
 from .decontam import op5_benchmark_decontamination
 from .html import op3_html_extraction
 from .jaccard import op1_ngram_jaccard_join
@@ -11,6 +12,6 @@ from .sharding import op8_sharding
 from .tokens import op6_token_counts
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_html_extraction, op4_toxicity, op5_benchmark_decontamination, op6_token_counts, op7_source_mixing, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_html_extraction, op4_toxicity, op5_benchmark_decontamination, op6_token_counts, op7_source_mixing, op8_sharding, op9_substring_dedup, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
