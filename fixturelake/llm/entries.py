@@ -9,9 +9,10 @@ from .jaccard import op1_ngram_jaccard_join
 from .mixing import op7_source_mixing
 from .quality import op10_quality_rules
 from .sharding import op8_sharding
+from .suffix import op2_suffix_array_dedup
 from .tokens import op6_token_counts
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_html_extraction, op4_toxicity, op5_benchmark_decontamination, op6_token_counts, op7_source_mixing, op8_sharding, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_html_extraction, op4_toxicity, op5_benchmark_decontamination, op6_token_counts, op7_source_mixing, op8_sharding, op9_substring_dedup, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
