@@ -8,11 +8,11 @@ equal in content are the Voronoi regions of radius 0; a set whose slice could co
 to both levels. All of this loses no link.
 
 A linked pair shares at least ``need`` regions, so that each set may leave its ``need - 1`` most crowded ones. In what
-remains, regions are joined round by round: each takes a pivot, its members measure their distance to it, links are
-joined into components, and regions whose members all have one label are closed. A member at distance d of the pivot
-can only be linked to members at distances from d - r to d + r (triangle inequality), so that in the last step only pairs of
-different labels inside that window are compared; regions with more than LEAF_REGION members get further pivots
-first. Every reported link is checked on the two whole sets of 64-bit shingle hashes.
+remains, regions are joined round by round: each takes a pivot (at first the member with most in common with others), its
+members measure their distance to it, links are joined into components, and regions whose members all have one label are
+closed. At last the regions of each pivot are one Voronoi region: members inside the pivot's label need not meet,
+those outside meet them and each other, block by block, and a pair is linked only if its distances to the pivot differ by
+at most r (triangle inequality). Every link is checked on the two whole sets of 64-bit shingle hashes.
 
 Equal sets are one class from the start, so that copies cost no comparisons. Texts without words have an empty set and link
 with nothing; a null doc_id is a document like others, in the classes of its text. Repeated rows are copies. An
@@ -33,10 +33,10 @@ from .common import materialise, small_batches, table
 from .graph import components
 from .shingles import mix, shingle_sets
 
-#: Pivot rounds before the remaining pairs of a region are compared.
+#: Pivot rounds before what is left of the regions is compared.
 PIVOT_ROUNDS = 2
-MORE_ROUNDS = 6
-LEAF_REGION = 40
+#: Sets of a block; blocks of a region meet pairwise, each pair in a task's memory.
+BLOCK = 400
 
 
 def leaf_size(threshold: float) -> int:
@@ -150,8 +150,9 @@ def linked_classes(keyed: DataFrame, coded: DataFrame, width: int, threshold: fl
     need = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n") / leaf - 1e-9)).cast("int")
     # a set's regions, the most crowded first: as many as a text has slices at most
     lists = met.join(members, "cell").groupBy(F.col("sig").alias("node")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("members", "cell")), asc=False).alias("all"))
-    lists = materialise(lists.select("node", "n", need.alias("need"), F.transform("all", lambda x: x["cell"]).alias("all")), "lists")
-    cells = lists.select("node", "n", F.explode_outer(F.expr("slice(all, need, greatest(size(all) - need + 1, 0))")).alias("cell")).where("cell IS NOT NULL")
+    score = F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["members"])
+    lists = materialise(lists.select("node", "n", score.alias("score"), need.alias("need"), F.transform("all", lambda x: x["cell"]).alias("all")), "lists")
+    cells = lists.select("node", "n", "score", F.explode_outer(F.expr("slice(all, need, greatest(size(all) - need + 1, 0))")).alias("cell")).where("cell IS NOT NULL")
     fits = F.least("n", "pn") >= threshold * F.greatest("n", "pn") - 1e-9
 
     labels: DataFrame | None = None
@@ -187,49 +188,102 @@ def linked_classes(keyed: DataFrame, coded: DataFrame, width: int, threshold: fl
         rows = rows.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
         mixed = rows.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("cell", "members")
         rows = materialise(rows.join(mixed, "cell"), "open")
-        cells = rows.select("cell", "node", "n")  # a closed region stays closed
+        cells = rows.select("cell", "node", "n", "score")  # a closed region stays closed
         return rows
 
     def untested(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
         return pairs if tested is None else pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
 
-    for turn in range(PIVOT_ROUNDS + MORE_ROUNDS):
+    def owned(rows: DataFrame, turn: int) -> DataFrame:
+        """Each region's pivot and what the members need to meet it; the pivot has most in common with others at first."""
+        first = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        pivots = rows.groupBy("cell").agg(F.max(F.struct(first.alias("o"), "node", "n", "label")).alias("p"))
+        return rows.join(pivots.select("cell", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl")), "cell")
+
+    for turn in range(PIVOT_ROUNDS):
         rows = open_rows()
-        if turn >= PIVOT_ROUNDS:
-            rows = rows.where(F.col("members") > LEAF_REGION)
         if rows.isEmpty():
-            if turn < PIVOT_ROUNDS:
-                return labels
-            break
-        order = F.xxhash64("node", F.lit(turn))
-        pivots = rows.groupBy("cell").agg(F.min(F.struct(order.alias("o"), "node", "n", "label")).alias("p")).select("cell", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"))
-        star = rows.join(pivots, "cell").where((F.col("label") != F.col("pl")) & fits)
-        votes = star.groupBy("node", "pivot").agg(F.count("*").alias("shared"))
+            return labels
+        star = owned(rows, turn).where((F.col("label") != F.col("pl")) & fits)
         # each set measures the pivot that it shares most regions with
-        best = votes.groupBy("node").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
+        best = star.groupBy("node", "pivot").agg(F.count("*").alias("shared")).groupBy("node").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
         measure(untested(best.select(F.col("node").alias("x"), F.col("pivot").alias("y"))).distinct())
 
     rows = open_rows()
-    if not rows.isEmpty():
-        r = 1 - threshold
-        a = rows.select("cell", F.col("node").alias("x"), F.col("n").alias("n"), F.col("label").alias("xl"))
-        b = rows.select("cell", F.col("node").alias("y"), F.col("n").alias("pn"), F.col("label").alias("yl"))
-        pairs = untested(a.join(b, "cell").where((F.col("x") < F.col("y")) & (F.col("xl") != F.col("yl")) & fits).select("x", "y").distinct())
-        if tested is not None:
-            # a pivot that both have measured shuts out pairs outside the triangle's window
-            side = tested.select("u", "v", "d").unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
-            far = (
-                pairs.join(side.select("u", F.col("v").alias("p"), F.col("d").alias("du")), "u")
-                .join(side.select(F.col("u").alias("v"), F.col("v").alias("p"), F.col("d").alias("dv")), ["v", "p"])
-                .where(F.abs(F.col("du") - F.col("dv")) > r + 1e-9)
-                .select("u", "v")
-                .distinct()
-            )
-            pairs = pairs.join(far, ["u", "v"], "left_anti")
-        measure(pairs)
+    if rows.isEmpty():
+        return labels
+    # the regions of one pivot are one: its members meet once
+    members = owned(rows, 0).groupBy("pivot", "node", "n", "label").agg(F.first("pl").alias("pl"))
+    if tested is not None:
+        side = tested.select("u", "v", "d").unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+        members = members.join(side.select(F.col("u").alias("node"), F.col("v").alias("pivot"), "d"), ["node", "pivot"], "left")
+    else:
+        members = members.withColumn("d", F.lit(None).cast("double"))
+    members = materialise(members.withColumn("ball", F.col("label") == F.col("pl")), "members")
+    groups = members.groupBy("pivot").agg(F.count_if("ball").alias("balls"), F.count_if(~F.col("ball")).alias("outs"), F.count_distinct("label").alias("labels")).where("labels > 1 AND outs > 0")
+    blocks = groups.select("pivot", F.ceil(F.col("outs") / BLOCK).cast("int").alias("ko"), F.ceil(F.col("balls") / BLOCK).cast("int").alias("kb"))
+    whole = materialise(sets_of(members.join(blocks, "pivot", "left_semi").select(F.col("node").alias("u"), F.col("node").alias("v"))), "sets")
+    # blocks of sets outside the pivot's label meet one another and the blocks inside it, which need not meet
+    part = F.when(F.col("ball"), F.col("ko") + F.pmod(F.xxhash64("node"), F.greatest("kb", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("ko", F.lit(1)))).cast("int")
+    placed = members.join(blocks, "pivot").withColumn("part", part)
+    other = F.explode(F.when(F.col("ball"), F.sequence(F.lit(0), F.col("ko") - 1)).otherwise(F.sequence(F.lit(0), F.col("ko") + F.col("kb") - 1)))
+    placed = placed.withColumn("other", other).withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other"))
+    alone = (F.col("ko") + F.col("kb")) <= 2
+    n_tasks = max(8, groups.agg(F.sum(F.col("balls") + F.col("outs"))).first()[0] // 4000) if not groups.isEmpty() else 8
+    task = F.when(alone, F.pmod(F.xxhash64("pivot"), F.lit(n_tasks))).otherwise(F.xxhash64("pivot", "a", "b"))
+    sent = placed.select(task.alias("task"), "pivot", "a", "b", "part", "node", "label", "d").join(whole.withColumnRenamed("sig", "node"), "node")
+    met = sent.groupBy("task").applyInArrow(_meet(threshold), "u long, v long, d double, linked boolean")
+    new = materialise(met.distinct(), "met")
+    if not new.isEmpty():
+        labels = components(new if linked is None else linked.unionByName(new))
     return labels
 
 
+def _meet(threshold: float):
+    """Linked pairs of different labels among the sets of two blocks of a pivot, for each of the block pairs of a task."""
+    percent, r = round(threshold * 100), 1 - threshold
+
+    def run(rows: pa.Table) -> pa.Table:
+        pivot, a, b, part, node, label = (rows.column(c).to_numpy() for c in ("pivot", "a", "b", "part", "node", "label"))
+        d = rows.column("d").to_numpy(zero_copy_only=False).astype(float)
+        items = rows.column("items").combine_chunks()
+        flat, at = items.flatten().to_numpy(), items.offsets.to_numpy() - items.offsets[0].as_py()
+        size = np.diff(at)
+        order = np.lexsort((b, a, pivot))
+        new = np.flatnonzero((np.diff(pivot[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)) + 1
+        us, vs, ds = [], [], []
+        for q in np.split(order, new):
+            left, right = q[part[q] == a[q[0]]], q[part[q] == b[q[0]]]
+            if not len(left) or not len(right) or len(set(label[q].tolist())) < 2:
+                continue
+            common = np.zeros((len(left), len(right)), np.float32)
+            both = np.concatenate((left, right)) if a[q[0]] != b[q[0]] else left
+            tokens = np.concatenate([flat[at[i] : at[i + 1]] for i in both.tolist()])
+            owner = np.repeat(np.arange(len(both)), size[both])
+            _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            shared = times[column] > 1
+            column, owner = column[shared], owner[shared]
+            column = np.unique(column, return_inverse=True)[1] if len(column) else column
+            width = int(column.max()) + 1 if len(column) else 0
+            for c in range(0, width, 4096):
+                here = (column >= c) & (column < c + 4096)
+                m = np.zeros((len(both), min(4096, width - c)), np.float32)
+                m[owner[here], column[here] - c] = 1
+                common += m[: len(left)] @ (m[len(left) :] if len(both) > len(left) else m).T
+            union = size[left][:, None] + size[right][None, :] - common
+            # members whose distances to the pivot differ by more than r can't be linked
+            with np.errstate(invalid="ignore"):
+                far = np.abs(d[left][:, None] - d[right][None, :]) > r + 1e-9
+            good = (100 * common >= percent * union) & (label[left][:, None] != label[right][None, :]) & (node[left][:, None] < node[right][None, :] if a[q[0]] == b[q[0]] else True) & ~far
+            i, j = np.nonzero(good)
+            us += np.minimum(node[left][i], node[right][j]).tolist()
+            vs += np.maximum(node[left][i], node[right][j]).tolist()
+            ds += (1 - common[i, j].astype(float) / union[i, j]).tolist()
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64()), "d": pa.array(ds, pa.float64()), "linked": pa.array([True] * len(us), pa.bool_())})
+
+    return run
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"), 4, 0.85).select("doc_id", "n_shingles", "component_id")
