@@ -27,6 +27,8 @@ WIDTH = 5
 THRESHOLD = 0.8
 RADIUS = 15
 BITS = 64
+#: Places of item shingles (24 bytes each) that are sent to every task; beyond, texts and shingles are joined by shuffles.
+SMALL_BENCHMARK = 1_000_000
 
 
 def _shingled(df: DataFrame, *keep: str) -> DataFrame:
@@ -71,12 +73,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
     base = docs.select("text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
     starts = placed.select("shingle", "length", "offset").distinct()
-    met = _shingled(base, "key").select("key", "n_words", F.posexplode_outer("h").alias("at", "shingle")).join(starts, "shingle")
     first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n_words") - F.col("length")))
-    windows = materialise(met.select("key", "length", first.alias("start")).distinct(), "windows")
-
-    texts = base.join(windows.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    parts = _shingled(texts, "key").join(windows, "key").select("key", "length", "start", F.explode_outer(F.array_distinct(F.slice("h", F.col("start") + 1, F.col("length") - (WIDTH - 1)))).alias("shingle"))
+    span = F.array_distinct(F.slice("h", F.col("start") + 1, F.col("length") - (WIDTH - 1)))
+    if starts.count() <= SMALL_BENCHMARK:
+        # every task has the items' shingles, and cuts the windows out of the text it reads
+        met = _shingled(base, "key").select("key", "n_words", "h", F.posexplode_outer("h").alias("at", "shingle")).join(F.broadcast(starts), "shingle")
+        windows = met.select("key", "length", first.alias("start"), "h").select("key", "length", "start", span.alias("span"))
+        parts = windows.groupBy("key", "length", "start").agg(F.first("span").alias("span")).select("key", "length", "start", F.explode_outer("span").alias("shingle"))
+    else:
+        met = _shingled(base, "key").select("key", "n_words", F.posexplode_outer("h").alias("at", "shingle")).join(starts, "shingle")
+        windows = materialise(met.select("key", "length", first.alias("start")).distinct(), "windows")
+        texts = base.join(windows.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        parts = _shingled(texts, "key").join(windows, "key").select("key", "length", "start", F.explode_outer(span).alias("shingle"))
     parts = materialise(parts.join(weights, "shingle", "left").select("key", "length", "start", "shingle", F.coalesce("w", common).alias("w")), "window-shingles")
     sets = placed.select("item_id", "length", "shingle").distinct().join(weights, "shingle")
 
@@ -98,7 +106,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that leak an item."""
     found = leaks(docs, benchmark, threshold).select(F.col("key").alias("_leak")).distinct()
-    return docs.join(found, F.md5(F.coalesce("text", F.lit(""))) == F.col("_leak"), "left_anti")
+    return docs.join(found.hint("merge"), F.md5(F.coalesce("text", F.lit(""))) == F.col("_leak"), "left_anti")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
