@@ -126,7 +126,7 @@ def mixed(docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, fl
     times = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")
     # a domain that loses a little to rounding of the fit still keeps its documents
     times = F.greatest(times, (F.col("rate") > 0.9).cast("int"))
-    joined = docs.join(soft, _key() == F.col("_key"))
+    joined = docs.join(soft.hint("merge"), _key() == F.col("_key"))
     return joined.withColumn("_times", times).where("_times > 0").withColumn("_nth", F.explode(F.expr("sequence(1L, cast(_times as long))"))).select(*docs.columns)
 
 
