@@ -29,7 +29,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The row of the smallest doc_id of each group of near-equal texts; of rows with equal id and text one."""
     groups = near_classes(docs, WIDTH, SIMILARITY).where("component_id <=> doc_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = docs.join(groups, (key == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = docs.join(groups.hint("merge"), (key == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
     return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
 
 
