@@ -1,0 +1 @@
+"""Streaming: the matches and odds of this engine are batch inputs, so no streaming operator is needed."""
