@@ -105,7 +105,7 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 def _cut_out(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
             if spans:
                 raw, at, parts = (text or "").encode(), 0, []
                 for s in spans:
@@ -118,9 +118,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
 
 def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """docs with repeated runs cut out of their texts."""
-    spans = repeated_spans(docs, min_run).select(F.col("key").alias("_key"), "spans")
+    spans = repeated_spans(docs, min_run).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     columns = docs.columns
-    return docs.join(spans, _key() == F.col("_key"), "left").select(*columns, "spans").mapInArrow(lambda it: _cut_out(it, columns), docs.schema)
+    return docs.join(spans, _key() == F.col("_key"), "left").select(*columns, "_spans").mapInArrow(lambda it: _cut_out(it, columns), docs.schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

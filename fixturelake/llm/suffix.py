@@ -166,6 +166,7 @@ def cut_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes
     """key, spans: the maximal byte ranges (a, b) to remove, of documents with any."""
     spark = docs.sparkSession
     small_batches(spark, 200)
+    gram = min(gram, max(1, width // 2))
     keyed = docs.select(_key().alias("key"), "text")
     cut = materialise(keyed.mapInArrow(_segment_rows(width, gram), "anchor long, key long, s long, e long, double boolean, d1 long, d2 long"), "segments")
     kinds = cut.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("times"), F.min(F.struct("key", "s", "e")).alias("one"), F.bool_or("double").alias("double"))
@@ -242,15 +243,15 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the repeated bytes cut out of their texts; bytes of a cut character are dropped."""
-    spans = cut_spans(docs, width).withColumnRenamed("key", "_key")
+    spans = cut_spans(docs, width).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if not s else kept_bytes((t or "").encode(), s).decode(errors="ignore") for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            texts = [t if not s else kept_bytes((t or "").encode(), s).decode(errors="ignore") for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], columns)
 
-    return docs.join(spans, _key() == F.col("_key"), "left").select(*columns, "spans").mapInArrow(run, docs.schema)
+    return docs.join(spans, _key() == F.col("_key"), "left").select(*columns, "_spans").mapInArrow(run, docs.schema)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def count_long(long_docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int
         coded = chunks.repartition(parts, "row_id", "chunk").mapInArrow(_chunk_batches(path), "row_id string, chunk int, n long, head_at array<long>, head_n array<long>, tail_at array<long>, tail_n array<long>")
         # tokens a chunk keeps: from the place shared with the one before to the place shared with the next
         whole = coded.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "n", "head_at", "head_n", "tail_at", "tail_n"))).alias("c"))
-        shared = "transform(sequence(0, size(c) - 1), i -> if(i = 0, 0L, coalesce(element_at(array_sort(array_intersect(c[i-1].tail_at, c[i].head_at)), 1), -1L)))"
+        shared = "transform(sequence(0, size(c) - 1), i -> if(i = 0, 0L, coalesce(get(array_sort(array_intersect(c[i-1].tail_at, c[i].head_at)), 0), -1L)))"
         cut = whole.withColumn("cut", F.expr(shared)).withColumn("fits", F.expr("forall(cut, x -> x >= 0)"))
         total = """aggregate(sequence(0, size(c) - 1), 0L, (acc, i) -> acc
             + if(i = size(c) - 1, c[i].n, c[i].tail_n[cast(array_position(c[i].tail_at, cut[i + 1]) as int) - 1])
