@@ -10,7 +10,7 @@ from fixturelake.llm.decontam import clean_documents
 from fixturelake.llm.jaccard import near_classes
 from fixturelake.llm.mixing import mixed
 from fixturelake.llm.sharding import assign
-from fixturelake.llm.toxicity import learn, toxicity_scores
+from fixturelake.llm.toxicity import learn, without_toxic
 
 #: Of word shingles in the near-duplicate stage.
 WIDTH, SIMILARITY = 5, 0.8
@@ -20,9 +20,7 @@ QUALITY_TARGETS = {"high": 0.92, "low": 0.08}
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
-    model = learn(docs, table(spark, sf_dir, "labels"))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity_scores(docs, model, keep=rest).where("predicted = 0").select(*docs.columns)
+    return without_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
