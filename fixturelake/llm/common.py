@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 _own: list[str] = []
 _shipped: set[str] = set()
+_paths: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,22 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _paths.append(path)
+    return back
+
+
+def release(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Delete the tables materialised between two marks; call it when no result reads them any more."""
+    for path in _paths[since:until]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _paths[since:until]
+
+
+def mark() -> int:
+    """Tables materialised so far."""
+    return len(_paths)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

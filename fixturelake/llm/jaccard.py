@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import mark, materialise, release, small_batches, table
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -86,17 +86,30 @@ def _signature(s: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(s + np.uint64(1))) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else 0
 
 
-def _slices(width: int, threshold: float, whole: bool):
+def _sets(width: int, items: bool):
+    """key, n, sig and, with items, the hashes of each text's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 sets = shingle_sets(part.column("text"), width)
-                lists = _lists([s.view(np.int64) for s in sets] if whole else regions(sets, threshold))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64()), lists],
-                    ["key", "n", "sig", "items"],
-                )
+                cols = [part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, _lists([s.view(np.int64) for s in sets])] if items else cols, ["key", "n", "sig", "items"][: 4 if items else 3])
+
+    return run
+
+
+def _cells(width: int, threshold: float):
+    """cell, sig of each region that each text's set is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                sets = shingle_sets(b.slice(at, 200).column("text"), width)
+                cells = regions(sets, threshold)
+                sig = np.repeat(np.array([_signature(s) for s in sets], np.int64), [len(c) for c in cells])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(sig)], ["cell", "sig"])
 
     return run
 
@@ -120,20 +133,23 @@ def near_classes(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     keyed = _keyed(docs)
-    schema = "key long, n long, sig long, items array<long>"
-    coded = materialise(keyed.select("key", "text").mapInArrow(_slices(width, threshold, False), schema), "slices")
-    links = linked_classes(keyed, coded, width, threshold)
-    slim = coded.select("key", "n", "sig")
+    before = mark()
+    slim = materialise(keyed.select("key", "text").mapInArrow(_sets(width, False), "key long, n long, sig long"), "sets-of")
+    links = linked_classes(keyed, slim, width, threshold)
     if links is not None:
         slim = slim.join(links.withColumnRenamed("node", "sig"), "sig", "left").withColumn("sig", F.coalesce("label", "sig"))
     label = F.when(F.col("n") > 0, F.col("sig"))
     # one row for each row of the table: a repeated key repeats its own values only
     named = slim.select("key", "n", label.alias("label")).groupBy("key", "n", "label").agg(F.count("*").alias("times"))
     ids = keyed.select("key", "doc_id").distinct()
-    named = materialise(named.join(ids, "key"), "named")
+    named = named.join(ids, "key")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     done = named.join(least, "label", "left")
-    return done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "key", F.explode(F.expr("sequence(1L, times)")).alias("nth")).drop("nth")
+    done = done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "key", F.explode(F.expr("sequence(1L, times)")).alias("nth")).drop("nth")
+    held = mark()
+    done = materialise(done, "components")
+    release(spark, before, held)
+    return done
 
 
 def linked_classes(keyed: DataFrame, coded: DataFrame, width: int, threshold: float) -> DataFrame | None:
@@ -141,15 +157,16 @@ def linked_classes(keyed: DataFrame, coded: DataFrame, width: int, threshold: fl
     leaf = leaf_size(threshold)
     below = (leaf - 1) / leaf
     share = (threshold - below) / (1 - below)  # of the union, at least, lies in equal slices
-    reps = coded.where("size(items) > 0").groupBy("sig").agg(F.min("key").alias("key"))
-    # copies have one signature, so that they do not crowd a region
-    cut = coded.select("sig", "n", F.explode_outer("items").alias("cell")).where("cell IS NOT NULL")
+    reps = coded.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("n").alias("n"))
+    # hashing the texts twice takes less than keeping all their regions; copies have one signature, so they do not crowd one
+    cut = keyed.select("text").mapInArrow(_cells(width, threshold), "cell long, sig long")
     crowded = cut.groupBy("cell").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("cell")
     met = materialise(cut.join(crowded, "cell").distinct(), "met")
     members = met.groupBy("cell").agg(F.count("*").alias("members"))
     need = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n") / leaf - 1e-9)).cast("int")
     # a set's regions, the most crowded first: as many as a text has slices at most
-    lists = met.join(members, "cell").groupBy(F.col("sig").alias("node")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("members", "cell")), asc=False).alias("all"))
+    lists = met.join(members, "cell").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("members", "cell")), asc=False).alias("all"))
+    lists = lists.join(reps.select("sig", "n"), "sig").withColumnRenamed("sig", "node")
     score = F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["members"])
     lists = materialise(lists.select("node", "n", score.alias("score"), need.alias("need"), F.transform("all", lambda x: x["cell"]).alias("all")), "lists")
     cells = lists.select("node", "n", "score", F.explode_outer(F.expr("slice(all, need, greatest(size(all) - need + 1, 0))")).alias("cell")).where("cell IS NOT NULL")
@@ -161,9 +178,9 @@ def linked_classes(keyed: DataFrame, coded: DataFrame, width: int, threshold: fl
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-        wanted = reps.join(nodes, "sig").select("key", "sig")
+        wanted = reps.select("key", "sig").join(nodes, "sig").select("key", "sig")
         texts = keyed.select("key", "text").join(wanted.select("key").distinct(), "key", "left_semi")
-        whole = texts.mapInArrow(_slices(width, threshold, True), "key long, n long, sig long, items array<long>")
+        whole = texts.mapInArrow(_sets(width, True), "key long, n long, sig long, items array<long>")
         return whole.join(wanted, ["key", "sig"], "left_semi").dropDuplicates(["sig"]).select("sig", "items")
 
     def measure(pairs: DataFrame) -> bool:
