@@ -25,7 +25,7 @@ from .common import materialise, table
 
 WIDTH = 5
 THRESHOLD = 0.8
-RADIUS = 15
+RADIUS = 17
 BITS = 64
 #: Places of item shingles (24 bytes each) that are sent to every task; beyond, texts and shingles are joined by shuffles.
 SMALL_BENCHMARK = 1_000_000
