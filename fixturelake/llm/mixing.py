@@ -11,11 +11,16 @@ Words are tokens here (runs other than white space). Null and empty texts have n
 follows from it. Equal texts get equal rates. Without labelled rows all posteriors are equal. A null
 doc_id is kept. Repeated rows give repeated results; an empty table gives no rows. Extra columns are ignored by
 ``document_rates`` and kept by ``mixed``.
+
+``mixed`` drops nothing: its rates are at least one, and the total is free. Of the rates from 1 to REPEATS whose expected tokens
+have the targets' shares it takes those nearest to one, ``1 + posterior . steps`` held within these bounds with the steps orthogonal to
+the targets, found by the same gradient steps. Where no rates within the bounds meet the targets, it warns and comes near.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +34,8 @@ TRAIN_ROWS = 20_000
 EVIDENCE = 64
 STEPS = 80
 TOLERANCE = 1e-4
+#: Most times that a document is repeated.
+REPEATS = 16
 
 DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'high' ELSE 'low' END"
 TARGETS = {"high": 0.85, "low": 0.1, "toxic": 0.05}
@@ -97,14 +104,45 @@ def fit_steps(soft: DataFrame, goal: list[float]) -> list[float]:
     return moved
 
 
+def _bounded(step: list[float]) -> Column:
+    return F.least(F.lit(float(REPEATS)), F.greatest(F.lit(1.0), F.lit(1.0) + sum((F.lit(a) * F.col("p")[k] for k, a in enumerate(step)), F.lit(0.0))))
+
+
+def fit_growth(soft: DataFrame, share: list[float]) -> list[float]:
+    """The sum of steps, orthogonal to the targets' shares, for rates of one and more whose total is free."""
+    n = len(share)
+    load = F.col("copies") * F.col("tokens")
+    norm = sum(s * s for s in share)
+    along = sum((F.lit(s) * F.col("p")[k] for k, s in enumerate(share)), F.lit(0.0)) / norm
+    across = [F.col("p")[k] - F.lit(s) * along for k, s in enumerate(share)]
+    moved = [0.0] * n
+    first = soft.agg(F.sum(load), F.sum(load * sum((a * a for a in across), F.lit(0.0)))).first()
+    total = first[0] or 0
+    if not total:
+        return moved
+    pace = 1 / max((first[1] or 0) / total, 1e-9)  # the trace across the targets bounds the largest eigenvalue there
+    before = list(moved)
+    for turn in range(STEPS):
+        ahead = [m + turn / (turn + 3) * (m - b) for m, b in zip(moved, before, strict=True)]
+        got = [x or 0.0 for x in soft.agg(*[F.sum(load * _bounded(ahead) * F.col("p")[k]) for k in range(n)]).first()]
+        gap = max(abs(g / sum(got) - s) for g, s in zip(got, share, strict=True))
+        if gap < TOLERANCE:
+            return ahead
+        off = sum(g * s for g, s in zip(got, share, strict=True)) / norm
+        before, moved = moved, [a - pace * (g - off * s) / total for a, g, s in zip(ahead, got, share, strict=True)]
+    if gap > 0.01:
+        warnings.warn(f"repeating documents up to {REPEATS} times leaves a domain {gap:.3f} off its target share", stacklevel=2)
+    return moved
+
+
 def rated(soft: DataFrame, targets: dict[str, float], grow: bool) -> DataFrame:
-    """soft with each text's rate. grow: the total is so large that no domain has to shrink; else it stays."""
-    names = list(targets)
+    """soft with each text's rate. grow: rates are one or more and the total follows; else the total stays."""
+    share = [t / sum(targets.values()) for t in targets.values()]
+    if grow:
+        return soft.withColumn("rate", _bounded(fit_growth(soft, share)))
     load = F.col("copies") * F.col("tokens")
-    now = soft.agg(*[F.sum(load * F.col("p")[k]) for k in range(len(names))]).first()
-    now = [x or 0.0 for x in now]
-    share = [targets[d] / sum(targets.values()) for d in names]
-    total = max((x / s for x, s in zip(now, share, strict=True) if s > 0), default=0.0) if grow else sum(now)
+    now = soft.agg(*[F.sum(load * F.col("p")[k]) for k in range(len(share))]).first()
+    total = sum(x or 0.0 for x in now)
     moved = fit_steps(soft, [s * total for s in share])
     return soft.withColumn("rate", F.greatest(F.lit(0.0), F.lit(1.0) + sum((F.lit(m) * F.col("p")[k] for k, m in enumerate(moved)), F.lit(0.0))))
 
@@ -119,15 +157,13 @@ def document_rates(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, tar
 def mixed(docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], seed: int = 11) -> DataFrame:
     """docs, each row as often as its rate says: the whole part, and once more if a hash of id and text falls in the fraction.
 
-    The total grows until no domain has to shrink, so that every document stays and scarce domains are repeated.
+    Rates are at least one, so that every document stays and scarce domains are repeated.
     """
     soft = rated(posteriors(docs, labels, domain, tuple(targets)), targets, grow=True).select(F.col("key").alias("_key"), "rate")
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")
-    # a domain that loses a little to rounding of the fit still keeps its documents
-    times = F.greatest(times, (F.col("rate") > 0.9).cast("int"))
     joined = docs.join(soft.hint("merge"), _key() == F.col("_key"))
-    return joined.withColumn("_times", times).where("_times > 0").withColumn("_nth", F.explode(F.expr("sequence(1L, cast(_times as long))"))).select(*docs.columns)
+    return joined.withColumn("_times", times).withColumn("_nth", F.explode(F.expr("sequence(1L, cast(_times as long))"))).select(*docs.columns)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Inputs on which an operator once did less than its whole job."""
 
+import math
 import random
 from collections import defaultdict
 
-from fixturelake.llm import graph
+from fixturelake.llm import graph, mixing
 
 
 def union_find(edges):
@@ -35,3 +36,16 @@ def _groups(labels):
     for node, label in labels.items():
         groups[label].append(node)
     return groups
+
+
+def test_mixing_keeps_every_document_of_overlapping_domains(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(2000):
+        p = 1 / (1 + math.exp(-rng.gauss(-2.5 if i % 25 < 3 else 2.5, 1.5)))
+        rows.append((f"k{i}", 1, 100, [p, 1 - p]))
+    soft = spark.createDataFrame(rows, "key string, copies long, tokens long, p array<double>").coalesce(1).cache()
+    got = mixing.rated(soft, {"high": 0.92, "low": 0.08}, grow=True).collect()
+    assert len(got) == 2000 and min(r.rate for r in got) >= 1
+    share = sum(r.rate * r.p[0] for r in got) / sum(r.rate for r in got)
+    assert abs(share - 0.92) < 0.005
