@@ -3,8 +3,8 @@
 A gear rolling hash over the bytes of each text cuts it where hash bits are zero, so that cuts depend on the last 32 bytes only
 and find each other again after an insertion. Chunks are MIN to MAX bytes long. A chunk whose 128-bit digest occurs
 elsewhere is repeated; of each digest the occurrence in the smallest (doc_id, position) stays. Repeated chunks are
-removed where consecutive ones together have at least MIN_RUN bytes, so that a passage of some 50 words is
-caught and a chance phrase is left alone.
+removed where consecutive ones together have at least MIN_RUN bytes or cover a whole text, so that a passage of some 50
+words and a copy of a short text are caught and a chance phrase is left alone.
 
 A null doc_id is replaced by a hash of the text. Rows with equal id and text are one document. Null and empty texts
 have no chunks. An empty table gives no rows. Extra columns are ignored by ``repeated_spans`` and kept by ``deduplicated``.
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, table
 
-MIN, MAX = 24, 192
-MASK_BITS = 5
-MIN_RUN = 96
+MIN, MAX = 8, 192
+MASK_BITS = 4
+MIN_RUN = 64
+#: Bit of a place's length that marks a text's last chunk.
+LAST = 1 << 11
 
 _GEAR = np.random.Generator(np.random.PCG64(99)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -64,11 +66,11 @@ def cuts(data: np.ndarray) -> list[int]:
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
-    # a place packs the start and 12 bits of length
+    # a place packs the start, whether the chunk is the text's last, and 11 bits of length
     for b in batches:
         for at in range(0, b.num_rows, 100):
             part = b.slice(at, 100)
-            keys, starts, ends, digests = [], [], [], []
+            keys, starts, ends, last, digests = [], [], [], [], []
             for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 end = cuts(np.frombuffer(raw, np.uint8))
@@ -76,11 +78,12 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(np.full(len(end), key, np.int64))
                 starts += start
                 ends += end
+                last += [0] * (len(end) - 1) + [LAST] if end else []
                 digests += [xxh3_128_digest(raw[s:e]) for s, e in zip(start, end, strict=True)]
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             s = np.array(starts, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(np.concatenate(keys)), pa.array(s << 12 | (np.array(ends, np.int64) - s))], ["d1", "d2", "key", "place"]
+                [pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(np.concatenate(keys)), pa.array(s << 12 | np.array(last, np.int64) | (np.array(ends, np.int64) - s))], ["d1", "d2", "key", "place"]
             )
 
 
@@ -91,15 +94,17 @@ def _key() -> Column:
 def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """key, spans (start, end of removed byte runs), n_repeated (bytes of chunks that occur elsewhere) of documents with any."""
     small_batches(docs.sparkSession)
-    rows = docs.select(_key().alias("key"), "text").mapInArrow(_chunk_rows, "d1 long, d2 long, key long, place long")
+    rows = docs.select(_key().alias("key"), "text").mapInArrow(_chunk_rows, "d1 long, d2 long, key long, place long").repartition("d1", "d2")  # one shuffle for both sides of the join
     met = rows.groupBy("d1", "d2").agg(F.min(F.struct("key", "place")).alias("first"), F.max(F.struct("key", "place")).alias("last")).where("first <> last").select("d1", "d2", "first")
-    again = rows.join(met, ["d1", "d2"]).select("key", F.expr("shiftright(place, 12)").alias("s"), F.expr("place & 4095").alias("n"), (F.struct("key", "place") == F.col("first")).alias("stays"))
-    lists = again.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "n", "stays"))).alias("c"))
+    again = rows.join(met, ["d1", "d2"]).select("key", F.expr("shiftright(place, 12)").alias("s"), F.expr(f"place & {LAST - 1}").alias("n"), F.expr(f"place & {LAST} <> 0").alias("last"), (F.struct("key", "place") == F.col("first")).alias("stays"))
+    lists = again.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "n", "last", "stays"))).alias("c"))
     # runs: a chunk opens one unless the chunk before ends where it starts
     runs = lists.select("key", F.expr("aggregate(c, 0L, (a, x) -> a + x.n)").alias("n_repeated"), F.expr("filter(c, x -> not x.stays)").alias("r"))
     runs = runs.select("key", "n_repeated", "r", F.expr("filter(transform(r, (x, k) -> if(k = 0 OR r[k - 1].s + r[k - 1].n <> x.s, k, -1)), k -> k >= 0)").alias("at"))
-    spans = "filter(transform(at, (a, k) -> struct(r[a].s as s, r[if(k = size(at) - 1, size(r), at[k + 1]) - 1].s + r[if(k = size(at) - 1, size(r), at[k + 1]) - 1].n as e)), x -> x.e - x.s >= {})"
-    return runs.select("key", "n_repeated", F.expr(spans.format(min_run)).alias("spans"))
+    end = "r[if(k = size(at) - 1, size(r), at[k + 1]) - 1]"
+    spans = f"filter(transform(at, (a, k) -> struct(r[a].s as s, {end}.s + {end}.n as e, {end}.last as last)), x -> x.e - x.s >= {int(min_run)} OR (x.s = 0 AND x.last))"
+    spans = f"transform({spans}, x -> struct(x.s as s, x.e as e))"
+    return runs.select("key", "n_repeated", F.expr(spans).alias("spans"))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:

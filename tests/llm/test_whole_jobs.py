@@ -4,7 +4,9 @@ import math
 import random
 from collections import defaultdict
 
-from fixturelake.llm import graph, mixing
+import numpy as np
+
+from fixturelake.llm import chunks, graph, mixing
 
 
 def union_find(edges):
@@ -49,3 +51,29 @@ def test_mixing_keeps_every_document_of_overlapping_domains(spark):
     assert len(got) == 2000 and min(r.rate for r in got) >= 1
     share = sum(r.rate * r.p[0] for r in got) / sum(r.rate for r in got)
     assert abs(share - 0.92) < 0.005
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(n))
+
+
+def test_chunks_catch_passages_of_51_words():
+    found = []
+    for seed in range(1000):
+        rng = random.Random(seed)
+        passage = f" {words(rng, 51)} "
+        cut = []
+        for _ in range(2):
+            raw = (words(rng, rng.randint(20, 60)) + passage + words(rng, 40)).encode()
+            ends = chunks.cuts(np.frombuffer(raw, np.uint8))
+            cut.append([raw[s:e] for s, e in zip([0, *ends], ends, strict=False)])
+        runs = [0]
+        for c in cut[1]:
+            runs = [*runs[:-1], runs[-1] + len(c)] if c in set(cut[0]) else [*runs, 0]
+        found.append(sum(r for r in runs if r >= chunks.MIN_RUN) / len(passage))
+    assert min(found) > 0 and sum(found) / len(found) > 0.75
+
+
+def test_chunks_remove_copies_of_short_texts(spark):
+    docs = spark.createDataFrame([(1, "a short text"), (2, "a short text"), (3, "a short one"), (4, ""), (5, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in chunks.deduplicated(docs).collect()} == {1: "a short text", 2: "", 3: "a short one", 4: "", 5: None}
