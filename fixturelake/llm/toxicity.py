@@ -8,6 +8,8 @@ contain an entry but occur only in clean texts become exception phrases and take
 automaton finds entries and exceptions; their weights are summed, divided by a power of the text's length, and a
 logistic curve fitted on the training rows turns this into a score from 0 to 1.
 
+The training sample alone bounds the lexicon: every beginning and every exception that it shows is used.
+
 Labels come from rows whose crc32(doc_id as text) mod 3 is not 1, at most about TRAIN_ROWS of them, taken by hash.
 Every text is scored whole. Null and empty texts score as a text without hits does. A null doc_id is scored and not held
 out. Repeated rows give repeated results; without labelled rows nothing is toxic. Extra columns are ignored.
@@ -30,7 +32,6 @@ from .common import mark, materialise, release, small_batches, table
 TRAIN_ROWS = 30_000
 MIN_SUPPORT = 8
 MIN_LOG_ODDS = 3.5
-MAX_TERMS = 5_000
 PREFIX = range(3, 13)
 LENGTH_POWER = 0.25
 THRESHOLD = 0.7
@@ -93,7 +94,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
         .withColumn("weight", odds)
         .where((F.col("pos") >= MIN_SUPPORT) & (F.col("weight") >= MIN_LOG_ODDS))
     )
-    found = {r["term"]: (r["pos"], r["weight"]) for r in starts.orderBy(F.desc("pos"), "term").limit(MAX_TERMS).collect()}
+    found = {r["term"]: (r["pos"], r["weight"]) for r in starts.collect()}
     # of nested starts the longest that keeps most of the support; what stays outside it is left to shorter ones
     longer: dict[str, int] = defaultdict(int)
     for t, (n, _) in found.items():
@@ -103,11 +104,10 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     kept = {t: w for t, w in kept.items() if not any(t[:k] in kept for k in range(PREFIX[0], len(t)))}
     lexicon = {f" {t}": w for t, w in kept.items()}
     if kept:
-        start = F.array(*[F.lit(t) for t in sorted(kept)])
-        hits = pairs.where("pos = 0 AND before != ''").withColumn("start", F.get(F.filter(start, lambda s: F.startswith("word", s)), F.lit(0))) if len(kept) <= 500 else None
-        if hits is not None:
-            common = hits.where("start IS NOT NULL").groupBy("before", "word", "start").count().limit(MAX_TERMS).collect()
-            lexicon |= {f" {r['before']} {r['word']} ": -kept[r["start"]] for r in common}
+        # kept starts do not nest, so a word has one at most
+        start = train.sparkSession.createDataFrame([(t,) for t in sorted(kept)], "start string")
+        clean = pairs.where("pos = 0 AND before != ''").select("before", "word", F.explode(F.transform(lengths, lambda n: F.substring("word", F.lit(1), n))).alias("start"))
+        lexicon |= {f" {r['before']} {r['word']} ": -kept[r["start"]] for r in clean.join(start, "start").distinct().collect()}
     return lexicon
 
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from fixturelake.llm import chunks, graph, mixing
+from fixturelake.llm import chunks, graph, mixing, toxicity
 
 
 def union_find(edges):
@@ -77,3 +77,14 @@ def test_chunks_catch_passages_of_51_words():
 def test_chunks_remove_copies_of_short_texts(spark):
     docs = spark.createDataFrame([(1, "a short text"), (2, "a short text"), (3, "a short one"), (4, ""), (5, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in chunks.deduplicated(docs).collect()} == {1: "a short text", 2: "", 3: "a short one", 4: "", 5: None}
+
+
+def test_toxicity_keeps_exceptions_of_a_large_lexicon(spark):
+    rng = random.Random(4)
+    stems = [f"{a}{b}{c}z" for a in "bcdfghkmnp" for b in "bcdfghkmnp" for c in "bcdfgh"]
+    clean = [f"{a}{b}{c}" for a in "aeiouwxy" for b in "aeiouwxy" for c in "aeiouwxy"]
+    rows = [(" ".join(rng.sample(stems, len(stems))), 1) for _ in range(16)] + [(" ".join(rng.sample(clean, len(clean))), 0) for _ in range(80)]
+    rows += [(" ".join(f"safe {s}" for s in stems), 0)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert sum(w > 0 for w in lexicon.values()) == 600
+    assert {k for k, w in lexicon.items() if w < 0} >= {f" safe {s} " for s in stems}
