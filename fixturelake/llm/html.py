@@ -8,8 +8,8 @@ slot of its nearest skeleton token. Vectors are compared by the exclusive or of
 are aggregated like sums and no host's pages are ever gathered in one task.
 
 The slots of a host are then told apart: menus, page headers, footers, sidebars, notices, adverts, forms and reader
-comments by their element or naming, slots of mere links by their link share, and fixed slots by text that is equal on
-all pages. What is left under the article's slot is extracted from every page, in page order. A page that lacks its
+comments by their element or naming, slots of mere links by their link share, and fixed slots outside an article by text that is
+equal on all of five or more different pages; copies of a page count once. What is left under the article's slot is extracted from every page, in page order. A page that lacks its
 host's main slot is decided by its own slots.
 
 Null or empty html gives an empty text. A null url counts as a host of its own. Repeated rows give repeated
@@ -51,6 +51,7 @@ _MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|content|main|
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+_ARTICLE = re.compile(r"/(?:article|main)(?![a-z0-9-])|@main(?![a-z0-9-])")
 _SPACE = re.compile(r"\s+")
 _RAW = frozenset("script style textarea title noscript iframe".split())
 
@@ -255,9 +256,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
+def different(pages: DataFrame) -> DataFrame:
+    """host, html: each page of a host once. Only hashes of pages are shuffled, and the html of those that repeat."""
+    keyed = pages.select("host", "html", F.xxhash64("html").alias("page_key"))
+    again = materialise(keyed.groupBy("host", "page_key").agg(F.count("*").alias("n")).where("n > 1").select("host", "page_key"), "repeated-pages")
+    few = again.count()
+    if not few:
+        return keyed.select("host", "html")
+    side = F.broadcast(again) if few <= 100_000 else again
+    copies = keyed.join(side, ["host", "page_key"], "left_semi").select("host", "html").distinct()
+    return keyed.join(side, ["host", "page_key"], "left_anti").select("host", "html").unionByName(copies)
+
+
 def deduce_templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """host, slots: the skeleton of each host's template, an array of (path, class id, chars, links, fixed, boiler)."""
-    tokens = pages.select("host", F.xxhash64("page_id", "html").alias("page_key"), "html").mapInArrow(
+    pages = different(pages)
+    tokens = pages.select("host", F.xxhash64("html").alias("page_key"), "html").mapInArrow(
         _tokens, "host string, path string, page_key long, n long, boiler boolean, chars long, links long, said string"
     )
     said = F.xxhash64("said")
@@ -294,10 +308,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # large classes first: a class of one token is kept only if it nests below a larger one
                 large = {s["path"] for s in slots if classes[s["class_id"]] > 1}
                 skeleton = {s["path"] for s in slots if s["path"] in large or s["path"].rpartition("/")[0] in large or not large}
-                main = choose_main([(s["path"], s["chars"], s["links"], s["fixed"]) for s in slots if not s["boiler"] and s["path"] in skeleton])
+                main = choose_main([(s["path"], s["chars"], s["links"], s["fixed"] and not _ARTICLE.search(s["path"])) for s in slots if not s["boiler"] and s["path"] in skeleton])
+                # text that is equal on all pages is an article's own where nothing else is found, and inside an article
+                fixed = {s["path"] for s in slots if s["fixed"] and not _ARTICLE.search(s["path"])} if main is not None else set()
                 if len(known) > 2000:
                     known.clear()
-                known[host] = (skeleton, main, {s["path"] for s in slots if s["fixed"]})
+                known[host] = (skeleton, main, fixed)
             texts.append(main_text(blocks(page or ""), *known[host]))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from fixturelake.llm import chunks, graph, mixing, toxicity
+from fixturelake.llm import chunks, graph, html, mixing, toxicity
 
 
 def union_find(edges):
@@ -88,3 +88,12 @@ def test_toxicity_keeps_exceptions_of_a_large_lexicon(spark):
     lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
     assert sum(w > 0 for w in lexicon.values()) == 600
     assert {k for k, w in lexicon.items() if w < 0} >= {f" safe {s} " for s in stems}
+
+
+def test_html_keeps_articles_that_are_copied(spark):
+    page = "<html><body><{0}><h1>Heading of the page</h1><p>The only paragraph</p></{0}><div class=x>{1}</div></body></html>"
+    rows = [(k, None, page.format("article", "")) for k in range(8)]
+    rows += [(k + 10, "http://b.org/x", page.format("div", "")) for k in range(8)]
+    rows += [(k + 20, f"http://c.org/{k}", page.format("article", f"seen {k}")) for k in range(6)]
+    got = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 22 and {r.text for r in got} == {"Heading of the page The only paragraph"}
