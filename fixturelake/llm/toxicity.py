@@ -10,8 +10,8 @@ logistic curve fitted on the training rows turns this into a score from 0 to 1.
 
 The training sample alone bounds the lexicon: every beginning and every exception that it shows is used.
 
-Labels come from rows whose crc32(doc_id as text) mod 3 is not 1, at most about TRAIN_ROWS of them, taken by hash.
-Every text is scored whole. Null and empty texts score as a text without hits does. A null doc_id is scored and not held
+Labels come from rows whose crc32(doc_id as text) mod 3 is not 1, at most about TRAIN_ROWS of them, taken by hash;
+repeated rows are learnt from once. Every text is scored whole. Null and empty texts score as a text without hits does. A null doc_id is scored and not held
 out. Repeated rows give repeated results; without labelled rows nothing is toxic. Extra columns are ignored.
 """
 
@@ -73,7 +73,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     share = min(1.0, bound / max(1, usable.count()))
     usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(usable, "doc_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(usable, "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "toxic")
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
@@ -138,19 +138,20 @@ def strength(total: float, n_words: int) -> float:
     return total / (1 + n_words) ** LENGTH_POWER if total else 0.0
 
 
-def fit_curve(rows: list[tuple[float, int]]) -> tuple[float, float]:
-    """Slope and offset of the logistic curve: Newton's method with a small ridge; slope not negative."""
+def fit_curve(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through (strength, toxic, count): Newton's method with a small ridge; slope not negative."""
     import numpy as np
 
-    if not rows or len({y for _, y in rows}) < 2:
+    if not rows or len({y for _, y, _ in rows}) < 2:
         return 1.0, -6.0
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    n = np.array([r[2] for r in rows], float)
     a = np.c_[x, np.ones_like(x)]
     w = np.zeros(2)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = a.T @ (a * (p * (1 - p) + 1e-6)[:, None]) + np.diag([1e-2, 1e-2])
-        step = np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w)
+        h = a.T @ (a * (n * (p * (1 - p) + 1e-6))[:, None]) + np.diag([1e-2, 1e-2])
+        step = np.linalg.solve(h, a.T @ (n * (y - p)) - 1e-2 * w)
         w += np.clip(step, -5, 5)
         if abs(step).max() < 1e-6:
             break
@@ -169,8 +170,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[
             x = [strength(*w) for w in weigh(b.column("text").to_pylist(), lexicon)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("toxic")], ["x", "toxic"])
 
-    # equal strengths are counted together; at most about ``bound`` rows
-    rows = [(r["x"], r["toxic"]) for r in train.mapInArrow(run, "x double, toxic int").collect()]
+    # equal strengths are counted together; at most about ``bound`` rows unless an id has many texts
+    counted = train.mapInArrow(run, "x double, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n"))
+    rows = sorted((r["x"], r["toxic"], r["n"]) for r in counted.collect())
     release(docs.sparkSession, before)
     return (lexicon, *fit_curve(rows))
 

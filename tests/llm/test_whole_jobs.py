@@ -97,3 +97,13 @@ def test_html_keeps_articles_that_are_copied(spark):
     rows += [(k + 20, f"http://c.org/{k}", page.format("article", f"seen {k}")) for k in range(6)]
     got = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 22 and {r.text for r in got} == {"Heading of the page The only paragraph"}
+
+
+def test_toxicity_learns_from_repeated_rows_once(spark):
+    rows = [(3, "one text")] * 500 + [(k, f"text {k}") for k in range(4, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3, 60)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels)
+    assert got.count() == got.distinct().count() > 20
+    once, counted = [(x / 7, int(x > 3), 1) for x in range(8)] * 5 + [(0.1, 1, 1)] * 3, [(x / 7, int(x > 3), 5) for x in range(8)] + [(0.1, 1, 3)]
+    assert np.allclose(toxicity.fit_curve(once), toxicity.fit_curve(counted))
