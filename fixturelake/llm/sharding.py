@@ -1,6 +1,7 @@
 """Two-pass external shuffle into training shards (law ``rows``).
 
-Pass one scatters the rows over memory-sized buckets by a seeded hash of their id. Pass two shuffles each
+Pass one scatters the rows over memory-sized buckets by a seeded hash of the row and, of
+equal rows, the number of their part. Pass two shuffles each
 bucket in memory (Spark's ``shuffle`` is a Fisher-Yates shuffle) and lays the buckets end to end: place ``g``
 of the whole order goes to shard ``g % n_shards`` as slot ``g div n_shards``, so that shard counts are at most one
 apart and slots have no gaps. Only ids, sizes and checksums are shuffled in buckets, not texts.
@@ -21,6 +22,8 @@ N_SHARDS = 8
 SEED = 20240607
 #: Rows of a bucket; 40 bytes a row, so a bucket of 20,000 rows takes under 1 MB.
 BUCKET_ROWS = 20_000
+#: Copies of a row that go to a bucket together.
+PART_ROWS = 16
 
 
 def shard_slots(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -33,14 +36,18 @@ def shard_slots(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, buc
     )
     slim = materialise(slim, "shard-slim")
     n_buckets = max(1, -(-slim.count() // bucket_rows))
-    # copies of a row may share an id: the checksum and a random-free row hash decide within it, ties are equal rows
-    keyed = slim.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"), F.lit(n_buckets)))
+    # equal rows are counted and dealt in parts of PART_ROWS, so that no bucket grows with a row's copies
+    part = F.explode(F.sequence(F.lit(0), F.expr(f"cast((copies - 1) div {PART_ROWS} as int)")))
+    keyed = slim.groupBy("doc_id", "text_crc32", "size").agg(F.count("*").alias("copies")).select("*", part.alias("part"))
+    keyed = keyed.withColumn("copies", F.least(F.lit(PART_ROWS), F.col("copies") - F.col("part") * F.lit(PART_ROWS)).cast("int"))
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "part"), F.lit(n_buckets)))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).select(
+    starts = keyed.groupBy("bucket").agg(F.sum("copies").alias("n")).select(
         "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
-    one = F.struct("doc_id", "text_crc32", "size")
+    one = F.struct("doc_id", "text_crc32", "size", "copies")
     buckets = keyed.groupBy("bucket").agg(F.sort_array(F.collect_list(one)).alias("rows"))
+    buckets = buckets.withColumn("rows", F.flatten(F.transform("rows", lambda r: F.array_repeat(r, r["copies"]))))
     placed = (
         buckets.withColumn("rows", F.shuffle("rows", F.lit(seed)))
         .join(starts, "bucket")

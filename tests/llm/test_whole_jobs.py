@@ -2,11 +2,11 @@
 
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
-from fixturelake.llm import chunks, graph, html, mixing, toxicity
+from fixturelake.llm import chunks, graph, html, mixing, sharding, toxicity
 
 
 def union_find(edges):
@@ -107,3 +107,19 @@ def test_toxicity_learns_from_repeated_rows_once(spark):
     assert got.count() == got.distinct().count() > 20
     once, counted = [(x / 7, int(x > 3), 1) for x in range(8)] * 5 + [(0.1, 1, 1)] * 3, [(x / 7, int(x > 3), 5) for x in range(8)] + [(0.1, 1, 3)]
     assert np.allclose(toxicity.fit_curve(once), toxicity.fit_curve(counted))
+
+
+def test_shards_spread_a_row_of_many_copies(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, None)] * 3000 + [(k, f"t{k}") for k in range(6000)], "doc_id long, text string")
+    sizes = []
+    shuffle = sharding.F.shuffle
+
+    def watched(col, seed):
+        sizes.append(col)
+        return shuffle(sharding.F.when(sharding.F.size(col) < 1300, sharding.F.col(col)), seed)
+
+    monkeypatch.setattr(sharding.F, "shuffle", watched)
+    got = sharding.shard_slots(docs, 8, bucket_rows=600).collect()
+    assert sizes and len(got) == 9000
+    assert Counter(r.doc_id for r in got) == Counter({None: 3000} | {k: 1 for k in range(6000)})
+    assert len({(r.shard, r.slot) for r in got}) == 9000 and {r.slot for r in got} == set(range(1125))
