@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: table reading and cutting lineage."""
+"""What the operators of this subpackage share: reading tables, cutting lineage, sending the package to executors."""
 
 from __future__ import annotations
 
@@ -7,14 +7,16 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: White space that separates words: space and \t \n \v \f \r.
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
+#: Rows that are sent to every task at most; larger sides are joined by a shuffle.
+FEW_ROWS = 1_000_000
+#: Rows with equal keys that are numbered in one task; more are numbered where they are read.
+MANY_COPIES = 10_000
 _own: list[str] = []
 _shipped: set[str] = set()
-_paths: list[str] = []
+_results: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,39 +24,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that driver and executors share. Where none is named a temporary one will do, but in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not _own:
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return folder or _own[0]
+    return _own[0]
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: later steps survive lost executors and do not recompute it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    _paths.append(path)
-    return back
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession, since: int, until: int | None = None) -> None:
-    """Delete the tables materialised between two marks; call it when no result reads them any more."""
-    for path in _paths[since:until]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _paths[since:until]
+class Tables:
+    """The tables of one call in the shared folder: later steps survive lost executors and do not compute them again."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
 
-def mark() -> int:
-    """Tables materialised so far."""
-    return len(_paths)
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, since: int = 0, until: int | None = None) -> None:
+        """Delete tables that nothing reads any more."""
+        for path in self.paths[since:until]:
+            _delete(self.spark, path)
+        del self.paths[since:until]
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Before a step in Python: send the package to the executors, and texts in batches of few rows, so that long ones fit in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table that the caller's result reads, and delete all others of this call."""
+        held = len(self.paths)
+        out = self.write(df, name)
+        self.drop(0, held)
+        self.keep()
+        return out
+
+    def keep(self) -> None:
+        """Leave what is there to ``drop_results``."""
+        _results.extend(self.paths)
+        self.paths = []
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back; it stays until ``drop_results``."""
+    return Tables(df.sparkSession).result(df, name)
+
+
+def drop_results(spark: SparkSession) -> None:
+    """Delete the tables that results of earlier calls read; call it when none of them is used any more."""
+    while _results:
+        _delete(spark, _results.pop())
+
+
+def ship(spark: SparkSession) -> None:
+    """Before a step in Python: send the package to the executors."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
@@ -63,10 +93,39 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         context.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
 
 
-def utf8(text: str = "text") -> Column:
-    return F.coalesce(F.col(text), F.lit("")).cast("binary")
-
+def small_side(df: DataFrame, bound: int | None = None) -> DataFrame:
+    """df, which has to be a written table, broadcast where it has few rows."""
+    bound = FEW_ROWS if bound is None else bound
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def text_key() -> Column:
+    """Names a document by id and text: rows that are equal in both are copies of one row."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
+def numbered(df: DataFrame, keys: list[str], name: str, many: int = MANY_COPIES) -> DataFrame:
+    """df with the number, from 1, of each row among those with equal keys; which row gets which number is left open.
+
+    A key with over ``many`` rows is not brought to one task: its rows are numbered in each input partition, behind those
+    of the partitions before.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > many).drop("_n")
+    tables = Tables(df.sparkSession)
+    hot = tables.write(counts, "hot-keys")
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))).cast("long")
+    if hot.isEmpty():
+        tables.drop()
+        return df.withColumn(name, one)
+    tables.keep()
+    same = lambda side: [df[k].eqNullSafe(side[k]) for k in keys]
+    side = small_side(hot)
+    cold = df.join(side, same(side), "left_anti").withColumn(name, one)
+    rows = df.join(side, same(side), "left_semi").withColumn("_part", F.spark_partition_id())
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    parts = parts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), "_before")
+    rows = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.lit(1))))
+    on = [rows[k].eqNullSafe(parts[f"_k_{k}"]) for k in keys] + [rows["_part"] == parts["_p"]]
+    return cold.unionByName(rows.join(parts, on).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name)))
 
-def words(text: str = "text") -> Column:
-    """Maximal runs of bytes other than white space, in order; none for null."""
-    return F.expr(f"filter(split(coalesce({text}, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import materialise, ship, table
 
 SUPPORT = 0.5
 LINK_SHARE = 0.6
@@ -320,7 +320,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_texts(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
-    small_batches(pages.sparkSession)
+    ship(pages.sparkSession)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").withColumn(
         "host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     )

@@ -1,22 +1,26 @@
-"""Exact Jaccard join of word-shingle sets with pivots, as connected components of near-equal texts.
-
-Jaccard distance (1 - similarity) is a metric, but unrelated texts are all at distance 1, where no pivot tells them
-apart. The shingle universe is therefore split first: halving it again and again by hash bits, some slice of two
-linked sets is at least as similar as the whole sets are (the mean of ratios), so following it down to slices of at most
-``leaf`` shingles, where similarity below 1 is below the threshold, the two slices are equal. Slices
-equal in content are the Voronoi regions of radius 0; a set whose slice could count as larger or smaller is replicated
-to both levels. All of this loses no link.
-
-A linked pair shares at least ``need`` regions, so that each set may leave its ``need - 1`` most crowded ones. In what
-remains, regions are joined round by round: each takes a pivot (at first the member with most in common with others), its
-members measure their distance to it, links are joined into components, and regions whose members all have one label are
-closed. At last the regions of each pivot are one Voronoi region: members inside the pivot's label need not meet,
-those outside meet them and each other, block by block, and a pair is linked only if its distances to the pivot differ by
-at most r (triangle inequality). Every link is checked on the two whole sets of 64-bit shingle hashes.
+"""Exact Jaccard join of word-shingle sets in the metric space of Jaccard distance, as connected components of near-equal texts.
+
+Jaccard distance (1 - similarity) is a metric, but most texts are at distance 1 from any pivot, where no pivot tells them
+apart. What can have no partner goes first, by two bounds that lose no link:
+
+* Halving the universe of shingle hashes again and again, some slice of two linked sets is at least as similar as the whole sets
+  are (the mean of ratios); slices of at most ``leaf`` shingles, where similarity below 1 is below the threshold, are then equal.
+  A linked pair shares at least ``need`` equal slices, so a set with fewer slices that another one has, too, is alone.
+* Of two linked sets each has at most ``1 - threshold`` of its shingles to itself, so a set with more shingles that no other has is alone.
+  Of what is left, a linked pair shares one of the first shingles in the order of rarity (prefix filter).
+
+The sets of one such shingle, and of all shingles with the same first member, are a region of the space. A region of over LEAF sets is
+divided by pivots: all its members measure their distance to each pivot, the nearest pivot is a member's Voronoi cell, and a
+member is replicated to every other cell in which a set within r = 1 - threshold of it can be: those whose pivot is at most 2r
+further than the nearest, and at most r further than the cell's radius (triangle inequality). Pivots have met all and leave.
+Cells are regions again, until they are small. A region in which all sets are about as far from each other does not get smaller; it is
+compared block by block. In a region compared, sets inside one pivot's ball of radius r need not meet one another, and a
+pair whose distances to a pivot differ by more than r can't be linked. Every link is checked on the two whole sets of 64-bit hashes.
 
 Equal sets are one class from the start, so that copies cost no comparisons. Texts without words have an empty set and link
-with nothing; a null doc_id is a document like others, in the classes of its text. Repeated rows are copies. An
-empty table gives no rows. Extra columns are ignored.
+with nothing; a null doc_id is a document like others, in the classes of its text; equal ids with other texts are other documents.
+Repeated rows are copies. An empty table gives no rows. Extra columns are ignored. A text is never cut: very long ones are hashed
+in pieces, and blocks hold fewer of them.
 """
 
 from __future__ import annotations
@@ -29,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mark, materialise, release, small_batches, table
+from .common import Tables, ship, small_side, table, text_key
 from .graph import components
 from .shingles import mix, shingle_sets
 
-#: Pivot rounds before what is left of the regions is compared.
-PIVOT_ROUNDS = 2
-#: Sets of a block; blocks of a region meet pairwise, each pair in a task's memory.
-BLOCK = 400
+#: Sets of a region that are compared without pivots.
+LEAF = 300
+#: Pivots of a region, about.
+PIVOTS = 12
+#: Sets and shingles of a block; blocks of a region meet pairwise, each pair in a task's memory.
+BLOCK, BLOCK_SHINGLES = 400, 2_000_000
 
 
 def leaf_size(threshold: float) -> int:
@@ -86,16 +92,16 @@ def _signature(s: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(s + np.uint64(1))) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else 0
 
 
-def _sets(width: int, items: bool):
-    """key, n, sig and, with items, the hashes of each text's set."""
+def _sets(width: int, keep: list[str], items: bool):
+    """keep, n, sig and, with items, the hashes of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 sets = shingle_sets(part.column("text"), width)
-                cols = [part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, _lists([s.view(np.int64) for s in sets])] if items else cols, ["key", "n", "sig", "items"][: 4 if items else 3])
+                cols = [*[part.column(c) for c in keep], pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, _lists([s.view(np.int64) for s in sets])] if items else cols, [*keep, "n", "sig", *["items"][: int(items)]])
 
     return run
 
@@ -114,171 +120,170 @@ def _cells(width: int, threshold: float):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-
-
-def _compare(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """u, v, d of the pairs, by their whole sets."""
-    left = sets.select(F.col("sig").alias("u"), F.col("items").alias("a"))
-    right = sets.select(F.col("sig").alias("v"), F.col("items").alias("b"))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v").withColumn("common", F.size(F.array_intersect("a", "b")))
-    union = F.size("a") + F.size("b") - F.col("common")
-    percent = round(threshold * 100)
-    return both.select("u", "v", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("linked"))
-
-
 def near_classes(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, component_id and key for every row of docs."""
+    """doc_id, n_shingles, component_id, key and first_key (of the row to keep of its class) for every row of docs."""
     spark = docs.sparkSession
-    small_batches(spark)
-    keyed = _keyed(docs)
-    before = mark()
-    slim = materialise(keyed.select("key", "text").mapInArrow(_sets(width, False), "key long, n long, sig long"), "sets-of")
-    links = linked_classes(keyed, slim, width, threshold)
+    ship(spark)
+    tables = Tables(spark)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("key"))
+    slim = tables.write(keyed.mapInArrow(_sets(width, ["doc_id", "key"], False), "doc_id long, key long, n long, sig long"), "sets-of")
+    by_sig = slim.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    links = linked(keyed, slim, width, threshold, tables)
     if links is not None:
-        slim = slim.join(links.withColumnRenamed("node", "sig"), "sig", "left").withColumn("sig", F.coalesce("label", "sig"))
-    label = F.when(F.col("n") > 0, F.col("sig"))
-    # one row for each row of the table: a repeated key repeats its own values only
-    named = slim.select("key", "n", label.alias("label")).groupBy("key", "n", "label").agg(F.count("*").alias("times"))
-    ids = keyed.select("key", "doc_id").distinct()
-    named = named.join(ids, "key")
-    least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    done = named.join(least, "label", "left")
-    done = done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "key", F.explode(F.expr("sequence(1L, times)")).alias("nth")).drop("nth")
-    held = mark()
-    done = materialise(done, "components")
-    release(spark, before, held)
-    return done
-
-
-def linked_classes(keyed: DataFrame, coded: DataFrame, width: int, threshold: float) -> DataFrame | None:
-    """node (a set's signature), label of all sets that link with another one."""
-    leaf = leaf_size(threshold)
+        named = tables.write(by_sig.join(components(links, tables).withColumnRenamed("node", "sig"), "sig", "left"), "named")
+        top = tables.write(named.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("_least"), F.min("first").alias("_first")), "tops")
+        by_sig = named.join(top, "label", "left").select("sig", F.coalesce("_least", "least").alias("least"), F.coalesce("_first", "first").alias("first"))
+    classes = tables.write(by_sig.select("sig", "least", F.col("first.key").alias("first_key")), "classes")
+    some = slim.where("n > 0").join(classes, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "key", "first_key")
+    none = slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key", F.col("key").alias("first_key"))
+    return tables.result(some.unionByName(none), "components")
+
+
+def candidates(keyed: DataFrame, slim: DataFrame, width: int, threshold: float, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Sets (sig, n, items) that can have a partner, and their first regions (region, node): all linked pairs meet in one."""
+    percent, leaf = round(threshold * 100), leaf_size(threshold)
     below = (leaf - 1) / leaf
     share = (threshold - below) / (1 - below)  # of the union, at least, lies in equal slices
-    reps = coded.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("n").alias("n"))
-    # hashing the texts twice takes less than keeping all their regions; copies have one signature, so they do not crowd one
+    need = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n") / leaf - 1e-9))
+    # hashing the texts twice takes less than keeping all their slices; copies have one signature, so they do not crowd one
     cut = keyed.select("text").mapInArrow(_cells(width, threshold), "cell long, sig long")
-    crowded = cut.groupBy("cell").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("cell")
-    met = materialise(cut.join(crowded, "cell").distinct(), "met")
-    members = met.groupBy("cell").agg(F.count("*").alias("members"))
-    need = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n") / leaf - 1e-9)).cast("int")
-    # a set's regions, the most crowded first: as many as a text has slices at most
-    lists = met.join(members, "cell").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("members", "cell")), asc=False).alias("all"))
-    lists = lists.join(reps.select("sig", "n"), "sig").withColumnRenamed("sig", "node")
-    score = F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["members"])
-    lists = materialise(lists.select("node", "n", score.alias("score"), need.alias("need"), F.transform("all", lambda x: x["cell"]).alias("all")), "lists")
-    cells = lists.select("node", "n", "score", F.explode_outer(F.expr("slice(all, need, greatest(size(all) - need + 1, 0))")).alias("cell")).where("cell IS NOT NULL")
-    fits = F.least("n", "pn") >= threshold * F.greatest("n", "pn") - 1e-9
-
-    labels: DataFrame | None = None
-    tested: DataFrame | None = None
-    linked: DataFrame | None = None
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-        wanted = reps.select("key", "sig").join(nodes, "sig").select("key", "sig")
-        texts = keyed.select("key", "text").join(wanted.select("key").distinct(), "key", "left_semi")
-        whole = texts.mapInArrow(_sets(width, True), "key long, n long, sig long, items array<long>")
-        return whole.join(wanted, ["key", "sig"], "left_semi").dropDuplicates(["sig"]).select("sig", "items")
-
-    def measure(pairs: DataFrame) -> bool:
-        """Compare new pairs; whether there were any."""
-        nonlocal labels, tested, linked
-        few = lists.select("node", "need", "all")
-        pairs = pairs.join(few.toDF("u", "nu", "au"), "u").join(few.toDF("v", "nv", "av"), "v")
-        pairs = materialise(pairs.where(F.size(F.array_intersect("au", "av")) >= F.greatest("nu", "nv")).select("u", "v"), "pairs")
-        if pairs.isEmpty():
-            return False
-        got = materialise(_compare(pairs, materialise(sets_of(pairs), "sets"), threshold), "measured")
-        tested = got if tested is None else tested.unionByName(got)
-        new = got.where("linked")
-        if not new.isEmpty():
-            linked = new if linked is None else linked.unionByName(new)
-            labels = components(linked)
-        return True
-
-    def open_rows() -> DataFrame:
-        nonlocal cells
-        rows = cells if labels is None else cells.join(labels, "node", "left")
-        rows = rows.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
-        mixed = rows.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("cell", "members")
-        rows = materialise(rows.join(mixed, "cell"), "open")
-        cells = rows.select("cell", "node", "n", "score")  # a closed region stays closed
-        return rows
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-        return pairs if tested is None else pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-
-    def owned(rows: DataFrame, turn: int) -> DataFrame:
-        """Each region's pivot and what the members need to meet it; the pivot has most in common with others at first."""
-        first = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        pivots = rows.groupBy("cell").agg(F.max(F.struct(first.alias("o"), "node", "n", "label")).alias("p"))
-        return rows.join(pivots.select("cell", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl")), "cell")
-
-    for turn in range(PIVOT_ROUNDS):
-        rows = open_rows()
-        if rows.isEmpty():
-            return labels
-        star = owned(rows, turn).where((F.col("label") != F.col("pl")) & fits)
-        # each set measures the pivot that it shares most regions with
-        best = star.groupBy("node", "pivot").agg(F.count("*").alias("shared")).groupBy("node").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
-        measure(untested(best.select(F.col("node").alias("x"), F.col("pivot").alias("y"))).distinct())
-
-    rows = open_rows()
-    if rows.isEmpty():
-        return labels
-    # the regions of one pivot are one: its members meet once
-    members = owned(rows, 0).groupBy("pivot", "node", "n", "label").agg(F.first("pl").alias("pl"))
-    if tested is not None:
-        side = tested.select("u", "v", "d").unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
-        members = members.join(side.select(F.col("u").alias("node"), F.col("v").alias("pivot"), "d"), ["node", "pivot"], "left")
-    else:
-        members = members.withColumn("d", F.lit(None).cast("double"))
-    members = materialise(members.withColumn("ball", F.col("label") == F.col("pl")), "members")
-    groups = members.groupBy("pivot").agg(F.count_if("ball").alias("balls"), F.count_if(~F.col("ball")).alias("outs"), F.count_distinct("label").alias("labels")).where("labels > 1 AND outs > 0")
-    blocks = groups.select("pivot", F.ceil(F.col("outs") / BLOCK).cast("int").alias("ko"), F.ceil(F.col("balls") / BLOCK).cast("int").alias("kb"))
-    whole = materialise(sets_of(members.join(blocks, "pivot", "left_semi").select(F.col("node").alias("u"), F.col("node").alias("v"))), "sets")
-    # blocks of sets outside the pivot's label meet one another and the blocks inside it, which need not meet
+    crowded = tables.write(cut.groupBy("cell").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("cell"), "crowded")
+    met = cut.join(crowded, "cell").distinct().groupBy("sig").agg(F.count("*").alias("met"))
+    reps = slim.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("n").alias("n"))
+    near = tables.write(reps.join(met, "sig").where(F.col("met") >= need).select("key", "sig"), "near")
+    texts = keyed.select("key", "text").join(small_side(near.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    whole = tables.write(texts.mapInArrow(_sets(width, ["key"], True), "key long, n long, sig long, items array<long>").drop("key"), "whole")
+
+    shingles = whole.select("sig", "n", F.explode("items").alias("h"))
+    shared = tables.write(shingles.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "shared")
+    rare = shingles.join(shared, "h").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("held"))
+    first = F.expr(f"slice(held, 1, cast(greatest(size(held) + 1 - (({percent} * n + 99) div 100), 0) as int))")
+    firsts = tables.write(rare.select("sig", F.explode(first).alias("x")).select("sig", "x.h"), "firsts")
+    lead = tables.write(firsts.groupBy("h").agg(F.min_by("sig", F.xxhash64("sig")).alias("region"), F.count("*").alias("m")).where("m > 1").drop("m"), "lead")
+    rows = tables.write(firsts.join(lead, "h").select("region", F.col("sig").alias("node")).distinct(), "regions")
+    return whole.join(rows.select(F.col("node").alias("sig")).distinct(), "sig", "left_semi"), rows
+
+
+def linked(keyed: DataFrame, slim: DataFrame, width: int, threshold: float, tables: Tables) -> DataFrame | None:
+    """u, v: signatures of sets of one component, enough of them to connect each; None without any."""
+    sets, rows = candidates(keyed, slim, width, threshold, tables)
+    sets = tables.write(sets, "sets")
+    # d: distances to the pivots of the region above; ball: within r of the pivot whose ball has most members
+    rows = rows.select("region", "node", F.array().cast("array<double>").alias("d"), F.lit(False).alias("ball"))
+    found, done = [], []
+    while True:
+        size = tables.write(rows.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > LEAF), "large")
+        if size.isEmpty():
+            done.append(rows)
+            break
+        done.append(rows.join(size, "region", "left_anti"))
+        links, cells, rest = divide(rows.join(size, "region"), sets, threshold, tables)
+        found.append(links)
+        done.append(rest)
+        rows = cells
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    found.append(compare(tables.write(every, "leaves"), sets, threshold, tables))
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    links = tables.write(links.distinct(), "links")
+    return None if links.isEmpty() else links
+
+
+def divide(rows: DataFrame, sets: DataFrame, threshold: float, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links with pivots; the Voronoi cells with their boundaries as new regions; and regions that cells do not make smaller.
+
+    rows: region, node, m (members), and what came of the region above.
+    """
+    percent, r = round(threshold * 100), 1 - threshold
+    # as many as a region should have, by chance; one without any is not divided
+    by_chance = F.pmod(F.xxhash64("region", "node"), F.greatest(F.lit(1), F.expr(f"m div {PIVOTS}"))) == 0
+    whole = sets.select(F.col("sig").alias("node"), "items")
+    pivots = tables.write(rows.where(by_chance).select("region", "node").join(whole, "node").groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "items"))).alias("p")), "pivots")
+    inside = rows.select("region", "m", "node").join(whole, "node").join(pivots, "region")
+    met = F.transform("p", lambda q: F.struct(q["node"].alias("q"), F.size(F.array_intersect("items", q["items"])).alias("both"), F.size(q["items"]).alias("n")))
+    inside = inside.select("region", "m", "node", F.size("items").alias("own"), met.alias("met"))
+    far = F.transform("met", lambda x: F.struct((1 - x["both"] / (F.col("own") + x["n"] - x["both"])).alias("d"), x["q"].alias("q"), (100 * x["both"] >= percent * (F.col("own") + x["n"] - x["both"])).alias("near")))
+    measured = tables.write(inside.select("region", "m", "node", far.alias("far")), "measured")
+
+    links = measured.select("node", F.explode(F.filter("far", lambda x: x["near"])).alias("x")).select(F.least("node", "x.q").alias("u"), F.greatest("node", "x.q").alias("v")).where("u <> v")
+    d = F.transform("far", lambda x: x["d"])
+    home = measured.select("*", d.alias("d"), F.array_min("far").alias("home"), F.exists("far", lambda x: x["q"] == F.col("node")).alias("pivot"))
+    home = home.where("NOT pivot").select("region", "m", "node", "far", "d", "home")
+    radius = home.groupBy("region", F.col("home.q").alias("q")).agg(F.max("home.d").alias("radius")).groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("q", "radius"))).alias("radius"))
+    wide = home.join(tables.write(radius, "radius"), "region")
+    reach = F.filter("far", lambda x: x["d"] <= F.least(F.coalesce(F.try_element_at("radius", x["q"]), F.lit(-2.0)) + r, F.col("home.d") + 2 * r) + 1e-9)
+    placed = tables.write(wide.select("region", "m", "node", "d", F.explode(reach).alias("x")).select("region", "m", F.xxhash64("region", "x.q").alias("cell"), "node", "d", F.col("x.near").alias("ball")), "placed")
+    # a cell of sets that are all in its pivot's ball is done; so is one of a single set
+    cells = placed.groupBy("region", "m", "cell").agg(F.count("*").alias("n"), F.count_if(~F.col("ball")).alias("outs")).where("n > 1 AND outs > 0")
+    # a division has to halve the pairs at least, so that all levels together never compare more than the region has
+    slow = tables.write(cells.groupBy("region", "m").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).where("2 * pairs > cast(m AS double) * m").select("region"), "slow")
+    smaller = placed.join(tables.write(cells.join(slow, "region", "left_anti").select("cell"), "cells"), "cell").select(F.col("cell").alias("region"), "node", "d", "ball")
+    # the others stay whole, with the largest ball as the one whose members need not meet
+    balls = measured.join(slow, "region", "left_semi").select("region", F.explode("far").alias("x")).where("x.near").groupBy("region", F.col("x.q").alias("q")).agg(F.count("*").alias("k"))
+    main = tables.write(balls.groupBy("region").agg(F.max_by("q", F.struct("k", "q")).alias("q")), "balls")
+    rest = home.join(main, "region").select("region", "node", "d", F.exists("far", lambda x: x["near"] & (x["q"] == F.col("q"))).alias("ball"))
+    bare = rows.join(pivots.select("region"), "region", "left_anti").select("region", "node", "d", "ball")
+    return links, tables.write(smaller, "smaller"), tables.write(rest.unionByName(bare), "rest")
+
+
+def compare(rows: DataFrame, sets: DataFrame, threshold: float, tables: Tables) -> DataFrame:
+    """u, v: enough links of the sets of each region to connect its components."""
+    sized = rows.join(sets.select(F.col("sig").alias("node"), F.size("items").alias("n")), "node")
+    groups = sized.groupBy("region").agg(
+        F.count_if("ball").alias("balls"), F.count_if(~F.col("ball")).alias("outs"), F.sum(F.when(F.col("ball"), F.col("n")).otherwise(0)).alias("nb"), F.sum(F.when(F.col("ball"), 0).otherwise(F.col("n"))).alias("no")
+    ).where("balls + outs > 1 AND outs > 0")
+    blocks = tables.write(groups.select("region", *[F.ceil(F.greatest(F.col(k) / BLOCK, F.col(n) / BLOCK_SHINGLES)).cast("int").alias(b) for k, n, b in (("outs", "no", "ko"), ("balls", "nb", "kb"))], (F.col("nb") + F.col("no")).alias("shingles")), "blocks")
+    # blocks of sets outside the ball meet one another and the blocks inside it, which need not meet
     part = F.when(F.col("ball"), F.col("ko") + F.pmod(F.xxhash64("node"), F.greatest("kb", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("ko", F.lit(1)))).cast("int")
-    placed = members.join(blocks, "pivot").withColumn("part", part)
+    placed = rows.join(blocks, "region").withColumn("part", part)
     other = F.explode(F.when(F.col("ball"), F.sequence(F.lit(0), F.col("ko") - 1)).otherwise(F.sequence(F.lit(0), F.col("ko") + F.col("kb") - 1)))
     placed = placed.withColumn("other", other).withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other"))
     alone = (F.col("ko") + F.col("kb")) <= 2
-    n_tasks = max(8, groups.agg(F.sum(F.col("balls") + F.col("outs"))).first()[0] // 4000) if not groups.isEmpty() else 8
-    task = F.when(alone, F.pmod(F.xxhash64("pivot"), F.lit(n_tasks))).otherwise(F.xxhash64("pivot", "a", "b"))
-    sent = placed.select(task.alias("task"), "pivot", "a", "b", "part", "node", "label", "d").join(whole.withColumnRenamed("sig", "node"), "node")
-    met = sent.groupBy("task").applyInArrow(_meet(threshold), "u long, v long, d double, linked boolean")
-    new = materialise(met.distinct(), "met")
-    if not new.isEmpty():
-        labels = components(new if linked is None else linked.unionByName(new))
-    return labels
+    total = blocks.agg(F.sum("shingles")).first()[0] or 0
+    n_tasks = max(8, int(total) // BLOCK_SHINGLES + 1)
+    task = F.when(alone, F.pmod(F.xxhash64("region"), F.lit(n_tasks))).otherwise(F.xxhash64("region", "a", "b"))
+    sent = placed.select(task.alias("task"), "region", "a", "b", "part", "node", "ball", "d").join(sets.select(F.col("sig").alias("node"), "items"), "node")
+    return sent.groupBy("task").applyInArrow(_meet(threshold), "u long, v long")
+
+
+def _forest(good: np.ndarray) -> np.ndarray:
+    """The least member of the component of each of the sets of a symmetric matrix of links."""
+    n = len(good)
+    label = np.arange(n)
+    while True:
+        new = np.minimum(label, np.where(good, label[None, :], n).min(axis=1, initial=n))
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _meet(threshold: float):
-    """Linked pairs of different labels among the sets of two blocks of a pivot, for each of the block pairs of a task."""
+    """Links among the sets of two blocks of a region, for each of the block pairs of a task."""
     percent, r = round(threshold * 100), 1 - threshold
 
     def run(rows: pa.Table) -> pa.Table:
-        pivot, a, b, part, node, label = (rows.column(c).to_numpy() for c in ("pivot", "a", "b", "part", "node", "label"))
-        d = rows.column("d").to_numpy(zero_copy_only=False).astype(float)
-        items = rows.column("items").combine_chunks()
+        region, a, b, part, node = (rows.column(c).to_numpy() for c in ("region", "a", "b", "part", "node"))
+        ball = rows.column("ball").to_numpy(zero_copy_only=False)
+        items, dist = (rows.column(c).combine_chunks() for c in ("items", "d"))
         flat, at = items.flatten().to_numpy(), items.offsets.to_numpy() - items.offsets[0].as_py()
+        ds, d_at = dist.flatten().to_numpy(), dist.offsets.to_numpy() - dist.offsets[0].as_py()
         size = np.diff(at)
-        order = np.lexsort((b, a, pivot))
-        new = np.flatnonzero((np.diff(pivot[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)) + 1
-        us, vs, ds = [], [], []
+        order = np.lexsort((b, a, region))
+        new = np.flatnonzero((np.diff(region[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)) + 1
+        us, vs = [], []
         for q in np.split(order, new):
+            one = a[q[0]] == b[q[0]]
             left, right = q[part[q] == a[q[0]]], q[part[q] == b[q[0]]]
-            if not len(left) or not len(right) or len(set(label[q].tolist())) < 2:
+            if not len(left) or not len(right) or len(left) + len(right) - one * len(left) < 2:
                 continue
-            common = np.zeros((len(left), len(right)), np.float32)
-            both = np.concatenate((left, right)) if a[q[0]] != b[q[0]] else left
-            tokens = np.concatenate([flat[at[i] : at[i + 1]] for i in both.tolist()])
+            both = left if one else np.concatenate((left, right))
+            common = np.zeros((len(both), len(both)), np.float32)
             owner = np.repeat(np.arange(len(both)), size[both])
-            _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            _, column, times = np.unique(np.concatenate([flat[at[i] : at[i + 1]] for i in both.tolist()]), return_inverse=True, return_counts=True)
             shared = times[column] > 1
             column, owner = column[shared], owner[shared]
             column = np.unique(column, return_inverse=True)[1] if len(column) else column
@@ -287,17 +292,22 @@ def _meet(threshold: float):
                 here = (column >= c) & (column < c + 4096)
                 m = np.zeros((len(both), min(4096, width - c)), np.float32)
                 m[owner[here], column[here] - c] = 1
-                common += m[: len(left)] @ (m[len(left) :] if len(both) > len(left) else m).T
-            union = size[left][:, None] + size[right][None, :] - common
-            # members whose distances to the pivot differ by more than r can't be linked
-            with np.errstate(invalid="ignore"):
-                far = np.abs(d[left][:, None] - d[right][None, :]) > r + 1e-9
-            good = (100 * common >= percent * union) & (label[left][:, None] != label[right][None, :]) & (node[left][:, None] < node[right][None, :] if a[q[0]] == b[q[0]] else True) & ~far
-            i, j = np.nonzero(good)
-            us += np.minimum(node[left][i], node[right][j]).tolist()
-            vs += np.maximum(node[left][i], node[right][j]).tolist()
-            ds += (1 - common[i, j].astype(float) / union[i, j]).tolist()
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64()), "d": pa.array(ds, pa.float64()), "linked": pa.array([True] * len(us), pa.bool_())})
+                common += m @ m.T
+            union = size[both][:, None] + size[both][None, :] - common
+            good = (100 * common >= percent * union) & ~np.eye(len(both), dtype=bool)
+            # members whose distances to a pivot differ by more than r can't be linked
+            n_pivots = np.diff(d_at)[both]
+            if len(both) and n_pivots.min(initial=0) == n_pivots.max(initial=0) > 0:
+                far = np.stack([ds[d_at[i] : d_at[i + 1]] for i in both.tolist()])
+                for k in range(far.shape[1]):
+                    good &= np.abs(far[:, k][:, None] - far[:, k][None, :]) <= r + 1e-9
+            # those inside the ball are linked by its pivot
+            label = _forest(good | (ball[both][:, None] & ball[both][None, :]))
+            name = node[both]
+            i = np.flatnonzero((label != np.arange(len(both))) & ~(ball[both] & ball[both][label]))
+            us += np.minimum(name[i], name[label[i]]).tolist()
+            vs += np.maximum(name[i], name[label[i]]).tolist()
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 

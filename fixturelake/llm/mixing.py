@@ -25,7 +25,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import Tables, table
 
 BUCKETS = 1 << 13
 #: Bound of the training sample, rows.
@@ -54,12 +54,13 @@ def _words(df: DataFrame, *keep: str) -> DataFrame:
 
 def posteriors(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, domains: tuple[str, ...] = tuple(TARGETS), bound: int = TRAIN_ROWS) -> DataFrame:
     """key, copies, tokens, p (array of posteriors in the order of domains) of every distinct text."""
+    tables = Tables(docs.sparkSession)
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(domain).alias("domain")).where(F.col("domain").isin(*domains))
     share = min(1.0, bound / max(1, named.count()))
     named = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id")
     seen = [F.sum((F.col("domain") == d).cast("long")).alias(f"c{k}") for k, d in enumerate(domains)]
-    counts = materialise(_words(train, "domain").where("bucket IS NOT NULL").groupBy("bucket").agg(*seen), "mix-counts")
+    counts = tables.write(_words(train, "domain").where("bucket IS NOT NULL").groupBy("bucket").agg(*seen), "mix-counts")
     total = counts.agg(*[F.sum(f"c{k}") for k in range(len(domains))]).first()
     mass = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     prior = [math.log((mass.get(d, 0) + 1) / (sum(mass.values()) + len(domains))) for d in domains]
@@ -78,7 +79,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, domains
     score = F.array(*[F.lit(p) + F.coalesce(F.col(f"s{k}") * mean, F.lit(0.0)) for k, p in enumerate(prior)])
     raised = scored.select("key", "copies", (F.col("words") / F.col("copies")).cast("long").alias("tokens"), score.alias("s"))
     raised = raised.select("key", "copies", "tokens", F.expr("transform(s, x -> exp(x - array_max(s)))").alias("e"))
-    return materialise(raised.select("key", "copies", "tokens", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))").alias("p")), "posteriors")
+    return tables.result(raised.select("key", "copies", "tokens", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))").alias("p")), "posteriors")
 
 
 def fit_steps(soft: DataFrame, goal: list[float]) -> list[float]:

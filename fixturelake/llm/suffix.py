@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import Tables, ship, table
 from .shingles import mix
 
 WIDTH = 400
@@ -165,20 +165,21 @@ def _key() -> Column:
 def cut_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD, hot_bytes: int = HOT) -> DataFrame:
     """key, spans: the maximal byte ranges (a, b) to remove, of documents with any."""
     spark = docs.sparkSession
-    small_batches(spark, 200)
+    ship(spark)
+    tables = Tables(spark)
     gram = min(gram, max(1, width // 2))
     keyed = docs.select(_key().alias("key"), "text")
-    cut = materialise(keyed.mapInArrow(_segment_rows(width, gram), "anchor long, key long, s long, e long, double boolean, d1 long, d2 long"), "segments")
+    cut = tables.write(keyed.mapInArrow(_segment_rows(width, gram), "anchor long, key long, s long, e long, double boolean, d1 long, d2 long"), "segments")
     kinds = cut.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("times"), F.min(F.struct("key", "s", "e")).alias("one"), F.bool_or("double").alias("double"))
-    kinds = materialise(kinds, "kinds")
+    kinds = tables.write(kinds, "kinds")
     crowd = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.expr("one.e - one.s")).alias("bytes"), F.bool_or("double").alias("double"))
     # anchors whose segments have to be compared: of different content, or with the anchor twice in one
-    crowd = materialise(crowd.where("kinds > 1 OR double").select("anchor", "bytes"), "anchors")
+    crowd = tables.write(crowd.where("kinds > 1 OR double").select("anchor", "bytes"), "anchors")
     # segments of one content that is met twice are repeated whole
     met = kinds.join(crowd, "anchor").select("anchor", "d1", "d2", "one")
     wanted = met.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("anchor", "d1", "d2", F.col("one.s").alias("s"), F.col("one.e").alias("e"))).alias("wanted"))
     pieces = keyed.join(wanted, "key").select("text", "wanted").mapInArrow(_piece_rows, "anchor long, d1 long, d2 long, piece binary").dropDuplicates(["anchor", "d1", "d2"])
-    pieces = materialise(pieces.join(crowd, "anchor"), "pieces")
+    pieces = tables.write(pieces.join(crowd, "anchor"), "pieces")
     total = pieces.where(F.col("bytes") <= hot_bytes).agg(F.sum(F.length("piece"))).first()[0] or 0
     n_shards = max(1, -(-total // shard_bytes))
     shards = pieces.where(F.col("bytes") <= hot_bytes).select(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard"), "anchor", "d1", "d2", "piece")
@@ -190,14 +191,15 @@ def cut_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes
         twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
         flags = windows.join(twice, ["h1", "h2"]).groupBy("anchor", "d1", "d2").agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + width).alias("b")))).alias("spans"))
         found = found.unionByName(flags)
-    found = materialise(found.where("size(spans) > 0"), "found")
+    found = tables.write(found.where("size(spans) > 0"), "found")
     twins = kinds.where("times > 1").select("anchor", "d1", "d2", "times")
     marks = twins.join(found, ["anchor", "d1", "d2"], "full").select("anchor", "d1", "d2", F.when(F.col("times") > 1, F.lit(True)).otherwise(F.lit(False)).alias("all"), "spans")
+    marks = tables.write(marks, "marks")  # a plain table, so that a segment of very many documents can be split in the join
     shifted = F.when(F.col("all"), F.array(F.struct(F.col("s").alias("a"), F.col("e").alias("b")))).otherwise(F.transform("spans", lambda x: F.struct((x["a"] + F.col("s")).alias("a"), (x["b"] + F.col("s")).alias("b"))))
     ranges = cut.join(marks, ["anchor", "d1", "d2"]).select("key", F.explode(shifted).alias("r"))
     # a text's ranges in order; one opens a span if it starts past all before
     lists = ranges.distinct().groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("r"))
-    return lists.mapInArrow(_merge, f"key long, spans {spans_type}")
+    return tables.result(lists.mapInArrow(_merge, f"key long, spans {spans_type}"), "spans")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,6 +258,6 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    spans = materialise(cut_spans(docs), "spans")
+    spans = cut_spans(docs)
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key")).join(spans, "key", "left")
     return both.select("doc_id", "text", "spans").mapInArrow(_digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

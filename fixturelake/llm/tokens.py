@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import materialise, ship, table
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -138,7 +138,7 @@ def count_long(long_docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int
 def token_counts(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row."""
     path = path or vocabulary_path()
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     short = base.where(F.length("text") <= chunk).mapInArrow(_count_batches(path), "doc_id long, n_bytes long, n_tokens long")

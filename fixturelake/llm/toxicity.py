@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mark, materialise, release, small_batches, table
+from .common import Tables, ship, table
 
 #: Bound of the training sample, rows.
 TRAIN_ROWS = 30_000
@@ -63,7 +63,7 @@ def _train_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, str, int]] = set()
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             words = fold(text).split()
-            seen.update((w[:24], p[:24], toxic) for p, w in zip(["", *words], words, strict=False) if len(w) >= PREFIX[0])
+            seen.update((w, p, toxic) for p, w in zip(["", *words], words, strict=False) if len(w) >= PREFIX[0])
         rows = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["word", "before", "toxic"])
 
@@ -78,7 +78,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
     """Patterns and weights: `` start`` of a word, or `` before word`` as an exception with a negative weight."""
-    pairs = materialise(
+    tables = Tables(train.sparkSession)
+    pairs = tables.write(
         train.mapInArrow(_train_words, "word string, before string, toxic int").groupBy("word", "before").agg(F.max("toxic").alias("pos"), F.max(1 - F.col("toxic")).alias("neg")),
         "tox-pairs",
     )
@@ -108,6 +109,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
         start = train.sparkSession.createDataFrame([(t,) for t in sorted(kept)], "start string")
         clean = pairs.where("pos = 0 AND before != ''").select("before", "word", F.explode(F.transform(lengths, lambda n: F.substring("word", F.lit(1), n))).alias("start"))
         lexicon |= {f" {r['before']} {r['word']} ": -kept[r["start"]] for r in clean.join(start, "start").distinct().collect()}
+    tables.drop()
     return lexicon
 
 
@@ -160,9 +162,9 @@ def fit_curve(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[dict[str, float], float, float]:
     """The lexicon, and slope and offset of its score."""
-    small_batches(docs.sparkSession)
-    before = mark()
-    train = materialise(training_rows(docs, labels, bound), "tox-train")
+    ship(docs.sparkSession)
+    tables = Tables(docs.sparkSession)
+    train = tables.write(training_rows(docs, labels, bound), "tox-train")
     lexicon = learn_lexicon(train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +175,14 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[
     # equal strengths are counted together; at most about ``bound`` rows unless an id has many texts
     counted = train.mapInArrow(run, "x double, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n"))
     rows = sorted((r["x"], r["toxic"], r["n"]) for r in counted.collect())
-    release(docs.sparkSession, before)
+    tables.drop()
     return (lexicon, *fit_curve(rows))
 
 
 def toxicity_scores(docs: DataFrame, model: tuple[dict[str, float], float, float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     lexicon, slope, offset = model
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,7 +197,7 @@ def toxicity_scores(docs: DataFrame, model: tuple[dict[str, float], float, float
 def without_toxic(docs: DataFrame, model: tuple[dict[str, float], float, float], threshold: float = THRESHOLD) -> DataFrame:
     """docs whose score is below the threshold, all columns kept."""
     lexicon, slope, offset = model
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
