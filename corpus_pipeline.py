@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixturelake.llm.common import materialise, table
+from fixturelake.llm.common import materialise, table, text_key
 from fixturelake.llm.decontam import clean_documents
 from fixturelake.llm.jaccard import near_classes
 from fixturelake.llm.mixing import mixed
@@ -24,11 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest doc_id of each group of near-equal texts; of rows with equal id and text one."""
-    groups = near_classes(docs, WIDTH, SIMILARITY).where("component_id <=> doc_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = docs.join(groups.hint("merge"), (key == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    """The row of the smallest doc_id of each group of near-equal texts; of rows with equal id and text any one."""
+    first = near_classes(docs, WIDTH, SIMILARITY).where("key = first_key").select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", text_key()).dropDuplicates(["_key"]).join(first.hint("merge"), "_key", "left_semi").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
