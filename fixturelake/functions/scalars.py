@@ -105,9 +105,10 @@ def teams_match(a: Column, b: Column) -> Column:
 
 
 def opponent_of(home: Column, away: Column, team: Column, fuzzy: bool = False) -> Column:
-    """The other club of a match."""
-    own = teams_match(home, team) if fuzzy else home == team
-    return F.when(own, away).otherwise(home)
+    """The other club of a match; by similar names, both clubs where neither is the team."""
+    if not fuzzy:
+        return F.when(home == team, away).otherwise(home)
+    return F.when(teams_match(home, team), away).when(teams_match(away, team), home).otherwise(F.concat_ws("/", home, away))
 
 
 def window_label(day: Column) -> Column:
@@ -135,12 +136,14 @@ def odds_text(c: Column) -> Column:
     return F.when(c.isNotNull(), F.format_string("%.2f", c)).otherwise("-")
 
 
-def result_flags(result: Column, over_under: Column, both_score: Column) -> Column:
-    """Flags of one-letter result texts."""
-    return F.struct(
-        (result == "G").alias("win"), (result == "M").alias("loss"), (result == "B").alias("draw"),
-        F.contains(over_under, F.lit("Ü")).alias("over"), F.contains(over_under, F.lit("A")).alias("under"), F.contains(both_score, F.lit("KG")).alias("both_scored"),
-    )
+def result_flags(result: Column, over_under: Column, both_score: Column, place: Column) -> Column:
+    """Flags of the short result texts of a match; false for null."""
+    over = F.contains(over_under, F.lit("U")) | F.contains(over_under, F.lit("Ü"))
+    flags = {
+        "win": result == "G", "loss": result == "M", "draw": result == "B", "over": over, "under": F.contains(over_under, F.lit("A")) & ~F.contains(over_under, F.lit("U")),
+        "both_scored": both_score == "KG", "home": place == "home", "away": place == "away",
+    }
+    return F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])
 
 
 def truncate(c: Column, n: int) -> Column:
@@ -149,8 +152,8 @@ def truncate(c: Column, n: int) -> Column:
 
 
 def label_key(c: Column, fixed: dict[str, str]) -> Column:
-    """A label's key: a fixed one, else lower case with underscores."""
-    plain = F.regexp_replace(F.lower(trim(c)), r"\s+", "_")
+    """A label's key: a fixed one, else lower case with underscores for blanks and slashes."""
+    plain = F.regexp_replace(F.lower(trim(c)), "[ /]", "_")
     if not fixed:
         return plain
     table = F.create_map(*[F.lit(x) for kv in sorted(fixed.items()) for x in kv])

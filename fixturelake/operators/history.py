@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,30 +53,80 @@ def outcomes(df: DataFrame) -> DataFrame:
     })
 
 
+#: Odds columns that a group of the similarity join has at most: a match has a row for each set of known columns of a group.
+GROUP_COLUMNS = 4
+#: Stands for a column that a target does not know.
+ANY = -(1 << 62)
+
+
+def _groups(odds: list[str], low: float) -> list[list[str]]:
+    """Groups of columns so that a match with a share of ``low`` of the known columns near agrees in all known columns of a group.
+
+    Of k known columns under (1 - low) * k + 1 are missed. Groups of fewer than 1 / (1 - low) columns number more than that.
+    """
+    size = GROUP_COLUMNS if low >= 1 else max(1, min(GROUP_COLUMNS, ceil(1 / (1 - low) - 1e-9) - 1))
+    return [odds[k : k + size] for k in range(0, len(odds), size)]
+
+
+def near_pairs(targets: DataFrame, history: DataFrame, odds: list[str], tolerances: list[float], low: float, key: str = "match_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """target_id, the key and keep columns of history, known (columns), near (an array of counts, one a tolerance) of pairs with a share of ``low`` or more.
+
+    Values go to buckets of a logarithmic scale as wide as the largest tolerance, so that a target's range touches two. A pair
+    meets by an equality of buckets in all known columns of a group, and is kept in the first group that is near as a whole.
+    """
+    if max(tolerances) >= 1 or low <= 0:
+        raise ValueError("tolerances have to be below 1, where a missing value would be near, and thresholds above 0")
+    most = max(tolerances)
+    width = log((1 + most) / (1 - most)) + 1e-9
+    bucket = lambda c: F.floor(F.log(c) / width)
+    named = targets.select(F.col(key).alias("target_id"), *[known_odds(F.col(c)).alias(f"t_{c}") for c in odds])
+    rows = history.select(F.col(key), *keep, *[known_odds(F.col(c)).alias(c) for c in odds])
+    is_near = lambda c, tol: F.coalesce(F.try_divide(F.abs(F.col(c) - F.col(f"t_{c}")), F.col(f"t_{c}")) <= tol, F.lit(False))
+    known = sum((F.when(F.col(f"t_{c}") != 0, 1).otherwise(0) for c in odds), F.lit(0))
+    near = F.array(*[sum((F.when(is_near(c, tol), 1).otherwise(0) for c in odds), F.lit(0)) for tol in tolerances])
+    found: list[DataFrame] = []
+    before = F.lit(False)
+    for cols in _groups(odds, low):
+        left, right = named.where(reduce(Column.__or__, [F.col(f"t_{c}") > 0 for c in cols])), rows
+        for c in cols:
+            t = F.col(f"t_{c}")
+            left = left.withColumn(f"b_{c}", F.explode(F.when(t > 0, F.sequence(bucket(t * (1 - most) - 1e-12), bucket(t * (1 + most) + 1e-12))).otherwise(F.array(F.lit(ANY)))))
+            right = right.withColumn(f"b_{c}", F.explode(F.when(F.col(c) > 0, F.array(F.lit(ANY), bucket(F.col(c)))).otherwise(F.array(F.lit(ANY)))))
+        whole = reduce(Column.__and__, [(F.col(f"t_{c}") <= 0) | is_near(c, most) for c in cols])
+        some = reduce(Column.__or__, [F.col(f"t_{c}") > 0 for c in cols])
+        pairs = right.join(left, [f"b_{c}" for c in cols]).where((F.col(key) != F.col("target_id")) & whole & ~before)
+        found.append(pairs.select("target_id", key, *keep, known.alias("known"), near.alias("near"), *[F.col(f"t_{c}") for c in odds], *odds))
+        before = before | (some & whole)
+    every = reduce(DataFrame.unionByName, found)
+    return every.where(F.array_max("near") >= low * F.col("known") - 1e-9)
+
+
+def _cells(pairs: DataFrame, tolerances: list[float], thresholds: list[float], *cols: str) -> DataFrame:
+    """A row for each tolerance and threshold that a pair reaches."""
+    ratio = F.array(*[F.struct(F.lit(tol).alias("tolerance"), (F.col("near")[k] / F.col("known")).alias("ratio")) for k, tol in enumerate(tolerances)])
+    each = pairs.select(*cols, F.explode(F.filter(ratio, lambda x: x["ratio"] >= min(thresholds))).alias("x"))
+    cells = each.select(*cols, "x.tolerance", "x.ratio", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
+    return cells.where("ratio >= threshold")
+
+
 def similar_matches(targets: DataFrame, history: DataFrame, odds: list[str], tolerances: list[float], thresholds: list[float], key: str = "match_id") -> DataFrame:
     """target_id, match_id, tolerance, threshold, ratio of matches with enough odds near the target's.
 
     Of the target's known odds, the share whose relative difference is at most the tolerance; a missing value in the
-    history is a difference of one. The comparison has no equality to join on: history is read once against a broadcast of
-    the targets where they are few (checked), else in a nested loop over both. The ratio is worked out once for a tolerance.
+    history is a difference of one.
     """
-    named = targets.select(F.col(key).alias("target_id"), *[known_odds(F.col(c)).alias(f"t_{c}") for c in odds])
-    named = named.where(reduce(Column.__or__, [F.col(f"t_{c}") != 0 for c in odds]))
-    few = named.limit(FEW_TARGETS + 1).count() <= FEW_TARGETS
-    rows = history.select(F.col(key), *[known_odds(F.col(c)).alias(c) for c in odds])
-    joined = rows.join(F.broadcast(named) if few else named, F.col(key) != F.col("target_id"))
-    valid = sum((F.when(F.col(f"t_{c}") != 0, 1).otherwise(0) for c in odds), F.lit(0))
-    near = [sum((F.when((F.col(f"t_{c}") != 0) & (F.abs(F.col(c) - F.col(f"t_{c}")) / F.col(f"t_{c}") <= tol), 1).otherwise(0) for c in odds), F.lit(0)) for tol in tolerances]
-    low = min(thresholds)
-    ratios = F.array(*[F.struct(F.lit(tol).alias("tolerance"), (n / valid).alias("ratio")) for tol, n in zip(tolerances, near, strict=True)])
-    joined = joined.where(F.greatest(F.lit(0), *near) >= low * valid - 1e-9)  # most pairs go here, before arrays are built
-    each = joined.select("target_id", key, F.explode(F.filter(ratios, lambda x: x["ratio"] >= low)).alias("x"))
-    cells = each.select("target_id", key, "x.tolerance", "x.ratio", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
-    return cells.where("ratio >= threshold").select("target_id", key, "tolerance", "threshold", "ratio")
+    pairs = near_pairs(targets, history, odds, tolerances, min(thresholds), key)
+    return _cells(pairs, tolerances, thresholds, "target_id", key).select("target_id", key, "tolerance", "threshold", "ratio")
 
 
-#: Targets that are sent to every task; a target is some hundred numbers.
-FEW_TARGETS = 10_000
+def similar_counts(targets: DataFrame, history: DataFrame, odds: list[str], tolerances: list[float], thresholds: list[float], outcome: str, key: str = "match_id") -> DataFrame:
+    """target_id, tolerance, threshold, outcome, hits: the outcomes of similar matches, counted before thresholds are told apart.
+
+    ``outcome`` is a column of history. Pairs are counted by their shares, of which a target has as many as it has known columns.
+    """
+    pairs = near_pairs(targets, history, odds, tolerances, min(thresholds), key, (outcome,))
+    counted = pairs.groupBy("target_id", outcome, "known", "near").agg(F.count("*").alias("n"))
+    return _cells(counted, tolerances, thresholds, "target_id", outcome, "n").groupBy("target_id", "tolerance", "threshold", outcome).agg(F.sum("n").alias("hits"))
 
 
 def similarity_grid(similar: DataFrame) -> DataFrame:
@@ -98,7 +149,11 @@ def top_similar(similar: DataFrame, k: int = 10, key: str = "match_id") -> DataF
 
 def modal_outcome(df: DataFrame, groups: list[str], outcome: str) -> DataFrame:
     """The most frequent outcome of each group, its count, and its share in percent; ties go to the smallest label (A2)."""
-    counted = df.groupBy(*groups, outcome).agg(F.count("*").alias("hits"))
+    return modal_of_counts(df.groupBy(*groups, outcome).agg(F.count("*").alias("hits")), groups, outcome)
+
+
+def modal_of_counts(counted: DataFrame, groups: list[str], outcome: str) -> DataFrame:
+    """The same of outcomes that are counted already, in hits."""
     total = F.sum("hits").over(Window.partitionBy(*groups))
     first = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("hits"), outcome))
     out = counted.withColumns({"total": total, "at": first}).where("at = 1")
@@ -160,11 +215,27 @@ def accepted_results(rows: DataFrame, group: str, low: int = 1, high: int = 2) -
     return rows.withColumn("n", n).where(F.col("n").between(low, high)).drop("n")
 
 
-def score_filter_sets(filters: list[list[str]], targets: DataFrame, history: DataFrame, cap: int = 21, threshold: float = 0.8) -> DataFrame:
-    """filter_id, score: the targets for which each column set has a valid case (A10)."""
-    parts = []
-    for k, cols in enumerate(filters):
-        support = cohort_support(cohort_flags(cohort(targets, history, cols, cap=cap), targets), threshold)
-        good = support.where("valid_htft OR valid_score OR valid_side").agg(F.count("*").alias("score"))
-        parts.append(good.select(F.lit(k).alias("filter_id"), F.lit(",".join(cols)).alias("cols"), "score"))
-    return reduce(DataFrame.unionByName, parts)
+def score_filter_sets(filters: list[list[str]], targets: DataFrame, history: DataFrame, cap: int = 21, threshold: float = 0.8, key: str = "match_id", newest: str = "match_date") -> DataFrame:
+    """filter_id, cols, score: the targets for which each column set has a valid case (A10); all sets are one keyed join.
+
+    A row has a key for each filter: its number and its values in the filter's columns.
+    """
+    cols = sorted({c for f in filters for c in f})
+    keys = F.array(*[F.struct(F.lit(k).alias("filter_id"), F.array(*[known_odds(F.col(c)).cast("double") if c in f else F.lit(-1.0) for c in cols]).alias("values")) for k, f in enumerate(filters)])
+    of = lambda df, *more: df.select(*more, F.explode(keys).alias("k")).select(*more, "k.filter_id", "k.values")
+    right = of(outcomes(history), F.col(key), newest, "htft", "score", "side")
+    order = Window.partitionBy("filter_id", "values").orderBy(F.desc_nulls_first(newest), key)
+    right = right.withColumn("at", F.row_number().over(order)).where(F.col("at") <= cap + 1).drop("at")
+    left = of(outcomes(targets).select(F.col(key).alias("target_id"), *cols, *[F.col(c).alias(f"t_{c}") for c in ("htft", "score", "side")]), "target_id", "t_htft", "t_score", "t_side")
+    rows = right.join(left, ["filter_id", "values"]).where(F.col(key) != F.col("target_id"))
+    own = Window.partitionBy("filter_id", "target_id").orderBy(F.desc_nulls_first(newest), key)
+    rows = rows.withColumn("at", F.row_number().over(own)).where(F.col("at") <= cap)
+    share = rows.groupBy("filter_id", "target_id").agg(F.greatest(*[F.avg((F.col(c) == F.col(f"t_{c}")).cast("int")) for c in ("htft", "score", "side")]).alias("share"))
+    good = share.where(F.col("share") >= threshold).groupBy("filter_id").agg(F.count("*").alias("score"))
+    names = history.sparkSession.createDataFrame([(k, ",".join(f)) for k, f in enumerate(filters)], "filter_id int, cols string")
+    return F.broadcast(names).join(good, "filter_id", "left").select("filter_id", "cols", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+
+
+def score_summary(scores: DataFrame) -> DataFrame:
+    """best, mean: the largest and the mean score of a batch of filters (A10)."""
+    return scores.agg(F.max("score").alias("best"), F.avg("score").alias("mean"))

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from fixturelake.functions.scalars import FOLD_FROM, FOLD_TO, comeback, window_label
 
 SEASON = ["league", "team", "season"]
-# Words of competitions that are not a league.
-NOT_LEAGUE = "cup kupa kupasi friendly friendlies hazirlik play-off playoff super champions europa conference qualification u19 u21".split()
+# Words of competitions that are not a league, as one source of fixtures needs them, and as another does.
+NOT_LEAGUE = (
+    "kupa", "cup", "copa", "coppa", "pokal", "taça", "taca", "hazırlık", "hazirlik", "friendlies", "avrupa", "europe", "şampiyonlar ligi", "sampiyonlar ligi", "champions league", "uefa",
+    "konferans", "conference", "trophy", "shield", "dünya", "dunya", "world", "turnuva", "tournament", "recopa", "sudamericana", "libertadores",
+)
+NOT_MAIN = ("kupa", "cup", "hazirlik", "hazırlık", "playoff", "play-off", "süper kupa")
 
 
 def ordered(keys: list[str] = SEASON, by: str = "seq") -> Window:
@@ -55,11 +59,16 @@ def section_ids(rows: DataFrame, page: str, seq: str = "seq", is_header: str = "
 
 
 def main_competition(rows: DataFrame, mode: str = "exclude", name: str = "competition") -> DataFrame:
-    """Rows of the main league: by name, or the first section only."""
+    """Rows of the league: by name, with a long list of other competitions or a short one, or the first section only.
+
+    Letters are folded before, so that a capital I without dot counts as i; a row without a name is of no league.
+    """
     if mode == "first":
         return rows.where("section = 1")
+    words = {"exclude": NOT_LEAGUE, "short": NOT_MAIN}[mode]
     folded = F.lower(F.translate(F.col(name), FOLD_FROM, FOLD_TO))
-    return rows.where(~F.coalesce(folded, F.lit("")).rlike("|".join(NOT_LEAGUE)))
+    plain = sorted({w.translate(str.maketrans(FOLD_FROM, FOLD_TO)) for w in words})
+    return rows.where(~F.coalesce(folded.rlike("|".join(plain)), F.lit(True)))
 
 
 def match_status(score: Column, status: Column) -> Column:

@@ -70,6 +70,11 @@ def _similar(spark: SparkSession, d: str) -> DataFrame:
     return H.similar_matches(_targets(spark, d), history(spark, d), SEVEN, [0.1, 0.25], [0.8, 0.9, 1.0])
 
 
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    counted = H.similar_counts(_targets(spark, d), history(spark, d).withColumn("any", F.lit(1)), SEVEN, [0.1, 0.25], [0.8, 0.9, 1.0], "any")
+    return counted.select("target_id", "tolerance", "threshold", "hits")
+
+
 @query("similar_matches", f"{SIMILAR} SELECT * FROM sims")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d)
@@ -80,12 +85,12 @@ GRID = "grid AS (SELECT target_id, tolerance, threshold, count(*) AS hits FROM s
 
 @query("similarity_grid", f"{SIMILAR}, {GRID} SELECT * FROM grid")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return H.similarity_grid(_similar(spark, d))
+    return _grid(spark, d)
 
 
 @query("best_combination", f"{SIMILAR}, {GRID} SELECT target_id, tolerance, threshold, hits FROM grid QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY threshold DESC, tolerance) = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return H.best_combination(H.similarity_grid(_similar(spark, d)), [0.1, 0.25])
+    return H.best_combination(_grid(spark, d), [0.1, 0.25])
 
 
 @query("similar_top10", f"{SIMILAR} SELECT *, CAST(row_number() OVER (PARTITION BY target_id, tolerance, threshold ORDER BY ratio DESC, match_id) AS INT) AS rank FROM sims QUALIFY rank <= 10")
@@ -100,8 +105,8 @@ FROM counted QUALIFY row_number() OVER (PARTITION BY target_id, tolerance, thres
 
 @query("modal_outcome", f"{SIMILAR}, {MODE.format(o=OUTCOME)}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    scored = _similar(spark, d).join(H.outcomes(fixtures(spark, d)).select("match_id", "score"), "match_id")
-    return H.modal_outcome(scored, ["target_id", "tolerance", "threshold"], "score")
+    counted = H.similar_counts(_targets(spark, d), H.outcomes(history(spark, d)), SEVEN, [0.1, 0.25], [0.8, 0.9, 1.0], "score")
+    return H.modal_of_counts(counted, ["target_id", "tolerance", "threshold"], "score")
 
 
 @query("exact_filter", f"{BASE} SELECT match_id, match_date FROM hist WHERE o1 = 0.05 AND t1 = 0.02 ORDER BY match_date DESC, match_id LIMIT 5000")
