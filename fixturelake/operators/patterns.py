@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixturelake.functions.scalars import comeback, teams_match
+from fixturelake.functions.scalars import comeback, score_in, score_text, teams_match
 from fixturelake.operators.schedule import SEASON, active_round, first_unplayed, neighbours, opponents_around, ordered
 
 # How many opponents before and after a match a combination compares.
@@ -177,3 +177,39 @@ def repeated_outcomes(view: DataFrame, min_seasons: int = 3, transition: bool =
 def hit_summary(hits: DataFrame, *keys: str) -> DataFrame:
     """Hits of each key."""
     return hits.groupBy(*keys).agg(F.count("*").alias("hits"))
+
+
+def hit_report(hits: DataFrame, matches: DataFrame) -> DataFrame:
+    """league, team, season, line, match_id, found: a pattern's hits as lines in the order of team, season and match."""
+    said = F.concat_ws(" ", "home", score_text(F.col("ft_home"), F.col("ft_away")), "away")
+    named = hits.select("league", "team", "season", "match_id").distinct().join(matches.select("match_id", said.alias("found")), "match_id")
+    order = Window.partitionBy("league", "team").orderBy("season", "match_id")
+    return named.select("league", "team", "season", F.row_number().over(order).cast("int").alias("line"), "match_id", "found").orderBy("league", "team", "season", "line")
+
+
+def score_sequence(view: DataFrame, current: int) -> DataFrame:
+    """match_id, pattern: first unplayed matches of which a club's last two were 1-0 or 0-1 and then 2-1 or 1-2 (F8)."""
+    own = view.where(F.col("season") == current)
+    back = F.row_number().over(Window.partitionBy(*SEASON).orderBy(F.desc("seq")))
+    last = own.where("played").withColumns({"back": back, "said": F.concat_ws("-", "ft_home", "ft_away")}).where("back <= 2")
+    both = last.groupBy("league", "team").agg(*[F.max(F.when(F.col("back") == k, F.col("said"))).alias(f"last{k}") for k in (1, 2)])
+    right = both.where(score_in(F.col("last2"), "1-0", "0-1") & score_in(F.col("last1"), "2-1", "1-2"))
+    coming = first_unplayed(own).join(right, ["league", "team"])
+    return coming.select("match_id", F.when(F.col("team") == F.col("home"), "SEQUENCE_HOME").otherwise("SEQUENCE_AWAY").alias("pattern"))
+
+
+#: What a signal says.
+SIGNALS = {
+    "CROSS1": "next and previous opponents are crossed", "CROSS2": "opponents two matches away are crossed", "POOL_HOME": "the home club's past opponents are the away club's next ones",
+    "POOL_AWAY": "the away club's past opponents are the home club's next ones", "PERFECT_X": "crossed one and two matches away", "NETWORK": "a third club has just met both",
+    "SEQUENCE_HOME": "the home club's last two scores", "SEQUENCE_AWAY": "the away club's last two scores",
+}
+
+
+def signal_list(view: DataFrame, current: int) -> DataFrame:
+    """match_id, pattern, said: the signals of the running season's matches."""
+    own = view.where(F.col("season") == current)
+    network = triple_network(view, current).select("match_id", F.lit("NETWORK").alias("pattern"))
+    found = crossed_opponents(own).unionByName(network).unionByName(score_sequence(view, current)).distinct()
+    said = F.create_map(*[F.lit(x) for kv in SIGNALS.items() for x in kv])
+    return found.withColumn("said", F.try_element_at(said, F.col("pattern"))).orderBy("match_id", "pattern")

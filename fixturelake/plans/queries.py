@@ -14,7 +14,6 @@ from fixturelake.operators import refine as R
 from fixturelake.operators import schedule as C
 from fixturelake.plans.views import CURRENT_SEASON, ODDS, fixtures, history, odds_wide, read, team_view
 from fixturelake.sources import feeds as E
-from fixturelake.sources.html_rows import extract_html_rows
 from fixturelake.sources.sinks import match_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,11 +118,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return H.find_by_id(history(spark, d), [3, 503]).select("match_id", "home", "away")
 
 
-@query("valid_results", f"WITH {FIXTURES} SELECT league, count(*) AS n FROM fixtures WHERE ft_home IS NOT NULL GROUP BY league")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return H.valid_results(fixtures(spark, d)).groupBy("league").agg(F.count("*").alias("n"))
-
-
 @query("with_odds", f"{BASE} SELECT league, count(*) AS n FROM hist WHERE coalesce(o1, 0) <> 0 OR coalesce(o2, 0) <> 0 GROUP BY league")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return H.with_odds(history(spark, d), ["o1", "o2"]).groupBy("league").agg(F.count("*").alias("n"))
@@ -219,7 +213,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mine_filter_sets")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.mine_filter_sets(_targets(spark, d), history(spark, d), ["o1", "o2", "t1", "t2"], max_size=2, beam=2)
+    return R.mine_filter_sets(_targets(spark, d), history(spark, d), ODDS, max_size=5, beam=3)
 
 
 def _refine_sql(defaults: list[str], extras: list[str]) -> str:
@@ -457,14 +451,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return P.attach_odds(fixtures(spark, d), odds_wide(spark, d)).select("match_id", "o1", "t1")
 
 
-@query("fuzzy_names", "SELECT s_suppkey, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS folded, TRUE AS same, TRUE AS contained, FALSE AS other FROM supplier")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    name = F.col("s_name")
-    return read(spark, d, "supplier").select(
-        "s_suppkey", S.normalize_name(name).alias("folded"), S.teams_match(name, F.upper(F.replace(name, F.lit("#"), F.lit(" - ")))).alias("same"), S.teams_match(name, F.concat(name, F.lit(" FC"))).alias("contained"), S.teams_match(name, F.lit("?!")).alias("other")
-    )
-
-
 def _dash(*cols: str) -> Column:
     return F.concat_ws("-", *cols)
 
@@ -485,7 +471,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     odds = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("o1", "o2", "o3")]
     feed = F.concat(F.lit("3¬9¬9¬9~16¬x¬1¬1~"), F.concat_ws("¬", F.lit("16"), *odds))
-    return E.parse_1x2_feed(odds_wide(spark, d).where("o1 IS NOT NULL AND o2 IS NOT NULL").select("match_id", feed.alias("feed")), "feed").drop("feed")
+    return E.parse_1x2_feed(odds_wide(spark, d).where("o1 IS NOT NULL AND o2 IS NOT NULL").select("match_id", feed.alias("feed")), "feed", "own").drop("feed")
 
 
 def _odds_json() -> Column:
@@ -516,11 +502,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _odds_long(spark, d)
 
 
-@query("odds_report_wide", f"{JSON_SQL} SELECT match_id, " + ", ".join(f"""max(CASE WHEN odds_key = '{k}' THEN odds END) AS "{c}" """ for c, k in ODDS_KEYS.items()) + " FROM j GROUP BY match_id")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return E.odds_report(_odds_long(spark, d), ["match_id"], list(ODDS_KEYS.values())).withColumnsRenamed({k: c for c, k in ODDS_KEYS.items()})
-
-
 @query("schedule_json", f"WITH {FIXTURES} SELECT league, season, round, home AS home_id, away AS away_id, CASE WHEN played THEN CAST(ft_home AS VARCHAR) || '-' || CAST(ft_away AS VARCHAR) END AS ft, postponed, count(*) AS n FROM fixtures GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     row = F.format_string('[%d,0,"%s","",%d,%d,"%s",""]', F.col("match_id"), F.when(F.col("postponed"), "Postp.").otherwise("1"), F.col("home"), F.col("away"), F.when(F.col("played"), _dash("ft_home", "ft_away")).otherwise(""))
@@ -542,17 +523,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return E.extract_ids(read(spark, d, "pages"), "page_id", "html", r"track\(([0-9]+)\)")
 
 
-@query("dynamic_columns", """SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    events = read(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    return E.dynamic_columns(events, "event_id", "m", ["k"])[0].select("event_id", "k")
-
-
-@query("html_tables")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return extract_html_rows(read(spark, d, "pages"), "links").select("page_id", "seq", "kind", "href", "cells")
-
-
 @query("export_relations", f"""{BASE} SELECT match_id, CASE WHEN played THEN CAST(ft_home AS VARCHAR) || ' - ' || CAST(ft_away AS VARCHAR) ELSE '-' END AS score, CASE WHEN NOT played THEN 'PENDING' WHEN ft_home > ft_away THEN 'HOME' WHEN ft_home < ft_away THEN 'AWAY' ELSE 'DRAW' END AS winner,
 coalesce(printf('%.2f', o1), '-') AS odd_home_text FROM fixtures LEFT JOIN odds_wide USING (match_id)""")
 def _(spark: SparkSession, d: str) -> DataFrame:

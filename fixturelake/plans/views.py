@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fixturelake.operators.history import load_history
+
 #: The running season, and the first day that has not been played.
 CURRENT_SEASON = 2001
 TODAY = "2001-06-01"
@@ -53,4 +55,5 @@ def odds_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Played matches with their odds."""
-    return fixtures(spark, sf_dir).where("played").join(odds_wide(spark, sf_dir), "match_id")
+    played = fixtures(spark, sf_dir).where("played").join(odds_wide(spark, sf_dir), "match_id")
+    return load_history(played, ODDS, [c for c in played.columns if c not in ODDS])

@@ -14,16 +14,26 @@ ODDS_JSON = """struct<data:struct<findOddsByEventId:struct<odds:array<struct<boo
 
 
 def read_odds_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The odds history of a ``;`` file: two heading lines, decimal commas, short rows padded with null."""
+    """The odds history of ``;`` files: two heading lines each, decimal commas, short rows padded with null."""
     names = [*HISTORY_TEXT, *[c["name"] for c in odds_columns()], "country_league", "date_time"]
-    # headings are the first two lines of a file: lines are numbered by their place in it
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).where("at >= 2 AND trim(line) <> ''")
-    cells = lines.select(F.split("line", ";").alias("c"))
+    cells = without_headings(spark.read.text(path)).select(F.split("value", ";").alias("c"))
     text = {n: F.nullif(trim(F.get("c", F.lit(k))), F.lit("")) for k, n in enumerate(names)}
     number = {n: F.translate(c, ",", ".").try_cast("double") for n, c in text.items()}
     return cells.select(*[(text if n in HISTORY_TEXT or n in names[-2:] else number)[n].alias(n) for n in names])
 
 
+def without_headings(lines: DataFrame, n: int = 2) -> DataFrame:
+    """The lines of text files but the first n of each file and blank ones.
+
+    Files are read in splits. Lines are numbered as they are read; the headings are the least numbers of a file's first
+    split, one row a file.
+    """
+    placed = lines.select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    first = placed.groupBy("file").agg(F.min(F.when(F.col("block") == 0, F.col("at"))).alias("at")).where("at IS NOT NULL")
+    heads = first.select(F.explode(F.sequence(F.col("at"), F.col("at") + (n - 1))).alias("at")).distinct()
+    return placed.join(F.broadcast(heads), "at", "left_anti").where("trim(value) <> ''").select("value")
+
+
 def parse_odds_json(df: DataFrame, key: str, col: str, bookmaker_id: int = 16, thresholds: list[float] | None = None, scores: list[str] | None = None, markets: list[str] | None = None) -> DataFrame:
     """key, odds_key, odds of one bookmaker (S4); of an odds key that comes twice the later counts."""
     entries = df.select(key, F.from_json(col, ODDS_JSON)["data"]["findOddsByEventId"]["odds"].alias("es"))
@@ -91,8 +101,8 @@ def parse_match_feed(df: DataFrame, col: str) -> DataFrame:
     return out.where("home IS NOT NULL AND away IS NOT NULL").drop("_f")
 
 
-def parse_1x2_feed(df: DataFrame, col: str, bookmaker: str = "16", name: str = "bet365") -> DataFrame:
-    """df with odd_home, odd_draw, odd_away of the first entry of the bookmaker that has three numbers."""
+def parse_1x2_feed(df: DataFrame, col: str, name: str, bookmaker: str = "16") -> DataFrame:
+    """df with odd_home, odd_draw, odd_away of the first entry of the bookmaker, by id or a part of its name, that has three numbers."""
     entries = F.transform(F.split(F.col(col), "~"), lambda s: F.split(s, "¬"))
 
     def number(e: Column, k: int) -> Column:
@@ -169,13 +179,19 @@ def season_range(label: str, n: int) -> list[str]:
     return [str(int(label) - k) for k in range(n)]
 
 
+def seasons_back(label: Column, n: int) -> Column:
+    """The same for a column of labels, as an array."""
+    parts = F.split(label, "[-/]")
+    first, second = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
+    back = F.sequence(F.lit(0), F.lit(n - 1))
+    return F.when(F.contains(label, F.lit("-")), F.transform(back, lambda k: F.concat_ws("-", first - k, second - k))).when(
+        F.contains(label, F.lit("/")), F.transform(back, lambda k: F.concat_ws("/", first - k, F.lpad(F.pmod(second - k, F.lit(100)).cast("string"), 2, "0")))
+    ).otherwise(F.transform(back, lambda k: (first - k).cast("string")))
+
+
 def odds_report(long: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
     """One row a match with a column an odds key, ``-`` for missing ones; matches without odds have no row."""
     names = names or [c["key"] for c in odds_columns()]
     wide = long.where(F.col("odds_key").isin(names)).groupBy(*keys).pivot("odds_key", names).agg(F.first("odds"))
     return wide.select(*keys, *[F.coalesce(F.col(f"`{n}`"), F.lit("-")).alias(n) for n in names])
 
-
-def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_at = 1").drop("_at")

@@ -1,90 +1,140 @@
-"""Rows of HTML pages: fixture, result, form and week tables, and listing cards, as one job with five layouts."""
+"""Rows of HTML pages: fixture, result, form and week tables, and listing cards, as one job with several layouts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixturelake.functions.scalars import label_key
 from fixturelake.operators.schedule import section_ids
 
-#: A layout: the tag and class of a row, of its cells, and of a heading row.
+#: A layout: the tag and class (or beginning of the id) of a row, the tag of its cells, and the class of a heading row.
 LAYOUTS = {
-    "fixture": {"row": ("tr", None), "cell": ("td", None), "header": "competition"},
-    "results": {"row": ("div", "event__match"), "cell": ("div", None), "header": "event__header"},
-    "form": {"row": ("tr", "row"), "cell": ("td", None), "header": "competition"},
-    "week": {"row": ("tr", "alt"), "cell": ("td", None), "header": "week"},
-    "listing": {"row": ("div", "product"), "cell": ("div", None), "header": "products-title"},
-    "links": {"row": ("li", None), "cell": ("a", None), "header": "-"},
+    "fixture": {"row": ("tr", None), "cell": "td", "header": "competition"},
+    "results": {"row": ("div", "#g_1_"), "cell": "div", "header": "event__header"},
+    "form": {"row": ("tr", "row"), "cell": "td", "header": "competition"},
+    "week": {"row": ("tr", "alt"), "cell": "td", "header": "week"},
+    "listing": {"row": ("div", "product"), "cell": "div", "header": "products-title"},
+    "links": {"row": ("li", None), "cell": "a", "header": "-"},
 }
-_SCHEMA = "page_id long, seq int, kind string, href string, cells array<string>"
+# Elements that end an open one of the same kind, up to the holder around it.
+_IMPLIED = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "li": {"li"}}
+_HOLDERS = frozenset({"table", "ul", "ol"})
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_PARTS = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
+_FIELDS = [("page_id", pa.int64()), ("seq", pa.int32()), ("kind", pa.string()), ("row_id", pa.string()), ("href", pa.string()), ("cells", pa.list_(pa.string())), ("parts", _PARTS)]
+_SCHEMA = "page_id long, seq int, kind string, row_id string, href string, cells array<string>, parts array<struct<path:string,text:string>>"
 
 
 class _Rows(HTMLParser):
-    """Collects (kind, first link, cells) of the rows of a layout."""
+    """Collects (kind, id, first link, cells, parts) of the rows of a layout; parts are all elements of a row with the classes above them."""
 
     def __init__(self, layout: dict) -> None:
         super().__init__()
-        self.layout, self.rows, self.cells, self.depth, self.open, self.href, self.kind = layout, [], [], 0, None, None, None
+        self.layout, self.rows, self.row, self.stack = layout, [], None, []
+
+    def _starts(self, tag: str, have: dict, classes: list[str]) -> str | None:
+        name, named = self.layout["row"]
+        if self.layout["header"] in classes and tag == name:
+            return "header"
+        if tag != name or (named and not ((have.get("id") or "").startswith(named[1:]) if named[0] == "#" else named in classes)):
+            return None
+        return "row"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         have = dict(attrs)
         classes = (have.get("class") or "").split()
-        row, named = self.layout["row"]
-        heading = self.layout["header"] in classes
-        if tag == row and self.kind is None and (named is None or named in classes or heading):
-            self.kind, self.cells, self.href, self.depth = "header" if heading else "row", [], None, 1
-            self.open = 0 if heading else None
-            if heading:
-                self.cells = [""]
+        for k in range(len(self.stack) - 1, -1, -1) if tag in _IMPLIED else ():
+            if self.stack[k][0] in _HOLDERS:
+                break
+            if self.stack[k][0] in _IMPLIED[tag]:
+                del self.stack[k:]
+                if not self.stack:
+                    self.finish()
+                break
+        if self.row is None:
+            kind = self._starts(tag, have, classes)
+            if kind:
+                self.row = {"kind": kind, "id": have.get("id"), "href": None, "cells": [], "parts": []}
+                self.stack = [(tag, None, None)]
+                if kind == "header":
+                    self.row["cells"].append([])
+                    self.stack = [(tag, 0, None)]
             return
-        if self.kind is None:
+        if tag == "a" and self.row["href"] is None:
+            self.row["href"] = have.get("href")
+        if tag in _VOID:
             return
-        self.depth += tag == row
-        if tag == "a" and self.href is None:
-            self.href = have.get("href")
-        if tag == self.layout["cell"][0] and self.kind == "row":
-            self.cells.append("")
-            self.open = len(self.cells) - 1
+        path = "/".join([*[self.row["parts"][k][0].rpartition("/")[2] for _, _, k in self.stack if k is not None], ".".join([tag, *classes]).replace("/", "_")])
+        self.row["parts"].append((path, []))
+        cell = None
+        # the cells of a row nested in a cell belong to the cell
+        if self.row["kind"] == "row" and tag == self.layout["cell"] and all(c is None for _, c, _ in self.stack):
+            self.row["cells"].append([])
+            cell = len(self.row["cells"]) - 1
+        self.stack.append((tag, cell, len(self.row["parts"]) - 1))
 
     def handle_endtag(self, tag: str) -> None:
-        if self.kind and tag == self.layout["cell"][0] and self.kind == "row" and tag != self.layout["row"][0]:
-            self.open = None
-        if self.kind and tag == self.layout["row"][0]:
-            self.depth -= 1
-            if not self.depth:
-                self.rows.append((self.kind, self.href, [" ".join(c.split()) for c in self.cells]))
-                self.kind = self.open = None
+        if self.row is None or tag not in [t for t, _, _ in self.stack]:
+            return
+        while self.stack.pop()[0] != tag:
+            pass
+        if not self.stack:
+            self.finish()
+
+    def finish(self) -> None:
+        if self.row is not None:
+            text = lambda words: " ".join("".join(words).split())
+            parts = [{"path": p, "text": text(w)} for p, w in self.row["parts"]]
+            self.rows.append((self.row["kind"], self.row["id"], self.row["href"], [text(c) for c in self.row["cells"]], parts))
+            self.row, self.stack = None, []
 
     def handle_data(self, data: str) -> None:
-        if self.open is not None:
-            self.cells[self.open] += data
+        for _, cell, part in self.stack:
+            if cell is not None:
+                self.row["cells"][cell].append(data)
+            if part is not None:
+                self.row["parts"][part][1].append(data)
 
 
 def extract_html_rows(pages: DataFrame, layout: str, page_id: str = "page_id", col: str = "html") -> DataFrame:
-    """page_id, seq, kind (row or header), href, cells of the rows of each page."""
+    """page_id, seq, kind (row or header), row_id, href, cells, parts of the rows of each page."""
     plan = LAYOUTS[layout]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for page, text in zip(b["page_id"], b["html"], strict=True):
+            out: list[list] = [[] for _ in _FIELDS]
+            for page, text in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
                 parser = _Rows(plan)
                 parser.feed(text or "")
-                out += [(page, k, *r) for k, r in enumerate(parser.rows)]
-            yield pd.DataFrame(out, columns=["page_id", "seq", "kind", "href", "cells"])
+                parser.close()
+                parser.finish()
+                for k, row in enumerate(parser.rows):
+                    for c, v in zip(out, (page, k, *row), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
 
-    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(col).alias("html")).mapInPandas(run, _SCHEMA)
+    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(col).alias("html")).mapInArrow(run, _SCHEMA)
 
 
-def _cell(k: int):
+def _cell(k: int) -> Column:
     return F.get("cells", F.lit(k))
 
 
+def _text_at(*paths: str) -> Column:
+    """The text of a row's elements whose path fits the first pattern that finds any text."""
+    found = [F.array_join(F.transform(F.filter("parts", _fits(p)), lambda x: x["text"]), " ") for p in paths]
+    return F.coalesce(*[F.nullif(F.trim(f), F.lit("")) for f in found])
+
+
+def _fits(path: str):
+    return lambda x: x["path"].rlike(path) & (x["text"] != "")
+
+
 def parse_fixture_html(pages: DataFrame) -> DataFrame:
     """Fixtures of a season page with their section and competition: date, home, score, away and half time in cells 1, 3, 5, 7 and 9."""
     rows = section_ids(extract_html_rows(pages, "fixture").withColumn("is_header", F.col("kind") == "header"), "page_id")
@@ -94,11 +144,23 @@ def parse_fixture_html(pages: DataFrame) -> DataFrame:
 
 
 def parse_results_html(pages: DataFrame) -> DataFrame:
-    """Results: full time only if both scores are there."""
-    rows = extract_html_rows(pages, "results").where("kind = 'row'")
-    score = [_cell(k).try_cast("int") for k in (3, 4)]
+    """Results with the id after ``g_1_``: clubs by the first place that names them, full time only if both scores are there."""
+    rows = extract_html_rows(pages, "results").where("kind = 'row'").withColumn("match", F.substring("row_id", 5, 1_000_000)).where("match <> ''")
+
+    def club(side: str) -> Column:
+        own, other = rf"event__participant--{side}(?![^./])", f"{side[0].upper()}{side[1:]}Team"
+        return _text_at(
+            rf"{own}.*/.*\.participant__participantName(?![^./])", rf"{own}.*/a[^/]*$", rf"{other}.*/[^/]*participantName[^/]*$", rf"{side}Team.*/[^/]*name[^/]*$",
+            rf"{own}.*/.*\.event__participantName(?![^./])", rf"{own}.*/span[^/]*$", rf"{own}[^/]*$",
+        )
+
+    named = F.array_distinct(F.transform(F.filter("parts", _fits(r"participant[^/]*$")), lambda x: x["text"]))
+    score = [_text_at(rf"\.event__score--{s}(?![^./])[^/]*$").try_cast("int") for s in ("home", "away")]
     both = score[0].isNotNull() & score[1].isNotNull()
-    return rows.select("page_id", "seq", _cell(0).alias("time"), _cell(1).alias("home"), _cell(2).alias("away"), *[F.when(both, s).alias(n) for s, n in zip(score, ("home_score", "away_score"), strict=True)])
+    return rows.select(
+        "page_id", "seq", F.col("match").alias("id"), _text_at(r"\.event__time(?![^./])[^/]*$").alias("time"), F.coalesce(club("home"), F.get(named, F.lit(0))).alias("home"),
+        F.coalesce(club("away"), F.get(named, F.lit(1))).alias("away"), *[F.when(both, s).alias(n) for s, n in zip(score, ("home_score", "away_score"), strict=True)],
+    )
 
 
 def parse_form_html(pages: DataFrame) -> DataFrame:
@@ -121,4 +183,6 @@ def extract_listing(pages: DataFrame, labels: dict[str, str], skip: list[str]) -
     long = rows.select("page_id", "seq", F.explode(pairs).alias("p")).where("p.k IS NOT NULL AND p.v IS NOT NULL")
     keyed = long.select("page_id", "seq", label_key(F.col("p.k"), labels).alias("k"), F.col("p.v").alias("v"))
     kept = keyed.where(~F.col("k").isin(skip)) if skip else keyed
-    return kept.groupBy("page_id", "seq").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("k", "v")))).alias("fields"))
+    # of a label that comes twice the value that sorts last
+    each = kept.groupBy("page_id", "seq", "k").agg(F.max("v").alias("v"))
+    return each.groupBy("page_id", "seq").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("fields"))

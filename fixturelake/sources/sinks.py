@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixturelake.functions.scalars import local_time, odds_text, score_text, winner
@@ -29,3 +32,13 @@ def export_relations(frames: dict[str, DataFrame], path: str, form: str = "parqu
     """Each table in a folder of its name."""
     for name, df in frames.items():
         df.write.mode("overwrite").format(form).save(f"{path}/{name}")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name that driver and executors share; below a temporary one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -99,8 +99,10 @@ def test_html_layouts(spark):
     assert [(r.completed, r.match_id) for r in W.parse_form_html(form).collect()] == [(True, "1234567")]
     week = spark.createDataFrame([(1, '<tr class="alt"><td>d</td><td>MS</td><td>A</td><td>1-0</td><td>B</td><td></td></tr><tr class="alt"><td>d</td><td>ERT</td><td>A</td><td>1-0</td><td>B</td></tr>')], "page_id long, html string")
     assert [(r.finished, r.ht) for r in W.parse_week_html(week).collect()] == [(True, "?-?")]
-    results = spark.createDataFrame([(1, '<div class="event__match"><div>t</div><div>A</div><div>B</div><div>1</div><div></div></div>')], "page_id long, html string")
-    assert [(r.home, r.home_score) for r in W.parse_results_html(results).collect()] == [("A", None)]
+    row = '<div id="g_1_{0}"><div class="event__time">t</div>{1}<div class="event__score--home">1</div><div class="event__score--away">{2}</div></div>'
+    named = '<div class="event__participant--home">A <b>x</b></div><div class="event__participant--away"><a>B</a></div>'
+    results = spark.createDataFrame([(1, row.format("k1", named, "") + row.format("k2", "<p class=participantX>C</p><p class=participantY>D</p>", "2") + row.format("", named, "1"))], "page_id long, html string")
+    assert [(r.id, r.time, r.home, r.away, r.home_score, r.away_score) for r in W.parse_results_html(results).orderBy("seq").collect()] == [("k1", "t", "A x", "B", None, None), ("k2", "t", "C", "D", 1, 2)]
     cards = spark.createDataFrame([(1, '<div class="product"><div>Year</div><div>2020</div><div>Views</div><div>9</div></div>')], "page_id long, html string")
     assert [r.fields for r in W.extract_listing(cards, {"Year": "year"}, ["views"]).collect()] == [{"year": "2020"}]
 
@@ -122,7 +124,7 @@ def test_bad_feeds_are_null(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "AC÷2nd Half¬IG÷x¬IH÷1"), (4, "{")], "id long, f string")
     assert [(r.ht, r.ft) for r in E.parse_half_scores(df, "f").orderBy("id").collect()] == [(None, None), (None, None), (None, "x-1"), (None, None)]
     assert E.parse_match_feed(df, "f").count() == 0
-    assert [r.odd_home for r in E.parse_1x2_feed(df, "f").collect()] == [None] * 4
+    assert [r.odd_home for r in E.parse_1x2_feed(df, "f", "own").collect()] == [None] * 4
     assert E.parse_odds_json(df, "id", "f").count() == 0
     assert E.parse_schedule_json(df, "id", "f").count() == 0
 
