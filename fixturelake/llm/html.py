@@ -7,13 +7,15 @@ classes that repeat (paragraphs, list items) nest in the skeleton token that is
 slot of its nearest skeleton token. Vectors are compared by the exclusive or of a hash of (page, count), so they
 are aggregated like sums and no host's pages are ever gathered in one task.
 
-The slots of a host are then told apart: menus, page headers, footers, sidebars, notices, adverts, forms and reader
-comments by their element or naming, slots of mere links by their link share, and fixed slots outside an article by text that is
-equal on all of five or more different pages; copies of a page count once. What is left under the article's slot is extracted from every page, in page order. A page that lacks its
-host's main slot is decided by its own slots.
-
-Null or empty html gives an empty text. A null url counts as a host of its own. Repeated rows give repeated
-results; an empty table gives none. Extra columns are ignored.
+The slots of a host are then told apart. By the template: fixed slots outside an article have text that is equal on all of five or more
+different pages; copies of a page count once. By structure: elements for menus, footers, sidebars and forms, roles, and slots
+of mere links by their link share. By names last, and only where a whole class name or id speaks of nothing else: menus, page headers,
+footers, sidebars, notices, adverts and reader comments. What is left under the article's slot is extracted from every
+page, in page order. A page that lacks its host's main slot is decided by its own slots; one without elements is all text.
+
+Null or empty html gives an empty text. A null url counts as a host of its own; null ids are kept. Repeated rows give repeated
+results; an empty table gives none. Of slots with equal text the innermost is the article. Very long pages are parsed in one pass, each
+alone. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,24 +37,33 @@ LINK_SHARE = 0.6
 # HTML element names by role.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("script style noscript template svg iframe textarea select button head title object canvas video audio math map option datalist dialog".split())
+_DROPPED = frozenset("script style noscript template svg iframe textarea select button head title object canvas video audio map option datalist dialog".split())
 _BOILER_TAGS = frozenset("nav footer aside form menu fieldset".split())
 _CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul figure details".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDERS = frozenset("ul ol dl table tbody thead div section article main body html".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_BOILER_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|sidebar|side|aside|widgets?|adverts?|advertisements?|ads?|adsense|banners?|promos?|promotion|sponsor(?:ed)?|cookies?|consent"
-    r"|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|sign-?up|log-?in|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|reply|replies|respond|disqus"
-    r"|discussion|pagination|pager|toolbar|masthead|copyright|legal|disclaimer|alerts?|skip|tags|byline)(?![a-z])"
+# Words of class names and ids for what is not the article, and words that say nothing about it.
+_BOILER_WORDS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar side aside widget widgets advert adverts advertisement advertisements ad ads adsense banner banners promo promos promotion sponsor"
+    " sponsored cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommend recommended recommendations"
+    " comment comments commentlist reply replies respond disqus pagination pager toolbar masthead copyright legal disclaimer alert alerts skip".split()
+)
+_NEUTRAL_WORDS = frozenset(
+    "section block box list area wrapper wrap container inner outer top bottom left right center main primary secondary global site page post posts article articles entry content body text title heading"
+    " header head button buttons btn bar link links icon icons item items group form forms user users reader readers panel thread row col column grid media more read also like you may by policy message"
+    " js wp tpl the of for and on in sign log up us this slot unit image img native wide narrow small large mobile desktop sticky fixed floating inline default".split()
 )
 _HEADER_WORDS = re.compile(r"(?:^|[^a-z])(?:site-?header|page-?header|top-?bar|header)(?![a-z])")
 _MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|content|main|body-?text|article-?body|post-?content)(?![a-z])")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
+# a quote opens a value only after "=", and only where it is closed before the tag ends or in front of what may follow a value
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"<>]*\"|=\s*'[^'<>]*'|=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 _ARTICLE = re.compile(r"/(?:article|main)(?![a-z0-9-])|@main(?![a-z0-9-])")
 _SPACE = re.compile(r"\s+")
+_BELOW_PAGE = re.compile(r"/(?!(?:html|body)(?:[^a-z/][^/]*)?(?:/|$))")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW = frozenset("script style textarea title noscript iframe".split())
 
 
@@ -60,15 +71,25 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if "=" in text else {}
 
 
+def named_boilerplate(named: str) -> bool:
+    """Whether one of the class names or ids is about boilerplate and nothing else: ``share-buttons`` is, ``share-price`` is not."""
+    for token in _CAMEL.sub("-", named).lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", token) if len(p) > 1]
+        if not _BOILER_WORDS.isdisjoint(parts) and all(p in _BOILER_WORDS or p in _NEUTRAL_WORDS for p in parts):
+            return True
+    return False
+
+
 def _part(tag: str, attrs: dict[str, str]) -> tuple[str, bool]:
     """The element in a path, and whether it is boilerplate by element or naming."""
-    named = " ".join(filter(None, (attrs.get("class"), attrs.get("id")))).lower()
+    said = " ".join(filter(None, (attrs.get("class"), attrs.get("id"))))
+    named = said.lower()
     role = attrs.get("role", "").lower()
     part = tag + ("." + re.sub(r"\d+", "0", ".".join(named.split())) if named else "") + (f"@{role}" if role else "")
     hidden = re.search(r"display\s*:\s*none", attrs.get("style", ""))
     boiler = tag in _BOILER_TAGS or role in _BOILER_ROLES or bool(hidden) or attrs.get("aria-hidden") == "true"
     if named and not boiler and tag not in ("html", "body", "main", "article"):
-        boiler = bool(_BOILER_WORDS.search(named))
+        boiler = named_boilerplate(said)
     return part, boiler
 
 
@@ -226,12 +247,18 @@ def main_text(found: list[tuple[str, bool, str, int]], skeleton: set[str], main:
     if main is None or main not in own:
         main = choose_main(page_slots(found, own))
     if main is None:
-        return ""
+        # nothing but text without elements, or right below the page's
+        return " ".join(text for path, boiler, text, links in found if text and not boiler and links <= LINK_SHARE * len(text) and not _BELOW_PAGE.search(path))
     sub = len(main.split("/"))
+    bare = re.match(r"(html|body)(\W|$)", main.rpartition("/")[2])  # of the whole page: its header is no part of the article
     return " ".join(
         text
         for path, boiler, text, _ in found
-        if text and not boiler and (path == main or path.startswith(main + "/")) and not (len(path.split("/")) > sub and _slot(path, skeleton) in fixed and _slot(path, skeleton) != main)
+        if text
+        and not boiler
+        and (path == main or path.startswith(main + "/"))
+        and not (len(path.split("/")) > sub and _slot(path, skeleton) in fixed and _slot(path, skeleton) != main)
+        and not (bare and _header_like(path))
     )
 
 
