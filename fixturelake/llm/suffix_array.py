@@ -1,11 +1,15 @@
-"""Suffix arrays by induced sorting, with numpy over whole buckets, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, recursively, and permuted common prefixes.
+
+Bytes have few and large buckets, which numpy fills whole; names of substrings have many and small ones, and long runs of one
+symbol take one step a place, so that these are filled place by place. Both are the same linear scans.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are induced bucket by bucket; larger ones (names of substrings) are ranked by doubling.
-BUCKETS = 600
+#: Alphabets up to this size, without runs of a symbol longer than this, are induced bucket by bucket; others place by place.
+BUCKETS, RUN = 600, 2_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -69,23 +73,40 @@ def induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.nd
     return sa
 
 
-def by_doubling(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of at least their first ``depth`` symbols."""
-    n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    sa, width = np.argsort(rank, kind="stable"), 1
-    while width < depth:
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] + 1
-        key = rank * (n + 2) + after
-        sa = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[sa][1:] != key[sa][:-1])))
-        rank = np.empty(n, np.int64)
-        rank[sa] = new
-        width *= 2
-        if new[-1] == n - 1:
-            break
-    return sa
+def induce_places(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """The same place by place, for many buckets or long runs."""
+    count = np.bincount(s, minlength=k)
+    ends = np.cumsum(count)
+    head, tail = (ends - count).tolist(), (ends - 1).tolist()
+    text, is_small, n = s.tolist(), small.tolist(), len(s)
+    sa = [-1] * n
+    for j in seeds[::-1].tolist():
+        c = text[j]
+        sa[tail[c]] = j
+        tail[c] -= 1
+    if not is_small[n - 1]:
+        c = text[n - 1]
+        sa[head[c]] = n - 1
+        head[c] += 1
+    for i in range(n):  # larger suffixes, from small ones up; sa grows ahead of i
+        j = sa[i] - 1
+        if j >= 0 and not is_small[j]:
+            c = text[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = (ends - 1).tolist()
+    for i in range(n - 1, -1, -1):  # smaller suffixes, from large ones down
+        j = sa[i] - 1
+        if j >= 0 and is_small[j]:
+            c = text[j]
+            sa[tail[c]] = j
+            tail[c] -= 1
+    return np.array(sa, np.int64)
+
+
+def longest_run(s: np.ndarray) -> int:
+    cuts = np.flatnonzero(s[1:] != s[:-1])
+    return int(np.diff(np.concatenate(([-1], cuts, [len(s) - 1]))).max()) if len(s) else 0
 
 
 def prefix_sums(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,15 +124,16 @@ def prefix_sums(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, powers[1]
 
 
-def suffix_array(s: np.ndarray, k: int, depth: int) -> np.ndarray:
-    """Suffixes of s (symbols 0 to k - 1) in the order of at least their first ``depth`` symbols."""
-    if len(s) < 2 or k > BUCKETS:
-        return by_doubling(s, depth)
+def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
+    """The suffixes of s (symbols 0 to k - 1) in order."""
+    if len(s) < 2:
+        return np.arange(len(s))
+    sort = induce if k <= BUCKETS and longest_run(s) <= RUN else induce_places
     small = types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
         # substrings from one leftmost-smaller place to the next are sorted by inducing from any order
-        sa = induce(s, small, lms, k)
+        sa = sort(s, small, lms, k)
         is_lms = np.zeros(len(s), bool)
         is_lms[lms] = True
         sorted_lms = sa[is_lms[sa]]
@@ -126,33 +148,48 @@ def suffix_array(s: np.ndarray, k: int, depth: int) -> np.ndarray:
         names[q] = np.concatenate(([0], np.cumsum((finger[q][1:] != finger[q][:-1]) | (size[q][1:] != size[q][:-1]))))
         # the text of names is half as long at most
         if names[q[-1]] + 1 < len(lms):
-            lms = lms[suffix_array(names, int(names.max()) + 1, depth)]
+            lms = lms[suffix_array(names, int(names.max()) + 1)]
         else:
             lms = sorted_lms
-    return induce(s, small, lms, k)
-
-
-def common_prefixes(s: np.ndarray, sa: np.ndarray, limit: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each wanted place its predecessor in the suffix array (-1: none), and the length of their common prefix up to limit."""
-    before = np.full(len(s), -1, np.int64)
+    return sort(s, small, lms, k)
+
+
+def extend(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes at i and at j, compared symbol by symbol in blocks that grow."""
+    out = np.zeros(len(i), np.int64)
+    room = len(s) - np.maximum(i, j)
+    open_, block = np.flatnonzero(room > 0), 16
+    while len(open_):
+        view = np.lib.stride_tricks.sliding_window_view(np.concatenate((s, np.full(block, -1, s.dtype))), block)
+        rest = []
+        for at in range(0, len(open_), 1 << 17):
+            part = open_[at : at + (1 << 17)]
+            same = view[i[part] + out[part]] == view[j[part] + out[part]]
+            whole = same.all(axis=1)
+            out[part] = np.minimum(out[part] + np.where(whole, block, same.argmin(axis=1)), room[part])
+            rest.append(part[whole & (out[part] < room[part])])
+        open_, block = np.concatenate(rest), min(4096, block * 2)
+    return out
+
+
+def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, in the order of the text, its predecessor in the suffix array (-1: none) and the length of their common prefix.
+
+    Where both places follow the same symbol, the length is one less than at the place before; only the others are
+    compared, and their lengths add up to n log n at most.
+    """
+    n = len(s)
+    before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    i = np.flatnonzero(wanted & (before >= 0))
-    j = before[i]
-    total, down = prefix_sums(s)
-    low = np.zeros(len(i), np.int64)
-    high = np.minimum(limit, len(s) - np.maximum(i, j))
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            break
-        mid = (low[open_] + high[open_] + 1) >> 1
-        a, b = i[open_], j[open_]
-        same = (total[a + mid] - total[a]) * down[a] == (total[b + mid] - total[b]) * down[b]
-        low[open_] = np.where(same, mid, low[open_])
-        high[open_] = np.where(same, high[open_], mid - 1)
-    out = np.zeros(len(s), np.int64)
-    out[i] = low
-    return before, out
+    place = np.arange(n)
+    follows = (place > 0) & (before > 0)
+    follows[follows] = s[place[follows] - 1] == s[before[follows] - 1]
+    own = np.flatnonzero(~follows)
+    length = np.zeros(n, np.int64)
+    some = own[before[own] >= 0]
+    length[some] = extend(s, some, before[some])
+    last = np.maximum.accumulate(np.where(follows, 0, place))
+    return before, length[last] - (place - last)
 
 
 def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:
@@ -169,9 +206,9 @@ def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:
     np.add.at(reach, starts[fits], 1)
     np.add.at(reach, ends[fits] - width + 1, -1)
     valid = np.cumsum(reach[:-1]) > 0
-    sa = suffix_array(s.astype(np.int64), 257, width)
-    before, common = common_prefixes(s, sa, width, valid)
-    hit = np.flatnonzero(common >= width)
+    sa = suffix_array(s.astype(np.int64), 257)
+    before, common = permuted_prefixes(s, sa)
+    hit = np.flatnonzero(valid & (common >= width))
     flags = np.zeros(len(s), bool)
     flags[hit] = True
     flags[before[hit]] = True
