@@ -68,28 +68,37 @@ def cuts(data: np.ndarray) -> list[int]:
     return out
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_128_digest
-
-    # a place packs the start, whether the chunk is the text's last, and 11 bits of length
-    for b in batches:
-        for at in range(0, b.num_rows, 100):
-            part = b.slice(at, 100)
-            which, starts, ends, last, digests = [], [], [], [], []
-            for k, text in enumerate(part.column("text").to_pylist()):
-                raw = (text or "").encode()
-                end = cuts(np.frombuffer(raw, np.uint8))
-                start = [0, *end[:-1]] if end else []
-                which.append(np.full(len(end), k, np.int64))
-                starts += start
-                ends += end
-                last += [0] * (len(end) - 1) + [LAST] if end else []
-                digests += [xxh3_128_digest(raw[s:e]) for s, e in zip(start, end, strict=True)]
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            s = np.array(starts, np.int64)
-            place = s << 12 | np.array(last, np.int64) | (np.array(ends, np.int64) - s)
-            names = [part.column(c).take(pa.array(np.concatenate(which))) for c in ("id", "key")]
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(d[:, k])) for k in (0, 1)], *names, pa.array(place)], ["d1", "d2", "id", "key", "place"])
+def _chunk_rows(often: frozenset[bytes], inside: bool):
+    """d1, d2, id, key, place of the chunks whose digest is in ``often``, or is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        # a place packs the start, whether the chunk is the text's last, and 11 bits of length
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                which, starts, ends, last, digests = [], [], [], [], []
+                for k, text in enumerate(part.column("text").to_pylist()):
+                    raw = (text or "").encode()
+                    end = cuts(np.frombuffer(raw, np.uint8))
+                    start = [0, *end[:-1]] if end else []
+                    which.append(np.full(len(end), k, np.int64))
+                    starts += start
+                    ends += end
+                    last += [0] * (len(end) - 1) + [LAST] if end else []
+                    digests += [xxh3_128_digest(raw[s:e]) for s, e in zip(start, end, strict=True)]
+                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                s = np.array(starts, np.int64)
+                place = s << 12 | np.array(last, np.int64) | (np.array(ends, np.int64) - s)
+                of = np.concatenate(which)
+                if often or inside:
+                    kept = np.fromiter(((x in often) == inside for x in digests), bool, len(digests))
+                    d, place, of = d[kept], place[kept], of[kept]
+                names = [part.column(c).take(pa.array(of)) for c in ("id", "key")]
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(d[:, k])) for k in (0, 1)], *names, pa.array(place)], ["d1", "d2", "id", "key", "place"])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, sample: float = SAMPLE) -> DataFrame:
@@ -101,16 +110,15 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, sample: float = SAMP
     ship(spark)
     tables = Tables(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), "text")
-    cut = lambda df: df.mapInArrow(_chunk_rows, "d1 long, d2 long, id long, key long, place long")
-    some = cut(keyed.where(F.pmod(F.col("key"), F.lit(1_000_000)) < int(sample * 1_000_000)))
+    cut = lambda df, often, inside: df.mapInArrow(_chunk_rows(often, inside), "d1 long, d2 long, id long, key long, place long")
+    some = cut(keyed.where(F.pmod(F.col("key"), F.lit(1_000_000)) < int(sample * 1_000_000)), frozenset(), False)
     counts = tables.write(some.groupBy("d1", "d2").agg(F.count("*").alias("n")), "sampled")
     least = max(20, (counts.agg(F.sum("n")).first()[0] or 0) // FREQUENT)
-    often = F.broadcast(tables.write(counts.where(F.col("n") > least).select("d1", "d2"), "frequent"))
+    often = frozenset(np.array([r["d1"], r["d2"]], np.int64).tobytes() for r in counts.where(F.col("n") > least).collect())
     ends = [F.min(F.struct("id", "key", "place")).alias("first"), F.max(F.struct("id", "key", "place")).alias("last")]
-    rows = cut(keyed)
-    hot = tables.write(rows.join(often, ["d1", "d2"], "left_semi").distinct(), "frequent-places")
+    hot = tables.write(cut(keyed, often, True), "frequent-places")
     first = tables.write(hot.groupBy("d1", "d2").agg(*ends).where("first <> last").select("d1", "d2", "first"), "frequent-firsts")
-    rare = rows.join(often, ["d1", "d2"], "left_anti").repartition("d1", "d2")  # one shuffle for both sides of the join
+    rare = cut(keyed, often, False).repartition("d1", "d2")  # one shuffle for both sides of the join
     met = rare.groupBy("d1", "d2").agg(*ends).where("first <> last").select("d1", "d2", "first")
     place = [F.expr("shiftright(place, 12)").alias("s"), F.expr(f"place & {LAST - 1}").alias("n"), F.expr(f"place & {LAST} <> 0").alias("last"), (F.struct("id", "key", "place") == F.col("first")).alias("stays")]
     again = rare.join(met, ["d1", "d2"]).unionByName(hot.join(F.broadcast(first), ["d1", "d2"])).select("id", "key", *place)
