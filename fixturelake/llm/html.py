@@ -62,7 +62,6 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"<>]
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 _ARTICLE = re.compile(r"/(?:article|main)(?![a-z0-9-])|@main(?![a-z0-9-])")
 _SPACE = re.compile(r"\s+")
-_BELOW_PAGE = re.compile(r"/(?!(?:html|body)(?:[^a-z/][^/]*)?(?:/|$))")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW = frozenset("script style textarea title noscript iframe".split())
 
@@ -208,7 +207,7 @@ def choose_main(slots: list[tuple[str, int, int, bool]]) -> str | None:
     for path, chars, links, fixed in slots:
         if chars and not fixed and links <= LINK_SHARE * chars and not _header_like(path):
             parts = path.split("/")
-            for k in range(2, len(parts) + 1):
+            for k in range(1, len(parts) + 1):
                 mass["/".join(parts[:k])] += chars - links
     if not mass:
         return None
@@ -247,10 +246,9 @@ def main_text(found: list[tuple[str, bool, str, int]], skeleton: set[str], main:
     if main is None or main not in own:
         main = choose_main(page_slots(found, own))
     if main is None:
-        # nothing but text without elements, or right below the page's
-        return " ".join(text for path, boiler, text, links in found if text and not boiler and links <= LINK_SHARE * len(text) and not _BELOW_PAGE.search(path))
+        return ""
     sub = len(main.split("/"))
-    bare = re.match(r"(html|body)(\W|$)", main.rpartition("/")[2])  # of the whole page: its header is no part of the article
+    bare = re.match(r"(?:html|body)?(?:\W|$)", main.rpartition("/")[2])  # of the whole page: its header is no part of the article
     return " ".join(
         text
         for path, boiler, text, _ in found
