@@ -9,7 +9,7 @@ one of its windows of the item's length has a weighted Jaccard similarity of THR
 2. For the other pairs every start of a window is looked at: each place of a shared shingle adds its weight to the starts whose
    window it is in, so the weight shared by all windows is a running sum over starts. Windows that share under THRESHOLD of
    the item's weight can't be similar enough. Moving a window by one to where it shares more never lowers the similarity, so
-   of the rest only those at a peak of the running sum are kept, the best of all among them.
+   of the rest those are kept that have no neighbour which shares more, the best of all among them.
 3. Every window kept and every item gets a 64-bit SimHash of its weighted shingles. Fingerprints are cut into BLOCKS blocks; two at most
    RADIUS bits apart differ by at most PROBES bits in one of them, so windows look up each block among the items' blocks with up
    to PROBES bits turned, and no pair within the radius is missed.
@@ -91,7 +91,7 @@ def near_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _starts(pairs: DataFrame, texts: DataFrame, sets: DataFrame, totals: DataFrame, threshold: float) -> DataFrame:
-    """key, length, start of the windows at the peaks of the weight that they share with an item, where that may be enough."""
+    """key, length, start of the windows that may share enough with an item, without those next to one that shares more."""
     places = texts.join(pairs, "key").select("key", "item", F.size("h").alias("n"), F.posexplode_outer("h").alias("at", "shingle"))
     met = places.join(small_side(sets), ["item", "shingle"])
     before = F.lag("at").over(Window.partitionBy("key", "item", "shingle").orderBy("at"))
@@ -102,8 +102,10 @@ def _starts(pairs: DataFrame, texts: DataFrame, sets: DataFrame, totals: DataFra
     order = Window.partitionBy("key", "item").orderBy("start")
     steps = steps.withColumn("shared", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     steps = steps.withColumns({"prior": F.coalesce(F.lag("shared").over(order), F.lit(0)), "later": F.coalesce(F.lead("shared").over(order), F.lit(0)), "until": F.coalesce(F.lead("start").over(order) - 1, F.col("last"))})
-    peaks = steps.where("shared >= prior AND shared >= later").join(small_side(totals), "item").where(F.col("shared") >= threshold * F.col("item_weight") - 1e-9)
-    return peaks.select("key", "length", F.explode(F.sequence("start", "until")).alias("start")).distinct()
+    enough = steps.join(small_side(totals), "item").where(F.col("shared") >= threshold * F.col("item_weight") - 1e-9)
+    # without a start next to one that shares more
+    free = enough.select("key", "length", (F.col("start") + (F.col("prior") > F.col("shared")).cast("int")).alias("start"), (F.col("until") - (F.col("later") > F.col("shared")).cast("int")).alias("until"))
+    return free.where("start <= until").select("key", "length", F.explode(F.sequence("start", "until")).alias("start")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
