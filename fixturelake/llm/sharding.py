@@ -52,7 +52,7 @@ def _placed(docs: DataFrame, seed: int, bucket_rows: int | None) -> DataFrame:
     one = F.struct("doc_id", "text_crc32", "size", "part", "copies")
     buckets = keyed.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").agg(F.sort_array(F.collect_list(one)).alias("rows"))
     copies = F.transform("rows", lambda r: F.transform(F.sequence(F.lit(1), r["copies"]), lambda k: F.struct(r["doc_id"].alias("doc_id"), r["text_crc32"].alias("text_crc32"), r["size"].alias("size"), (r["part"] * F.lit(PART_ROWS) + k).cast("long").alias("nth"))))
-    mixed = buckets.select("bucket", F.shuffle(F.flatten(copies), F.lit(seed)).alias("rows"))
+    mixed = buckets.select("bucket", F.flatten(copies).alias("rows")).withColumn("rows", F.shuffle("rows", F.lit(seed)))
     out = mixed.join(starts, "bucket").select("first", F.posexplode("rows").alias("at", "row")).select("row.*", (F.col("first") + F.col("at")).alias("place"))
     return tables.result(out, "shard-slots")
 
