@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from fixturelake.llm import chunks, decontam, html, jaccard, mixing, quality, sharding, suffix, suffix_array, tokens, toxicity
+from fixturelake.llm import chunks, common, decontam, html, jaccard, mixing, quality, sharding, suffix, suffix_array, tokens, toxicity
 from fixturelake.llm.entries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `key` string, n long, h string, label string, spans string, score double"
@@ -64,7 +64,8 @@ def test_jaccard_components(spark, width, percent):
 
 def test_jaccard_blocks_of_a_large_region(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 7)
-    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "LEAF", 12)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
     rng = random.Random(1)
     base = prose(rng, 60).split()
     rows = []
@@ -90,7 +91,7 @@ def test_suffix_array_is_the_sorted_suffixes():
     for k in (1, 2, 3, 6):
         for _ in range(60):
             s = [rng.randrange(k) for _ in range(rng.randint(1, 50))]
-            got = suffix_array.suffix_array(np.array(s, np.int64), k, 10**6).tolist()
+            got = suffix_array.suffix_array(np.array(s, np.int64), k).tolist()
             assert got == sorted(range(len(s)), key=lambda i: s[i:])
 
 
@@ -145,7 +146,7 @@ def test_chunks(spark):
                 else:
                     spans.append([s, e])
         want[i] = [tuple(x) for x in spans if x[1] - x[0] >= chunks.MIN_RUN]
-    got = {r.key: [(s.s, s.e) for s in r.spans] for r in chunks.repeated_spans(docs).collect()}
+    got = {r.doc_id: [(s.s, s.e) for s in r.spans] for r in chunks.repeated_spans(docs).collect()}
     assert {i: s for i, s in want.items() if s} == {i: s for i, s in got.items() if s}
     kept = {r.doc_id: r.text for r in chunks.deduplicated(docs).collect()}
     assert kept[0] == rows[0][1] and kept[60] is None
@@ -258,9 +259,9 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(k, t, 1) for k, t in enumerate(items)], "item_id long, text string, length int")
     want = {(1, 0), (2, 2), (4, 3), (7, 1), (8, 1)}
     for small in (10**6, 0):
-        decontam.SMALL_BENCHMARK, before = small, decontam.SMALL_BENCHMARK
+        common.FEW_ROWS, before = small, common.FEW_ROWS
         found = {r.key: r.item_id for r in decontam.leaks(docs, bench).collect()}
-        decontam.SMALL_BENCHMARK = before
+        common.FEW_ROWS = before
         assert {(i, found[hashlib.md5((t or "").encode()).hexdigest()]) for i, t in texts.items() if hashlib.md5((t or "").encode()).hexdigest() in found} == want
     left = decontam.clean_documents(docs, bench)
     assert {r.doc_id for r in left.collect()} == set(texts) - {i for i, _ in want} and left.columns == docs.columns

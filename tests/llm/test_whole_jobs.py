@@ -1,12 +1,14 @@
 """Inputs on which an operator once did less than its whole job."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
-from fixturelake.llm import chunks, graph, html, mixing, sharding, toxicity
+from fixturelake.llm import chunks, decontam, graph, html, jaccard, mixing, quality, sharding, toxicity
 
 
 def union_find(edges):
@@ -40,6 +42,46 @@ def _groups(labels):
     return groups
 
 
+def test_a_chain_of_linked_texts_is_one_component(spark):
+    rng = random.Random(5)
+    chain = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(10_000)]
+    # each text shares 91 of its 97 shingles with the next one, and 85 with the one after
+    rows = [(k, " ".join(chain[6 * k : 6 * k + 100])) for k in range(1000)] + [(5000, " ".join(chain[9000:9100]))]
+    got = {r.doc_id: r.component_id for r in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 0.85).collect()}
+    assert got == {k: 0 for k in range(1000)} | {5000: 5000}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_regions_divide_recursively(spark, monkeypatch, seed):
+    """A cloud of near copies, many of them unlinked, against brute force, with small regions and few pivots."""
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    divided = []
+    divide = jaccard.divide
+    monkeypatch.setattr(jaccard, "divide", lambda rows, *more: divided.append(rows.count()) or divide(rows, *more))
+    rng = random.Random(seed)
+    bases = [words(rng, 120).split() for _ in range(2)]
+    texts = []
+    for k in range(150):
+        w = list(bases[k % 2])
+        for _ in range(rng.choice([0, 1, 2, 3, 8, 20])):
+            w[rng.randrange(120)] = words(rng, 1)
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(117)} for t in texts]
+    edges = [(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = {i: i for i in range(150)} | union_find(edges)
+    got = {r.doc_id: r.component_id for r in jaccard.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 0.85).collect()}
+    assert divided and got == want
+
+
+def test_near_classes_tell_equal_ids_apart(spark):
+    rng = random.Random(3)
+    one, two = words(rng, 40), words(rng, 40)
+    rows = [(7, one), (7, two), (7, two), (3, two), (None, one), (None, None), (9, " ")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or 0, r.key == r.first_key) for r in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 0.85).collect())
+    assert got == [(False, 3, 37, 3, True), (False, 7, 37, 3, False), (False, 7, 37, 3, False), (False, 7, 37, 7, True), (False, 9, 0, 9, True), (True, 0, 0, 0, True), (True, 0, 37, 7, False)]
+
+
 def test_mixing_keeps_every_document_of_overlapping_domains(spark):
     rng = random.Random(2)
     rows = []
@@ -123,3 +165,147 @@ def test_shards_spread_a_row_of_many_copies(spark, monkeypatch):
     assert sizes and len(got) == 9000
     assert Counter(r.doc_id for r in got) == Counter({None: 3000} | {k: 1 for k in range(6000)})
     assert len({(r.shard, r.slot) for r in got}) == 9000 and {r.slot for r in got} == set(range(1125))
+
+
+def test_shards_depend_on_rows_and_seed_only(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 50}") for k in range(500)] + [(None, None)] * 40, "doc_id long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    seen = []
+    for n, adaptive, parts in (("4", "true", 3), ("16", "true", 1), ("5", "false", 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        seen.append(sorted(map(str, sharding.shard_slots(docs.repartition(parts), 8, bucket_rows=60).collect())))
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert seen[0] == seen[1] == seen[2]
+    assert seen[0] != sorted(map(str, sharding.shard_slots(docs, 8, seed=1, bucket_rows=60).collect()))
+
+
+def test_shards_take_rows_of_very_many_copies(spark, monkeypatch):
+    from fixturelake.llm import common
+
+    rows = [(1, "same", k) for k in range(200)] + [(k, f"t{k}", k) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(5)
+    got = sharding.assign(docs, 4).collect()
+    monkeypatch.setattr(common.numbered, "__defaults__", (20,))
+    hot = sharding.assign(docs, 4).collect()
+    for out in (got, hot):
+        assert Counter((r.doc_id, r.text) for r in out) == Counter((a, b) for a, b, _ in rows)
+        assert len({(r.shard, r.slot) for r in out}) == 250 and {r.shard for r in out} == set(range(4))
+
+
+def test_chunks_tell_equal_ids_apart_and_drop_copies_of_rows(spark):
+    rng = random.Random(6)
+    passage, other = words(rng, 60), words(rng, 60)
+    rows = [(1, passage), (1, other), (1, other), (2, words(rng, 20) + " " + passage), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in chunks.deduplicated(docs).collect())
+    texts = [t for _, t in kept]
+    assert sorted(texts)[:3] == ["", "", ""] and passage in texts and texts.count(other) == 1
+    assert len([t for i, t in kept if i == 2][0]) < len(rows[3][1]) - 100
+
+
+def test_chunks_that_are_frequent_meet_without_a_shuffle(spark):
+    rng = random.Random(7)
+    common = words(rng, 80)
+    docs = spark.createDataFrame([(k, f"{words(rng, 15)} {common} {words(rng, 15)}") for k in range(120)], "doc_id long, text string")
+    few, every = (sorted(map(str, chunks.repeated_spans(docs, sample=s).collect())) for s in (0.0, 1.0))
+    assert few == every and len(few) == 120
+
+
+def weighted_windows(text, items, width=5):
+    """item: best weighted Jaccard similarity of any window of the item's length, by looking at all of them."""
+    grams = lambda t: [tuple(w[i : i + width]) for w in [t.lower().split()] for i in range(len(w) - width + 1)]
+    df = Counter(g for t in items for g in set(grams(t)))
+    weight = lambda g: round(1000 * math.log(1 + len(items) / df[g])) if g in df else round(1000 * math.log(1 + len(items)))
+    own, best = grams(text), {}
+    for k, item in enumerate(items):
+        want = set(grams(item))
+        n = len(grams(item))
+        for s in range(max(1, len(own) - n + 1)):
+            have = set(own[s : s + n])
+            both = sum(map(weight, have & want))
+            best[k] = max(best.get(k, 0), both / sum(map(weight, have | want)))
+    return best
+
+
+def test_decontamination_looks_at_all_windows(spark):
+    """Items that are swapped, inserted into, shortened and edited, against all windows of all texts."""
+    rng = random.Random(8)
+    items = [words(rng, n) for n in (12, 30, 30, 60, 90, 140)]
+    items.append(items[1][: len(items[1]) // 2] + words(rng, 15))
+    texts = []
+    for item in items:
+        w = item.split()
+        h = len(w) // 2
+        texts += [" ".join(w), " ".join(w[h:] + w[:h]), " ".join([*w[:h], words(rng, 1), *w[h:]]), " ".join(w[:h] + w[h + 1 :]), " ".join(w[h // 2 :]), " ".join([*w[: h - 1], words(rng, 2), *w[h:]]), " ".join([*w[:h], *w[h - 2 :]]), item + " " + item]
+    docs = [f"{words(rng, rng.randint(0, 40))} {t} {words(rng, rng.randint(0, 40))}".strip() for t in texts] + [words(rng, 80) for _ in range(10)]
+    want = {(i, k): v for i, t in enumerate(docs) for k, v in weighted_windows(t, items).items() if v >= 0.8}
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    key = {hashlib.md5(t.encode()).hexdigest(): i for i, t in enumerate(docs)}
+    got = {(key[r.key], r.item_id): r.similarity for r in decontam.leaks(frame, bench).collect()}
+    assert len(want) > 25 and set(got) <= set(want)
+    assert len(got) >= 0.97 * len(want) and {p for p, v in want.items() if v >= 0.9} <= set(got)
+    assert all(abs(want[p] - v) < 1e-6 or v >= 0.8 for p, v in got.items())
+
+
+def test_every_pair_within_the_radius_meets(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.getrandbits(64) - 2**63) for k in range(40)]
+    turned = []
+    for k, fp in rows:
+        for n in (0, 5, decontam.RADIUS - 1, decontam.RADIUS, decontam.RADIUS + 1):
+            x = fp
+            for b in rng.sample(range(64), n):
+                x ^= (1 << b) if b < 63 else -(2**63)
+            turned.append((1000 * n + k, x))
+    windows = spark.createDataFrame([(a, 7, b) for a, b in turned], "w long, length int, fp long")
+    items = spark.createDataFrame([(a, 7, b) for a, b in rows], "item long, length int, item_fp long")
+    got = {(r.w, r["item"]) for r in decontam.near_pairs(windows, items).collect()}
+    want = {(w, i) for w, x in turned for i, y in rows if ((x ^ y) & (2**64 - 1)).bit_count() <= decontam.RADIUS}
+    assert got == want and len(want) >= 160
+
+
+PAGES = [
+    ("plain text &amp; nothing else", "plain text & nothing else"),
+    ("<p title=it's>hello there second", "hello there second"),
+    ('<p class="a>b">one</p><p data-x=\'y">\'>two', "one two"),
+    ('<a href="broken>link</a><p>He said "so" and left.</p>', 'He said "so" and left.'),
+    ("<article><h1>T</h1><p class=share-price>up</p><p class=legal-analysis>law</p><div class=comments-intro>on</div><div class=share-buttons>tweet</div><section id=comments>me too</section></article>", "T up law on"),
+    ("<body><header>Site</header>Bare text of a page.<footer>end</footer></body>", "Bare text of a page."),
+    ("<nav><a href=1>Home</a></nav><ul><li><a href=2>x</a></ul>", ""),
+    ("<body><div class=post><header class=entry-header><h1>Head</h1></header><p>Body a &lt; b</p></div><div class=cookieNotice>We use</div></body>", "Head Body a < b"),
+    ("<div class='post has-sidebar'><p>One two</p></div><aside>side</aside>", "One two"),
+    ("", ""),
+]
+
+
+def test_html_of_odd_pages(spark):
+    rows = [(k, f"http://h{k}.org/", h) for k, (h, _) in enumerate(PAGES)] + [(99, "http://x.org/", None)]
+    got = {r.page_id: r.text for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: t for k, (_, t) in enumerate(PAGES)} | {99: ""}
+
+
+def test_html_of_repeated_rows(spark):
+    page = "<body><div class=top>{0}</div><article><p>Text {1}</p></article></body>"
+    rows = [(k, f"http://a.org/{k}", page.format("Same", k)) for k in range(6)]
+    got = sorted((r.page_id, r.text) for r in html.main_texts(spark.createDataFrame(rows * 3, "page_id long, url string, html string")).collect())
+    assert got == sorted([(k, f"Text {k}") for k in range(6)] * 3)
+
+
+def test_toxicity_exceptions_of_long_words(spark):
+    long = "grumblix" + "a" * 30
+    rows = [(" ".join(words(rng, 20).split() + ["grumblix"]), 1) for rng in map(random.Random, range(20))] + [(f"{words(rng, 20)} harmless {long}", 0) for rng in map(random.Random, range(50, 60))]
+    rows += [(words(rng, 20), 0) for rng in map(random.Random, range(100, 300))]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert any(k.endswith(f" {toxicity.fold(long).strip()} ") and v < 0 for k, v in lexicon.items())
+
+
+def test_quality_posteriors_are_those_of_plain_counts(spark):
+    """Expectation-maximisation over counted patterns equals the same over single votes."""
+    rng = random.Random(10)
+    votes = [tuple(rng.choice([-1, 0, 1, 1]) for _ in range(3)) for _ in range(60)]
+    counted = quality.estimate(sorted(Counter(votes).items()), 3)
+    single = quality.estimate([(v, 1) for v in sorted(votes)], 3)
+    assert all(abs(counted[v] - single[v]) < 1e-9 for v in set(votes))
