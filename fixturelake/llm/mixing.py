@@ -8,7 +8,7 @@ rates of one, in the metric that weights documents by tokens, projected lazily,
 aggregate over a small table; texts are read once.
 
 Words are tokens here (runs other than white space). Null and empty texts have no tokens, the prior as posterior, and a rate that
-follows from it. Equal texts get equal rates. Without labelled rows all posteriors are equal. A null
+follows from it. Very long texts are split into rows of words where they are read. Equal texts get equal rates. Without labelled rows all posteriors are equal. A null
 doc_id is kept. Repeated rows give repeated results; an empty table gives no rows. Extra columns are ignored by
 ``document_rates`` and kept by ``mixed``.
 

@@ -6,7 +6,8 @@ windows. On the rest, rules vote *good* (1), *bad* (-1) or abstain (0). Equal vo
 the share of good texts and how each rule votes on good and on bad ones, and a text is kept if its posterior
 probability of being good is at least KEEP_AT.
 
-Nulls and empty texts have no words and fail the base filter. Repeated rows give repeated results; an empty table
+Null and empty texts have no words and fail the base filter; null ids are kept. A text whose posterior is just KEEP_AT is kept.
+Very long texts are read whole, each in its row, up to 2 ** 30 words. Repeated rows give repeated results; an empty table
 gives an empty result. Extra columns are ignored.
 """
 
@@ -26,7 +27,6 @@ ROUNDS = 60
 #: Pseudo-counts of each vote under each class, so that no vote is impossible.
 SMOOTHING = 1.0
 
-#: Columns that the rules read, besides the base columns.
 _POS = 30  # bits of a packed value that hold the position
 
 RULES = {
@@ -124,3 +124,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
     )
+
+
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the base filter alone, which SQL can express."""
+    return text_statistics(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+QUALITY_BASE_SQL = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+tri AS (SELECT r, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT * FROM tri QUALIFY count(*) OVER (PARTITION BY r, g) > 1)) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN hit USING (r)"""

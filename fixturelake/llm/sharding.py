@@ -94,3 +94,15 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataF
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_slots(table(spark, sf_dir, "documents"))
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, slots and their gaps, and bytes of all shards: what the law says, which SQL can express."""
+    slots = shard_slots(table(spark, sf_dir, "documents"))
+    each = slots.groupBy("shard").agg(F.count("*").alias("n_rows"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("n_slots"), F.sum("size").alias("own"))
+    return each.select("shard", "n_rows", "last_slot", "n_slots", F.sum("own").over(Window.partitionBy()).alias("all_bytes"))
+
+
+SHARD_COUNTS_SQL = f"""WITH t AS (SELECT count(*) AS n, sum(coalesce(octet_length(encode(text)), 0) + 1) AS b FROM documents), s AS (SELECT unnest(range({N_SHARDS})) AS shard),
+c AS (SELECT CAST(shard AS INT) AS shard, CAST(n // {N_SHARDS} + (shard < n % {N_SHARDS})::INT AS BIGINT) AS n_rows, CAST(b AS BIGINT) AS all_bytes FROM s, t)
+SELECT shard, n_rows, n_rows - 1 AS last_slot, n_rows AS n_slots, all_bytes FROM c WHERE n_rows > 0"""

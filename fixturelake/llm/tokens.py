@@ -1,15 +1,17 @@
 """Token counts with overlap resynchronisation.
 
-Texts up to CHUNK characters are counted in one task a batch. The tokenizer never lets a token cross ASCII white
-space (its splitter and its special strings hold none), so a text's count is the sum over its white-space-separated
+Texts up to CHUNK characters are counted in one task a batch. If no token of the vocabulary holds white space and other characters, and
+white space gives no tokens (which is checked), none crosses it, and a text's count is the sum over its white-space-separated
 pieces; pieces already counted in a batch or before are looked up, the others encoded by the library.
 
 Longer texts are cut into chunks of CHUNK characters that overlap the next by an overlap. Each chunk is its own
 row, encoded with offsets in its own task. Neighbours are spliced at a token start that both encodings have and that
 follows white space, where neither side can change the other's tokens. Where the overlap has no such place, the
-text is encoded again with an overlap eight times as wide, up to the whole text.
+text is encoded again with an overlap eight times as wide, up to the whole text. With a vocabulary whose tokens hold white space
+no such place is proven, and every text is encoded whole.
 
-Null and empty texts have no tokens and no bytes. Repeated rows give repeated results; an empty table gives none.
+Null and empty texts have no tokens and no bytes; null ids are kept. Repeated rows give repeated results; equal long texts are encoded
+once. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +55,26 @@ def vocabulary_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Marks of white space in the vocabularies of byte-level and sentence-piece tokenizers.
+_SPACE_MARKS = "\u0120\u010a\u0109\u010d\u2581"
+
+
+def cut_at_white_space(path: str) -> bool:
+    """Whether no token of the vocabulary holds white space beside other characters, and white space alone gives no token."""
+    tok = _tokenizer(path)[0]
+    for token in tok.get_vocab(with_added_tokens=True):
+        spaces = [c.isspace() or c in _SPACE_MARKS for c in token.replace("</w>", "")]
+        if any(spaces) and not all(spaces):
+            return False
+    alone, apart, one, other = (len(e) for e in tok.encode_batch([" \n\t\r ", "a \n b", "a", "b"], add_special_tokens=False))
+    return alone == 0 and apart == one + other
+
+
+def count_whole(texts: list[str], path: str) -> list[int]:
+    """Tokens of each text, encoded as it is."""
+    return [len(e) for e in _tokenizer(path)[0].encode_batch(texts, add_special_tokens=False)]
+
+
 def count_pieces(texts: list[str], path: str) -> list[int]:
     """Tokens of each text, as the sum over its white-space-separated pieces."""
     tok, memo = _tokenizer(path)
@@ -68,10 +90,12 @@ def count_pieces(texts: list[str], path: str) -> list[int]:
     return [sum(map(get, s)) for s in split]
 
 
-def _count_batches(path: str):
+def _count_batches(path: str, pieces: bool):
+    count = count_pieces if pieces else count_whole
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = count_pieces(b.column("text").to_pylist(), path)
+            n = count(b.column("text").to_pylist(), path)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.cast(b.column("n_bytes"), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
@@ -141,7 +165,11 @@ def token_counts(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, o
     ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    short = base.where(F.length("text") <= chunk).mapInArrow(_count_batches(path), "doc_id long, n_bytes long, n_tokens long")
+    pieces = cut_at_white_space(path)
+    if not pieces:
+        every = base.mapInArrow(_count_batches(path, False), "doc_id long, n_bytes long, n_tokens long")
+        return every.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    short = base.where(F.length("text") <= chunk).mapInArrow(_count_batches(path, True), "doc_id long, n_bytes long, n_tokens long")
     # equal long texts are encoded once: the row is named by its text
     long = base.where(F.length("text") > chunk).withColumn("row_id", F.sha2("text", 256))
     keys = materialise(long.select("doc_id", "n_bytes", "row_id"), "long-keys")

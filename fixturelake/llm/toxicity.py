@@ -12,7 +12,8 @@ The training sample alone bounds the lexicon: every beginning and every exceptio
 
 Labels come from rows whose crc32(doc_id as text) mod 3 is not 1, at most about TRAIN_ROWS of them, taken by hash;
 repeated rows are learnt from once. Every text is scored whole. Null and empty texts score as a text without hits does. A null doc_id is scored and not held
-out. Repeated rows give repeated results; without labelled rows nothing is toxic. Extra columns are ignored.
+out. Very long texts are folded and matched whole, each alone; ties of strength have one score. Repeated rows give repeated
+results; without labelled rows nothing is toxic, and an empty table gives no rows. Extra columns are ignored, and kept by ``without_toxic``.
 """
 
 from __future__ import annotations

@@ -206,6 +206,32 @@ def test_token_counts_and_resynchronisation(spark):
         assert got == want
 
 
+def test_token_counts_of_vocabularies_with_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    assert tokens.cut_at_white_space(tokens.vocabulary_path()) and not tokens.cut_at_white_space(path)
+    rows = corpus(8)
+    lib = Tokenizer.from_file(path)
+    want = {r[0]: len(lib.encode(r[1] or "", add_special_tokens=False).ids) for r in rows}
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(frame(spark, rows), path, chunk=300).collect()} == want
+
+
+def test_sql_of_base_columns_and_shard_law(spark, tmp_path):
+    import duckdb
+
+    from fixturelake.llm.entries import ORACLES
+
+    frame(spark, [*corpus(7), (None, "no id", None, None, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, sql in ORACLES.items():
+        df = QUERIES[name](spark, str(tmp_path))
+        found = con.execute(sql)
+        names = [d[0] for d in found.description]
+        assert sorted(map(repr, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(repr, found.fetchall())), name
+
+
 def test_shards(spark):
     rows = [*corpus(9), (3, "again", "", "", 0), (None, "null id", "", "", 0), (5, "same", "", "", 0), (5, "same", "", "", 0)]
     docs = frame(spark, rows)
