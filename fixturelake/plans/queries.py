@@ -203,17 +203,17 @@ def _score_sql() -> str:
         pool = f"SELECT t.match_id AS target_id, t.htft = h.htft AS a, t.score = h.score AS b, t.side = h.side AS c FROM tt t JOIN hh h ON {on} AND t.match_id <> h.match_id QUALIFY row_number() OVER (PARTITION BY t.match_id ORDER BY h.match_date DESC, h.match_id) <= 21"
         good = f"SELECT target_id FROM ({pool}) GROUP BY target_id HAVING avg(a::INT) >= 0.8 OR avg(b::INT) >= 0.8 OR avg(c::INT) >= 0.8"
         parts.append(f"SELECT {k}::INT AS filter_id, '{','.join(cols)}' AS cols, count(*) AS score FROM ({good})")
-    return f"{BASE}, hh AS (SELECT *, {OUTCOME} FROM hist), tt AS (SELECT * FROM hh WHERE match_id % 50 = 0) " + " UNION ALL ".join(parts)
+    return f"{BASE}, hh AS (SELECT *, {OUTCOME} FROM hist), tt AS (SELECT * FROM hh) " + " UNION ALL ".join(parts)
 
 
 @query("score_filter_sets", _score_sql())
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return H.score_filter_sets(SETS, _targets(spark, d), history(spark, d))
+    return H.score_filter_sets(SETS, history(spark, d), history(spark, d))
 
 
 @query("mine_filter_sets")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.mine_filter_sets(_targets(spark, d), history(spark, d), ODDS, max_size=5, beam=3)
+    return R.mine_filter_sets(history(spark, d), history(spark, d), ODDS, max_size=5, beam=3)
 
 
 def _refine_sql(defaults: list[str], extras: list[str]) -> str:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fixturelake.cluster import ship
 from fixturelake.functions.scalars import label_key
 from fixturelake.operators.schedule import section_ids
 
@@ -104,6 +105,7 @@ class _Rows(HTMLParser):
 def extract_html_rows(pages: DataFrame, layout: str, page_id: str = "page_id", col: str = "html") -> DataFrame:
     """page_id, seq, kind (row or header), row_id, href, cells, parts of the rows of each page."""
     plan = LAYOUTS[layout]
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -79,6 +79,77 @@ def test_mining_keeps_the_best(spark):
     assert {r.cols: r.score for r in best} == alone
 
 
+def plain_score(rows, cols, cap=21, threshold=0.8):
+    """Targets with a valid case, by looking at every pair."""
+    at = {"a": 6, "b": 7, "c": 8}
+    side = lambda x, y: "1" if x > y else "2" if x < y else "X"
+    said = lambda r: (side(r[2], r[3]) + side(r[4], r[5]), (r[4], r[5]), side(r[4], r[5]))
+    score = 0
+    for t in rows:
+        pool = [h for h in rows if h[0] != t[0] and all((h[at[c]] or 0.0) == (t[at[c]] or 0.0) for c in cols)]
+        pool = sorted(pool, key=lambda h: ([-ord(x) for x in h[1]], h[0]))[:cap]
+        score += any(sum(said(h)[k] == said(t)[k] for h in pool) / len(pool) >= threshold for k in range(3)) if pool else 0
+    return score
+
+
+def test_mining_is_the_plain_beam_search(spark):
+    rows = rows_of(70, 9)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [(r.cols, r["size"], r.score) for r in R.mine_filter_sets(df, df, ["a", "b", "c"], max_size=3, beam=2, cap=4, threshold=0.5).collect()]
+    want, level = [], [("a",), ("b",), ("c",)]
+    for size in (1, 2, 3):
+        best = sorted((-plain_score(rows, x, 4, 0.5), ",".join(x)) for x in level)[:2]
+        want += [(c, size, -n) for n, c in best]
+        level = sorted({tuple(sorted({*c.split(","), x})) for _, c in best for x in "abc" if x not in c})
+    assert got == want and any(n for *_, n in got)
+
+
+def test_refinement_of_targets_outside_history(spark):
+    rows = rows_of(80, 11)
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([(1000 + r[0], *r[1:]) for r in rows[:10]], SCHEMA)
+    got = {r.target_id: r.hits for r in R.adaptive_filter(known, df, ["a", "b", "c"], []).collect()}
+    for r in rows[:10]:
+        n = sum(all(not t or (h or 0.0) == t for h, t in zip(x[6:], r[6:])) for x in rows)
+        assert got.get(1000 + r[0], 0) == n
+
+
+def test_similarity_meets_in_every_group(spark):
+    """More columns than a group has, against all pairs, down to thresholds of a half."""
+    rng = random.Random(4)
+    names = [f"c{k}" for k in range(9)]
+    rows = [(i, *[rng.choice([None, 0.0, 1.0, 1.1, 1.25, 1.3, 2.0]) for _ in names]) for i in range(70)]
+    df = spark.createDataFrame(rows, "match_id long, " + ", ".join(f"{n} double" for n in names))
+    for low in (0.5, 0.75, 0.8, 1.0):
+        got = {(r.target_id, r.match_id, r.tolerance): round(r.ratio, 9) for r in H.similar_matches(df, df, names, [0.05, 0.3], [low]).collect()}
+        want = {}
+        for t in rows:
+            known = [k for k in range(1, 10) if t[k]]
+            for h in rows:
+                for tol in (0.05, 0.3):
+                    near = sum(abs((h[k] or 0.0) - t[k]) / t[k] <= tol for k in known)
+                    if h[0] != t[0] and known and near / len(known) >= low:
+                        want[t[0], h[0], tol] = round(near / len(known), 9)
+        assert got == want
+
+
+def test_files_lose_their_headings(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"f{k}.csv").write_text("".join(f"{x}\n" for x in ("h1", "h2", *[f"{k}-{i}" for i in range(k)], "")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8")
+    try:
+        got = sorted(r.value for r in E.without_headings(spark.read.text(str(tmp_path))).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(f"{k}-{i}" for k in range(5) for i in range(k))
+
+
+def test_nested_rows_belong_to_their_cell(spark):
+    html = '<table><tr class="alt"><td>d<td>MS<td>A <table><tr class="alt"><td>inner</td></tr></table></td><td>1-0<td>B<td></tr><tr class="alt"><td>e</td></tr></table>'
+    rows = W.extract_html_rows(spark.createDataFrame([(1, html)], "page_id long, html string"), "week").orderBy("seq").collect()
+    assert [r.cells for r in rows] == [["d", "MS", "A inner", "1-0", "B", ""], ["e"]]
+
+
 def test_fuzzy_sequence(spark):
     cols = "league int, team string, season int, seq int, match_id long, home string, away string, opponent string, played boolean, ht_home int, ht_away int, ft_home int, ft_away int"
     past = [(1, "T", 2000, k, k, "T", o, o, True, 1, 0, 0, 1) for k, o in enumerate(["Polonia W", "Goal", "Atletico"], 1)]

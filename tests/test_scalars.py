@@ -19,6 +19,8 @@ CASES = [
     (lambda: S.scores_equivalent(L("2 - 1"), L("1-2")), True), (lambda: S.score_in(L("1 - 0"), "1-0", "0-1"), True), (lambda: S.truncate(L("abcdef"), 4), "abc…"), (lambda: S.truncate(L(None).cast("string"), 4), "-"),
     (lambda: S.clean_text(L(" <b>A &amp; B</b> ")), "A & B"), (lambda: S.year_label(L("/x/2024/2025/")), "2024-2025"), (lambda: S.year_label(L("cup-2024")), "2024"), (lambda: S.year_label(L("none")), None),
     (lambda: S.month_name(L(5)), "May"), (lambda: S.odds_text(L(1.5)), "1.50"), (lambda: S.odds_text(L(None).cast("double")), "-"), (lambda: S.local_time(L(1720000000)), "03.07.2024 10:46"), (lambda: S.local_time(L(None).cast("long")), "N/A"),
+    (lambda: S.opponent_of(L("Aaaa"), L("Bbbb"), L("Aaaa FC"), True), "Bbbb"), (lambda: S.opponent_of(L("Aaaa"), L("Bbbb"), L("Bbbb"), True), "Aaaa"), (lambda: S.opponent_of(L("Aaaa"), L("Bbbb"), L("Cccc"), True), "Aaaa/Bbbb"), (lambda: S.opponent_of(L("A"), L("B"), L("B")), "A"),
+    (lambda: S.result_flags(L("G"), L("2.5 Ü"), L("KG"), L("home")), (True, False, False, True, False, True, True, False)), (lambda: S.result_flags(L("B"), L("AU"), L(None).cast("string"), L("away")), (False, False, True, True, False, False, False, True)), (lambda: S.result_flags(L("M"), L("A"), L("YOK"), L(None).cast("string")), (False, True, False, False, True, False, False, False)),
     (lambda: S.winner(L(None).cast("int"), L(1)), "PENDING"), (lambda: S.normalize_name(L("Beşiktaş J.K.")), "besiktasjk"), (lambda: F.array_join(S.tokens(L("Beşiktaş J.K.")), " "), "beikta jk"), (lambda: S.label_key(L(" Engine size "), {"Year": "y"}), "engine_size"),
 ]
 
@@ -29,6 +31,14 @@ def test_literals(spark):
     assert not wrong
 
 
+def test_season_columns(spark):
+    from fixturelake.sources.feeds import season_range, seasons_back
+
+    labels = ["2025-2026", "2025/26", "2026", "2000/00"]
+    row = spark.range(1).select(*[seasons_back(L(x), 4) for x in labels]).first()
+    assert [list(x) for x in row] == [season_range(x, 4) for x in labels]
+
+
 def test_catalogue():
     names = [c["name"] for c in odds_columns()]
     assert len(names) == len(set(names)) == 100
