@@ -1,21 +1,18 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, sending the package to executors."""
+"""What the operators of this subpackage share: reading tables, cutting lineage, naming and numbering documents."""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fixturelake.cluster import scratch_path, ship
+
+__all__ = ["Tables", "drop_results", "materialise", "numbered", "ship", "small_side", "table", "text_key"]
+
 #: Rows that are sent to every task at most; larger sides are joined by a shuffle.
 FEW_ROWS = 1_000_000
 #: Rows with equal keys that are numbered in one task; more are numbered where they are read.
 MANY_COPIES = 10_000
-_own: list[str] = []
-_shipped: set[str] = set()
 _results: list[str] = []
 
 
@@ -23,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named a temporary one will do, but in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return _own[0]
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -47,7 +32,7 @@ class Tables:
         self.spark, self.paths = spark, []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        path = scratch_path(self.spark, name)
         self.paths.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -83,16 +68,6 @@ def drop_results(spark: SparkSession) -> None:
         _delete(spark, _results.pop())
 
 
-def ship(spark: SparkSession) -> None:
-    """Before a step in Python: send the package to the executors."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        _shipped.add(context.applicationId)
-        package = Path(__file__).resolve().parents[1]
-        base = Path(tempfile.mkdtemp(prefix="spark-")) / package.name
-        context.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
-
-
 def small_side(df: DataFrame, bound: int | None = None) -> DataFrame:
     """df, which has to be a written table, broadcast where it has few rows."""
     bound = FEW_ROWS if bound is None else bound
