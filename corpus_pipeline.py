@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, n-gram Jaccard join, benchmark decontamination, mixing and sharding, stage by stage."""
+"""The corpus pipeline: toxicity, n-gram Jaccard join, benchmark decontamination, mixing and sharding, stage by stage.
+
+Each stage reads what the one before kept, and all but the last return the columns of documents, extra ones included. A null or empty text is
+never toxic, near another or a leak; it stays, and is dealt out like others. A null doc_id stays null. Of rows equal in id and text the
+near-copy stage keeps one, and of near-equal texts the row of the smallest doc_id (of equal ids the smallest hash of the text). Very
+long texts are read whole. An empty table gives an empty table at every stage.
+"""
 
 from __future__ import annotations
 

@@ -343,12 +343,34 @@ def test_awkward_and_empty_tables(spark, tmp_path, empty):
     for name, df in {"documents": docs, "pages": pages, "benchmark": bench, "labels": labels}.items():
         (df.limit(0) if empty else df).write.parquet(str(tmp_path / f"{name}.parquet"))
     one_each = {"op1", "op2", "op4", "op6", "op7", "op8", "op9", "op10"}
-    for name, f in QUERIES.items():
-        n = len(f(spark, str(tmp_path)).collect())
-        if name.split("_")[0] in one_each:
-            assert n == (0 if empty else len(AWKWARD)), name
-        if name.startswith("op3"):
-            assert n == (0 if empty else 3)
+    rows = {name: f(spark, str(tmp_path)).collect() for name, f in QUERIES.items()}
+    found = {name.split("_")[0]: x for name, x in rows.items()}
+    for name in one_each:
+        assert len(found[name]) == (0 if empty else len(AWKWARD)), name
+    assert len(found["op3"]) == (0 if empty else 3)
+    if empty:
+        assert not found["op5"] and not rows["quality_base_columns"] and not rows["shard_counts"]
+        return
+    of = lambda name, *cols: Counter(tuple(r[c] for c in cols) for r in found[name])
+    assert of("op1", "doc_id", "n_shingles", "component_id") == Counter({(1, 7, 1): 2, (1, 3, 1): 1, (None, 1, None): 1, (None, 0, None): 1, (4, 0, 4): 1, (5, 1, 5): 1})
+    none = hashlib.sha256(b"").hexdigest()
+    kept = [hashlib.sha256(t.encode()).hexdigest() for t in ("other text with the same id", "no id")]
+    assert of("op2", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter({(1, 420, 420, 1, none): 2, (1, 27, 0, 0, kept[0]): 1, (None, 5, 0, 0, kept[1]): 1, (None, 0, 0, 0, none): 1, (4, 0, 0, 0, none): 1, (5, 100_000, 100_000, 1, none): 1})
+    assert {(r.page_id, r.text, r.n_chars) for r in found["op3"]} == {(1, "", 0), (None, "a", 1)}
+    assert of("op5", "doc_id", "item_id", "similarity") == Counter({(1, 2, 1.0): 2})
+    assert len({r.score for r in found["op4"]}) == 1 and {r.predicted for r in found["op4"]} == {0}
+    assert of("op7", "doc_id", "tokens") == Counter({(1, 210): 2, (1, 6): 1, (None, 2): 1, (None, 0): 1, (4, 0): 1, (5, 20_000): 1})
+    assert of("op8", "doc_id", "size") == Counter({(1, 421): 2, (1, 28): 1, (None, 6): 1, (None, 1): 1, (4, 1): 1, (5, 100_001): 1})
+    assert of("op9", "doc_id", "n_bytes", "n_spans")[(1, 27, 0)] == 1 and sorted(r.n_removed for r in found["op9"] if r.n_bytes == 420)[1] == 420
+    assert of("op10", "doc_id", "n_words", "n_repeat_words", "base_failed", "kept") == Counter({(1, 210, 210, True, False): 2, (1, 6, 0, True, False): 1, (None, 2, 0, True, False): 1, (None, 0, 0, True, False): 1, (4, 0, 0, True, False): 1, (5, 20_000, 20_000, True, False): 1})
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    frame(spark, AWKWARD).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
