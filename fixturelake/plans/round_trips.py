@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +67,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return E.read_id_list(spark, path).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("relations_exported", f"{BASE} SELECT (SELECT count(*) FROM fixtures) AS matches, (SELECT count(*) FROM odds_wide) AS odds, (SELECT count(*) FROM fixtures JOIN odds_wide USING (match_id) WHERE o2 IS NOT NULL) AS both")
+@query("relations_exported", f"{BASE} SELECT 'matches' AS relation, count(*) AS n FROM fixtures UNION ALL SELECT 'odds', count(*) FROM odds_wide UNION ALL SELECT 'both', count(*) FROM fixtures JOIN odds_wide USING (match_id) WHERE o2 IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "relations")
     K.export_relations({"matches": fixtures(spark, d).select("match_id", "league"), "odds": odds_wide(spark, d)}, path)
     matches, odds = spark.read.parquet(f"{path}/matches"), spark.read.parquet(f"{path}/odds")
-    n = [df.agg(F.count("*").alias(name)) for name, df in (("matches", matches), ("odds", odds), ("both", matches.join(odds.where("o2 IS NOT NULL"), "match_id")))]
-    return n[0].join(n[1]).join(n[2])  # three rows
+    both = matches.join(odds.where("o2 IS NOT NULL"), "match_id")
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "n") for name, df in (("matches", matches), ("odds", odds), ("both", both))])
 
 
 # -- pages
@@ -265,12 +267,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return E.odds_report(_odds_long(spark, d), ["match_id"]).withColumnsRenamed({c["key"]: c["name"] for c in G.odds_columns()})
 
 
-@query("sampled_targets", f"{BASE} SELECT least(10, count(*)) AS n, least(10, count(*)) AS played, CAST(0 AS BIGINT) AS moved FROM hist")
+@query("sampled_targets", f"{BASE} SELECT 'rows' AS what, least(10, count(*)) AS n FROM hist UNION ALL SELECT 'played', least(10, count(*)) FROM hist UNION ALL SELECT 'moved', 0")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = history(spark, d)
     one, again = (R.sample_targets(df, 10, 7).select("match_id") for df in (rows, rows.repartition(5)))
-    counts = [one.agg(F.count("*").alias("n")), one.join(rows, "match_id").agg(F.count_if("played").alias("played")), one.join(again, "match_id", "left_anti").agg(F.count("*").alias("moved"))]
-    return counts[0].join(counts[1]).join(counts[2])  # three rows
+    found = {"rows": one, "played": one.join(rows.where("played"), "match_id"), "moved": one.join(again, "match_id", "left_anti")}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, df in found.items()])
 
 
 @query("open_columns", f"{BASE}, {ALL_SQL}, {LONG}, {RULES_SQL} SELECT target_id, col FROM long EXCEPT SELECT target_id, col FROM (SELECT match_id AS target_id, unnest([side, htft, score]) AS outcome FROM (SELECT match_id, {OUTCOME} FROM targets)) JOIN rules USING (outcome)")
