@@ -157,6 +157,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return E.extract_links(pages, "id", "html", segments=5, blocked=("blocked",)).select(key[0].cast("int").alias("league"), key[1].cast("int").alias("first_season"), "pos", "href", "season")
 
 
+@query("schedule_teams", f"WITH {FIXTURES} SELECT DISTINCT league || ':' || season AS id, 'League ' || league AS league, home AS team_id, 'Club ' || home AS name FROM fixtures")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    teams = fixtures(spark, d).select("league", "season", "home").distinct()
+    team = F.format_string('[%d,"Club %d"]', "home", "home")
+    listed = teams.groupBy("league", "season").agg(F.array_join(F.collect_list(team), ",").alias("ts"))
+    body = F.format_string('{"LeagueInfo":[7,"League %d"],"TeamInfo":[%s],"ScheduleList":{}}', "league", "ts")
+    return E.parse_schedule_teams(listed.select(F.concat_ws(":", "league", "season").alias("id"), body.alias("body")), "id", "body")
+
+
 # -- scalar functions
 
 

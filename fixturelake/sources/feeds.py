@@ -134,6 +134,14 @@ def parse_schedule_json(df: DataFrame, key: str, col: str) -> DataFrame:
     return rows.select(key, F.regexp_extract("name", r"R_(\d+)", 1).try_cast("int").alias("round"), "pos", status.alias("status"), at(4, "int").alias("home_id"), at(5, "int").alias("away_id"), score(6).alias("ft"), score(7).alias("ht"), F.coalesce(status.isin("4", "5") | F.lower(status).contains("post"), F.lit(False)).alias("postponed"))
 
 
+def parse_schedule_teams(df: DataFrame, key: str, col: str) -> DataFrame:
+    """key, league, team_id, name of every team of a season's schedule."""
+    df.select(key, F.try_parse_json(F.col(col).cast("string")).alias("v")).createOrReplaceTempView("_schedules")
+    found = f"SELECT {key}, try_variant_get(v, '$.LeagueInfo[1]', 'string') AS league, t.value AS t FROM _schedules, LATERAL variant_explode(try_variant_get(v, '$.TeamInfo', 'variant')) AS t"
+    rows = df.sparkSession.sql(found)
+    return rows.select(key, "league", F.try_variant_get("t", "$[0]", "int").alias("team_id"), F.try_variant_get("t", "$[1]", "string").alias("name")).where("team_id IS NOT NULL")
+
+
 def extract_links(pages: DataFrame, key: str, col: str, pattern: str = r'href="([^"]*)"', segments: int | None = None, blocked: tuple[str, ...] = ()) -> DataFrame:
     """key, pos, href, season of the distinct links of a page in order; with so many path segments and no blocked one."""
     found = pages.select(key, F.posexplode(F.regexp_extract_all(col, F.lit(pattern), F.lit(1))).alias("pos", "href"))
