@@ -309,3 +309,23 @@ def test_quality_posteriors_are_those_of_plain_counts(spark):
     counted = quality.estimate(sorted(Counter(votes).items()), 3)
     single = quality.estimate([(v, 1) for v in sorted(votes)], 3)
     assert all(abs(counted[v] - single[v]) < 1e-9 for v in set(votes))
+
+
+def test_session_settings_come_back(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    jaccard.near_classes(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string"), 4, 0.85)
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
+def test_a_shared_folder_is_asked_for_off_local_mode():
+    from fixturelake import cluster
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        cluster.shared_dir(Session)
