@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, numbered, ship, table, text_key
+from .common import Tables, numbered, ship, small_batches, table, text_key
 
 MIN, MAX = 8, 192
 MASK_BITS = 4
@@ -106,9 +106,13 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, sample: float = SAMP
 
     The documents of repeated rows are looked at once; see ``deduplicated`` for their copies.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    tables = Tables(spark)
+    ship(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _repeated_spans(docs, min_run, sample)
+
+
+def _repeated_spans(docs: DataFrame, min_run: int, sample: float) -> DataFrame:
+    tables = Tables(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), "text")
     cut = lambda df, often, inside: df.mapInArrow(_chunk_rows(often, inside), "d1 long, d2 long, id long, key long, place long")
     some = cut(keyed.where(F.pmod(F.col("key"), F.lit(1_000_000)) < int(sample * 1_000_000)), frozenset(), False)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fixturelake.cluster import scratch_path, ship
 
-__all__ = ["Tables", "drop_results", "materialise", "numbered", "ship", "small_side", "table", "text_key"]
+__all__ = ["Tables", "drop_results", "materialise", "numbered", "ship", "small_batches", "small_side", "table", "text_key"]
 
 #: Rows that are sent to every task at most; larger sides are joined by a shuffle.
 FEW_ROWS = 1_000_000
@@ -68,6 +71,18 @@ def drop_results(spark: SparkSession) -> None:
         _delete(spark, _results.pop())
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Texts go to Python in batches of few rows, so that long ones fit in memory, in what runs inside; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_side(df: DataFrame, bound: int | None = None) -> DataFrame:
     """df, which has to be a written table, broadcast where it has few rows."""
     bound = FEW_ROWS if bound is None else bound
@@ -83,7 +98,7 @@ def numbered(df: DataFrame, keys: list[str], name: str, many: int = MANY_COPIES)
     """df with the number, from 1, of each row among those with equal keys; which row gets which number is left open.
 
     A key with over ``many`` rows is not brought to one task: its rows are numbered in each input partition, behind those
-    of the partitions before.
+    of the partitions before. df is read twice, and has to give the same partitions both times, as a table does.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > many).drop("_n")
     tables = Tables(df.sparkSession)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, ship, table
+from .common import Tables, ship, small_batches, table
 from .shingles import mix
 
 WIDTH = 400
@@ -164,9 +164,13 @@ def _key() -> Column:
 
 def cut_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD, hot_bytes: int = HOT) -> DataFrame:
     """key, spans: the maximal byte ranges (a, b) to remove, of documents with any."""
-    spark = docs.sparkSession
-    ship(spark)
-    tables = Tables(spark)
+    ship(docs.sparkSession)
+    with small_batches(docs.sparkSession, 200):
+        return _cut_spans(docs, width, gram, shard_bytes, hot_bytes)
+
+
+def _cut_spans(docs: DataFrame, width: int, gram: int, shard_bytes: int, hot_bytes: int) -> DataFrame:
+    tables = Tables(docs.sparkSession)
     gram = min(gram, max(1, width // 2))
     keyed = docs.select(_key().alias("key"), "text")
     cut = tables.write(keyed.mapInArrow(_segment_rows(width, gram), "anchor long, key long, s long, e long, double boolean, d1 long, d2 long"), "segments")
