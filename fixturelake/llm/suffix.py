@@ -7,7 +7,8 @@ array and permuted common prefixes of WIDTH or more mark repeated windows. Shard
 grows with the input. An anchor with more than HOT bytes of different segments is not put in one shard: its windows
 are spread over the cluster by their 128-bit hashes and counted.
 
-Matches never cross documents; overlapping matches in one text count. Null and empty texts, and texts shorter than
+Matches never cross documents; overlapping matches in one text count. Very long texts are searched for anchors in pieces of
+SLICE bytes. Null and empty texts, and texts shorter than
 WIDTH, lose nothing. A repeated row is another document, so both lose all if they have WIDTH bytes. A null doc_id is kept as null. An
 empty table gives no rows. Extra columns are ignored by ``cut_spans`` and kept by ``deduplicated``.
 """
