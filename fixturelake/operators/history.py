@@ -68,11 +68,16 @@ def _groups(odds: list[str], low: float) -> list[list[str]]:
     return [odds[k : k + size] for k in range(0, len(odds), size)]
 
 
-def near_pairs(targets: DataFrame, history: DataFrame, odds: list[str], tolerances: list[float], low: float, key: str = "match_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """target_id, the key and keep columns of history, known (columns), near (an array of counts, one a tolerance) of pairs with a share of ``low`` or more.
+#: Rows of targets that are sent to every task at most, each with ranges of a group's columns; more are joined by a shuffle.
+FEW_ROWS = 200_000
+
+
+def near_pairs(targets: DataFrame, history: DataFrame, odds: list[str], tolerances: list[float], low: float, key: str = "match_id", keep: tuple[str, ...] = ()) -> list[DataFrame]:
+    """target_id, the key and keep columns of history, known (columns), near0, near1, ... (near columns, one a tolerance) of pairs with a share of ``low`` or more.
 
     Values go to buckets of a logarithmic scale as wide as the largest tolerance, so that a target's range touches two. A pair
-    meets by an equality of buckets in all known columns of a group, and is kept in the first group that is near as a whole.
+    meets by an equality of buckets in all known columns of a group, and is kept in the first group that is near as a whole: the tables, one
+    a group, have no pair in common.
     """
     if max(tolerances) >= 1 or low <= 0:
         raise ValueError("tolerances have to be below 1, where a missing value would be near, and thresholds above 0")
@@ -83,7 +88,7 @@ def near_pairs(targets: DataFrame, history: DataFrame, odds: list[str], toleranc
     rows = history.select(F.col(key), *keep, *[known_odds(F.col(c)).alias(c) for c in odds])
     is_near = lambda c, tol: F.coalesce(F.try_divide(F.abs(F.col(c) - F.col(f"t_{c}")), F.col(f"t_{c}")) <= tol, F.lit(False))
     known = sum((F.when(F.col(f"t_{c}") != 0, 1).otherwise(0) for c in odds), F.lit(0))
-    near = F.array(*[sum((F.when(is_near(c, tol), 1).otherwise(0) for c in odds), F.lit(0)) for tol in tolerances])
+    near = [sum((F.when(is_near(c, tol), 1).otherwise(0) for c in odds), F.lit(0)) for tol in tolerances]
     found: list[DataFrame] = []
     before = F.lit(False)
     for cols in _groups(odds, low):
@@ -92,18 +97,19 @@ def near_pairs(targets: DataFrame, history: DataFrame, odds: list[str], toleranc
             t = F.col(f"t_{c}")
             left = left.withColumn(f"b_{c}", F.explode(F.when(t > 0, F.sequence(bucket(t * (1 - most) - 1e-12), bucket(t * (1 + most) + 1e-12))).otherwise(F.array(F.lit(ANY)))))
             right = right.withColumn(f"b_{c}", F.explode(F.when(F.col(c) > 0, F.array(F.lit(ANY), bucket(F.col(c)))).otherwise(F.array(F.lit(ANY)))))
+        left = F.broadcast(left) if left.limit(FEW_ROWS + 1).count() <= FEW_ROWS else left
         whole = reduce(Column.__and__, [(F.col(f"t_{c}") <= 0) | is_near(c, most) for c in cols])
         some = reduce(Column.__or__, [F.col(f"t_{c}") > 0 for c in cols])
         pairs = right.join(left, [f"b_{c}" for c in cols]).where((F.col(key) != F.col("target_id")) & whole & ~before)
-        found.append(pairs.select("target_id", key, *keep, known.alias("known"), near.alias("near"), *[F.col(f"t_{c}") for c in odds], *odds))
+        counts = pairs.select("target_id", key, *keep, known.alias("known"), *[n.alias(f"near{k}") for k, n in enumerate(near)])
+        found.append(counts.where(F.col(f"near{tolerances.index(most)}") >= low * F.col("known") - 1e-9))
         before = before | (some & whole)
-    every = reduce(DataFrame.unionByName, found)
-    return every.where(F.array_max("near") >= low * F.col("known") - 1e-9)
+    return found
 
 
 def _cells(pairs: DataFrame, tolerances: list[float], thresholds: list[float], *cols: str) -> DataFrame:
     """A row for each tolerance and threshold that a pair reaches."""
-    ratio = F.array(*[F.struct(F.lit(tol).alias("tolerance"), (F.col("near")[k] / F.col("known")).alias("ratio")) for k, tol in enumerate(tolerances)])
+    ratio = F.array(*[F.struct(F.lit(tol).alias("tolerance"), (F.col(f"near{k}") / F.col("known")).alias("ratio")) for k, tol in enumerate(tolerances)])
     each = pairs.select(*cols, F.explode(F.filter(ratio, lambda x: x["ratio"] >= min(thresholds))).alias("x"))
     cells = each.select(*cols, "x.tolerance", "x.ratio", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
     return cells.where("ratio >= threshold")
@@ -115,7 +121,7 @@ def similar_matches(targets: DataFrame, history: DataFrame, odds: list[str], tol
     Of the target's known odds, the share whose relative difference is at most the tolerance; a missing value in the
     history is a difference of one.
     """
-    pairs = near_pairs(targets, history, odds, tolerances, min(thresholds), key)
+    pairs = reduce(DataFrame.unionByName, near_pairs(targets, history, odds, tolerances, min(thresholds), key))
     return _cells(pairs, tolerances, thresholds, "target_id", key).select("target_id", key, "tolerance", "threshold", "ratio")
 
 
@@ -124,8 +130,9 @@ def similar_counts(targets: DataFrame, history: DataFrame, odds: list[str], tole
 
     ``outcome`` is a column of history. Pairs are counted by their shares, of which a target has as many as it has known columns.
     """
+    by = ["target_id", outcome, "known", *[f"near{k}" for k in range(len(tolerances))]]
     pairs = near_pairs(targets, history, odds, tolerances, min(thresholds), key, (outcome,))
-    counted = pairs.groupBy("target_id", outcome, "known", "near").agg(F.count("*").alias("n"))
+    counted = reduce(DataFrame.unionByName, [p.groupBy(*by).agg(F.count("*").alias("n")) for p in pairs])
     return _cells(counted, tolerances, thresholds, "target_id", outcome, "n").groupBy("target_id", "tolerance", "threshold", outcome).agg(F.sum("n").alias("hits"))
 
 
