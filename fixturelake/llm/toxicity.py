@@ -64,9 +64,32 @@ def _train_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, str, int]] = set()
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             words = fold(text).split()
-            seen.update((w, p, toxic) for p, w in zip(["", *words], words, strict=False) if len(w) >= PREFIX[0])
-        rows = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["word", "before", "toxic"])
+            # beginnings alone count, so that junk of very long words stays small
+            seen.update((w[:24], p[:24], toxic) for p, w in zip(["", *words], words, strict=False) if len(w) >= PREFIX[0])
+        yield _pair_rows(seen)
+
+
+def _pair_rows(seen: set[tuple[str, str, int]]) -> pa.RecordBatch:
+    rows = list(seen)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["word", "before", "toxic"])
+
+
+def exceptions(train: DataFrame, kept: dict[str, float]) -> dict[str, float]:
+    """Pairs of whole words, the second with a kept beginning, that stand in clean texts only, with the weight that they take back."""
+
+    def own(word: str) -> str | None:  # kept beginnings do not nest, so a word has one at most
+        return next((word[:k] for k in PREFIX if word[:k] in kept), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: set[tuple[str, str, int]] = set()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                words = fold(text).split()
+                seen.update((w, p, toxic) for p, w in zip(words, words[1:], strict=False) if own(w))
+            yield _pair_rows(seen)
+
+    pairs = train.mapInArrow(run, "word string, before string, toxic int").groupBy("word", "before").agg(F.max("toxic").alias("toxic")).where("toxic = 0")
+    return {f" {r['before']} {r['word']} ": -kept[own(r["word"])] for r in pairs.collect()}
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
@@ -106,10 +129,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     kept = {t: w for t, w in kept.items() if not any(t[:k] in kept for k in range(PREFIX[0], len(t)))}
     lexicon = {f" {t}": w for t, w in kept.items()}
     if kept:
-        # kept starts do not nest, so a word has one at most
-        start = train.sparkSession.createDataFrame([(t,) for t in sorted(kept)], "start string")
-        clean = pairs.where("pos = 0 AND before != ''").select("before", "word", F.explode(F.transform(lengths, lambda n: F.substring("word", F.lit(1), n))).alias("start"))
-        lexicon |= {f" {r['before']} {r['word']} ": -kept[r["start"]] for r in clean.join(start, "start").distinct().collect()}
+        lexicon |= exceptions(train, kept)
     tables.drop()
     return lexicon
 
