@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, ship, small_side, table, text_key
+from .common import Tables, ship, small_batches, small_side, table, text_key
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -122,12 +122,16 @@ def _cells(width: int, threshold: float):
 
 def near_classes(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """doc_id, n_shingles, component_id, key and first_key (of the row to keep of its class) for every row of docs."""
-    spark = docs.sparkSession
-    ship(spark)
-    tables = Tables(spark)
+    ship(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _near_classes(docs, width, threshold)
+
+
+def _near_classes(docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    tables = Tables(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("key"))
     slim = tables.write(keyed.mapInArrow(_sets(width, ["doc_id", "key"], False), "doc_id long, key long, n long, sig long"), "sets-of")
-    by_sig = slim.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    by_sig = slim.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
     links = linked(keyed, slim, width, threshold, tables)
     if links is not None:
         named = tables.write(by_sig.join(components(links, tables).withColumnRenamed("node", "sig"), "sig", "left"), "named")
@@ -148,7 +152,7 @@ def candidates(keyed: DataFrame, slim: DataFrame, width: int, threshold: float,
     # hashing the texts twice takes less than keeping all their slices; copies have one signature, so they do not crowd one
     cut = keyed.select("text").mapInArrow(_cells(width, threshold), "cell long, sig long")
     crowded = tables.write(cut.groupBy("cell").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("cell"), "crowded")
-    met = cut.join(crowded, "cell").distinct().groupBy("sig").agg(F.count("*").alias("met"))
+    met = cut.join(small_side(crowded), "cell").distinct().groupBy("sig").agg(F.count("*").alias("met"))
     reps = slim.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("n").alias("n"))
     near = tables.write(reps.join(met, "sig").where(F.col("met") >= need).select("key", "sig"), "near")
     texts = keyed.select("key", "text").join(small_side(near.select("key")), "key", "left_semi").dropDuplicates(["key"])
