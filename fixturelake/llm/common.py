@@ -8,69 +8,21 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fixturelake.cluster import scratch_path, ship
+from fixturelake import cluster
+from fixturelake.cluster import Tables, drop_results, materialise, ship
 
 __all__ = ["Tables", "drop_results", "materialise", "numbered", "ship", "small_batches", "small_side", "table", "text_key"]
 
 #: Rows that are sent to every task at most; larger sides are joined by a shuffle.
-FEW_ROWS = 1_000_000
+FEW_ROWS = cluster.FEW_ROWS
 #: Rows with equal keys that are numbered in one task; more are numbered where they are read.
 MANY_COPIES = 10_000
-_results: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Tables:
-    """The tables of one call in the shared folder: later steps survive lost executors and do not compute them again."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(self.spark, name)
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, since: int = 0, until: int | None = None) -> None:
-        """Delete tables that nothing reads any more."""
-        for path in self.paths[since:until]:
-            _delete(self.spark, path)
-        del self.paths[since:until]
-
-    def result(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table that the caller's result reads, and delete all others of this call."""
-        held = len(self.paths)
-        out = self.write(df, name)
-        self.drop(0, held)
-        self.keep()
-        return out
-
-    def keep(self) -> None:
-        """Leave what is there to ``drop_results``."""
-        _results.extend(self.paths)
-        self.paths = []
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back; it stays until ``drop_results``."""
-    return Tables(df.sparkSession).result(df, name)
-
-
-def drop_results(spark: SparkSession) -> None:
-    """Delete the tables that results of earlier calls read; call it when none of them is used any more."""
-    while _results:
-        _delete(spark, _results.pop())
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Texts go to Python in batches of few rows, so that long ones fit in memory, in what runs inside; the session's setting comes back."""
@@ -85,8 +37,7 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
 
 def small_side(df: DataFrame, bound: int | None = None) -> DataFrame:
     """df, which has to be a written table, broadcast where it has few rows."""
-    bound = FEW_ROWS if bound is None else bound
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    return cluster.small_side(df, FEW_ROWS if bound is None else bound)
 
 
 def text_key() -> Column:
