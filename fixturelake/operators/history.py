@@ -8,6 +8,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixturelake.cluster import Tables, small_side
 from fixturelake.functions.scalars import htft_label, known_odds, score_text, side
 
 
@@ -53,58 +54,65 @@ def outcomes(df: DataFrame) -> DataFrame:
     })
 
 
-#: Odds columns that a group of the similarity join has at most: a match has a row for each set of known columns of a group.
+#: Columns of a group of the similarity join at most: a target has a token for each choice of touched buckets in a group.
 GROUP_COLUMNS = 4
-#: Stands for a column that a target does not know.
-ANY = -(1 << 62)
+#: Targets with their values that are sent to every task at most; more are joined by a shuffle.
+FEW_TARGETS = 50_000
 
 
-def _groups(odds: list[str], low: float) -> list[list[str]]:
-    """Groups of columns so that a match with a share of ``low`` of the known columns near agrees in all known columns of a group.
+def _group_size(low: float) -> int:
+    """Columns of a group so that a match with a share of ``low`` of the known columns near agrees in all known columns of a group.
 
-    Of k known columns under (1 - low) * k + 1 are missed. Groups of fewer than 1 / (1 - low) columns number more than that.
+    Of k known columns e, the whole part of (1 - low) * k, may be missed. Groups of fewer than 1 / (1 - low) columns number more than that.
     """
-    size = GROUP_COLUMNS if low >= 1 else max(1, min(GROUP_COLUMNS, ceil(1 / (1 - low) - 1e-9) - 1))
-    return [odds[k : k + size] for k in range(0, len(odds), size)]
+    return GROUP_COLUMNS if low >= 1 else max(1, min(GROUP_COLUMNS, ceil(1 / (1 - low) - 1e-9) - 1))
 
 
-#: Rows of targets that are sent to every task at most, each with ranges of a group's columns; more are joined by a shuffle.
-FEW_ROWS = 200_000
-
-
-def near_pairs(targets: DataFrame, history: DataFrame, odds: list[str], tolerances: list[float], low: float, key: str = "match_id", keep: tuple[str, ...] = ()) -> list[DataFrame]:
+def near_pairs(targets: DataFrame, history: DataFrame, odds: list[str], tolerances: list[float], low: float, key: str = "match_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """target_id, the key and keep columns of history, known (columns), near0, near1, ... (near columns, one a tolerance) of pairs with a share of ``low`` or more.
 
-    Values go to buckets of a logarithmic scale as wide as the largest tolerance, so that a target's range touches two. A pair
-    meets by an equality of buckets in all known columns of a group, and is kept in the first group that is near as a whole: the tables, one
-    a group, have no pair in common.
+    Values go to buckets of a logarithmic scale as wide as the largest tolerance, so that a target's range touches two. Columns are
+    grouped; a target that may miss e of its known columns agrees with a similar match in all known columns of one of any e + 1 groups.
+    Of its groups it takes the e + 1 whose buckets are rarest in the history, and looks their tokens (group, known columns,
+    buckets) up in an index of the tokens that any target asks for. Every pair that meets is compared once, in full.
     """
     if max(tolerances) >= 1 or low <= 0:
         raise ValueError("tolerances have to be below 1, where a missing value would be near, and thresholds above 0")
-    most = max(tolerances)
+    most, size, spark = max(tolerances), _group_size(low), history.sparkSession
     width = log((1 + most) / (1 - most)) + 1e-9
-    bucket = lambda c: F.floor(F.log(c) / width)
-    named = targets.select(F.col(key).alias("target_id"), *[known_odds(F.col(c)).alias(f"t_{c}") for c in odds])
-    rows = history.select(F.col(key), *keep, *[known_odds(F.col(c)).alias(c) for c in odds])
-    is_near = lambda c, tol: F.coalesce(F.try_divide(F.abs(F.col(c) - F.col(f"t_{c}")), F.col(f"t_{c}")) <= tol, F.lit(False))
-    known = sum((F.when(F.col(f"t_{c}") != 0, 1).otherwise(0) for c in odds), F.lit(0))
-    near = [sum((F.when(is_near(c, tol), 1).otherwise(0) for c in odds), F.lit(0)) for tol in tolerances]
-    found: list[DataFrame] = []
-    before = F.lit(False)
-    for cols in _groups(odds, low):
-        left, right = named.where(reduce(Column.__or__, [F.col(f"t_{c}") > 0 for c in cols])), rows
-        for c in cols:
-            t = F.col(f"t_{c}")
-            left = left.withColumn(f"b_{c}", F.explode(F.when(t > 0, F.sequence(bucket(t * (1 - most) - 1e-12), bucket(t * (1 + most) + 1e-12))).otherwise(F.array(F.lit(ANY)))))
-            right = right.withColumn(f"b_{c}", F.explode(F.when(F.col(c) > 0, F.array(F.lit(ANY), bucket(F.col(c)))).otherwise(F.array(F.lit(ANY)))))
-        left = F.broadcast(left) if left.limit(FEW_ROWS + 1).count() <= FEW_ROWS else left
-        whole = reduce(Column.__and__, [(F.col(f"t_{c}") <= 0) | is_near(c, most) for c in cols])
-        some = reduce(Column.__or__, [F.col(f"t_{c}") > 0 for c in cols])
-        pairs = right.join(left, [f"b_{c}" for c in cols]).where((F.col(key) != F.col("target_id")) & whole & ~before)
-        counts = pairs.select("target_id", key, *keep, known.alias("known"), *[n.alias(f"near{k}") for k, n in enumerate(near)])
-        found.append(counts.where(F.col(f"near{tolerances.index(most)}") >= low * F.col("known") - 1e-9))
-        before = before | (some & whole)
-    return found
+    bucket = lambda x: F.floor(F.log(x) / width)
+    values = lambda df: F.array(*[known_odds(F.col(c)).cast("double") for c in odds])
+    with Tables(spark) as tables:
+        rows = history.select(F.col(key), *keep, values(history).alias("h")).withColumn("b", F.transform("h", lambda x: F.when(x > 0, bucket(x))))
+        rows = tables.write(rows, "similar-history")
+        named = tables.write(targets.select(F.col(key).alias("target_id"), values(targets).alias("t")).withColumn("known", F.size(F.filter("t", lambda x: x != 0))), "similar-targets")
+        # rarity: how often each bucket of each column occurs
+        frequency = rows.select(F.posexplode("b").alias("col", "bucket")).where("bucket is not null").groupBy("col", "bucket").agg(F.count("*").alias("n"))
+        ranges = named.select("target_id", "known", F.posexplode("t").alias("col", "t")).where("t > 0").withColumns({"lo": bucket(F.col("t") * (1 - most) - 1e-12), "hi": bucket(F.col("t") * (1 + most) + 1e-12)})
+        touched = ranges.withColumn("bucket", F.explode(F.sequence("lo", "hi"))).join(frequency, ["col", "bucket"], "left")
+        column = touched.groupBy("target_id", "known", "col", "lo", "hi").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+        total = max(1, rows.count())
+        group = column.groupBy("target_id", "known", F.floor(F.col("col") / size).cast("int").alias("group")).agg(
+            F.sort_array(F.collect_list(F.struct("col", "lo", "hi"))).alias("cols"), F.sum(F.log((F.col("n") + 0.5) / total)).alias("share"), F.expr(f"cast(sum(shiftleft(1, col % {size})) as int)").alias("mask")
+        )  # at most ``size`` columns
+        needed = F.col("known") - F.ceil(F.col("known") * low - 1e-9) + 1
+        chosen = group.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy("share", "group"))).where(F.col("rank") <= needed)
+        seed = lambda g, mask: F.xxhash64(g.cast("long"), mask.cast("long"))
+        combined = F.aggregate("cols", F.array(seed(F.col("group"), F.col("mask"))), lambda acc, x: F.flatten(F.transform(acc, lambda a: F.transform(F.sequence(x["lo"], x["hi"]), lambda b: F.xxhash64(a, b)))))
+        asked = tables.write(chosen.select("target_id", "group", "mask", F.explode(combined).alias("token")), "similar-tokens")
+        # at most 2 ** size - 1 sets of known columns a group
+        tokens = []
+        for r in asked.select("group", "mask").distinct().collect():
+            cols = [r["group"] * size + k for k in range(size) if r["mask"] >> k & 1]
+            token = reduce(lambda acc, j: F.xxhash64(acc, F.col("b")[j]), cols, seed(F.lit(r["group"]), F.lit(r["mask"])))
+            tokens.append(F.when(reduce(Column.__and__, [F.col("b")[j].isNotNull() for j in cols]), token))
+        index = rows.select(key, F.explode(F.array_compact(F.array(*tokens) if tokens else F.array().cast("array<bigint>"))).alias("token"))
+        met = index.join(small_side(asked.select("target_id", "token")), "token").where(F.col(key) != F.col("target_id")).select("target_id", key).distinct()
+        gap = F.zip_with("t", "h", lambda t, h: F.when(t != 0, F.abs(h - t) / t))
+        within = lambda tol: F.size(F.filter("gap", lambda x: x <= tol))
+        near = [within(tol).alias(f"near{k}") for k, tol in enumerate(tolerances)]
+        pairs = met.join(rows.drop("b"), key).join(small_side(named, FEW_TARGETS), "target_id").withColumn("gap", gap).select("target_id", key, *keep, "known", *near)
+        return tables.result(pairs.where(F.col(f"near{tolerances.index(most)}") >= low * F.col("known") - 1e-9), "similar")
 
 
 def _cells(pairs: DataFrame, tolerances: list[float], thresholds: list[float], *cols: str) -> DataFrame:
@@ -121,7 +129,7 @@ def similar_matches(targets: DataFrame, history: DataFrame, odds: list[str], tol
     Of the target's known odds, the share whose relative difference is at most the tolerance; a missing value in the
     history is a difference of one.
     """
-    pairs = reduce(DataFrame.unionByName, near_pairs(targets, history, odds, tolerances, min(thresholds), key))
+    pairs = near_pairs(targets, history, odds, tolerances, min(thresholds), key)
     return _cells(pairs, tolerances, thresholds, "target_id", key).select("target_id", key, "tolerance", "threshold", "ratio")
 
 
@@ -131,8 +139,7 @@ def similar_counts(targets: DataFrame, history: DataFrame, odds: list[str], tole
     ``outcome`` is a column of history. Pairs are counted by their shares, of which a target has as many as it has known columns.
     """
     by = ["target_id", outcome, "known", *[f"near{k}" for k in range(len(tolerances))]]
-    pairs = near_pairs(targets, history, odds, tolerances, min(thresholds), key, (outcome,))
-    counted = reduce(DataFrame.unionByName, [p.groupBy(*by).agg(F.count("*").alias("n")) for p in pairs])
+    counted = near_pairs(targets, history, odds, tolerances, min(thresholds), key, (outcome,)).groupBy(*by).agg(F.count("*").alias("n"))
     return _cells(counted, tolerances, thresholds, "target_id", outcome, "n").groupBy("target_id", "tolerance", "threshold", outcome).agg(F.sum("n").alias("hits"))
 
 

@@ -12,7 +12,7 @@ from fixturelake.operators import history as H
 from fixturelake.operators import patterns as P
 from fixturelake.operators import refine as R
 from fixturelake.operators import schedule as C
-from fixturelake.plans.views import CURRENT_SEASON, ODDS, fixtures, history, odds_wide, read, team_view
+from fixturelake.plans.views import ALL_ODDS, CURRENT_SEASON, ODDS, catalogue_rule, fixtures, full_history, history, odds_wide, read, team_view
 from fixturelake.sources import feeds as E
 from fixturelake.sources.sinks import match_report
 
@@ -108,6 +108,51 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return H.modal_of_counts(counted, ["target_id", "tolerance", "threshold"], "score")
 
 
+FULL_SQL = (
+    "lines AS (SELECT l_orderkey AS match_id, "
+    + ", ".join(f"max(CASE WHEN l_linenumber = {k} THEN {c} END) AS {m}{k}" for m, c in (("d", "l_discount"), ("x", "l_tax"), ("q", "l_quantity")) for k in range(1, 8))
+    + " FROM lineitem GROUP BY l_orderkey), odds_full AS (SELECT match_id, "
+    + ", ".join(f"{base} + {factor} * {source} AS {name}" for name, base, factor, source in catalogue_rule())
+    + " FROM lines)"
+)
+FULL_HIST = "hist AS (SELECT f.*, " + ", ".join(f"o.{c}" for c in ALL_ODDS) + " FROM fixtures f JOIN odds_full o USING (match_id) WHERE played)"
+FULL_BASE = f"WITH {FIXTURES}, {FULL_SQL}, {FULL_HIST}"
+#: The grid of the daily similarity report.
+GRID_TOLERANCES, GRID_THRESHOLDS = [0.0, 0.01], [0.99, 0.97, 0.95]
+ALL_VALID = " + ".join(f"CASE WHEN coalesce(t.{c}, 0) <> 0 THEN 1 ELSE 0 END" for c in ALL_ODDS)
+ALL_NEAR = "({}) / CAST(known AS DOUBLE)".format(" + ".join(f"CASE WHEN coalesce(t.{c}, 0) <> 0 AND abs(coalesce(h.{c}, 0) - t.{c}) / t.{c} <= tol THEN 1 ELSE 0 END" for c in ALL_ODDS))
+FULL_SIMILAR = f"""{FULL_BASE}, targets AS (SELECT t.*, {ALL_VALID} AS known FROM hist t WHERE match_id % 50 = 0), tols AS (SELECT unnest({GRID_TOLERANCES}) AS tol), ths AS (SELECT unnest({GRID_THRESHOLDS}) AS th),
+ratios AS (SELECT t.match_id AS target_id, h.match_id, CAST(tol AS DOUBLE) AS tolerance, {ALL_NEAR} AS ratio FROM targets t JOIN hist h ON t.match_id <> h.match_id, tols WHERE known > 0),
+sims AS (SELECT target_id, match_id, tolerance, CAST(th AS DOUBLE) AS threshold, ratio FROM ratios, ths WHERE ratio >= th)"""
+
+
+def _full_similar(spark: SparkSession, d: str) -> DataFrame:
+    past = full_history(spark, d)
+    return H.similar_matches(past.where("match_id % 50 = 0"), past, ALL_ODDS, GRID_TOLERANCES, GRID_THRESHOLDS)
+
+
+@query("full_similar_matches", f"{FULL_SIMILAR} SELECT * FROM sims")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _full_similar(spark, d)
+
+
+@query("full_similarity_report", f"""{FULL_SIMILAR}, {GRID}, best AS (SELECT target_id, tolerance, threshold, hits FROM grid QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY threshold DESC, tolerance) = 1),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY target_id, tolerance, threshold ORDER BY ratio DESC, match_id) AS INT) AS rank FROM sims QUALIFY rank <= 10)
+SELECT * FROM best JOIN ranked USING (target_id, tolerance, threshold)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The best combination of every target with its ten most similar matches."""
+    similar = _full_similar(spark, d)
+    best = H.best_combination(H.similarity_grid(similar), GRID_TOLERANCES)
+    return best.join(H.top_similar(similar, 10), ["target_id", "tolerance", "threshold"])
+
+
+@query("full_modal_outcome", f"{FULL_SIMILAR}, {MODE.format(o=OUTCOME)}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    past = H.outcomes(full_history(spark, d))
+    counted = H.similar_counts(past.where("match_id % 50 = 0"), past, ALL_ODDS, GRID_TOLERANCES, GRID_THRESHOLDS, "score")
+    return H.modal_of_counts(counted, ["target_id", "tolerance", "threshold"], "score")
+
+
 @query("exact_filter", f"{BASE} SELECT match_id, match_date FROM hist WHERE o1 = 0.05 AND t1 = 0.02 ORDER BY match_date DESC, match_id LIMIT 5000")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return H.filter_by_odds(history(spark, d), {"o1": "0,05", "t1": 0.02, "o2": "-", "none": 1.0}).select("match_id", "match_date")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fixturelake.functions.catalogue import odds_columns
 from fixturelake.operators.history import load_history
 
 #: The running season, and the first day that has not been played.
@@ -53,6 +54,37 @@ def odds_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("match_id")).agg(*cols)
 
 
+ALL_ODDS = [c["name"] for c in odds_columns()]
+
+
+def catalogue_rule() -> list[tuple[str, float, float, str]]:
+    """(name, base, factor, source) of every column of the catalogue: its odds are base + factor * source, of which the sources are the lines' measures.
+
+    Columns take the lines in turn, so that a match with fewer lines lacks their columns; of 25 one follows the quantity, the others by
+    sevens the discount and the tax.
+    """
+    rule = []
+    for j, name in enumerate(ALL_ODDS):
+        measure = "q" if j % 25 == 24 else "dx"[j // 7 % 2]
+        rule.append((name, 1.25 + 0.25 * (j % 5), [0.5, 1.0, 2.0, 4.0][j % 4], f"{measure}{j % 7 + 1}"))
+    return rule
+
+
+def odds_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a match with all odds of the catalogue, some missing."""
+    lines = read(spark, sf_dir, "lineitem")
+    measures = {"d": "l_discount", "x": "l_tax", "q": "l_quantity"}
+    cols = [F.max(F.when(F.col("l_linenumber") == k, F.col(c))).alias(f"{m}{k}") for m, c in measures.items() for k in range(1, 8)]
+    per_match = lines.groupBy(F.col("l_orderkey").alias("match_id")).agg(*cols)
+    return per_match.select("match_id", *[(F.lit(base) + F.lit(factor) * F.col(source)).alias(name) for name, base, factor, source in catalogue_rule()])
+
+
+def full_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Played matches with all odds of the catalogue."""
+    played = fixtures(spark, sf_dir).where("played").join(odds_full(spark, sf_dir), "match_id")
+    return load_history(played, ALL_ODDS, [c for c in played.columns if c not in ALL_ODDS])
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Played matches with their odds."""
     played = fixtures(spark, sf_dir).where("played").join(odds_wide(spark, sf_dir), "match_id")
