@@ -261,11 +261,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return R.mine_filter_sets(history(spark, d), history(spark, d), ODDS, max_size=5, beam=3)
 
 
-def _refine_sql(defaults: list[str], extras: list[str]) -> str:
+def _refine_sql(defaults: list[str], extras: list[str], base: str = BASE) -> str:
     fits = " AND ".join([f"(coalesce(t.{c}, 0) = 0 OR coalesce(h.{c}, 0) = t.{c})" for c in defaults] + ["t.match_id <> h.match_id"])
     mask = " + ".join(f"CASE WHEN coalesce(h.{c}, 0) = coalesce(t.{c}, 0) THEN {1 << k} ELSE 0 END" for k, c in enumerate(extras))
-    known = " + ".join(f"CASE WHEN coalesce(t.{c}, 0) <> 0 THEN {1 << k} ELSE 0 END" for k, c in enumerate(extras))
-    parts = [f"{BASE}, {T_SQL}, c AS (SELECT t.match_id AS target_id, {known} AS known, {mask} AS mask FROM targets t JOIN hist h ON {fits})", "s0 AS (SELECT target_id, known, 0 AS active, count(*) AS hits FROM c GROUP BY ALL)"]
+    known = " + ".join("0" if c in defaults else f"CASE WHEN coalesce(t.{c}, 0) <> 0 THEN {1 << k} ELSE 0 END" for k, c in enumerate(extras))
+    parts = [f"{base}, {T_SQL}, c AS (SELECT t.match_id AS target_id, {known} AS known, {mask} AS mask FROM targets t JOIN hist h ON {fits})", "s0 AS (SELECT target_id, known, 0 AS active, count(*) AS hits FROM c GROUP BY ALL)"]
     for k in range(len(extras)):
         n = f"(SELECT count(*) FROM c WHERE c.target_id = s.target_id AND (mask & (s.active | {1 << k})) = (s.active | {1 << k}))"
         parts.append(f"r{k} AS (SELECT *, {n} AS n FROM s{k} s), s{k + 1} AS (SELECT target_id, known, CASE WHEN hits BETWEEN 1 AND 2 OR (known & {1 << k}) = 0 OR n = 0 THEN active ELSE active | {1 << k} END AS active, CASE WHEN hits BETWEEN 1 AND 2 OR (known & {1 << k}) = 0 OR n = 0 THEN hits ELSE n END AS hits FROM r{k})")
@@ -282,6 +282,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return R.adaptive_filter(_targets(spark, d), history(spark, d), [], ["o1", "t1", "o2", "t2", "o3"])
 
 
+# The columns of the daily refinement, those that always hold and those that are added in turn; one is in both lists.
+DEFAULTS = "first_x_a bts_second_no_a bts_first_no_a dbc_ft_12_a ft_1_5_over_a bts_ft_yes_a first_2_a".split()
+EXTRAS = "dbc_ft_x2_a dbc_ft_1x_a first_1_a first_2_a ft_1_a ft_2_a ft_4_5_under_a".split()
+
+
+@query("full_adaptive_filter", _refine_sql(DEFAULTS, EXTRAS, FULL_BASE))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    past = full_history(spark, d)
+    return R.adaptive_filter(past.where("match_id % 50 = 0"), past, DEFAULTS, EXTRAS)
+
+
+@query("full_sequential_filter", _refine_sql([], [*DEFAULTS, *EXTRAS[:3], *EXTRAS[4:]], FULL_BASE))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """From no columns, in the order of the lists."""
+    past = full_history(spark, d)
+    return R.adaptive_filter(past.where("match_id % 50 = 0"), past, [], [*DEFAULTS, *EXTRAS[:3], *EXTRAS[4:]])
+
+
 @query("outcome_labels", f"WITH {FIXTURES} SELECT match_id, {OUTCOME} FROM fixtures")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return H.outcomes(fixtures(spark, d)).select("match_id", "htft", "score", "side")
