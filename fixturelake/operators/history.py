@@ -229,18 +229,27 @@ def accepted_results(rows: DataFrame, group: str, low: int = 1, high: int = 2) -
     return rows.withColumn("n", n).where(F.col("n").between(low, high)).drop("n")
 
 
-def score_filter_sets(filters: list[list[str]], targets: DataFrame, history: DataFrame, cap: int = 21, threshold: float = 0.8, key: str = "match_id", newest: str = "match_date") -> DataFrame:
+def filter_keys(df: DataFrame, filters: list[list[str]], *more: str | Column) -> DataFrame:
+    """The more columns, filter_id and values of each row once for every filter: its number, and the row's values in its columns."""
+    cols = sorted({c for f in filters for c in f})
+    places = F.array(*[F.array(*[F.lit(cols.index(c)) for c in sorted(f)]) for f in filters])
+    rows = df.select(*more, F.array(*[known_odds(F.col(c)).cast("double") for c in cols]).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(len(filters) - 1))).alias("filter_id"))
+    kept = [c for c in rows.columns if c not in ("v", "filter_id")]
+    return rows.select(*kept, "filter_id", F.transform(F.get(places, F.col("filter_id")), lambda k: F.get("v", k)).alias("values"))
+
+
+def score_filter_sets(filters: list[list[str]], targets: DataFrame, history: DataFrame, cap: int = 21, threshold: float = 0.8, key: str = "match_id", newest: str = "match_date", asked_only: bool = False) -> DataFrame:
     """filter_id, cols, score: the targets for which each column set has a valid case (A10); all sets are one keyed join.
 
-    A row has a key for each filter: its number and its values in the filter's columns.
+    A row has a key for each filter: its number and its values in the filter's columns. asked_only: of the history only rows with a key of a
+    target are ranked, which pays where targets are few.
     """
-    cols = sorted({c for f in filters for c in f})
-    keys = F.array(*[F.struct(F.lit(k).alias("filter_id"), F.array(*[known_odds(F.col(c)).cast("double") if c in f else F.lit(-1.0) for c in cols]).alias("values")) for k, f in enumerate(filters)])
-    of = lambda df, *more: df.select(*more, F.explode(keys).alias("k")).select(*more, "k.filter_id", "k.values")
-    right = of(outcomes(history), F.col(key), newest, "htft", "score", "side")
+    right = filter_keys(outcomes(history), filters, key, newest, "htft", "score", "side")
+    left = filter_keys(outcomes(targets), filters, F.col(key).alias("target_id"), *[F.col(c).alias(f"t_{c}") for c in ("htft", "score", "side")])
+    if asked_only:
+        right = right.join(left.select("filter_id", "values").distinct(), ["filter_id", "values"], "left_semi")
     order = Window.partitionBy("filter_id", "values").orderBy(F.desc_nulls_first(newest), key)
     right = right.withColumn("at", F.row_number().over(order)).where(F.col("at") <= cap + 1).drop("at")
-    left = of(outcomes(targets).select(F.col(key).alias("target_id"), *cols, *[F.col(c).alias(f"t_{c}") for c in ("htft", "score", "side")]), "target_id", "t_htft", "t_score", "t_side")
     rows = right.join(left, ["filter_id", "values"]).where(F.col(key) != F.col("target_id"))
     own = Window.partitionBy("filter_id", "target_id").orderBy(F.desc_nulls_first(newest), key)
     rows = rows.withColumn("at", F.row_number().over(own)).where(F.col("at") <= cap)
@@ -250,6 +259,20 @@ def score_filter_sets(filters: list[list[str]], targets: DataFrame, history: Dat
     return F.broadcast(names).join(good, "filter_id", "left").select("filter_id", "cols", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
 
 
+def filter_reach(filters: list[list[str]], targets: DataFrame, history: DataFrame, key: str = "match_id") -> DataFrame:
+    """filter_id, reach: the targets with any other match that is equal in the filter's columns and ends on the same side.
+
+    No filter with more columns scores higher: its cohorts are parts of these, and a valid case needs a match that agrees in one case, and
+    whatever agrees in half and full time or in score agrees in side.
+    """
+    past = history.select(F.col(key).alias("target_id")).withColumn("own", F.lit(1))
+    wanted = filter_keys(outcomes(targets.withColumn("target_id", F.col(key)).join(past, "target_id", "left")), filters, "target_id", "own", "side")
+    right = filter_keys(outcomes(history), filters, "side")
+    counts = right.join(wanted.select("filter_id", "values", "side").distinct(), ["filter_id", "values", "side"], "left_semi").groupBy("filter_id", "values", "side").agg(F.count("*").alias("n"))
+    met = wanted.join(counts, ["filter_id", "values", "side"]).where(F.col("n") - F.coalesce("own", F.lit(0)) > 0)
+    return met.groupBy("filter_id").agg(F.count("*").alias("reach"))
+
+
 def score_summary(scores: DataFrame) -> DataFrame:
     """best, mean: the largest and the mean score of a batch of filters (A10)."""
     return scores.agg(F.max("score").alias("best"), F.avg("score").alias("mean"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixturelake.functions.scalars import comeback, score_in, score_text, teams_match
+from fixturelake.functions.scalars import comeback, normalize_name, score_in, score_text, teams_match, tokens
 from fixturelake.operators.schedule import SEASON, active_round, first_unplayed, neighbours, opponents_around, ordered
 
 # How many opponents before and after a match a combination compares.
@@ -82,6 +82,51 @@ def opponent_sequence(view: DataFrame, current: int, fuzzy: bool = False) -> Dat
     return found.select("league", "team", "season", "match_id", "target_id", "combo", _turned().alias("comeback"))
 
 
+def matching_names(left: DataFrame, right: DataFrame, by: list[str], name: str = "name") -> DataFrame:
+    """The by columns, left_name, right_name: names of left and right with equal by columns that mean one club.
+
+    Names meet in an inverted index: of tokens of three characters or more, of the first four of longer ones, and of folded names with
+    every piece of a folded name, so that one that holds the other meets it. What meets is verified; no other names are compared.
+    """
+    key = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
+    long, begins = lambda n: F.filter(tokens(F.col("n")), lambda x: F.length(x) >= n), lambda c: F.transform(c, lambda x: F.substring(x, 1, 4))
+    folded = normalize_name(F.col("n"))
+    size = F.length(folded)
+    pieces = F.when(size > 0, F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.substr(folded, i, k)))))
+    shared = F.concat(key("=", long(3)), key("^", begins(long(4))))
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        names = df.select(*by, F.col(name).alias("n")).distinct().where(size > 0)
+        whole, parts = F.array(folded), F.coalesce(pieces, F.array().cast("array<string>"))
+        held = F.concat(key("<", whole if side == "left" else parts), key(">", parts if side == "left" else whole))
+        return names.select(*by, F.col("n").alias(f"{side}_name"), F.explode(F.array_distinct(F.concat(shared, held))).alias("at"))
+
+    met = keyed(left, "left").join(keyed(right, "right"), [*by, "at"]).drop("at").distinct()
+    return met.where(teams_match(F.col("left_name"), F.col("right_name")))
+
+
+def named_opponent_sequence(view: DataFrame, current: int) -> DataFrame:
+    """As opponent_sequence with names as clubs: past opponents may be spelled otherwise than the current ones.
+
+    Names are resolved once for each league, and then past and current opponents meet by club, place and name. A match's places
+    that agree are the bits of a number in which each combination's bits are looked for.
+    """
+    around = opponents_around(view)
+    now = first_unplayed(around.where(F.col("season") == current)).select("league", "team", F.col("match_id").alias("target_id"), "prev", "next")
+    past = around.where((F.col("season") < current) & F.col("played") & _turned().isNotNull()).select("league", "team", "season", "match_id", _turned().alias("comeback"), "prev", "next")
+    # places 0, 1, 2 lie before, nearest first, and 3, 4, 5 behind
+    places = F.concat(F.transform(F.reverse("prev"), lambda x, k: F.struct(k.alias("place"), x.alias("name"))), F.transform("next", lambda x, k: F.struct((k + 3).alias("place"), x.alias("name"))))
+    each = lambda df: df.withColumn("o", F.explode(places)).drop("prev", "next").select("*", "o.place", "o.name").drop("o")
+    then, today = each(past), each(now)
+    links = matching_names(then, today, ["league"])
+    met = then.join(links.withColumnRenamed("left_name", "name"), ["league", "name"]).drop("name").join(today.withColumnRenamed("name", "right_name"), ["league", "team", "place", "right_name"])
+    agree = met.groupBy("league", "team", "season", "match_id", "comeback", "target_id").agg(F.collect_set("place").alias("places"))
+    wanted = lambda i, j: F.array(*[F.lit(k) for k in [*range(i), *range(3, 3 + j)]])
+    labels = [F.when(F.size(F.array_except(wanted(i, j), F.col("places"))) == 0, combination_label(i, j)) for i, j in COMBINATIONS]
+    found = agree.withColumn("combo", F.explode(F.array_compact(F.array(*labels))))
+    return found.select("league", "team", "season", "match_id", "target_id", "combo", "comeback")
+
+
 def _meetings(schedule: DataFrame) -> DataFrame:
     """One row a club, round and season with its opponent; of two matches in a round the later counts."""
     done = schedule.where("played AND NOT postponed")
@@ -127,6 +172,17 @@ def cross_fixture(current: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
+def cross_fixture_report(hits: DataFrame, history: DataFrame) -> DataFrame:
+    """league, target_id, signals, others: for each target the other fixtures, for each of those the target's clubs, and for each club its past matches by
+    season as (season, round, ht, ft, place, match_id) (T4); hits are those of cross_fixture. Two aggregates nest them."""
+    said = history.select("match_id", F.concat_ws("-", "ht_home", "ht_away").alias("ht"), F.concat_ws("-", "ft_home", "ft_away").alias("ft"))
+    rows = hits.join(said, "match_id").groupBy("league", "target_id", "other_id", "team").agg(F.sort_array(F.collect_list(F.struct("season", "round", "match_id", "ht", "ft", "place"))).alias("matches"))
+    clubs = rows.groupBy("league", "target_id", "other_id").agg(F.sort_array(F.collect_list(F.struct("team", "matches"))).alias("clubs"))
+    signals = F.aggregate("others", F.lit(0), lambda n, o: n + F.aggregate(o["clubs"], F.lit(0), lambda m, c: m + F.size(c["matches"])))
+    report = clubs.groupBy("league", "target_id").agg(F.sort_array(F.collect_list(F.struct("other_id", "clubs"))).alias("others"))
+    return report.select("league", "target_id", signals.alias("signals"), "others")
+
+
 def crossed_opponents(form: DataFrame) -> DataFrame:
     """Signals of a match from its clubs' opponents before and after: crossed neighbours and shared pools."""
     around = neighbours(form, [-2, -1, 1, 2], ["opponent"])
@@ -159,8 +215,8 @@ def attach_odds(matches: DataFrame, odds: DataFrame, key: str = "match_id") -> D
     return matches.join(odds, key, "left")
 
 
-def repeated_outcomes(view: DataFrame, min_seasons: int = 3, transition: bool = False) -> DataFrame:
-    """Scores of a club seen in a month's window in at least so many seasons (A6); transition: from a month's last week to the next month's first."""
+def _windowed(view: DataFrame, transition: bool) -> DataFrame:
+    """Played matches with month, window and score; transition: a month's last week and the next month's first are one window."""
     day, month = F.dayofmonth("match_date"), F.month("match_date")
     if transition:
         months = F.when(day.between(24, 31), month).when(day.between(1, 7), F.pmod(month - 2, F.lit(12)) + 1)
@@ -169,8 +225,24 @@ def repeated_outcomes(view: DataFrame, min_seasons: int = 3, transition: bool =
     else:
         label = F.when(day.between(1, 7), "1-7").when(day.between(24, 31), "24-31")
         keyed = view.where("played").withColumns({"month": month.cast("int"), "window": label}).where("window IS NOT NULL")
-    score = F.concat_ws("-", "ft_home", "ft_away")
-    found = keyed.groupBy("league", "team", "month", "window", score.alias("score")).agg(F.count_distinct("season").alias("seasons"), F.count("*").alias("matches"), F.min("match_id").alias("first_id"), F.max("match_id").alias("last_id"))
+    return keyed.withColumn("score", F.concat_ws("-", "ft_home", "ft_away"))
+
+
+REPEATED = ["league", "team", "month", "window", "score"]
+
+
+def repeated_outcomes(view: DataFrame, min_seasons: int = 3, transition: bool = False) -> DataFrame:
+    """Scores of a club seen in a month's window in at least so many seasons (A6); transition: from a month's last week to the next month's first."""
+    found = _windowed(view, transition).groupBy(*REPEATED).agg(F.count_distinct("season").alias("seasons"), F.count("*").alias("matches"), F.min("match_id").alias("first_id"), F.max("match_id").alias("last_id"))
+    return found.where(F.col("seasons") >= min_seasons)
+
+
+def repeated_outcome_matches(view: DataFrame, min_seasons: int = 3, transition: bool = False) -> DataFrame:
+    """league, team, month, window, score, seasons, matches: with the repeated outcomes (A6, A7) their matches by season, as (season, match_id, home, away, ht, ft)."""
+    keyed = _windowed(view, transition)
+    said = F.struct("season", "match_id", "home", "away", F.concat_ws("-", "ht_home", "ht_away").alias("ht"), F.col("score").alias("ft"))
+    # a club's matches of one window and score: some a season
+    found = keyed.groupBy(*REPEATED).agg(F.count_distinct("season").alias("seasons"), F.sort_array(F.collect_list(said)).alias("matches"))
     return found.where(F.col("seasons") >= min_seasons)
 
 

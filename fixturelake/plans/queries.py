@@ -261,6 +261,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return R.mine_filter_sets(history(spark, d), history(spark, d), ODDS, max_size=5, beam=3)
 
 
+def _mined_sql(most: int, top: int) -> str:
+    """All sets of up to three columns by brute force: a pair's equal columns are the bits of a number."""
+    names = sorted(ODDS)
+    equal = " + ".join(f"CASE WHEN coalesce(h.{c}, 0) = coalesce(t.{c}, 0) THEN {1 << k} ELSE 0 END" for k, c in enumerate(names))
+    same = ", ".join(f"CAST(h.{c} = t.{c} AS INT) AS a_{c}" for c in ("htft", "score", "side"))
+    one = f"SELECT unnest(range({len(names)})) AS k"
+    listed = "CASE k " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(names)) + " END"
+    sets = [f"s1 AS (SELECT k, 1 << k AS mask, {listed} AS cols, 1 AS size FROM ({one}))"]
+    sets += [f"s{n} AS (SELECT o.k, s.mask | (1 << o.k) AS mask, s.cols || ',' || o.cols AS cols, {n} AS size FROM s{n - 1} s JOIN s1 o ON o.k > s.k)" for n in range(2, most + 1)]
+    every = " UNION ALL ".join(f"SELECT mask, cols, size FROM s{n}" for n in range(1, most + 1))
+    return f"""{BASE}, {T_SQL}, hh AS (SELECT *, {OUTCOME} FROM hist), tt AS (SELECT *, {OUTCOME} FROM targets), {", ".join(sets)}, sets AS ({every}),
+pairs AS (SELECT t.match_id AS target_id, h.match_id, h.match_date, {equal} AS equal, {same} FROM tt t JOIN hh h ON t.match_id <> h.match_id),
+pool AS (SELECT mask, target_id, a_htft, a_score, a_side FROM sets JOIN pairs ON (equal & mask) = mask QUALIFY row_number() OVER (PARTITION BY mask, target_id ORDER BY match_date DESC, match_id) <= 21),
+good AS (SELECT mask, target_id FROM pool GROUP BY ALL HAVING greatest(avg(a_htft), avg(a_score), avg(a_side)) >= 0.8)
+SELECT cols, CAST(size AS INT) AS size, count(*) AS score FROM good JOIN sets USING (mask) GROUP BY cols, size ORDER BY score DESC, size, cols LIMIT {top}"""
+
+
+@query("best_filter_sets", _mined_sql(3, 10))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The best of all sets of up to three of the twelve columns, over the query set of targets."""
+    return R.best_filter_sets(_targets(spark, d), history(spark, d), ODDS, max_size=3)
+
+
 def _refine_sql(defaults: list[str], extras: list[str], base: str = BASE) -> str:
     fits = " AND ".join([f"(coalesce(t.{c}, 0) = 0 OR coalesce(h.{c}, 0) = t.{c})" for c in defaults] + ["t.match_id <> h.match_id"])
     mask = " + ".join(f"CASE WHEN coalesce(h.{c}, 0) = coalesce(t.{c}, 0) THEN {1 << k} ELSE 0 END" for k, c in enumerate(extras))
@@ -431,6 +454,44 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return P.opponent_sequence(team_view(fixtures(spark, d)), CUR)
 
 
+# Invented names of the ten clubs; each season spells them in one of four ways.
+CLUBS = "Alderton Brackwell Corvale Dunmere Eastholm Farrow Greywick Harlow Ivybridge Jarrow".split()
+
+
+def _club_name(club: Column, season: Column) -> Column:
+    root = F.get(F.array(*[F.lit(c) for c in CLUBS]), club)
+    return F.when(season % 4 == 0, F.concat(root, F.lit(" Üye"))).when(season % 4 == 1, F.concat(F.substring(root, 1, 5), F.lit("."))).when(season % 4 == 2, F.concat(F.lit("F.C. "), F.upper(root))).otherwise(F.concat(root, F.lit(" U19")))
+
+
+NAME_TOKENS = "list_filter(list_transform(regexp_split_to_array(trim({0}), '\\s+'), lambda y: lower(regexp_replace(y, '[^A-Za-z0-9]', '', 'g'))), lambda y: y <> '')"
+NAME_FOLDED = "lower(regexp_replace(replace({0}, 'Ü', 'u'), '[^A-Za-z0-9]', '', 'g'))"
+NAMED_CLUB = "CASE season % 4 WHEN 0 THEN root || ' Üye' WHEN 1 THEN root[1:5] || '.' WHEN 2 THEN 'F.C. ' || upper(root) ELSE root || ' U19' END"
+
+
+def _named_sequence_sql() -> str:
+    """Every pair of names is compared once, and sequences are compared place by place."""
+    offs = ", ".join([f"lag(name, {k}) OVER w AS p{k}" for k in (1, 2, 3)] + [f"lead(name, {k}) OVER w AS x{k}" for k in (1, 2, 3)])
+    same = lambda a, b: f"EXISTS (SELECT 1 FROM links WHERE one = {a} AND other = {b})"
+    arms = []
+    for i, j in P.COMBINATIONS:
+        on = " AND ".join([same(f"a.p{k}", f"b.p{k}") for k in range(1, i + 1)] + [same(f"a.x{k}", f"b.x{k}") for k in range(1, j + 1)])
+        arms.append(f"SELECT league, team, season, match_id, target_id, '{P.combination_label(i, j)}' AS combo, comeback FROM both_ WHERE " + on.replace("a.", "").replace("b.", "n_"))
+    now = ", ".join(f"b.{c}{k} AS n_{c}{k}" for c in "px" for k in (1, 2, 3))
+    return f"""WITH {FIXTURES}, {TEAMS}, {FIRST}, named AS (SELECT *, {NAMED_CLUB} AS name FROM (SELECT *, {CLUBS}[opponent + 1] AS root FROM team_view)),
+around AS (SELECT *, {TURNED} AS comeback, {offs} FROM named WINDOW w AS (PARTITION BY league, team, season ORDER BY seq)),
+now AS (SELECT a.* FROM around a JOIN first_open f USING (league, team, season, match_id) WHERE season = {CUR}), past AS (SELECT * FROM around WHERE season < {CUR} AND played AND comeback IS NOT NULL),
+words AS (SELECT name AS n, {NAME_FOLDED.format("name")} AS f, {NAME_TOKENS.format("name")} AS t FROM (SELECT DISTINCT name FROM named)),
+links AS (SELECT a.n AS one, b.n AS other FROM words a, words b WHERE a.f = b.f OR contains(a.f, b.f) OR contains(b.f, a.f) OR list_has_any(list_filter(a.t, lambda x: length(x) >= 3), b.t)
+ OR len(list_filter(a.t, lambda x: len(list_filter(b.t, lambda y: least(length(x), length(y)) >= 4 AND (starts_with(x, y) OR starts_with(y, x)))) > 0)) > 0),
+both_ AS (SELECT a.league, a.team, a.season, a.match_id, b.match_id AS target_id, a.comeback, a.p1, a.p2, a.p3, a.x1, a.x2, a.x3, {now} FROM past a JOIN now b USING (league, team)) """ + " UNION ALL ".join(arms)
+
+
+@query("named_opponent_sequence", _named_sequence_sql())
+def _(spark: SparkSession, d: str) -> DataFrame:
+    view = team_view(fixtures(spark, d))
+    return P.named_opponent_sequence(view.withColumn("opponent", _club_name(F.col("opponent"), F.col("season"))), CUR)
+
+
 ACTIVE = """rounds AS (SELECT league, season, round, count(*) FILTER (played) AS done, count(*) FILTER (NOT played AND NOT postponed) AS coming FROM fixtures GROUP BY ALL),
 active AS (SELECT l.league, l.season, CAST(CASE WHEN l.last IS NULL THEN 1 WHEN h.coming > 0 THEN l.last WHEN n.coming > 0 THEN l.last + 1 ELSE l.last END AS INT) AS active_round
 FROM (SELECT league, season, max(CASE WHEN done > 0 THEN round END) AS last FROM rounds GROUP BY ALL) l
@@ -453,17 +514,37 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return P.bridge_pattern(fixtures(spark, d), CUR, only_turned=False)
 
 
-@query("cross_fixture", f"""WITH {FIXTURES}, {ACTIVE}, cur AS (SELECT f.* FROM fixtures f JOIN active r USING (league, season) WHERE season = {CUR} AND round = active_round),
+CROSS_SQL = f"""WITH {FIXTURES}, {ACTIVE}, cur AS (SELECT f.* FROM fixtures f JOIN active r USING (league, season) WHERE season = {CUR} AND round = active_round),
 past AS (SELECT * FROM fixtures WHERE season < {CUR} AND played),
 pairs AS (SELECT t.league, t.round, t.match_id AS target_id, o.match_id AS other_id, t.home AS th, t.away AS ta, o.home AS oh, o.away AS oa FROM cur t JOIN cur o ON t.league = o.league AND t.round = o.round AND NOT (t.home = o.home AND t.away = o.away)),
 weeks AS (SELECT DISTINCT p.*, g.season FROM pairs p JOIN past g ON g.league = p.league AND g.round = p.round AND g.home = oh AND g.away = oa)
 SELECT w.league, w.round, w.season, target_id, other_id, team, g.match_id, CASE WHEN team = g.home THEN 'home' ELSE 'away' END AS place
-FROM (SELECT *, unnest([th, ta]) AS team FROM weeks) w JOIN past g ON g.league = w.league AND g.season = w.season AND g.round = w.round AND (g.home = team OR g.away = team)""")
-def _(spark: SparkSession, d: str) -> DataFrame:
+FROM (SELECT *, unnest([th, ta]) AS team FROM weeks) w JOIN past g ON g.league = w.league AND g.season = w.season AND g.round = w.round AND (g.home = team OR g.away = team)"""
+
+
+def _cross(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The hits, and the past matches that they are among."""
     fx = fixtures(spark, d)
     now = fx.where(F.col("season") == CUR)
     rounds = C.active_round(now).select("league", F.col("active_round").alias("round"))
-    return P.cross_fixture(now.join(rounds, ["league", "round"]), fx.where((F.col("season") < CUR) & F.col("played")))
+    past = fx.where((F.col("season") < CUR) & F.col("played"))
+    return P.cross_fixture(now.join(rounds, ["league", "round"]), past), past
+
+
+@query("cross_fixture", CROSS_SQL)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _cross(spark, d)[0]
+
+
+@query("cross_fixture_report", f"""WITH flat AS ({CROSS_SQL}), {FIXTURES} SELECT w.league, target_id, count(*) OVER (PARTITION BY w.league, target_id) AS signals, other_id, team, w.season, w.round, w.match_id,
+CAST(ht_home AS VARCHAR) || '-' || CAST(ht_away AS VARCHAR) AS ht, CAST(ft_home AS VARCHAR) || '-' || CAST(ft_away AS VARCHAR) AS ft, place,
+CAST(row_number() OVER (PARTITION BY w.league, target_id, other_id, team ORDER BY w.season, w.round, w.match_id) - 1 AS INT) AS pos FROM flat w JOIN fixtures f USING (match_id)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The report's groups laid flat again, each row with its place in its club's list."""
+    hits, past = _cross(spark, d)
+    report = P.cross_fixture_report(hits, past)
+    clubs = report.select("league", "target_id", F.col("signals").cast("long").alias("signals"), F.explode("others").alias("o")).select("league", "target_id", "signals", "o.other_id", F.explode("o.clubs").alias("c"))
+    return clubs.select("league", "target_id", "signals", "other_id", "c.team", F.posexplode("c.matches").alias("pos", "m")).select("league", "target_id", "signals", "other_id", "team", "pos", "m.*")
 
 
 AROUND = "a AS (SELECT *, lag(opponent, 2) OVER w AS p2, lag(opponent, 1) OVER w AS p1, lead(opponent, 1) OVER w AS n1, lead(opponent, 2) OVER w AS n2 FROM team_view WINDOW w AS (PARTITION BY league, team, season ORDER BY seq)), b AS (SELECT h.match_id, h.p1 AS hp1, h.p2 AS hp2, h.n1 AS hn1, h.n2 AS hn2, x.p1 AS ap1, x.p2 AS ap2, x.n1 AS an1, x.n2 AS an2 FROM a h JOIN a x ON h.match_id = x.match_id AND h.team = h.home AND x.team = x.away)"
@@ -487,17 +568,42 @@ REPEAT = """SELECT league, team, month, "window", score, count(DISTINCT season)
 SCORE = "CAST(ft_home AS VARCHAR) || '-' || CAST(ft_away AS VARCHAR) AS score"
 
 
-@query("repeated_outcomes", f"""WITH {FIXTURES}, {TEAMS}, k AS (SELECT *, CAST(month(match_date) AS INT) AS month, CASE WHEN day(match_date) <= 7 THEN '1-7' ELSE '24-31' END AS "window", {SCORE} FROM team_view WHERE played AND (day(match_date) <= 7 OR day(match_date) >= 24)) {REPEAT}""")
+REPEAT_LISTED = """, r AS (SELECT *, count(DISTINCT season) OVER (PARTITION BY league, team, month, "window", score) AS seasons, CAST(row_number() OVER (PARTITION BY league, team, month, "window", score ORDER BY season, match_id) - 1 AS INT) AS pos FROM k)
+SELECT league, team, month, "window", score, seasons, pos, season, match_id, home, away, CAST(ht_home AS VARCHAR) || '-' || CAST(ht_away AS VARCHAR) AS ht, score AS ft FROM r WHERE seasons >= 3"""
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    """A row for each match of a repeated outcome, with its place in the list."""
+    return found.select(*P.REPEATED, "seasons", F.posexplode("matches").alias("pos", "m")).select(*P.REPEATED, "seasons", "pos", "m.*")
+
+
+REPEATED_OUTCOMES_SQL = f"""WITH {FIXTURES}, {TEAMS}, k AS (SELECT *, CAST(month(match_date) AS INT) AS month, CASE WHEN day(match_date) <= 7 THEN '1-7' ELSE '24-31' END AS "window", {SCORE} FROM team_view WHERE played AND (day(match_date) <= 7 OR day(match_date) >= 24))"""
+
+
+@query("repeated_outcomes", f"{REPEATED_OUTCOMES_SQL} {REPEAT}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return P.repeated_outcomes(team_view(fixtures(spark, d)))
 
 
-@query("repeated_transition", f"""WITH {FIXTURES}, {TEAMS}, m AS (SELECT *, 'transition' AS "window", {SCORE}, CASE WHEN day(match_date) >= 24 THEN month(match_date) ELSE (month(match_date) + 10) % 12 + 1 END AS mo FROM team_view WHERE played AND (day(match_date) <= 7 OR day(match_date) >= 24)),
-k AS (SELECT *, CAST(CASE WHEN mo IN (6, 7) THEN 5 ELSE mo END AS INT) AS month FROM m) {REPEAT}""")
+@query("repeated_outcome_matches", f"{REPEATED_OUTCOMES_SQL} {REPEAT_LISTED}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(P.repeated_outcome_matches(team_view(fixtures(spark, d))))
+
+
+REPEATED_TRANSITION_SQL = f"""WITH {FIXTURES}, {TEAMS}, m AS (SELECT *, 'transition' AS "window", {SCORE}, CASE WHEN day(match_date) >= 24 THEN month(match_date) ELSE (month(match_date) + 10) % 12 + 1 END AS mo FROM team_view WHERE played AND (day(match_date) <= 7 OR day(match_date) >= 24)),
+k AS (SELECT *, CAST(CASE WHEN mo IN (6, 7) THEN 5 ELSE mo END AS INT) AS month FROM m)"""
+
+
+@query("repeated_transition", f"{REPEATED_TRANSITION_SQL} {REPEAT}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return P.repeated_outcomes(team_view(fixtures(spark, d)), transition=True)
 
 
+@query("repeated_transition_matches", f"{REPEATED_TRANSITION_SQL} {REPEAT_LISTED}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(P.repeated_outcome_matches(team_view(fixtures(spark, d)), transition=True))
+
+
 @query("hit_summary", f"WITH {FIXTURES}, {TEAMS} SELECT league, season, count(*) AS hits FROM team_view WHERE ({TURNED}) IS NOT NULL GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return P.hit_summary(C.only_comebacks(team_view(fixtures(spark, d))), "league", "season")
