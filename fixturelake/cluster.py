@@ -72,6 +72,11 @@ class Tables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def spread(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A table whose rows are dealt out by a key to as many tasks as the cluster runs, for steps that make many rows of each."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.write(df.repartition(max(n, self.spark.sparkContext.defaultParallelism), key), name)
+
     def drop(self, since: int = 0, until: int | None = None) -> None:
         """Delete tables that nothing reads any more."""
         for path in self.paths[since:until]:

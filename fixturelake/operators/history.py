@@ -84,7 +84,7 @@ def near_pairs(targets: DataFrame, history: DataFrame, odds: list[str], toleranc
     values = lambda df: F.array(*[known_odds(F.col(c)).cast("double") for c in odds])
     with Tables(spark) as tables:
         rows = history.select(F.col(key), *keep, values(history).alias("h")).withColumn("b", F.transform("h", lambda x: F.when(x > 0, bucket(x))))
-        rows = tables.write(rows, "similar-history")
+        rows = tables.spread(rows, "similar-history", key)
         named = tables.write(targets.select(F.col(key).alias("target_id"), values(targets).alias("t")).withColumn("known", F.size(F.filter("t", lambda x: x != 0))), "similar-targets")
         # rarity: how often each bucket of each column occurs
         frequency = rows.select(F.posexplode("b").alias("col", "bucket")).where("bucket is not null").groupBy("col", "bucket").agg(F.count("*").alias("n"))
@@ -238,16 +238,17 @@ def filter_keys(df: DataFrame, filters: list[list[str]], *more: str | Column) ->
     return rows.select(*kept, "filter_id", F.transform(F.get(places, F.col("filter_id")), lambda k: F.get("v", k)).alias("values"))
 
 
-def score_filter_sets(filters: list[list[str]], targets: DataFrame, history: DataFrame, cap: int = 21, threshold: float = 0.8, key: str = "match_id", newest: str = "match_date", asked_only: bool = False) -> DataFrame:
+def score_filter_sets(filters: list[list[str]], targets: DataFrame, history: DataFrame, cap: int = 21, threshold: float = 0.8, key: str = "match_id", newest: str = "match_date", few: bool | None = None) -> DataFrame:
     """filter_id, cols, score: the targets for which each column set has a valid case (A10); all sets are one keyed join.
 
-    A row has a key for each filter: its number and its values in the filter's columns. asked_only: of the history only rows with a key of a
-    target are ranked, which pays where targets are few.
+    A row has a key for each filter: its number and its values in the filter's columns. few: given where targets are few against the history,
+    of which then only rows with a key of a target are ranked; True sends the targets' keys to every task.
     """
     right = filter_keys(outcomes(history), filters, key, newest, "htft", "score", "side")
     left = filter_keys(outcomes(targets), filters, F.col(key).alias("target_id"), *[F.col(c).alias(f"t_{c}") for c in ("htft", "score", "side")])
-    if asked_only:
-        right = right.join(left.select("filter_id", "values").distinct(), ["filter_id", "values"], "left_semi")
+    if few is not None:
+        left = F.broadcast(left) if few else left
+        right = right.join(left.select("filter_id", "values"), ["filter_id", "values"], "left_semi")
     order = Window.partitionBy("filter_id", "values").orderBy(F.desc_nulls_first(newest), key)
     right = right.withColumn("at", F.row_number().over(order)).where(F.col("at") <= cap + 1).drop("at")
     rows = right.join(left, ["filter_id", "values"]).where(F.col(key) != F.col("target_id"))
@@ -259,16 +260,17 @@ def score_filter_sets(filters: list[list[str]], targets: DataFrame, history: Dat
     return F.broadcast(names).join(good, "filter_id", "left").select("filter_id", "cols", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
 
 
-def filter_reach(filters: list[list[str]], targets: DataFrame, history: DataFrame, key: str = "match_id") -> DataFrame:
+def filter_reach(filters: list[list[str]], targets: DataFrame, history: DataFrame, few: bool = False, key: str = "match_id") -> DataFrame:
     """filter_id, reach: the targets with any other match that is equal in the filter's columns and ends on the same side.
 
     No filter with more columns scores higher: its cohorts are parts of these, and a valid case needs a match that agrees in one case, and
-    whatever agrees in half and full time or in score agrees in side.
+    whatever agrees in half and full time or in score agrees in side. few: the targets' keys are sent to every task.
     """
     past = history.select(F.col(key).alias("target_id")).withColumn("own", F.lit(1))
     wanted = filter_keys(outcomes(targets.withColumn("target_id", F.col(key)).join(past, "target_id", "left")), filters, "target_id", "own", "side")
+    wanted = F.broadcast(wanted) if few else wanted
     right = filter_keys(outcomes(history), filters, "side")
-    counts = right.join(wanted.select("filter_id", "values", "side").distinct(), ["filter_id", "values", "side"], "left_semi").groupBy("filter_id", "values", "side").agg(F.count("*").alias("n"))
+    counts = right.join(wanted.select("filter_id", "values", "side"), ["filter_id", "values", "side"], "left_semi").groupBy("filter_id", "values", "side").agg(F.count("*").alias("n"))
     met = wanted.join(counts, ["filter_id", "values", "side"]).where(F.col("n") - F.coalesce("own", F.lit(0)) > 0)
     return met.groupBy("filter_id").agg(F.count("*").alias("reach"))
 

@@ -271,11 +271,12 @@ def _mined_sql(most: int, top: int) -> str:
     sets = [f"s1 AS (SELECT k, 1 << k AS mask, {listed} AS cols, 1 AS size FROM ({one}))"]
     sets += [f"s{n} AS (SELECT o.k, s.mask | (1 << o.k) AS mask, s.cols || ',' || o.cols AS cols, {n} AS size FROM s{n - 1} s JOIN s1 o ON o.k > s.k)" for n in range(2, most + 1)]
     every = " UNION ALL ".join(f"SELECT mask, cols, size FROM s{n}" for n in range(1, most + 1))
-    return f"""{BASE}, {T_SQL}, hh AS (SELECT *, {OUTCOME} FROM hist), tt AS (SELECT *, {OUTCOME} FROM targets), {", ".join(sets)}, sets AS ({every}),
-pairs AS (SELECT t.match_id AS target_id, h.match_id, h.match_date, {equal} AS equal, {same} FROM tt t JOIN hh h ON t.match_id <> h.match_id),
-pool AS (SELECT mask, target_id, a_htft, a_score, a_side FROM sets JOIN pairs ON (equal & mask) = mask QUALIFY row_number() OVER (PARTITION BY mask, target_id ORDER BY match_date DESC, match_id) <= 21),
-good AS (SELECT mask, target_id FROM pool GROUP BY ALL HAVING greatest(avg(a_htft), avg(a_score), avg(a_side)) >= 0.8)
-SELECT cols, CAST(size AS INT) AS size, count(*) AS score FROM good JOIN sets USING (mask) GROUP BY cols, size ORDER BY score DESC, size, cols LIMIT {top}"""
+    return f"""{BASE}, {T_SQL}, hh AS (SELECT *, {OUTCOME} FROM hist), tt AS (SELECT *, {OUTCOME} FROM targets), {", ".join(sets)}, sets AS MATERIALIZED ({every}),
+pairs AS MATERIALIZED (SELECT t.match_id AS target_id, h.match_id, h.match_date, {equal} AS equal, {same} FROM tt t JOIN hh h ON t.match_id <> h.match_id),
+pool AS MATERIALIZED (SELECT mask, target_id, a_htft, a_score, a_side FROM sets JOIN pairs ON (equal & mask) = mask QUALIFY row_number() OVER (PARTITION BY mask, target_id ORDER BY match_date DESC, match_id) <= 21),
+good AS MATERIALIZED (SELECT mask, target_id FROM pool GROUP BY ALL HAVING greatest(avg(a_htft), avg(a_score), avg(a_side)) >= 0.8),
+scored AS (SELECT mask, count(*) AS score FROM good GROUP BY mask)
+SELECT cols, CAST(size AS INT) AS size, score FROM scored JOIN sets USING (mask) ORDER BY score DESC, size, cols LIMIT {top}"""
 
 
 @query("best_filter_sets", _mined_sql(3, 10))
