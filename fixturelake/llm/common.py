@@ -46,15 +46,16 @@ def text_key() -> Column:
 
 
 def numbered(df: DataFrame, keys: list[str], name: str, many: int = MANY_COPIES) -> DataFrame:
-    """df with the number, from 1, of each row among those with equal keys; which row gets which number is left open.
+    """df with the number, from 1, of each row among those with equal keys, in order of a hash of the whole row (maps left out).
 
     A key with over ``many`` rows is not brought to one task: its rows are numbered in each input partition, behind those
     of the partitions before. df is read twice, and has to give the same partitions both times, as a table does.
     """
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"])
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > many).drop("_n")
     tables = Tables(df.sparkSession)
     hot = tables.write(counts, "hot-keys")
-    one = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))).cast("long")
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long")
     if hot.isEmpty():
         tables.drop()
         return df.withColumn(name, one)
@@ -66,7 +67,7 @@ def numbered(df: DataFrame, keys: list[str], name: str, many: int = MANY_COPIES)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     parts = parts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), "_before")
-    rows = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.lit(1))))
+    rows = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)))
     on = [rows[k].eqNullSafe(parts[f"_k_{k}"]) for k in keys] + [rows["_part"] == parts["_p"]]
     return cold.unionByName(rows.join(parts, on).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name)))
 

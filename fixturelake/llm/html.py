@@ -7,15 +7,16 @@ classes that repeat (paragraphs, list items) nest in the skeleton token that is
 slot of its nearest skeleton token. Vectors are compared by the exclusive or of a hash of (page, count), so they
 are aggregated like sums and no host's pages are ever gathered in one task.
 
-The slots of a host are then told apart. By the template: fixed slots outside an article have text that is equal on all of five or more
-different pages; copies of a page count once. By structure: elements for menus, footers, sidebars and forms, roles, and slots
+The slots of a host are then told apart. By the template: slots outside an article whose text is equal on all of five or more
+different pages are fixed; copies of a page count once. Fixed slots have no weight where the article is looked for, and are left out where it
+is the whole page, unless they hold most of the pages' text: then the pages are copies of one article. By structure: elements for menus, footers, sidebars and forms, roles, and slots
 of mere links by their link share. By names last, and only where a whole class name or id speaks of nothing else: menus, page headers,
 footers, sidebars, notices, adverts and reader comments. What is left under the article's slot is extracted from every
 page, in page order. A page that lacks its host's main slot is decided by its own slots; one without elements is all text.
 
 Null or empty html gives an empty text. A null url counts as a host of its own; null ids are kept. Repeated rows give repeated
-results; an empty table gives none. Of slots with equal text the innermost is the article. Very long pages are parsed in one pass, each
-alone. Extra columns are ignored.
+results; an empty table gives none. Of slots with equal text the innermost is the article. Pages are parsed in one pass, each
+alone, in time that grows with their length however deep or unbalanced their elements are. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import materialise, ship, table
 
 SUPPORT = 0.5
 LINK_SHARE = 0.6
+#: Parts of a path at most.
+DEPTH = 128
 
 # HTML element names by role.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -62,8 +65,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"<>]
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 _ARTICLE = re.compile(r"/(?:article|main)(?![a-z0-9-])|@main(?![a-z0-9-])")
 _SPACE = re.compile(r"\s+")
+#: The last part of the path of a whole page.
+_WHOLE = re.compile(r"(?:html|body)?(?:\W|$)")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW = frozenset("script style textarea title noscript iframe".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*(?:>|\Z)", re.I) for tag in _RAW}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -92,26 +98,62 @@ def _part(tag: str, attrs: dict[str, str]) -> tuple[str, bool]:
     return part, boiler
 
 
+class _Open:
+    """The open elements of a page, with the places of each name, of blocks and of holders, so that none is searched for."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, str, bool, bool, int]] = []  # tag, path, boilerplate here or above, dropped here or above, parts of the path
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.holders: list[int] = []
+
+    def state(self) -> tuple[str, bool, bool, int]:
+        return self.items[-1][1:] if self.items else ("", False, False, 0)
+
+    def last(self, tags) -> int:
+        """The place of the innermost element of some names, -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, item: tuple[str, str, bool, bool, int]) -> None:
+        k, tag = len(self.items), item[0]
+        self.items.append(item)
+        self.places[tag].append(k)
+        if tag not in _INLINE:
+            self.blocks.append(k)
+        if tag in _HOLDERS:
+            self.holders.append(k)
+
+    def close(self, k: int) -> bool:
+        """Close the element at a place and all within it; whether a block was among them."""
+        block = bool(self.blocks) and self.blocks[-1] >= k
+        while len(self.items) > k:
+            self.places[self.items.pop()[0]].pop()
+        for places in (self.blocks, self.holders):
+            while places and places[-1] >= k:
+                places.pop()
+        return block
+
+
 def blocks(page: str) -> list[tuple[str, bool, str, int]]:
-    """(path, boilerplate, text, characters in links) of each run of text between block boundaries, in page order; and of each block's start, with empty text."""
+    """(path, boilerplate, text, characters in links) of each run of text between block boundaries, in page order; and of each block's start, with empty text.
+
+    Work is in proportion to the page. An element below DEPTH others has the path of the last of those, as in browsers.
+    """
     out: list[tuple[str, bool, str, int]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, boilerplate or dropped above, dropped above
+    stack = _Open()
     parts: list[str] = []
     links = in_link = 0
+    now = held = stack.state()  # held: where the collected text stands
 
     def flush() -> None:
         nonlocal links
-        text = _SPACE.sub(" ", "".join(parts)).strip()
-        if text and stack_state[2] is False:
-            out.append((stack_state[0], stack_state[1], text, links))
-        parts.clear()
+        if parts:
+            text = _SPACE.sub(" ", "".join(parts)).strip()
+            if text:
+                out.append((held[0], held[1], text, links))
+            parts.clear()
         links = 0
 
-    stack_state = ("", False, False)
-
-    def state() -> tuple[str, bool, bool]:
-        return (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", False, False)
-
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -123,8 +165,10 @@ def blocks(page: str) -> list[tuple[str, bool, str, int]]:
             if page[m.start()] == "<" and m.end() - m.start() > 1:  # comment or declaration
                 continue
             piece = m[0]
-            if not stack_state[2]:
+            if not now[2]:
                 piece = entities.unescape(piece) if "&" in piece else piece
+                if not parts:
+                    held = now
                 parts.append(piece)
                 links += len(piece) if in_link else 0
             continue
@@ -132,61 +176,51 @@ def blocks(page: str) -> list[tuple[str, bool, str, int]]:
         if m[1]:
             if tag == "a":
                 in_link = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if any(s[0] not in _INLINE for s in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    new = state()
-                    if new[1:] != stack_state[1:]:
-                        flush()
-                    stack_state = new
-                    break
-                if tag in _INLINE and stack[k][0] not in _INLINE:
-                    break
-            else:
+            k = stack.last((tag,))
+            if k < 0:
                 if tag in ("p", "br"):
                     flush()
+            elif not (tag in _INLINE and stack.blocks and stack.blocks[-1] > k):
+                if stack.close(k):
+                    flush()
+                if stack.state()[1] != now[1]:
+                    flush()
+                now = stack.state()
             continue
         if tag in _VOID:
-            if tag in ("br", "hr"):
+            if tag in ("br", "hr") and not now[2]:
+                if not parts:
+                    held = now
                 parts.append(" ")
             continue
         attrs = _attributes(m[3])
         if tag in _RAW:
-            close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
+            close = _RAW_END[tag].search(page, at)
             at = close.end() if close else end
             continue
         if tag not in _INLINE:
             flush()
-            if tag in _CLOSE_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in _INLINE and stack[k][0] in _HOLDERS:
-                        break
-            for k in range(len(stack) - 1, -1, -1) if tag in _SAME else ():
-                if stack[k][0] in _SAME[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _HOLDERS:
-                    break
-            stack_state = state()
+            holder = stack.holders[-1] if stack.holders else -1
+            for names in (("p",) if tag in _CLOSE_P else (), _SAME.get(tag, ())):
+                k = stack.last(names)
+                if k > holder:
+                    stack.close(k)
+            now = stack.state()
         elif tag == "a":
             in_link = 1
-        path, boiler, dropped = stack_state
+        path, boiler, dropped, depth = now
         part, own = _part(tag, attrs)
         if m[3].rstrip().endswith("/") and tag not in _INLINE:
             continue
-        dropped = dropped or tag in _DROPPED
-        if own and not boiler and tag in _INLINE:
-            flush()
+        # boilerplate inside a line of text is cut out, and what stands on either side stays together
+        dropped = dropped or tag in _DROPPED or (own and not boiler and tag in _INLINE)
         if tag not in _INLINE:
-            path = f"{path}/{part}"
+            if depth < DEPTH:
+                path, depth = f"{path}/{part}", depth + 1
             out.append((path, boiler or own, "", -1))
-        stack.append((tag, path, boiler or own, dropped))
-        stack_state = (path, boiler or own, dropped)
+            boiler = boiler or own
+        stack.push((tag, path, boiler, dropped, depth))
+        now = stack.state()
     flush()
     return out
 
@@ -225,6 +259,21 @@ def choose_main(slots: list[tuple[str, int, int, bool]]) -> str | None:
     return max((p for p in mass if mass[p] >= 0.8 * total), key=lambda p: (len(p.split("/")), p))
 
 
+def main_slot(slots: list, skeleton: set[str]) -> tuple[str | None, set[str]]:
+    """The path of a host's main slot, and the paths of fixed slots that are left out under it.
+
+    Fixed text is the template's only where the pages differ in most of their text: copies of one article have nothing else. It then has
+    no weight in the choice, but what stands inside the slot that is chosen is the article's, unless that is the whole page.
+    """
+    open_ = [s for s in slots if not s["boiler"] and s["path"] in skeleton and not _header_like(s["path"])]
+    fixed = {s["path"] for s in open_ if s["fixed"] and not _ARTICLE.search(s["path"])}
+    mass = lambda only: sum(s["chars"] - s["links"] for s in open_ if s["links"] <= LINK_SHARE * s["chars"] and (s["path"] in fixed or not only))
+    if 2 * mass(True) > mass(False):
+        fixed = set()
+    main = choose_main([(s["path"], s["chars"], s["links"], s["path"] in fixed) for s in open_])
+    return main, fixed if main is not None and _WHOLE.match(main.rpartition("/")[2]) else set()
+
+
 def _slot(path: str, skeleton: frozenset[str] | set[str]) -> str:
     while path and path not in skeleton:
         path = path.rpartition("/")[0]
@@ -248,7 +297,7 @@ def main_text(found: list[tuple[str, bool, str, int]], skeleton: set[str], main:
     if main is None:
         return ""
     sub = len(main.split("/"))
-    bare = re.match(r"(?:html|body)?(?:\W|$)", main.rpartition("/")[2])  # of the whole page: its header is no part of the article
+    bare = _WHOLE.match(main.rpartition("/")[2])  # its header is no part of the article
     return " ".join(
         text
         for path, boiler, text, _ in found
@@ -327,18 +376,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, slots, page in zip(b.column("host").to_pylist(), b.column("slots").to_pylist(), b.column("html").to_pylist(), strict=True):
             if host not in known:
                 slots = slots or []
+                if len(known) > 2000:
+                    known.clear()
                 classes: dict[int, int] = defaultdict(int)
                 for s in slots:
                     classes[s["class_id"]] += 1
                 # large classes first: a class of one token is kept only if it nests below a larger one
                 large = {s["path"] for s in slots if classes[s["class_id"]] > 1}
                 skeleton = {s["path"] for s in slots if s["path"] in large or s["path"].rpartition("/")[0] in large or not large}
-                main = choose_main([(s["path"], s["chars"], s["links"], s["fixed"] and not _ARTICLE.search(s["path"])) for s in slots if not s["boiler"] and s["path"] in skeleton])
-                # text that is equal on all pages is an article's own where nothing else is found, and inside an article
-                fixed = {s["path"] for s in slots if s["fixed"] and not _ARTICLE.search(s["path"])} if main is not None else set()
-                if len(known) > 2000:
-                    known.clear()
-                known[host] = (skeleton, main, fixed)
+                known[host] = (skeleton, *main_slot(slots, skeleton))
             texts.append(main_text(blocks(page or ""), *known[host]))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft memberships, in DataFrame and SQL functions only.
 
-A naive Bayes classifier over hashed words, trained on labelled rows (about TRAIN_ROWS of them at most, taken by hash),
-gives every document a posterior over domains. Nonnegative document rates are then fitted by least squares so that the
+A naive Bayes classifier over hashed words, trained on labelled rows (about TRAIN_ROWS of them at most, taken by hash; of an id
+whose rows disagree the domain that comes first by name), gives every document a posterior over domains. Nonnegative document rates are then fitted by least squares so that the
 expected tokens of each domain, sum of rate * tokens * posterior, match the targets: projected gradient steps from
 rates of one, in the metric that weights documents by tokens, projected lazily, so that the rates are
 ``max(0, 1 + posterior . sum of steps)`` and only one number a domain is carried from pass to pass. Each pass is one
@@ -57,7 +57,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, domains
     tables = Tables(docs.sparkSession)
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(domain).alias("domain")).where(F.col("domain").isin(*domains))
     share = min(1.0, bound / max(1, named.count()))
-    named = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
+    named = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id")
     seen = [F.sum((F.col("domain") == d).cast("long")).alias(f"c{k}") for k, d in enumerate(domains)]
     counts = tables.write(_words(train, "domain").where("bucket IS NOT NULL").groupBy("bucket").agg(*seen), "mix-counts")

@@ -11,7 +11,7 @@ logistic curve fitted on the training rows turns this into a score from 0 to 1.
 The training sample alone bounds the lexicon: every beginning and every exception that it shows is used.
 
 Labels come from rows whose crc32(doc_id as text) mod 3 is not 1, at most about TRAIN_ROWS of them, taken by hash;
-repeated rows are learnt from once. Every text is scored whole. Null and empty texts score as a text without hits does. A null doc_id is scored and not held
+repeated rows are learnt from once, and an id of which any row says toxic is toxic. Every text is scored whole. Null and empty texts score as a text without hits does. A null doc_id is scored and not held
 out. Very long texts are folded and matched whole, each alone; ties of strength have one score. Repeated rows give repeated
 results; without labelled rows nothing is toxic, and an empty table gives no rows. Extra columns are ignored, and kept by ``without_toxic``.
 """
@@ -96,7 +96,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
     """text, toxic of the labelled rows that may be learnt from, about ``bound`` at most."""
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     share = min(1.0, bound / max(1, usable.count()))
-    usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
+    usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(usable, "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "toxic")
 
 

@@ -3,12 +3,13 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from fixturelake.llm import chunks, decontam, graph, html, jaccard, mixing, quality, sharding, toxicity
+from fixturelake.llm import chunks, common, decontam, graph, html, jaccard, mixing, quality, sharding, toxicity
 
 
 def union_find(edges):
@@ -329,3 +330,53 @@ def test_a_shared_folder_is_asked_for_off_local_mode():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         cluster.shared_dir(Session)
+
+
+def test_html_of_mirrors_and_shared_standfirsts(spark):
+    """Equal text of an article on five pages and more is no template."""
+    mirror = "<html><body><div class=wrap><h1>Heading of all mirrors</h1><div><p>The only paragraph of the article, in a plain container</p></div></div><div class=x>seen {}</div></body></html>"
+    story = "<html><body><div class=story><div class=lead>A standfirst that all pages share</div><div class=rest>{}</div></div></body></html>"
+    rows = [(k, "http://m.org/", mirror.format(k)) for k in range(6)]
+    rows += [(10 + k, "http://s.org/", story.format(" ".join(f"word{k}of{j}" for j in range(30)))) for k in range(6)]
+    got = {r.page_id: r.text for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Heading of all mirrors The only paragraph of the article, in a plain container" in got[k] for k in range(6))
+    assert all(got[10 + k] == "A standfirst that all pages share " + " ".join(f"word{k}of{j}" for j in range(30)) for k in range(6))
+
+
+@pytest.mark.parametrize("page", ["<div><p>x " * 50_000, "<b>x</i> " * 50_000, "<i><div>" + "<b>x</i> " * 50_000, "<table><tr><td>x " * 20_000, "<div class='some name'>" * 50_000 + "x"])
+def test_html_of_deep_and_unbalanced_pages(page):
+    began = time.process_time()
+    found = html.blocks(page)
+    text = html.main_text(found, set(), None, set())
+    assert " ".join(b[2] for b in found).split() == ["x"] * page.count("x") and set(text.split()) == {"x"}
+    assert time.process_time() - began < 6
+
+
+def test_html_cut_inside_a_word():
+    assert [b[2] for b in html.blocks("<p>un<span class=ad>x <b>y</b></span>believable <i>text</i></p>") if b[2]] == ["unbelievable text"]
+
+
+def _both_ways(spark, rows, schema):
+    for some in (rows, rows[::-1]):
+        yield spark.createDataFrame(some, schema).coalesce(1)
+
+
+def test_labels_that_disagree(spark):
+    """Which of an id's label rows comes first does not matter."""
+    docs = spark.createDataFrame([(k, f"text number {k}") for k in range(40)], "doc_id long, text string")
+    rows = [(k, k % 2, j) for k in range(40) for j in ((0, 1) if k % 3 == 0 else (0,))]
+    learnt = [sorted(map(tuple, toxicity.training_rows(docs, labels).collect())) for labels in _both_ways(spark, rows, "doc_id long, quality int, toxic int")]
+    assert learnt[0] == learnt[1] and ("text number 12", 1) in learnt[0] and len({t for t, _ in learnt[0]}) == len(learnt[0])
+    rates = [sorted((r.doc_id, round(r.rate, 9)) for r in mixing.document_rates(docs, labels).collect()) for labels in _both_ways(spark, rows, "doc_id long, quality int, toxic int")]
+    assert rates[0] == rates[1]
+
+
+@pytest.mark.parametrize("many", [1, 10_000])
+def test_rows_that_differ_in_extra_columns_keep_their_numbers(spark, many):
+    rows = [(k % 3, f"extra {k}") for k in range(60)]
+    got = []
+    for df in _both_ways(spark, rows, "k int, extra string"):
+        numbered = common.numbered(df, ["k"], "nth", many).collect()
+        assert sorted((r.k, r.nth) for r in numbered) == sorted((k, n) for k in range(3) for n in range(1, 21))
+        got.append(sorted(map(tuple, numbered)))
+    assert got[0] == got[1]
