@@ -314,3 +314,66 @@ UNION SELECT f.match_id, CASE WHEN f.team = f.home THEN 'SEQUENCE_HOME' ELSE 'SE
 SELECT match_id, pattern, CASE pattern """ + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in P.SIGNALS.items()) + " END AS said FROM sig ORDER BY match_id, pattern")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return P.signal_list(team_view(fixtures(spark, d)), CUR)
+
+
+# -- databases, links, ids and reports in their second forms
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "url": "jdbc:derby:memory:fixturelake;create=true", "dbtable": "history"}
+
+
+@query("history_from_database", f"{BASE} SELECT league, season, count(*) AS n, sum(o1) AS total, max(t5) AS most FROM hist WHERE season >= 1997 GROUP BY league, season")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A database in this process, so in local mode only: written, and read in ranges of the id."""
+    history(spark, d).select("match_id", "league", "season", *ODDS).write.format("jdbc").options(batchsize="5000", **DERBY).mode("overwrite").save()
+    rows = E.read_history_jdbc(spark, DERBY, ODDS, ["match_id", "league", "season"], partitions=4)
+    return rows.where("season >= 1997").groupBy("league", "season").agg(F.count("*").alias("n"), F.sum("o1").alias("total"), F.max("t5").alias("most"))
+
+
+@query("dated_odds_report", f"""{JSON_SQL}, w AS (SELECT match_id, {", ".join(f"max(CASE WHEN odds_key = '{k}' THEN odds END) AS {c}" for c, k in ODDS_KEYS.items())} FROM j GROUP BY match_id)
+SELECT CAST(match_date AS VARCHAR) AS date, match_id, 'Club ' || home AS home, 'Club ' || away AS away, {FT} AS ft, {HT} AS ht, """ + ", ".join((f"coalesce(w.{next(o for o, k in ODDS_KEYS.items() if k == c['key'])}, '-')" if c["key"] in ODDS_KEYS.values() else "'-'") + f' AS "{c["name"]}"' for c in E.dated_columns()) + " FROM fixtures JOIN w USING (match_id)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    named = fixtures(spark, d).select(F.col("match_date").cast("string").alias("date"), "match_id", *[F.concat_ws(" ", F.lit("Club"), c).alias(c) for c in ("home", "away")], _dash("ft_home", "ft_away").alias("ft"), _dash("ht_home", "ht_away").alias("ht"))
+    return E.dated_odds_report(_odds_long(spark, d), named)
+
+
+YEARS = "CAST(season AS VARCHAR) || '-' || CAST(season + 1 AS VARCHAR)"
+
+
+@query("season_links", f"""WITH {FIXTURES}, l AS (SELECT DISTINCT league, season, {YEARS} AS years FROM fixtures), now AS (SELECT league, max(season) AS last FROM fixtures GROUP BY league)
+SELECT league, 0 AS pos, last || '-' || (last + 1) AS season, last || '/' || (last + 1) AS name, '/football/land/l.' || league || '/results/' AS href FROM now
+UNION ALL SELECT league, CAST(row_number() OVER (PARTITION BY league ORDER BY season DESC) AS INT), years, CASE WHEN season % 2 = 0 THEN replace(years, '-', '/') ELSE 'Season & ' || season END,
+CASE season % 3 WHEN 0 THEN 'https://www.example.org/football/land/l.' || league || '-' || years || '/results/' WHEN 1 THEN 'https://www.example.org/football/land/l.' || league || '-' || years || '/results/' ELSE 'http://other.org/football/land/l.' || league || '-' || years || '/results/' END FROM l JOIN now USING (league) WHERE season < last""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A page a league: its title names the current season, and its links come twice, with and without text, archive part, slash and host."""
+    years = F.concat_ws("-", "season", F.col("season") + 1)
+    path = F.concat(F.lit("/football/land/l."), F.col("league"), F.lit("-"), years)
+    href = F.when(F.col("season") % 3 == 0, F.concat(path, F.lit("/"))).when(F.col("season") % 3 == 1, F.concat(path, F.lit("/archive/"))).otherwise(F.concat(F.lit("http://other.org"), path, F.lit("/results")))
+    said = F.when(F.col("season") % 2 == 0, " ").otherwise(F.concat(F.lit(" <b>Season</b> &amp; "), F.col("season")))
+    link = F.concat(F.lit('<a class="y" href="'), href, F.lit('">'), said, F.lit("</a>\n<a href='/football/land/lx"), F.col("league"), F.lit("-1990-1991/'>other</a>"))
+    listed = fixtures(spark, d).select("league", "season").distinct().groupBy("league").agg(F.max("season").alias("last"), F.reverse(F.sort_array(F.collect_list(F.struct("season", link.alias("link"))))).alias("l"))
+    links = F.array_join(F.transform("l", lambda x: x["link"]), "\n")
+    html = F.concat(F.lit("<html><head><title>Results "), F.concat_ws("/", "last", F.col("last") + 1), F.lit(" of the league</title></head><body>"), links, links, F.lit("</body></html>"))
+    slug = F.concat(F.lit("l."), F.col("league"))
+    return E.season_links(listed.select("league", slug.alias("slug"), F.concat(F.lit("/football/land/"), slug, F.lit("/archive/")).alias("url"), html.alias("html")), "league", "html").select("league", "pos", "season", "name", "href")
+
+
+@query("unstarted_teams", f"""WITH {FIXTURES}, o AS (SELECT league, match_id, home, away FROM fixtures WHERE season = {CUR} AND NOT played), u AS (SELECT league, match_id * 2 AS spot, home AS id FROM o UNION ALL SELECT league, match_id * 2 + 1, away FROM o),
+f AS (SELECT league, id, min(spot) AS spot FROM u GROUP BY league, id), m AS (SELECT league, match_id, row_number() OVER (PARTITION BY league ORDER BY match_id) - 1 AS nth FROM o)
+SELECT league, CAST(id AS VARCHAR) AS id, CAST(nth * 2 + spot % 2 AS INT) AS pos FROM f JOIN m USING (league) WHERE spot // 2 = match_id""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A live feed a league: matches that have not started have status 0 and no score."""
+    row = F.when(F.col("played"), F.format_string('[%d,%d,"Club %d",%d,"Club %d",4,"%d-%d",1]', "match_id", "home", "home", "away", "away", "ft_home", "ft_away")).otherwise(F.format_string('[%d,%d,"Club %d",%d,"Club %d",0,"",1]', "match_id", "home", "home", "away", "away"))
+    now = fixtures(spark, d).where(F.col("season") == CUR).groupBy("league").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("match_id", row.alias("row")))), lambda x: x["row"]), ",").alias("rows"))
+    feed = now.select("league", F.concat(F.lit('{"t":[[1,99,"a",98,"b",0,"",1]],"m":['), "rows", F.lit("]}")).alias("feed"))
+    return E.unstarted_team_ids(feed, "league", "feed")
+
+
+@query("columns_by_appearance", f"""{BASE}, e AS (SELECT match_id, unnest([{", ".join(f"CASE WHEN {c} > 0 THEN '{c}' END" for c in ODDS)}]) AS name, unnest(range({len(ODDS)})) AS k FROM odds_wide),
+f AS (SELECT name, min(match_id * 100 + CASE WHEN match_id % 2 = 0 THEN k ELSE {len(ODDS)} - k END) AS first FROM e WHERE name NOT IN ('o1', 't1') GROUP BY name)
+SELECT name, CAST(row_number() OVER (ORDER BY first) AS INT) AS place FROM f UNION ALL SELECT 'o1', 0""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Records of odd ids name their columns in falling order; one column is fixed, one is skipped."""
+    entries = [F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in ODDS]
+    known = F.when(F.col("match_id") % 2 == 0, F.array(*entries)).otherwise(F.array(*entries[::-1]))
+    records = odds_wide(spark, d).select("match_id", F.map_from_entries(F.filter(known, lambda x: x["v"].cast("double") > 0)).alias("m"))
+    return E.appearance_order(records, "m", ["match_id"], fixed=["o1"], skip=["t1"])

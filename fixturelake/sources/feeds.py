@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fixturelake.functions.catalogue import odds_columns
+from fixturelake.functions.catalogue import PERIODS, odds_columns
 from fixturelake.functions.scalars import clean_text, participant_key, scope_label, trim, year_label
 
 HISTORY_TEXT = ["code_kod", "ht_iy", "ft_ms", "home_team", "away_team"]
@@ -113,16 +113,18 @@ def parse_1x2_feed(df: DataFrame, col: str, name: str, bookmaker: str = "16") ->
     return df.withColumns({f"odd_{s}": number(first, k) for k, s in enumerate(("home", "draw", "away"), 1)})
 
 
+def _exploded(df: DataFrame, variant: str) -> DataFrame:
+    """df with pos, key and value of every part of a variant column."""
+    return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(variant).outer()))
+
+
 def parse_schedule_json(df: DataFrame, key: str, col: str) -> DataFrame:
     """key, round, pos, status, home_id, away_id, ft, ht, postponed of every match of a season's rounds, nested groups included."""
-    df.select(key, F.try_parse_json(F.col(col).cast("string")).alias("v")).createOrReplaceTempView("_schedules")
-    spark = df.sparkSession
-    top = spark.sql(f"SELECT {key}, r.key AS name, r.value AS v FROM _schedules, LATERAL variant_explode_outer(try_variant_get(v, '$.ScheduleList', 'variant')) AS r")
-    top.createOrReplaceTempView("_rounds")
-    inner = spark.sql(f"SELECT {key}, g.key AS name, g.value AS v FROM _rounds, LATERAL variant_explode(v) AS g WHERE name NOT LIKE 'R\\_%' AND g.key LIKE 'R\\_%'")
+    whole = df.select(F.col(key).alias("id"), F.try_parse_json(F.col(col).cast("string")).alias("v")).select("id", F.try_variant_get("v", "$.ScheduleList", "variant").alias("v"))
+    top = _exploded(whole, "v").select("id", F.col("key").alias("name"), F.col("value").alias("v"))
+    inner = _exploded(top.where(~F.col("name").startswith("R_")), "v").where(F.col("key").startswith("R_")).select("id", F.col("key").alias("name"), F.col("value").alias("v"))
     rounds = top.where(F.col("name").startswith("R_")).unionByName(inner)
-    rounds.createOrReplaceTempView("_rounds")
-    rows = spark.sql(f"SELECT {key}, name, m.pos AS pos, m.value AS v FROM _rounds, LATERAL variant_explode(v) AS m")
+    rows = _exploded(rounds, "v").select(F.col("id").alias(key), "name", "pos", F.col("value").alias("v"))
 
     def at(k: int, kind: str) -> Column:
         return F.try_variant_get("v", f"$[{k}]", kind)
@@ -136,9 +138,8 @@ def parse_schedule_json(df: DataFrame, key: str, col: str) -> DataFrame:
 
 def parse_schedule_teams(df: DataFrame, key: str, col: str) -> DataFrame:
     """key, league, team_id, name of every team of a season's schedule."""
-    df.select(key, F.try_parse_json(F.col(col).cast("string")).alias("v")).createOrReplaceTempView("_schedules")
-    found = f"SELECT {key}, try_variant_get(v, '$.LeagueInfo[1]', 'string') AS league, t.value AS t FROM _schedules, LATERAL variant_explode(try_variant_get(v, '$.TeamInfo', 'variant')) AS t"
-    rows = df.sparkSession.sql(found)
+    whole = df.select(F.col(key).alias("id"), F.try_parse_json(F.col(col).cast("string")).alias("v")).select("id", F.try_variant_get("v", "$.LeagueInfo[1]", "string").alias("league"), F.try_variant_get("v", "$.TeamInfo", "variant").alias("v"))
+    rows = _exploded(whole, "v").select(F.col("id").alias(key), "league", F.col("value").alias("t"))
     return rows.select(key, "league", F.try_variant_get("t", "$[0]", "int").alias("team_id"), F.try_variant_get("t", "$[1]", "string").alias("name")).where("team_id IS NOT NULL")
 
 
@@ -158,10 +159,70 @@ def extract_ids(df: DataFrame, key: str, col: str, pattern: str) -> DataFrame:
     return found.groupBy(key, "id").agg(F.min("pos").cast("int").alias("pos"))
 
 
-def dynamic_columns(df: DataFrame, key: str, maps: str, fixed: list[str]) -> tuple[DataFrame, list[str]]:
-    """A table with the fixed columns and one for every other key that occurs, by name; and those keys."""
+def extract_id_groups(df: DataFrame, key: str, col: str, pattern: str, groups: tuple[int, ...]) -> DataFrame:
+    """key, pos, id of the distinct values of several groups of a pattern, in the order of matches and groups."""
+    found = F.arrays_zip(*[F.regexp_extract_all(col, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups])
+    each = df.select(key, F.posexplode(found).alias("nth", "m")).select(key, "nth", F.posexplode(F.array(*[F.col(f"m.g{g}") for g in groups])).alias("group", "id"))
+    return each.groupBy(key, "id").agg(F.min(F.col("nth") * len(groups) + F.col("group")).cast("int").alias("pos"))
+
+
+# Where the matches of a live feed begin, and a match that has not started, with the ids of both clubs.
+LIVE_MATCHES = '"m":[['
+UNSTARTED = r'\[\d+,(\d+),"[^"]*",(\d+),"[^"]*",0,"",'
+
+
+def unstarted_team_ids(df: DataFrame, key: str, col: str) -> DataFrame:
+    """key, pos, id of the clubs of a live feed's matches that have not started; a feed without matches has none."""
+    at = F.instr(col, LIVE_MATCHES)
+    body = df.where(at > 0).select(key, F.substr(F.col(col), at).alias(col))
+    return extract_id_groups(body, key, col, UNSTARTED, (1, 2))
+
+
+def season_links(pages: DataFrame, key: str, col: str, slug: str = "slug", url: str = "url", domain: str = "https://www.example.org") -> DataFrame:
+    """key, pos, season, name, href of a league's seasons: the current one first, then those of archive links in page order, each once.
+
+    The current season is what the page's ``season_url`` element says, or the years in its title, or ``current``. Addresses lead to results:
+    the league's without its archive part, and archive links made absolute and rewritten.
+    """
+    said = F.trim(F.regexp_extract(col, r"""<[^>]*\sid=["']?season_url["']?[^>]*>([^<]*)<""", 1))
+    titled = F.replace(F.regexp_extract(F.regexp_extract(col, r"(?s)<title[^>]*>(.*?)</title>", 1), r"(\d{4}/\d{4}|\d{4}-\d{4})", 1), F.lit("/"), F.lit("-"))
+    now = F.when(said != "", said).when(titled != "", titled).otherwise("current")
+    base = pages.select(key, slug, now.alias("now"), F.concat(F.replace(url, F.lit("archive/"), F.lit("")), F.lit("results/")).alias("now_href"), F.regexp_extract_all(col, F.lit(r"(?s)<a\s(?:[^>]*\s)?href=[^>]*>.*?</a>"), F.lit(0)).alias("links"))
+    first = base.select(key, F.lit(0).alias("pos"), F.col("now").alias("season"), F.replace("now", F.lit("-"), F.lit("/")).alias("name"), F.col("now_href").alias("href"))
+    each = base.select(key, slug, "now", F.posexplode("links").alias("nth", "link")).withColumns({
+        "href": F.regexp_extract("link", r"""^<a\s(?:[^>]*\s)?href=["']?([^"'\s>]*)""", 1), "text": clean_text(F.col("link")),
+    })
+    each = each.withColumn("season", F.expr(f"regexp_extract(href, concat('/football/[^/]+/\\\\Q', {slug}, '\\\\E-([0-9]{{4}}-[0-9]{{4}})/'), 1)"))
+    each = each.where("season <> '' AND season <> now")
+    earliest = each.groupBy(key, "season").agg(F.min_by(F.struct("nth", "text", "href"), "nth").alias("m")).select(key, "season", "m.*")
+    full = F.when(F.startswith("href", F.lit("http")), F.col("href")).otherwise(F.concat(F.lit(domain), F.col("href")))
+    full = F.replace(F.when(F.endswith(full, F.lit("/")), full).otherwise(F.concat(full, F.lit("/"))), F.lit("/archive/"), F.lit("/results/"))
+    full = F.when(F.contains(full, F.lit("/results/")), full).otherwise(F.concat(full, F.lit("results/")))
+    name = F.when(F.col("text") != "", F.col("text")).otherwise(F.replace("season", F.lit("-"), F.lit("/")))
+    # some seasons a page
+    rest = earliest.select(key, F.row_number().over(Window.partitionBy(key).orderBy("nth")).cast("int").alias("pos"), "season", name.alias("name"), full.alias("href"))
+    return first.unionByName(rest)
+
+
+def appearance_order(df: DataFrame, maps: str, at: list[str], fixed: list[str] = (), skip: list[str] = ()) -> DataFrame:
+    """name, place of the columns of records with dynamic keys: the fixed ones as listed, then the others as they first appear in the order of ``at`` and within a record.
+
+    The first appearance is a minimum, so that partitions don't matter; of the names only as many as there are columns meet in one task.
+    """
+    long = df.select(*at, F.posexplode(maps).alias("nth", "name", "value")).where(~F.col("name").isin(*fixed, *skip) if fixed or skip else F.lit(True))
+    first = long.groupBy("name").agg(F.min(F.struct(*at, "nth")).alias("first"))
+    others = first.select("name", (F.row_number().over(Window.orderBy("first")) + len(fixed) - 1).cast("int").alias("place"))
+    listed = df.sparkSession.createDataFrame([(n, k) for k, n in enumerate(fixed)], "name string, place int")
+    return listed.unionByName(others)
+
+
+def dynamic_columns(df: DataFrame, key: str, maps: str, fixed: list[str], at: list[str] | None = None, skip: list[str] = ()) -> tuple[DataFrame, list[str]]:
+    """A table with the fixed columns and one for every other key that occurs and is not skipped, by name, or in order of appearance by ``at``; and those keys."""
     long = df.select(key, F.explode(maps).alias("name", "value"))
-    names = [r["name"] for r in long.select("name").distinct().where(~F.col("name").isin(fixed)).orderBy("name").limit(MAX_COLUMNS + 1).collect()]
+    if at:
+        names = [r["name"] for r in appearance_order(df, maps, at, [], [*fixed, *skip]).orderBy("place").limit(MAX_COLUMNS + 1).collect()]
+    else:
+        names = [r["name"] for r in long.select("name").distinct().where(~F.col("name").isin(*fixed, *skip)).orderBy("name").limit(MAX_COLUMNS + 1).collect()]
     if len(names) > MAX_COLUMNS:
         raise ValueError(f"over {MAX_COLUMNS} keys: keep the map")
     return long.groupBy(key).pivot("name", [*fixed, *names]).agg(F.first("value")), names
@@ -203,3 +264,44 @@ def odds_report(long: DataFrame, keys: list[str], names: list[str] | None = None
     wide = long.where(F.col("odds_key").isin(names)).groupBy(*keys).pivot("odds_key", names).agg(F.first("odds"))
     return wide.select(*keys, *[F.coalesce(F.col(f"`{n}`"), F.lit("-")).alias(n) for n in names])
 
+
+
+# The groups of the dated report, their periods, and its correct scores in the order of its columns.
+DATED_GROUPS = {"1x2": ["Home", "Draw", "Away"], "Over/Under": [f"{side} {whole}.5" for whole in range(5) for side in "OU"], "Both teams": ["Yes", "No"], "Double chance": ["1X", "12", "X2"]}
+DATED_SCORES = "1:0 0:1 1:1 2:0 0:2 2:1 1:2 2:2 3:0 0:3 3:1 1:3 3:2 2:3 3:3 4:0 0:4 4:1 1:4 4:2 2:4 4:3 3:4 4:4".split()
+DATED_FIXED = ["date", "match_id", "home", "away", "ft", "ht"]
+
+
+def dated_columns() -> list[dict[str, str]]:
+    """name, key, group and label of the odds columns of the dated report, generated from groups, periods and labels; there are no scores of second halves."""
+    triples = [(g, p, x) for g, labels in DATED_GROUPS.items() for p in PERIODS.values() for x in labels]
+    triples += [("Correct score", p, x) for p in list(PERIODS.values())[:2] for x in DATED_SCORES]
+    name = lambda *t: "_".join("".join(c if c.isalnum() else "_" for c in x.lower()) for x in t)
+    return [{"name": name(*t), "key": "|".join(t), "group": f"{t[0]} | {t[1]}", "label": t[2]} for t in triples]
+
+
+def dated_odds_report(long: DataFrame, matches: DataFrame, key: str = "match_id") -> DataFrame:
+    """The date-first report: six fixed columns and one an odds column, ``-`` for missing odds, of matches with any odds.
+
+    Each column carries its group, label and key as metadata, which a Parquet file keeps.
+    """
+    columns = dated_columns()
+    has = long.where("odds_key IS NOT NULL").groupBy(key).pivot("odds_key", [c["key"] for c in columns]).agg(F.first("odds"))
+    odds = [F.coalesce(F.col(f"`{c['key']}`"), F.lit("-")).alias(c["name"], metadata={k: c[k] for k in ("group", "label", "key")}) for c in columns]
+    fixed = [F.col(c).alias(c, metadata={"group": c, "label": c}) for c in DATED_FIXED]
+    return matches.join(has, key).select(*fixed, *odds)
+
+
+def read_history_jdbc(spark: SparkSession, jdbc: dict[str, str], odds: list[str], keep: list[str], key: str = "match_id", partitions: int = 8, fetch: int = 2_000) -> DataFrame:
+    """The kept and odds columns of a database's history (S2), read in ranges of a numeric key, each its own task and query.
+
+    The bounds are the table's least and largest key, asked of the database; the selection, and filters and columns of what follows, are
+    part of the queries. An empty table has one range.
+    """
+    source = lambda: spark.read.format("jdbc").options(fetchsize=str(fetch), **{k: v for k, v in jdbc.items() if k != "dbtable"})
+    named = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(jdbc["url"]).quoteIdentifier(key)
+    ends = source().option("query", f"SELECT MIN({named}) AS lo, MAX({named}) AS hi FROM {jdbc['dbtable']}").load().first()
+    whole = source().option("dbtable", jdbc["dbtable"])
+    if ends[0] is not None:
+        whole = whole.option("partitionColumn", key).option("lowerBound", str(ends[0])).option("upperBound", str(ends[1] + 1)).option("numPartitions", str(partitions))
+    return whole.load().select(*keep, *odds)
