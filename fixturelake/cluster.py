@@ -105,6 +105,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return Tables(df.sparkSession).result(df, name)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path to write to in a new folder of the shared folder, which goes as results do."""
+    tables = Tables(spark)
+    path = tables.path(name)
+    files, at = _at(spark, path)
+    files.mkdirs(at)
+    tables.keep()
+    return f"{path}/data"
+
+
 def drop_results(spark: SparkSession) -> None:
     """Delete the tables that results of earlier calls read; call it when none of them is used any more."""
     while _results:

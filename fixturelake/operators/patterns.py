@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixturelake.cluster import materialise
 from fixturelake.functions.scalars import comeback, normalize_name, score_in, score_text, teams_match, tokens
 from fixturelake.operators.schedule import SEASON, active_round, first_unplayed, neighbours, opponents_around, ordered
 
@@ -138,7 +139,7 @@ def bridge_pattern(schedule: DataFrame, current: int, max_offset: int = 5, lookb
     """Upcoming pairs whose opponents k rounds ago met, in a past season, clubs that met each other in this round."""
     rounds = active_round(schedule.where(F.col("season") == current)).select("league", "active_round")
     coming = schedule.where((F.col("season") == current) & ~F.col("played") & ~F.col("postponed")).join(rounds, "league").where("round = active_round AND active_round >= 2")
-    met = _meetings(schedule)
+    met = materialise(_meetings(schedule), "meetings")
     offsets = coming.select("league", F.col("match_id").alias("upcoming_id"), F.col("home").alias("a"), F.col("away").alias("b"), "active_round", F.explode(F.sequence(F.lit(1), F.lit(max_offset))).alias("offset"))
     offsets = offsets.withColumn("bridge", F.col("active_round") - F.col("offset")).where("bridge >= 1")
     now = met.where(F.col("season") == current)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fixturelake.cluster import scratch_path
+from fixturelake.cluster import folder
 from fixturelake.functions import catalogue as G
 from fixturelake.functions import scalars as S
 from fixturelake.operators import history as H
@@ -46,14 +46,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     line = F.when(F.col("match_id") % 2 == 0, short).otherwise(F.concat(short, F.lit(";" * 98), F.concat_ws(";", F.concat_ws(" ", F.lit("League"), "league"), "match_date")))
     body = history(spark, d).select("league", "match_id", line.alias("value"))
     heads = body.select("league").distinct().select("league", F.explode(F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long"))).alias("match_id"), F.lit("heading;").alias("value"))
-    path = scratch_path(spark, "odds-csv")
+    path = folder(spark, "odds-csv")
     body.unionByName(heads).repartition("league").sortWithinPartitions("league", "match_id").select("league", "value").write.partitionBy("league").text(path)
     return E.read_odds_csv(spark, path).select("code_kod", "ht_iy", "ft_ms", "home_team", "away_team", "ft_1_a", "ft_x_a", "ft_2_a", "country_league", "date_time")
 
 
 @query("history_written", f"{BASE} SELECT league, count(*) AS n, sum(o1) AS total FROM hist WHERE coalesce(o1, 0) <> 0 OR coalesce(o2, 0) <> 0 GROUP BY league")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "history")
+    path = folder(spark, "history")
     rows = history(spark, d)
     for k in (0, 1):  # two appends
         K.write_history(rows.where(F.col("match_id") % 2 == k), ["o1", "o2"], path=path)
@@ -62,14 +62,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("id_list", f"WITH {FIXTURES} SELECT id, count(*) AS n FROM (SELECT match_id AS id FROM fixtures UNION ALL SELECT match_id + 1 FROM fixtures) GROUP BY id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "ids")
+    path = folder(spark, "ids")
     fixtures(spark, d).select(F.concat_ws(",", "match_id", F.concat(F.lit(" "), F.col("match_id") + 1), F.lit("x"), F.lit("")).alias("value")).write.text(path)
     return E.read_id_list(spark, path).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("relations_exported", f"{BASE} SELECT 'matches' AS relation, count(*) AS n FROM fixtures UNION ALL SELECT 'odds', count(*) FROM odds_wide UNION ALL SELECT 'both', count(*) FROM fixtures JOIN odds_wide USING (match_id) WHERE o2 IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "relations")
+    path = folder(spark, "relations")
     K.export_relations({"matches": fixtures(spark, d).select("match_id", "league"), "odds": odds_wide(spark, d)}, path)
     matches, odds = spark.read.parquet(f"{path}/matches"), spark.read.parquet(f"{path}/odds")
     both = matches.join(odds.where("o2 IS NOT NULL"), "match_id")

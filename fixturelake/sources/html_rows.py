@@ -182,9 +182,9 @@ def extract_listing(pages: DataFrame, labels: dict[str, str], skip: list[str]) -
     """page_id, seq, fields: the label and value cells of a card as a map, without the skipped labels."""
     rows = extract_html_rows(pages, "listing").where("kind = 'row'")
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("cells") / 2).cast("int") - 1)), lambda i: F.struct(F.get("cells", i * 2).alias("k"), F.get("cells", i * 2 + 1).alias("v")))
-    long = rows.select("page_id", "seq", F.explode(pairs).alias("p")).where("p.k IS NOT NULL AND p.v IS NOT NULL")
-    keyed = long.select("page_id", "seq", label_key(F.col("p.k"), labels).alias("k"), F.col("p.v").alias("v"))
+    long = rows.select("page_id", "seq", F.posexplode(pairs).alias("at", "p")).where("p.k IS NOT NULL AND p.v IS NOT NULL")
+    keyed = long.select("page_id", "seq", "at", label_key(F.col("p.k"), labels).alias("k"), F.col("p.v").alias("v"))
     kept = keyed.where(~F.col("k").isin(skip)) if skip else keyed
-    # of a label that comes twice the value that sorts last
-    each = kept.groupBy("page_id", "seq", "k").agg(F.max("v").alias("v"))
+    # of a label that comes twice the last value on the card
+    each = kept.groupBy("page_id", "seq", "k").agg(F.max_by("v", "at").alias("v"))
     return each.groupBy("page_id", "seq").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("fields"))

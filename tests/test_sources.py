@@ -5,6 +5,7 @@ import threading
 
 from fixturelake.functions.catalogue import odds_columns
 from fixturelake.sources import feeds as E
+from fixturelake.sources import html_rows as W
 
 
 def test_database_history_is_read_in_ranges_with_filters(spark, tmp_path):
@@ -91,3 +92,9 @@ def test_schedules_are_parsed_side_by_side(spark):
         t.join()
     assert found == {k: ([k], [f"T{k}"]) for k in range(4)}
     assert not [t.name for t in spark.catalog.listTables() if t.isTemporary]
+
+
+def test_last_value_of_a_label(spark):
+    html = "<div class='product'><div>Colour</div><div>zinc</div><div>Size</div><div>3</div><div>Colour</div><div>amber</div></div>"
+    (row,) = W.extract_listing(spark.createDataFrame([(1, html)], "page_id long, html string"), {}, []).collect()
+    assert sorted(row.fields.values()) == ["3", "amber"]
