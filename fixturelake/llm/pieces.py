@@ -36,7 +36,9 @@ from .tokens import vocabulary_path
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts that a worker remembers, and the longest of them in characters.
-MEMO, SHORT = 300_000, 40
+MEMO, SHORT = 400_000, 40
+#: Characters of a text that are taken at once.
+STEP = 1 << 19
 # Kinds of pieces, and of models, in the model's file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -151,6 +153,7 @@ class Model:
         # what each piece stands for; a sign counts as the space that it replaces
         self.texts = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in pieces]
         self.sizes = [len(t) for t in self.texts]
+        self.plain = {p: (struct.pack("=i", self.sizes[i]), str(i)) for p, i in self.ids.items()}
         self.byte = {i: b for b, i in self.bytes.items()}
         scores = {p: s for p, s, k in pieces if k == NORMAL}
         order = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
@@ -162,7 +165,9 @@ class Model:
         self.parts = re.compile(f"[{re.escape(self.known)}{SPACE}]+|." if inner else f"{SPACE}*{letters}+|{SPACE}+|.", re.DOTALL)
         # places where prefixes of the map, or spaces and their sign, may begin
         self.special = re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in sorted(self.map.first | {0x20, 0xE2})) + b"]") if self.map.units or self.squeeze else re.compile(SPACE.encode())
+        self.apart = not inner
         self.memo: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
 
     def normalised(self, text: str) -> tuple[str, Alignment]:
         """The text as pieces see it, with a plain space for each sign of one, and its alignment in bytes."""
@@ -287,19 +292,33 @@ class Model:
                 sizes.append(len(raw))
         return ids, sizes
 
-    def parts_of(self, normal: str) -> Iterator[tuple]:
-        """For each part of a normalised text: ids, sizes, ids as text, decoded text."""
-        memo = self.memo
-        for part in self.parts.findall(normal.replace(" ", SPACE)):
-            got = memo.get(part)
-            if got is None:
+    def part(self, part: str) -> tuple[bytes, str, bytes]:
+        """Of one part: sizes, ids as text, decoded text."""
+        got = self.before.get(part)
+        if got is None:
+            try:  # most parts have a piece for each of their characters
+                rows = [self.plain[p] for p in self.merged(part)]
+                got = b"".join([r[0] for r in rows]), ",".join([r[1] for r in rows]), part.replace(SPACE, " ").encode()
+            except KeyError:
                 ids, sizes = self.coded(part)
-                got = len(ids), sizes.tobytes(), ",".join(map(str, ids)), self.joined(ids)
-                if len(part) <= SHORT:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = got
-            yield got
+                got = sizes.tobytes(), ",".join(map(str, ids)), self.joined(ids)
+        if len(part) <= SHORT:
+            if len(self.memo) >= MEMO:  # what is met often is found in the older half and moves on
+                self.before, self.memo = self.memo, {}
+            self.memo[part] = got
+        return got
+
+    def parts_of(self, normal: str) -> Iterator[list[tuple[bytes, str, bytes]]]:
+        """The parts of a normalised text in lists, each of about STEP characters where there is a space to cut at."""
+        text, at = normal.replace(" ", SPACE), 0
+        while at < len(text):
+            end = text.find(SPACE, at + STEP) if self.apart else -1
+            while end > 0 and text[end - 1] == SPACE:
+                end = text.find(SPACE, end + 1)
+            end = len(text) if end < 0 else end
+            names = self.parts.findall(text, at, end)
+            yield [got or self.part(name) for name, got in zip(names, map(self.memo.get, names), strict=True)]
+            at = end
 
     def joined(self, ids) -> bytes:
         """The bytes of some pieces, spaces for their signs; control pieces have none. Byte pieces are read as characters in runs."""
@@ -341,9 +360,9 @@ class Model:
         """Ids of a text, with the first byte and the end of each piece in the original."""
         normal, align = self.normalised(text)
         ids, sizes = [], []
-        for _, s, named, _ in self.parts_of(normal):
-            ids.append(named)
-            sizes.append(s)
+        for found in self.parts_of(normal):
+            sizes += [x[0] for x in found]
+            ids += [x[1] for x in found]
         ends = np.cumsum(np.frombuffer(b"".join(sizes), np.int32), dtype=np.int64)
         if not len(ends):
             return ends, ends, ends
@@ -356,31 +375,16 @@ class Model:
         if not text:
             return 0, _EMPTY, _EMPTY, 0
         normal, align = self.normalised(text)
-        ids, decoded, n, size, first, sep = hashlib.sha256(), hashlib.sha256(), 0, 0, True, b""
-        held_ids, held_text, sizes = [], [], []
-
-        def flush() -> None:
-            nonlocal size, first, sep, held_ids, held_text, sizes
-            if held_ids:
-                ids.update(sep + ",".join(held_ids).encode())
-                out = b"".join(held_text)
-                skip = self.lead(int(i) for named in held_ids for i in named.split(",")) if first else 0
-                decoded.update(out[skip:])
-                ends = size + np.cumsum(np.frombuffer(b"".join(sizes), np.int32), dtype=np.int64)
-                spans.append(np.diff(align.project(np.concatenate([[size], ends]))).sum())
-                size, first, sep = int(ends[-1]), False, b","
-                held_ids, held_text, sizes = [], [], []
-
-        spans: list = []
-        for k, s, named, out in self.parts_of(normal):
-            n += k
-            held_ids.append(named)
-            held_text.append(out)
-            sizes.append(s)
-            if len(held_ids) >= 100_000:
-                flush()
-        flush()
-        return n, ids.hexdigest(), decoded.hexdigest(), int(sum(spans))
+        ids, decoded, n, covered, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        for found in self.parts_of(normal):
+            sizes = np.frombuffer(b"".join([x[0] for x in found]), np.int32)
+            named = ",".join([x[1] for x in found])
+            skip = 0 if n else self.lead(int(m[0]) for m in re.finditer("[0-9]+", named))
+            ids.update(((b"," if n else b"") + named.encode()))
+            decoded.update(b"".join([x[2] for x in found])[skip:])
+            bounds = align.project(size + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+            n, covered, size = n + len(sizes), covered + int((bounds[1:] - bounds[:-1]).sum()), size + int(sizes.sum(dtype=np.int64))
+        return n, ids.hexdigest(), decoded.hexdigest(), covered
 
 
 _NEVER = 1 << 62
