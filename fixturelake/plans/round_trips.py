@@ -14,8 +14,8 @@ from fixturelake.operators import history as H
 from fixturelake.operators import patterns as P
 from fixturelake.operators import refine as R
 from fixturelake.operators import schedule as C
-from fixturelake.plans.queries import ALL_SQL, AROUND, BASE, CUR, FIRST, FIXTURES, GOLDEN, JSON_SQL, LONG, ODDS_KEYS, OUTCOME, RULES_SQL, SETS, TEAMS, _odds_long, _score_sql, query
-from fixturelake.plans.views import ODDS, fixtures, history, odds_wide, read, team_view
+from fixturelake.plans.queries import ALL_SQL, AROUND, BASE, CUR, FIRST, FIXTURES, FULL_BASE, GOLDEN, JSON_SQL, LONG, ODDS_KEYS, OUTCOME, RULES_SQL, SETS, TEAMS, _odds_long, _score_sql, query
+from fixturelake.plans.views import ALL_ODDS, ODDS, fixtures, full_history, history, odds_wide, read, team_view
 from fixturelake.sources import feeds as E
 from fixturelake.sources import html_rows as W
 from fixturelake.sources import sinks as K
@@ -246,7 +246,7 @@ TOKENS = "list_filter(list_transform(regexp_split_to_array(trim({0}), '\\s+'), l
 
 
 @query("fuzzy_names", f"""WITH b AS (SELECT p_partkey, p_name AS a, upper(p_name) || ' - x' AS u, lead(p_name || ' ' || p_brand, 1) OVER (ORDER BY p_partkey) AS b FROM part), n AS (SELECT *, lower(regexp_replace(a, '[^A-Za-z0-9]', '', 'g')) AS na, lower(regexp_replace(b, '[^A-Za-z0-9]', '', 'g')) AS nb, {TOKENS.format('a')} AS ta, {TOKENS.format('b')} AS tb FROM b)
-SELECT p_partkey, na AS folded, TRUE AS contained, coalesce(na = nb OR contains(na, nb) OR contains(nb, na) OR list_has_any(list_filter(ta, lambda x: length(x) >= 3), tb)
+SELECT p_partkey, na AS folded, contains(lower(regexp_replace(u, '[^A-Za-z0-9]', '', 'g')), na) AS contained, coalesce(na = nb OR contains(na, nb) OR contains(nb, na) OR list_has_any(list_filter(ta, lambda x: length(x) >= 3), tb)
  OR len(list_filter(ta, lambda x: len(list_filter(tb, lambda y: least(length(x), length(y)) >= 4 AND (starts_with(x, y) OR starts_with(y, x)))) > 0)) > 0, FALSE) AS same FROM n""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     part = read(spark, d, "part")
@@ -284,6 +284,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, df in found.items()])
 
 
+@query("sampled_matches", f"{BASE} SELECT match_id, league, season FROM hist ORDER BY md5('7:' || match_id), match_id LIMIT 25")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.sample_targets(history(spark, d), 25, 7).select("match_id", "league", "season")
+
+
 @query("open_columns", f"{BASE}, {ALL_SQL}, {LONG}, {RULES_SQL} SELECT target_id, col FROM long EXCEPT SELECT target_id, col FROM (SELECT match_id AS target_id, unnest([side, htft, score]) AS outcome FROM (SELECT match_id, {OUTCOME} FROM targets)) JOIN rules USING (outcome)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     golden = R.golden_columns(H.outcomes(history(spark, d)), spark.createDataFrame(GOLDEN, "outcome string, col string"), ODDS)
@@ -377,3 +382,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     known = F.when(F.col("match_id") % 2 == 0, F.array(*entries)).otherwise(F.array(*entries[::-1]))
     records = odds_wide(spark, d).select("match_id", F.map_from_entries(F.filter(known, lambda x: x["v"].cast("double") > 0)).alias("m"))
     return E.appearance_order(records, "m", ["match_id"], fixed=["o1"], skip=["t1"])
+
+
+@query("full_odds_csv", f"{FULL_BASE} SELECT CAST(match_id AS VARCHAR) AS code_kod, {HT} AS ht_iy, {FT} AS ft_ms, 'League ' || league AS country_league, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ALL_ODDS) + " FROM hist")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All odds columns as decimal-comma text in files of a league, behind two headings each, and back."""
+    odds = [F.coalesce(F.translate(F.col(c).cast("string"), ".", ","), F.lit("")) for c in ALL_ODDS]
+    line = F.concat_ws(";", "match_id", _dash("ht_home", "ht_away"), _dash("ft_home", "ft_away"), F.lit("H"), F.lit("A"), *odds, F.concat_ws(" ", F.lit("League"), "league"), "match_date")
+    body = full_history(spark, d).select("league", "match_id", line.alias("value"))
+    heads = body.select("league").distinct().select("league", F.explode(F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long"))).alias("match_id"), F.lit("heading;").alias("value"))
+    path = folder(spark, "full-odds-csv")
+    body.unionByName(heads).repartition("league").sortWithinPartitions("league", "match_id").select("league", "value").write.partitionBy("league").text(path)
+    return E.read_odds_csv(spark, path).select("code_kod", "ht_iy", "ft_ms", "country_league", *ALL_ODDS)

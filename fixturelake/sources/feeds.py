@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fixturelake.cluster import FEW_ROWS
 from fixturelake.functions.catalogue import PERIODS, odds_columns
 from fixturelake.functions.scalars import clean_text, participant_key, scope_label, trim, year_label
 
@@ -31,7 +32,8 @@ def without_headings(lines: DataFrame, n: int = 2) -> DataFrame:
     placed = lines.select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     first = placed.groupBy("file").agg(F.min(F.when(F.col("block") == 0, F.col("at"))).alias("at")).where("at IS NOT NULL")
     heads = first.select(F.explode(F.sequence(F.col("at"), F.col("at") + (n - 1))).alias("at")).distinct()
-    return placed.join(F.broadcast(heads), "at", "left_anti").where("trim(value) <> ''").select("value")
+    heads = F.broadcast(heads) if n * len(lines.inputFiles()) <= FEW_ROWS else heads
+    return placed.join(heads, "at", "left_anti").where("trim(value) <> ''").select("value")
 
 
 def parse_odds_json(df: DataFrame, key: str, col: str, bookmaker_id: int = 16, thresholds: list[float] | None = None, scores: list[str] | None = None, markets: list[str] | None = None) -> DataFrame:
