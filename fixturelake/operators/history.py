@@ -54,8 +54,8 @@ def outcomes(df: DataFrame) -> DataFrame:
     })
 
 
-#: Columns of a group of the similarity join at most: a target has a token for each choice of touched buckets in a group.
-GROUP_COLUMNS = 4
+#: Columns of a group of the similarity join at most, and of those in a token: a target has a token for each choice of their touched buckets.
+GROUP_COLUMNS, TOKEN_COLUMNS = 14, 4
 #: Targets with their values that are sent to every task at most; more are joined by a shuffle.
 FEW_TARGETS = 50_000
 
@@ -73,8 +73,9 @@ def near_pairs(targets: DataFrame, history: DataFrame, odds: list[str], toleranc
 
     Values go to buckets of a logarithmic scale as wide as the largest tolerance, so that a target's range touches two. Columns are
     grouped; a target that may miss e of its known columns agrees with a similar match in all known columns of one of any e + 1 groups.
-    Of its groups it takes the e + 1 whose buckets are rarest in the history, and looks their tokens (group, known columns,
-    buckets) up in an index of the tokens that any target asks for. Every pair that meets is compared once, in full.
+    A group's token is made of the known columns that tell matches apart best. Of its groups a target takes the e + 1 whose tokens' buckets
+    are rarest in the history, and looks these (group, columns, buckets) up in an index of the tokens that any target asks
+    for. Every pair that meets is compared once, in full.
     """
     if max(tolerances) >= 1 or low <= 0:
         raise ValueError("tolerances have to be below 1, where a missing value would be near, and thresholds above 0")
@@ -88,22 +89,28 @@ def near_pairs(targets: DataFrame, history: DataFrame, odds: list[str], toleranc
         named = tables.write(targets.select(F.col(key).alias("target_id"), values(targets).alias("t")).withColumn("known", F.size(F.filter("t", lambda x: x != 0))), "similar-targets")
         # rarity: how often each bucket of each column occurs
         frequency = rows.select(F.posexplode("b").alias("col", "bucket")).where("bucket is not null").groupBy("col", "bucket").agg(F.count("*").alias("n"))
+        frequency = tables.write(frequency, "similar-frequency")
+        alike = {r["col"]: r["p"] for r in frequency.groupBy("col").agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.pow(F.sum("n"), 2)).alias("p")).collect()}
+        best = sorted(range(len(odds)), key=lambda j: (alike.get(j, 0.0), j))
+        place = F.array(*[F.lit(best.index(j)) for j in range(len(odds))])
         ranges = named.select("target_id", "known", F.posexplode("t").alias("col", "t")).where("t > 0").withColumns({"lo": bucket(F.col("t") * (1 - most) - 1e-12), "hi": bucket(F.col("t") * (1 + most) + 1e-12)})
         touched = ranges.withColumn("bucket", F.explode(F.sequence("lo", "hi"))).join(frequency, ["col", "bucket"], "left")
         column = touched.groupBy("target_id", "known", "col", "lo", "hi").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
         total = max(1, rows.count())
-        group = column.groupBy("target_id", "known", F.floor(F.col("col") / size).cast("int").alias("group")).agg(
-            F.sort_array(F.collect_list(F.struct("col", "lo", "hi"))).alias("cols"), F.sum(F.log((F.col("n") + 0.5) / total)).alias("share"), F.expr(f"cast(sum(shiftleft(1, col % {size})) as int)").alias("mask")
-        )  # at most ``size`` columns
+        rarest = F.sort_array(F.collect_list(F.struct(F.get(place, F.col("col")).alias("place"), "col", "lo", "hi", "n")))  # at most ``size``
+        group = column.groupBy("target_id", "known", F.floor(F.col("col") / size).cast("int").alias("group")).agg(F.slice(rarest, 1, TOKEN_COLUMNS).alias("cols"))
+        share = F.aggregate("cols", F.lit(0.0), lambda acc, x: acc + F.log((x["n"] + 0.5) / total))
+        mask = F.expr(f"cast(aggregate(cols, 0, (m, x) -> m + shiftleft(1, x.col % {size})) as int)")
+        group = group.withColumns({"share": share, "mask": mask})
         needed = F.col("known") - F.ceil(F.col("known") * low - 1e-9) + 1
         chosen = group.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy("share", "group"))).where(F.col("rank") <= needed)
         seed = lambda g, mask: F.xxhash64(g.cast("long"), mask.cast("long"))
         combined = F.aggregate("cols", F.array(seed(F.col("group"), F.col("mask"))), lambda acc, x: F.flatten(F.transform(acc, lambda a: F.transform(F.sequence(x["lo"], x["hi"]), lambda b: F.xxhash64(a, b)))))
         asked = tables.write(chosen.select("target_id", "group", "mask", F.explode(combined).alias("token")), "similar-tokens")
-        # at most 2 ** size - 1 sets of known columns a group
+        # sets of columns that tell known ones apart best: as many as targets differ in what they know
         tokens = []
         for r in asked.select("group", "mask").distinct().collect():
-            cols = [r["group"] * size + k for k in range(size) if r["mask"] >> k & 1]
+            cols = sorted((r["group"] * size + k for k in range(size) if r["mask"] >> k & 1), key=best.index)
             token = reduce(lambda acc, j: F.xxhash64(acc, F.col("b")[j]), cols, seed(F.lit(r["group"]), F.lit(r["mask"])))
             tokens.append(F.when(reduce(Column.__and__, [F.col("b")[j].isNotNull() for j in cols]), token))
         index = rows.select(key, F.explode(F.array_compact(F.array(*tokens) if tokens else F.array().cast("array<bigint>"))).alias("token"))
