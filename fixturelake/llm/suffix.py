@@ -4,8 +4,11 @@ Every window of WIDTH bytes is sent where equal windows go: it is named by the l
 (its anchor), and runs of windows with one anchor travel as one segment. Segments whose anchor occurs once are alone;
 equal segments are counted, not repeated. The others of an anchor meet in a shard, where induced sorting builds the suffix
 array and permuted common prefixes of WIDTH or more mark repeated windows. Shards hold about SHARD bytes, and their number
-grows with the input. An anchor with more than HOT bytes of different segments is not put in one shard: its windows
-are spread over the cluster by their 128-bit hashes and counted.
+grows with the input. Where an anchor has more than HOT bytes of different segments, these are cut again as texts of their own,
+by anchors of longer substrings, which fewer windows share, up to whole windows: one anchor then has one window.
+
+A segment that is longer than one anchor allows repeats its anchor. Its windows that are equal to an earlier one of the segment, byte by
+byte, are marked at once and left out, so that a text that repeats one pattern for ever is sent as its pattern.
 
 Matches never cross documents; overlapping matches in one text count. Very long texts are searched for anchors in pieces of
 SLICE bytes. Null and empty texts, and texts shorter than
@@ -16,6 +19,7 @@ empty table gives no rows. Extra columns are ignored by ``cut_spans`` and kept b
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,25 +91,64 @@ def segments(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarr
     return np.concatenate(anchors), np.concatenate(starts), np.concatenate(ends), np.concatenate(doubles)
 
 
+def own_repeats(data: np.ndarray, width: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Byte ranges covered by windows that occur twice in ``data``, and ranges that hold one of each of its different windows."""
+    hashes = window_hashes(data, width)
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+    back = np.zeros(len(hashes), np.int64)  # how far back the window stands once more; 0 if it does not
+    back[order[same + 1]] = order[same + 1] - order[same]
+    edges = np.flatnonzero(np.diff(back)) + 1
+    covered, kept, at = [], [], 0
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(back)], strict=True):
+        p = int(back[a])
+        # hashes only propose; a run of windows is left out where its bytes are those of p bytes before
+        if p and np.array_equal(data[a : b + width - 1], data[a - p : b + width - 1 - p]):
+            covered += [(a - p, b + width - 1 - p), (a, b + width - 1)]
+            if at < a:
+                kept.append((at, a + width - 1))
+            at = b
+    if at < len(back):
+        kept.append((at, len(data)))
+    return covered, kept
+
+
+def _raw(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode()
+
+
+def cut_segments(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """``segments``, those longer than one anchor allows without their own repeats; last whether a row is a range known to be repeated instead."""
+    cols = segments(raw, width, gram)
+    anchor, start, end, _ = cols
+    known = np.zeros(len(anchor), bool)
+    long = np.flatnonzero(end - start > 2 * width - gram)
+    if not len(long):
+        return (*cols, known)
+    data, rows = np.frombuffer(raw, np.uint8), []
+    for x, s, e in zip(anchor[long].tolist(), start[long].tolist(), end[long].tolist(), strict=True):
+        covered, kept = own_repeats(data[s:e], width)
+        rows += [(x, s + a, s + b, True, True) for a, b in covered] + [(x, s + a, s + b, True, False) for a, b in kept]
+    return tuple(np.concatenate((np.delete(c, long), np.array(more, c.dtype))) for c, more in zip((*cols, known), zip(*rows, strict=True), strict=True))
+
+
 def _segment_rows(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             digests: list[bytes] = []
             for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                anchor, start, end, double = segments(raw, width, gram)
-                for c, v in zip(cols, (anchor, np.full(len(anchor), key, np.int64), start, end, double), strict=True):
+                raw = _raw(text)
+                anchor, start, end, double, known = cut_segments(raw, width, gram)
+                for c, v in zip(cols, (anchor, np.full(len(anchor), key, np.int64), start, end, double, known), strict=True):
                     c.append(v)
                 digests += [xxh3_128_digest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            whole = [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
-            kinds = [*[pa.int64()] * 4, pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(x, k) for x, k in zip(whole, kinds, strict=True)], pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], ["anchor", "key", "s", "e", "double", "d1", "d2"]
-            )
+            kinds = [*[pa.int64()] * 4, *[pa.bool_()] * 2]
+            whole = [pa.array(np.concatenate(c) if c else [], k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*whole, pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], ["anchor", "key", "s", "e", "double", "known", "d1", "d2"])
 
     return run
 
@@ -114,7 +157,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [
             (w["anchor"], w["d1"], w["d2"], raw[w["s"] : w["e"]])
-            for raw, wanted in ((t.encode(), w) for t, w in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True))
+            for raw, wanted in ((_raw(t), w) for t, w in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True))
             for w in wanted
         ]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "d1", "d2", "piece"])
@@ -130,6 +173,7 @@ def _intervals(flags: np.ndarray, width: int) -> list[dict]:
     return [{"a": int(a), "b": int(b) + width} for a, b in zip(first, last, strict=True)]
 
 
+_SPANS_SQL = "array<struct<a:bigint,b:bigint>>"
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
@@ -144,21 +188,6 @@ def _shard_rows(width: int):
     return run
 
 
-def _window_rows(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
-        for b in batches:
-            for a, d1, d2, p in zip(*(b.column(c).to_pylist() for c in ("anchor", "d1", "d2", "piece")), strict=True):
-                n = len(p) - width + 1
-                h = np.frombuffer(b"".join(xxh3_128_digest(p[i : i + width]) for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(x)) for x in (h[:, 0], h[:, 1], np.full(n, a), np.full(n, d1), np.full(n, d2), np.arange(n, dtype=np.int64))], ["h1", "h2", "anchor", "d1", "d2", "at"]
-                )
-
-    return run
-
-
 def _key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
@@ -166,16 +195,16 @@ def _key() -> Column:
 def cut_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD, hot_bytes: int = HOT) -> DataFrame:
     """key, spans: the maximal byte ranges (a, b) to remove, of documents with any."""
     ship(docs.sparkSession)
-    with small_batches(docs.sparkSession, 200):
-        return _cut_spans(docs, width, gram, shard_bytes, hot_bytes)
+    with small_batches(docs.sparkSession, 200), Tables(docs.sparkSession) as tables:
+        ranges = _repeated_ranges(tables, docs.select(_key().alias("key"), "text"), width, min(gram, max(1, width // 2)), shard_bytes, hot_bytes)
+        return tables.result(_merged(ranges), "spans")
 
 
-def _cut_spans(docs: DataFrame, width: int, gram: int, shard_bytes: int, hot_bytes: int) -> DataFrame:
-    tables = Tables(docs.sparkSession)
-    gram = min(gram, max(1, width // 2))
-    keyed = docs.select(_key().alias("key"), "text")
-    cut = tables.write(keyed.mapInArrow(_segment_rows(width, gram), "anchor long, key long, s long, e long, double boolean, d1 long, d2 long"), "segments")
-    kinds = cut.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("times"), F.min(F.struct("key", "s", "e")).alias("one"), F.bool_or("double").alias("double"))
+def _repeated_ranges(tables: Tables, texts: DataFrame, width: int, gram: int, shard_bytes: int, hot_bytes: int) -> DataFrame:
+    """key, r: byte ranges (a, b) of repeated windows of texts (key, text), with overlaps."""
+    cut = tables.write(texts.mapInArrow(_segment_rows(width, gram), "anchor long, key long, s long, e long, double boolean, known boolean, d1 long, d2 long"), "segments")
+    segments = cut.where("NOT known")
+    kinds = segments.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("times"), F.min(F.struct("key", "s", "e")).alias("one"), F.bool_or("double").alias("double"))
     kinds = tables.write(kinds, "kinds")
     crowd = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.expr("one.e - one.s")).alias("bytes"), F.bool_or("double").alias("double"))
     # anchors whose segments have to be compared: of different content, or with the anchor twice in one
@@ -183,28 +212,31 @@ def _cut_spans(docs: DataFrame, width: int, gram: int, shard_bytes: int, hot_byt
     # segments of one content that is met twice are repeated whole
     met = kinds.join(crowd, "anchor").select("anchor", "d1", "d2", "one")
     wanted = met.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("anchor", "d1", "d2", F.col("one.s").alias("s"), F.col("one.e").alias("e"))).alias("wanted"))
-    pieces = keyed.join(wanted, "key").select("text", "wanted").mapInArrow(_piece_rows, "anchor long, d1 long, d2 long, piece binary").dropDuplicates(["anchor", "d1", "d2"])
+    pieces = texts.join(wanted, "key").select("text", "wanted").mapInArrow(_piece_rows, "anchor long, d1 long, d2 long, piece binary").dropDuplicates(["anchor", "d1", "d2"])
     pieces = tables.write(pieces.join(crowd, "anchor"), "pieces")
-    total = pieces.where(F.col("bytes") <= hot_bytes).agg(F.sum(F.length("piece"))).first()[0] or 0
+    crowded = F.col("bytes") > (hot_bytes if gram < width else math.inf)
+    total = pieces.where(~crowded).agg(F.sum(F.length("piece"))).first()[0] or 0
     n_shards = max(1, -(-total // shard_bytes))
-    shards = pieces.where(F.col("bytes") <= hot_bytes).select(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard"), "anchor", "d1", "d2", "piece")
-    spans_type = "array<struct<a:bigint,b:bigint>>"
-    found = shards.groupBy("shard").applyInArrow(_shard_rows(width), f"anchor long, d1 long, d2 long, spans {spans_type}")
-    hot = pieces.where(F.col("bytes") > hot_bytes)
+    shards = pieces.where(~crowded).select(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard"), "anchor", "d1", "d2", "piece")
+    found = shards.groupBy("shard").applyInArrow(_shard_rows(width), f"anchor long, d1 long, d2 long, spans {_SPANS_SQL}")
+    hot = pieces.where(crowded).select("anchor", "d1", "d2", F.xxhash64("anchor", "d1", "d2").alias("key"), F.col("piece").alias("text"))
     if not hot.isEmpty():
-        windows = hot.select("anchor", "d1", "d2", "piece").mapInArrow(_window_rows(width), "h1 long, h2 long, anchor long, d1 long, d2 long, at long")
-        twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-        flags = windows.join(twice, ["h1", "h2"]).groupBy("anchor", "d1", "d2").agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + width).alias("b")))).alias("spans"))
-        found = found.unionByName(flags)
+        # windows of one anchor part by anchors of longer substrings; those of a whole window are one content each
+        again = _merged(_repeated_ranges(tables, hot.select("key", "text"), width, (gram + width + 1) // 2, shard_bytes, hot_bytes))
+        found = found.unionByName(hot.drop("text").join(again, "key").select("anchor", "d1", "d2", "spans"))
     found = tables.write(found.where("size(spans) > 0"), "found")
     twins = kinds.where("times > 1").select("anchor", "d1", "d2", "times")
     marks = twins.join(found, ["anchor", "d1", "d2"], "full").select("anchor", "d1", "d2", F.when(F.col("times") > 1, F.lit(True)).otherwise(F.lit(False)).alias("all"), "spans")
     marks = tables.write(marks, "marks")  # a plain table, so that a segment of very many documents can be split in the join
     shifted = F.when(F.col("all"), F.array(F.struct(F.col("s").alias("a"), F.col("e").alias("b")))).otherwise(F.transform("spans", lambda x: F.struct((x["a"] + F.col("s")).alias("a"), (x["b"] + F.col("s")).alias("b"))))
-    ranges = cut.join(marks, ["anchor", "d1", "d2"]).select("key", F.explode(shifted).alias("r"))
-    # a text's ranges in order; one opens a span if it starts past all before
+    ranges = segments.join(marks, ["anchor", "d1", "d2"]).select("key", F.explode(shifted).alias("r"))
+    return ranges.unionByName(cut.where("known").select("key", F.struct(F.col("s").alias("a"), F.col("e").alias("b")).alias("r")))
+
+
+def _merged(ranges: DataFrame) -> DataFrame:
+    """key, spans: a text's ranges in order; one opens a span if it starts past all before."""
     lists = ranges.distinct().groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("r"))
-    return tables.result(lists.mapInArrow(_merge, f"key long, spans {spans_type}"), "spans")
+    return lists.mapInArrow(_merge, f"key long, spans {_SPANS_SQL}")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
