@@ -5,8 +5,9 @@ and find each other again after an insertion. Chunks are MIN to MAX bytes long.
 elsewhere is repeated; of each digest the occurrence in the smallest (doc_id, position) stays. Repeated chunks are removed where consecutive ones together have at least MIN_RUN bytes or cover a whole text, so that a passage of
 some 50 words and a copy of a short text are caught and a chance phrase is left alone.
 
-Digests that are frequent in a sample of the documents, FREQUENT of them at most, are counted where they are read and their
-first places sent to every task; the others meet by a shuffle. The sample decides only which way a digest goes.
+Digests that have more than one FREQUENT-th part of the chunks of a sample of the documents, fewer than FREQUENT therefore, are counted
+where they are read and their first places sent to every task; the others meet by a shuffle, in which none has much more than that part of all
+chunks. The sample decides only which way a digest goes.
 
 A document is named by id and text, so equal ids with other texts are documents of their own; a null id comes first. Of repeated rows one
 stays and the others are repeated whole. Null and empty texts have no chunks. Very long texts are hashed in pieces. An
@@ -29,8 +30,8 @@ MASK_BITS = 4
 MIN_RUN = 64
 #: Bit of a place's length that marks a text's last chunk.
 LAST = 1 << 11
-#: Digests that are sent to every task, at most: those with more than this part of the chunks of a sample of SAMPLE of the documents.
-FREQUENT, SAMPLE = 10_000, 0.01
+#: Digests that are sent to every task (16 MB), at most: those with more than this part of the chunks of a sample of SAMPLE of the documents.
+FREQUENT, SAMPLE = 1_000_000, 0.01
 
 _GEAR = np.random.Generator(np.random.PCG64(99)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -68,7 +69,22 @@ def cuts(data: np.ndarray) -> list[int]:
     return out
 
 
-def _chunk_rows(often: frozenset[bytes], inside: bool):
+def among(d: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Which digests (rows of two longs) are in ``often``, which is in order."""
+    found = np.zeros(len(d), bool)
+    if len(often):
+        # first halves hardly ever agree, so that few steps look at all digests of one
+        at = np.searchsorted(often[:, 0], d[:, 0])
+        open_ = np.arange(len(d))
+        while len(open_):
+            open_ = open_[at[open_] < len(often)]
+            open_ = open_[often[at[open_], 0] == d[open_, 0]]
+            found[open_] |= often[at[open_], 1] == d[open_, 1]
+            at[open_] += 1
+    return found
+
+
+def _chunk_rows(often: np.ndarray, inside: bool):
     """d1, d2, id, key, place of the chunks whose digest is in ``often``, or is not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +108,8 @@ def _chunk_rows(often: frozenset[bytes], inside: bool):
                 s = np.array(starts, np.int64)
                 place = s << 12 | np.array(last, np.int64) | (np.array(ends, np.int64) - s)
                 of = np.concatenate(which)
-                if often or inside:
-                    kept = np.fromiter(((x in often) == inside for x in digests), bool, len(digests))
+                if len(often) or inside:
+                    kept = among(d, often) == inside
                     d, place, of = d[kept], place[kept], of[kept]
                 names = [part.column(c).take(pa.array(of)) for c in ("id", "key")]
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(d[:, k])) for k in (0, 1)], *names, pa.array(place)], ["d1", "d2", "id", "key", "place"])
@@ -115,10 +131,13 @@ def _repeated_spans(docs: DataFrame, min_run: int, sample: float) -> DataFrame:
     tables = Tables(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), "text")
     cut = lambda df, often, inside: df.mapInArrow(_chunk_rows(often, inside), "d1 long, d2 long, id long, key long, place long")
-    some = cut(keyed.where(F.pmod(F.col("key"), F.lit(1_000_000)) < int(sample * 1_000_000)), frozenset(), False)
+    none = np.empty((0, 2), np.int64)
+    some = cut(keyed.where(F.pmod(F.col("key"), F.lit(1_000_000)) < int(sample * 1_000_000)), none, False)
     counts = tables.write(some.groupBy("d1", "d2").agg(F.count("*").alias("n")), "sampled")
     least = max(20, (counts.agg(F.sum("n")).first()[0] or 0) // FREQUENT)
-    often = frozenset(np.array([r["d1"], r["d2"]], np.int64).tobytes() for r in counts.where(F.col("n") > least).collect())
+    often = counts.where(F.col("n") > least).select("d1", "d2").toArrow()
+    often = np.stack([often[c].to_numpy() for c in ("d1", "d2")], axis=1)
+    often = often[np.lexsort((often[:, 1], often[:, 0]))]
     ends = [F.min(F.struct("id", "key", "place")).alias("first"), F.max(F.struct("id", "key", "place")).alias("last")]
     hot = tables.write(cut(keyed, often, True), "frequent-places")
     first = tables.write(hot.groupBy("d1", "d2").agg(*ends).where("first <> last").select("d1", "d2", "first"), "frequent-firsts")

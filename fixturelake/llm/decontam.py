@@ -18,7 +18,7 @@ one of its windows of the item's length has a weighted Jaccard similarity of THR
 The fingerprint itself is no proof: of pairs with a similarity of 0.8 some 4 in 1,000 are over 17 of 64 bits apart, of pairs with 0.9 none.
 
 All steps work on distinct texts, named by their digest, and the documents are joined back at the end, so copies
-cost nothing more. Null and empty texts and items, and items of fewer than WIDTH words, match nothing: so short a text stands in clean
+cost nothing more; windows of a text that repeats itself are compared once, the first of them. Null and empty texts and items, and items of fewer than WIDTH words, match nothing: so short a text stands in clean
 documents, too. Null doc_ids and item_ids are kept as null. Equal items are all reported; of equally similar windows the
 first. Repeated rows give repeated results. Empty tables give no rows. Very long texts are looked at whole; no row holds more than one
 text's shingles. Extra columns are ignored; ``clean_documents`` keeps them.
@@ -131,7 +131,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     texts = tables.write(_shingled(base.join(small_side(keys), "key", "left_semi").dropDuplicates(["key"]), "key"), "texts")
     starts = tables.write(_starts(pairs, texts, sets, ip.select("item", "item_weight"), threshold), "starts")
     span = F.array_distinct(F.expr("slice(h, start + 1, length)"))
-    parts = texts.join(starts, "key").select("key", "length", "start", F.explode_outer(span).alias("shingle"))
+    # of windows with the same shingles in the same order the first; the rows stay where the join has put them
+    windows = texts.join(starts, "key").select("key", "length", "start", span.alias("span")).groupBy("key", "length", "span").agg(F.min("start").alias("start"))
+    parts = windows.select("key", "length", "start", F.explode_outer("span").alias("shingle"))
     parts = tables.write(parts.join(small_side(weights), "shingle", "left").select("key", "length", "start", "shingle", F.coalesce("w", common).alias("w")), "window-shingles")
 
     near = near_pairs(fingerprints(parts, ["key", "length", "start"]), ip).select("key", "length", "start", "weight", "item", "item_weight")

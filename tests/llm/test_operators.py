@@ -340,14 +340,16 @@ def test_awkward_and_empty_tables(spark, tmp_path, empty):
     pages = spark.createDataFrame([(1, None, None, "h"), (None, "x", "<p>a</p>", "h"), (1, None, None, "h")], "page_id long, url string, html string, host string")
     bench = spark.createDataFrame([(None, None, 1), (2, "a b c d e f g a b c", 1)], "item_id long, text string, key int")
     labels = spark.createDataFrame([(1, 1, 0), (None, None, None), (4, 0, 1)], "doc_id long, quality int, toxic int")
-    for name, df in {"documents": docs, "pages": pages, "benchmark": bench, "labels": labels}.items():
+    vectors = spark.createDataFrame([(1, [0.5] * 64), (1, [0.5] * 64), (None, [0.25] * 64), (2, None), (3, [1.0]), (4, [None] * 64)], "vec_id long, embedding array<float>")
+    for name, df in {"documents": docs, "pages": pages, "benchmark": bench, "labels": labels, "embeddings": vectors}.items():
         (df.limit(0) if empty else df).write.parquet(str(tmp_path / f"{name}.parquet"))
-    one_each = {"op1", "op2", "op4", "op6", "op7", "op8", "op9", "op10"}
+    one_each = {"op1", "op2", "op4", "op6", "op7", "op8", "op9", "op10", "op13"}
     rows = {name: f(spark, str(tmp_path)).collect() for name, f in QUERIES.items()}
     found = {name.split("_")[0]: x for name, x in rows.items()}
     for name in one_each:
         assert len(found[name]) == (0 if empty else len(AWKWARD)), name
-    assert len(found["op3"]) == (0 if empty else 3)
+    assert len(found["op3"]) == len(found["op12"]) == (0 if empty else 3)
+    assert found["op11"] == []  # no word of five letters occurs three times
     if empty:
         assert not found["op5"] and not rows["quality_base_columns"] and not rows["shard_counts"]
         return
@@ -356,6 +358,8 @@ def test_awkward_and_empty_tables(spark, tmp_path, empty):
     none = hashlib.sha256(b"").hexdigest()
     kept = [hashlib.sha256(t.encode()).hexdigest() for t in ("other text with the same id", "no id")]
     assert of("op2", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter({(1, 420, 420, 1, none): 2, (1, 27, 0, 0, kept[0]): 1, (None, 5, 0, 0, kept[1]): 1, (None, 0, 0, 0, none): 1, (4, 0, 0, 0, none): 1, (5, 100_000, 100_000, 1, none): 1})
+    assert of("op12", "vec_id", "distance", "inertia") == Counter({(1, 0, 0): 2, (None, 0, 0): 1})
+    assert sorted(r.n_tokens for r in found["op13"])[:2] == [0, 0] and {r.ids_sha256 for r in found["op13"] if not r.n_tokens} == {none}
     assert {(r.page_id, r.text, r.n_chars) for r in found["op3"]} == {(1, "", 0), (None, "a", 1)}
     assert of("op5", "doc_id", "item_id", "similarity") == Counter({(1, 2, 1.0): 2})
     assert len({r.score for r in found["op4"]}) == 1 and {r.predicted for r in found["op4"]} == {0}

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from fixturelake.llm import chunks, common, decontam, graph, html, jaccard, mixing, quality, sharding, toxicity
+from fixturelake.llm import chunks, common, decontam, graph, html, jaccard, mixing, quality, sharding, suffix, toxicity
 
 
 def union_find(edges):
@@ -380,3 +380,71 @@ def test_rows_that_differ_in_extra_columns_keep_their_numbers(spark, many):
         assert sorted((r.k, r.nth) for r in numbered) == sorted((k, n) for k in range(3) for n in range(1, 21))
         got.append(sorted(map(tuple, numbered)))
     assert got[0] == got[1]
+
+
+def covered_bytes(raws, width):
+    """For each text, which bytes stand in a window that starts elsewhere too, by counting all windows."""
+    seen = Counter(b[i : i + width] for b in raws for i in range(len(b) - width + 1))
+    out = []
+    for b in raws:
+        cover = bytearray(len(b))
+        for i in range(len(b) - width + 1):
+            if seen[b[i : i + width]] > 1:
+                cover[i : i + width] = b"\1" * width
+        out.append(bytes(cover))
+    return out
+
+
+@pytest.mark.parametrize("hot", [2_000, 10**9])
+def test_suffixes_of_one_anchor_in_very_many_segments(spark, hot):
+    """A passage shorter than a window stands among other words in each text; some of the surroundings are equal, some repeat."""
+    rng = random.Random(6)
+    passage, width = words(rng, 8), 100
+    ends = [words(rng, 9) for _ in range(40)]
+    texts = [f"{words(rng, 6)} {rng.choice(ends)[k % 30 :]} {passage} {rng.choice(ends)} {passage} {words(rng, 4)}" for k in range(120)]
+    texts += ["a" * 5_000, "ab" * 3_000 + passage, (ends[0] + " ") * 50, "a" * 150 + ends[1], passage, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r.key: r.doc_id for r in docs.select("doc_id", suffix._key().alias("key")).collect()}
+    got = {ids[r.key]: r.spans for r in suffix.cut_spans(docs, width, 16, shard_bytes=4_000, hot_bytes=hot).collect()}
+    for k, (text, want) in enumerate(zip(texts, covered_bytes([t.encode() for t in texts], width), strict=True)):
+        cover = bytearray(len(text.encode()))
+        for s in got.get(k, ()):
+            cover[s.a : s.b] = b"\1" * (s.b - s.a)
+        assert cover == want, k
+
+
+def test_own_repeats_are_marked_and_each_window_stays_once():
+    rng = random.Random(4)
+    for _ in range(200):
+        pattern = bytes(rng.choices(b"abcd", k=rng.randint(1, 30)))
+        raw = bytes(rng.choices(b"ab", k=rng.randint(0, 40))) + pattern * rng.randint(2, 20) + bytes(rng.choices(b"ab", k=rng.randint(40, 60))) + pattern * rng.randint(0, 5)
+        width = rng.choice((5, 20, 40))
+        covered, kept = suffix.own_repeats(np.frombuffer(raw, np.uint8), width)
+        cover = bytearray(len(raw))
+        for a, b in covered:
+            cover[a:b] = b"\1" * (b - a)
+        assert cover == covered_bytes([raw], width)[0]
+        left = [raw[i : i + width] for a, b in kept for i in range(a, b - width + 1)]
+        assert len(left) == len(set(left)) and set(left) == {raw[i : i + width] for i in range(len(raw) - width + 1)}
+
+
+def test_one_text_repeats_a_passage_a_million_words_long(spark):
+    rng = random.Random(12)
+    item = words(rng, 40)
+    long = f"{words(rng, 30)} {(item + ' ') * 25_000}{words(rng, 30)}"
+    docs = spark.createDataFrame([(1, long), (2, words(rng, 60)), (3, f"{words(rng, 20)} {item}")], "doc_id long, text string")
+    found = {r.key: (r.item_id, r.similarity, r.start_word) for r in decontam.leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    assert found == {hashlib.md5(long.encode()).hexdigest(): (5, 1.0, 30), **{k: v for k, v in found.items() if v == (5, 1.0, 20)}} and len(found) == 2
+    cut = {r.doc_id: r.text for r in chunks.deduplicated(docs).collect()}
+    assert len(cut[1]) < 2_000 and len(cut[2]) == len(docs.where("doc_id = 2").first().text)
+    spans = {r.key: [(s.a, s.b) for s in r.spans] for r in suffix.cut_spans(docs).collect()}
+    at, size = long.index(item), len(item) + 1
+    assert any(a <= at and b >= at + 25_000 * size - 1 for v in spans.values() for a, b in v)
+
+
+def test_digests_among_the_frequent():
+    rng = np.random.Generator(np.random.PCG64(3))
+    d = rng.integers(0, 6, (400, 2))  # first halves that agree, too
+    often = np.unique(rng.integers(0, 6, (12, 2)), axis=0)
+    assert chunks.among(d, often).tolist() == [x in {tuple(o) for o in often.tolist()} for x in map(tuple, d.tolist())]
+    assert not chunks.among(d, often[:0]).any()
