@@ -127,3 +127,21 @@ def test_similarity_over_many_columns_is_the_nested_loop(spark, tolerances, low)
             if h[0] != t[0] and known and near[-1] >= low * len(known) - 1e-9:
                 want[t[0], h[0]] = (len(known), *near)
     assert got == want and len(want) > 30
+
+
+def test_copies_add_no_pairs_of_kinds(spark):
+    rng = random.Random(4)
+    names = [f"k{k}" for k in range(7)]
+    base = [[rng.choice([0.0, None, 1.5, 2.0, 2.1]) for _ in names] for _ in range(25)]
+    rows = [(i, "d", 0, 0, i % 3, 0, *base[i % 25]) for i in range(100)]
+    few, df = frame(spark, rows[:25], names), frame(spark, rows, names)
+    grid = (names, [0.02, 0.1], [1.0, 0.8])
+    assert H.near_kinds(df, df, names, [0.02, 0.1], 0.8).pairs.count() == H.near_kinds(few, few, names, [0.02, 0.1], 0.8).pairs.count() > 25
+    targets = df.where("match_id % 4 = 0")
+    similar = H.similar_matches(targets, df, *grid)
+    rows_of = lambda x: sorted(tuple(r) for r in x.collect())
+    assert rows_of(H.similar_top(targets, df, *grid, 3)) == rows_of(H.top_similar(similar, 3).select("target_id", "match_id", "tolerance", "threshold", "ratio", "rank"))
+    counted = similar.join(df.select("match_id", "ft_home"), "match_id").groupBy("target_id", "tolerance", "threshold", "ft_home").count()
+    assert rows_of(H.similar_counts(targets, df, *grid, "ft_home")) == rows_of(counted)
+    best = H.best_combination(H.similarity_grid(similar), grid[1]).join(H.top_similar(similar, 3), ["target_id", "tolerance", "threshold"])
+    assert rows_of(H.similarity_report(targets, df, *grid, 3)) == rows_of(best)
