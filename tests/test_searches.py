@@ -145,3 +145,52 @@ def test_copies_add_no_pairs_of_kinds(spark):
     assert rows_of(H.similar_counts(targets, df, *grid, "ft_home")) == rows_of(counted)
     best = H.best_combination(H.similarity_grid(similar), grid[1]).join(H.top_similar(similar, 3), ["target_id", "tolerance", "threshold"])
     assert rows_of(H.similarity_report(targets, df, *grid, 3)) == rows_of(best)
+
+
+def test_a_step_of_refinement_counts_values_once(spark, monkeypatch):
+    names = list("abc")
+    rows = rows_of(20, names, [None, 1.0, 2.0], 2)
+    copies = [(100 * k + r[0], *r[1:]) for k in range(5) for r in rows]
+    written = {}
+    write = R.Tables.write
+
+    def noted(self, df, name):
+        out = write(self, df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(R.Tables, "write", noted)
+    df = frame(spark, copies, names)
+    got = {r.target_id: r.hits for r in R.adaptive_filter(df, df, [], names).collect()}
+    assert len(got) == 100 and all(got[100 * k + i] == got[i] for k in range(5) for i in range(20))
+    assert written["refined"] <= 20 and written["refined-kinds"] <= 20
+
+
+@pytest.mark.parametrize("cap", [1, 3, 200])
+def test_a_cohort_is_cut_without_a_second_ranking(spark, cap):
+    names = ["a", "b"]
+    rows = rows_of(120, names, [None, 1.0, 2.0], 7)
+    df = frame(spark, rows, names)
+    targets = df.where("match_id % 3 <> 1").unionByName(df.where("match_id < 5").withColumn("match_id", df.match_id + 1000))
+    flags = H.cohort_flags(H.cohort(targets, df, names, cap, labels=True))
+    assert sorted(map(tuple, flags.select("target_id", "match_id", "same_htft").collect())) == sorted(map(tuple, H.cohort_flags(H.cohort(targets, df, names, cap), targets).select("target_id", "match_id", "same_htft").collect()))
+    want = []
+    for t in targets.collect():
+        pool = [h for h in rows if h[0] != t[0] and all((h[k] or 0.0) == (t[k] or 0.0) for k in (6, 7))]
+        want += [(t[0], h[0]) for h in sorted(pool, key=lambda h: ([-ord(x) for x in h[1]], h[0]))[:cap]]
+    assert sorted((r.target_id, r.match_id) for r in flags.collect()) == sorted(want)
+    plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(target_id" not in plan
+    assert H.score_filter_sets([names], targets, df, cap, 0.5).first().score == plain_score([tuple(t) for t in targets.collect()], rows, (6, 7), cap, 0.5)
+
+
+def test_cross_lines_are_the_report_laid_flat(spark):
+    rng = random.Random(3)
+    match = lambda i, season: (i, i % 2, season, 1 + rng.randrange(2), rng.randrange(4), 4 + rng.randrange(3), 0, rng.randrange(2), rng.randrange(3), rng.randrange(3))
+    names = "match_id long, league int, season int, round int, home int, away int, ht_home int, ht_away int, ft_home int, ft_away int"
+    current, past = spark.createDataFrame([match(i, 9) for i in range(30)], names), spark.createDataFrame([match(100 + i, i % 4) for i in range(80)], names)
+    hits = P.cross_fixture(current, past)
+    report = P.cross_fixture_report(hits, past).selectExpr("league", "target_id", "signals", "inline(others)").selectExpr("league", "target_id", "signals", "other_id", "inline(clubs)")
+    flat = report.selectExpr("league", "target_id", "signals", "other_id", "team", "posexplode(matches) as (pos, m)").select("league", "target_id", "signals", "other_id", "team", "pos", "m.season", "m.round", "m.match_id", "m.ht", "m.ft", "m.place")
+    got = P.cross_fixture_lines(current, past).select(*flat.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, flat.collect())) and got.count() > 200
