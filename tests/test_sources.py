@@ -3,6 +3,8 @@
 import random
 import threading
 
+import pyarrow as pa
+
 from fixturelake.functions.catalogue import odds_columns
 from fixturelake.sources import feeds as E
 from fixturelake.sources import html_rows as W
@@ -98,3 +100,34 @@ def test_last_value_of_a_label(spark):
     html = "<div class='product'><div>Colour</div><div>zinc</div><div>Size</div><div>3</div><div>Colour</div><div>amber</div></div>"
     (row,) = W.extract_listing(spark.createDataFrame([(1, html)], "page_id long, html string"), {}, []).collect()
     assert sorted(row.fields.values()) == ["3", "amber"]
+
+
+def test_sections_of_a_page_need_no_second_parse_and_no_shuffle(spark):
+    page = "<tr><td>0</td></tr>" + "".join(f"<tr class='competition'><td>{c}</td></tr><tr><td>{c}1</td></tr><tr><td>{c}2</td></tr>" for c in "ab")
+    pages = spark.createDataFrame([(1, page), (1, page), (2, None)], "page_id long, html string")
+    out = W.parse_fixture_html(pages)
+    assert sorted((r.page_id, r.section, r.competition or "", r.date) for r in out.collect()) == sorted(2 * [(1, 0, "", "0"), (1, 1, "a", "a1"), (1, 1, "a", "a2"), (1, 2, "b", "b1"), (1, 2, "b", "b2")])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_rows_of_pages_are_given_back_a_few_at_a_time():
+    card = "<div class='product'><div>Colour</div><div>zinc</div></div>"
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(3_000)), "html": [card * 3] * 3_000})
+    out = list(W._row_batches(W.LAYOUTS["listing"], ["page_id", "seq", "cells"], {})(iter([batch])))
+    assert max(b.num_rows for b in out) <= W._ROWS and sum(b.num_rows for b in out) == 9_000
+    assert pa.Table.from_batches(out).column("seq").to_pylist() == [0, 1, 2] * 3_000
+
+
+def test_pages_of_plain_tags_are_read_as_the_parser_reads_them():
+    bits = ["<tr>", "<tr class='competition x'>", "<tr class=row>", '<tr class="alt row">', "<td>", "</td>", "</tr>", "<TD class='A/b'>", "<table>", "</table>", "<a href='/x?a=1&amp;b=2'>", "</a>", "<br/>", "<div id='g_1_7' class='event__match'>", "<div>", "</div>"]
+    odd = ["text", "a &amp; b", "&nbs", "a < b", "<!-- c -->", "<script>var a='<tr>';</script>", "<title>", "<p a=b>", "<", "</", "<x y='>'>", "<td\xa0class='q'>", "</td >", "<td/>"]
+    rng = random.Random(4)
+    for k in range(2_000):
+        page = "".join(rng.choice(bits + odd[: 2 + 12 * (k % 2)]) for _ in range(rng.randint(0, 30)))
+        for layout in ("fixture", "results", "form", "week"):
+            whole = W._Rows(W.LAYOUTS[layout])
+            whole.feed(page)
+            whole.close()
+            whole.finish()
+            assert W._Rows(W.LAYOUTS[layout]).read(page) == whole.rows
