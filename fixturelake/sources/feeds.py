@@ -42,29 +42,33 @@ def parse_odds_json(df: DataFrame, key: str, col: str, bookmaker_id: int = 16, t
     own = entries.select(key, F.filter("es", lambda e: e["bookmakerId"] == bookmaker_id).alias("es"))
     full = F.get(F.filter("es", lambda e: (e["bettingType"] == "HOME_DRAW_AWAY") & (e["bettingScope"] == "FULL_TIME")), F.lit(0))["odds"]
     home = F.get(F.filter(F.transform(full, lambda o: o["eventParticipantId"]), lambda p: p.isNotNull()), F.lit(0))
-    flat = own.withColumn("home_id", home).select(key, "home_id", F.posexplode_outer("es").alias("i", "e")).select(key, "home_id", "i", "e.bettingType", "e.bettingScope", F.posexplode_outer("e.odds").alias("j", "o"))
-    period, who = scope_label(F.col("bettingScope")), F.col("o.eventParticipantId")
-    kind, line, score = F.col("bettingType"), F.col("o.handicap.value"), F.replace("o.score", F.lit(" "))
+    asked = lambda e: F.lit(True) if markets is None else e["bettingType"].isin(markets)
+    one = lambda e, i: F.transform(e["odds"], lambda o, j: F.struct(_odds_key(e, o, F.col("home_id"), thresholds, scores).alias("odds_key"), F.coalesce(o["opening"], o["value"], F.lit("-")).alias("odds"), F.struct(i.alias("i"), j.alias("j")).alias("at")))
+    # in one expression over arrays: as columns of exploded rows the keys are computed anew for each filter, in methods too long for the JVM to compile
+    listed = F.flatten(F.transform(F.filter("es", lambda e: e["odds"].isNotNull() & asked(e)), one))
+    out = own.withColumn("home_id", home).select(key, F.explode_outer(listed).alias("o")).select(key, "o.odds_key", "o.odds", "o.at").where("odds_key IS NOT NULL")
+    return out.groupBy(key, "odds_key").agg(F.max_by("odds", "at").alias("odds"))
+
+
+def _odds_key(entry: Column, o: Column, home_id: Column, thresholds: list[float] | None, scores: list[str] | None) -> Column:
+    """Market, period and outcome of one of an entry's odds; null for others."""
+    period, who = scope_label(entry["bettingScope"]), o["eventParticipantId"]
+    kind, line, score = entry["bettingType"], o["handicap"]["value"], F.replace(o["score"], F.lit(" "))
 
     def named(market: str, *parts: Column | str) -> Column:
         cols = [F.lit(p) if isinstance(p, str) else p for p in (market, *parts)]
         return F.when(sum((c.isNull().cast("int") for c in cols), F.lit(0)) == 0, F.concat_ws("|", *cols))
 
-    over = F.when(F.lit(True) if thresholds is None else line.isin(thresholds), F.concat(F.when(F.col("o.selection") == "OVER", "O ").otherwise("U "), line.cast("string")))
+    over = F.when(F.lit(True) if thresholds is None else line.isin(thresholds), F.concat(F.when(o["selection"] == "OVER", "O ").otherwise("U "), line.cast("string")))
     right = F.when((period != "2nd Half") & (F.lit(True) if scores is None else score.isin(scores)), score)
-    odds_key = (
-        F.when(kind == "HOME_DRAW_AWAY", named("1x2", period, participant_key(who, F.col("home_id"), "Draw", "Home", "Away")))
-        .when(kind == "BOTH_TEAMS_TO_SCORE", named("Both teams", period, F.when(F.col("o.bothTeamsToScore"), "Yes").when(~F.col("o.bothTeamsToScore"), "No")))
+    return (
+        F.when(kind == "HOME_DRAW_AWAY", named("1x2", period, participant_key(who, home_id, "Draw", "Home", "Away")))
+        .when(kind == "BOTH_TEAMS_TO_SCORE", named("Both teams", period, F.when(o["bothTeamsToScore"], "Yes").when(~o["bothTeamsToScore"], "No")))
         .when(kind == "OVER_UNDER", named("Over/Under", period, over))
-        .when(kind == "DOUBLE_CHANCE", named("Double chance", period, participant_key(who, F.col("home_id"), "12", "1X", "X2")))
+        .when(kind == "DOUBLE_CHANCE", named("Double chance", period, participant_key(who, home_id, "12", "1X", "X2")))
         .when(kind == "CORRECT_SCORE", named("Correct score", period, right))
-        .when(kind == "HALF_FULL_TIME", named("HTFT", F.col("o.winner")))
+        .when(kind == "HALF_FULL_TIME", named("HTFT", o["winner"]))
     )
-    if markets is not None:
-        flat = flat.where(kind.isin(markets))
-    value = F.coalesce("o.opening", "o.value", F.lit("-"))
-    out = flat.select(key, odds_key.alias("odds_key"), value.alias("odds"), F.struct("i", "j").alias("at")).where("odds_key IS NOT NULL")
-    return out.groupBy(key, "odds_key").agg(F.max_by("odds", "at").alias("odds"))
 
 
 def feed_fields(col: Column) -> Column:
@@ -263,10 +267,22 @@ def seasons_back(label: Column, n: int) -> Column:
 def odds_report(long: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
     """One row a match with a column an odds key, ``-`` for missing ones; matches without odds have no row."""
     names = names or [c["key"] for c in odds_columns()]
-    wide = long.where(F.col("odds_key").isin(names)).groupBy(*keys).pivot("odds_key", names).agg(F.first("odds"))
-    return wide.select(*keys, *[F.coalesce(F.col(f"`{n}`"), F.lit("-")).alias(n) for n in names])
+    wide = _odds_arrays(long.where(F.col("odds_key").isin(names)), keys, names)
+    return wide.select(*keys, *[F.get("odds", F.lit(k)).alias(n) for k, n in enumerate(names)])
 
 
+def _odds_arrays(long: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """keys, odds: the odds of the named keys in their order, ``-`` for missing ones.
+
+    A match's few odds are one map, and its columns are looked up in a loop: a pivot holds and copies a row of all columns for each of the
+    odds, and an expression a column makes methods that are too long for the JVM to compile.
+    """
+    once = long.groupBy(*keys, "odds_key").agg(F.first("odds").alias("odds"))
+    maps = once.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("odds_key").isin(names), F.struct("odds_key", "odds")))).alias("m"))
+    looked_up = lambda m: F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.try_element_at(m, n), F.lit("-")))
+    # as an element of an array the map is built once, not for each name
+    return maps.select(*keys, F.get(F.transform(F.array("m"), looked_up), F.lit(0)).alias("odds"))
+
 
 # The groups of the dated report, their periods, and its correct scores in the order of its columns.
 DATED_GROUPS = {"1x2": ["Home", "Draw", "Away"], "Over/Under": [f"{side} {whole}.5" for whole in range(5) for side in "OU"], "Both teams": ["Yes", "No"], "Double chance": ["1X", "12", "X2"]}
@@ -288,8 +304,8 @@ def dated_odds_report(long: DataFrame, matches: DataFrame, key: str = "match_id"
     Each column carries its group, label and key as metadata, which a Parquet file keeps.
     """
     columns = dated_columns()
-    has = long.where("odds_key IS NOT NULL").groupBy(key).pivot("odds_key", [c["key"] for c in columns]).agg(F.first("odds"))
-    odds = [F.coalesce(F.col(f"`{c['key']}`"), F.lit("-")).alias(c["name"], metadata={k: c[k] for k in ("group", "label", "key")}) for c in columns]
+    has = _odds_arrays(long.where("odds_key IS NOT NULL"), [key], [c["key"] for c in columns])
+    odds = [F.get("odds", F.lit(n)).alias(c["name"], metadata={k: c[k] for k in ("group", "label", "key")}) for n, c in enumerate(columns)]
     fixed = [F.col(c).alias(c, metadata={"group": c, "label": c}) for c in DATED_FIXED]
     return matches.join(has, key).select(*fixed, *odds)
 

@@ -131,3 +131,16 @@ def test_pages_of_plain_tags_are_read_as_the_parser_reads_them():
             whole.close()
             whole.finish()
             assert W._Rows(W.LAYOUTS[layout]).read(page) == whole.rows
+
+
+def test_odds_reports_have_no_pivot_and_name_each_odds_once(spark):
+    body = '{"data":{"findOddsByEventId":{"odds":[null,{"bookmakerId":16,"bettingType":"HOME_DRAW_AWAY","bettingScope":"FULL_TIME","odds":[{"eventParticipantId":"h","value":"1"},{"value":"2"},{"eventParticipantId":"a","opening":"3","value":"4"}]},{"bookmakerId":16,"bettingType":"OVER_UNDER","bettingScope":"FULL_TIME"},{"bookmakerId":16,"bettingType":"HOME_DRAW_AWAY","bettingScope":"FULL_TIME","odds":[{"eventParticipantId":"h","value":"9"}]}]}}}'
+    long = E.parse_odds_json(spark.createDataFrame([(1, body), (2, None), (3, "{}")], "id long, b string"), "id", "b")
+    assert sorted(map(tuple, long.collect())) == [(1, "1x2|Full Time|Away", "3"), (1, "1x2|Full Time|Draw", "2"), (1, "1x2|Full Time|Home", "9")]
+    assert E.parse_odds_json(spark.createDataFrame([(1, body)], "id long, b string"), "id", "b", markets=["OVER_UNDER"]).collect() == []
+    report = E.odds_report(long, ["id"], ["1x2|Full Time|Home", "x", "1x2|Full Time|Away"])
+    assert list(map(tuple, report.collect())) == [(1, "9", "-", "3")]
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "pivotfirst" not in plan.lower() and plan.count("Generate explode") == 1 and "posexplode" not in plan
+    twice = spark.createDataFrame([(1, "a", "5"), (1, "a", "5"), (1, "b", None)], "id long, odds_key string, odds string")
+    assert list(map(tuple, E.odds_report(twice, ["id"], ["a", "b"]).collect())) == [(1, "5", "-")]
