@@ -37,6 +37,17 @@ def _pages(rows: DataFrame, row: Column, lead: str = "", tail: str = "") -> Data
 
 # -- files
 
+#: Ids that a file of a league covers.
+FILE_IDS = 250_000
+
+
+def _league_files(lines: DataFrame, path: str, ids: int = FILE_IDS) -> None:
+    """Text files of lines (league, match_id, value), in order of id behind two headings each, of a league and a range of ids: their number grows with the table."""
+    body = lines.withColumn("part", F.expr(f"match_id div {ids}"))
+    heads = body.select("league", "part").distinct().select("league", "part", F.explode(F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long"))).alias("match_id"), F.lit("heading;").alias("value"))
+    placed = body.unionByName(heads).repartition("league", "part").sortWithinPartitions("league", "part", "match_id")
+    placed.select("league", "part", "value").write.partitionBy("league", "part").text(path)
+
 
 @query("odds_csv", f"""{BASE} SELECT CAST(match_id AS VARCHAR) AS code_kod, {HT} AS ht_iy, {FT} AS ft_ms, 'Club ' || home AS home_team, 'Club ' || away AS away_team, o1 AS ft_1_a, o2 AS ft_x_a, o3 AS ft_2_a,
 CASE WHEN match_id % 2 = 1 THEN 'League ' || league END AS country_league, CASE WHEN match_id % 2 = 1 THEN CAST(match_date AS VARCHAR) END AS date_time FROM hist""")
@@ -45,9 +56,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     short = F.concat_ws(";", "match_id", F.concat(F.lit(" "), _dash("ht_home", "ht_away")), _dash("ft_home", "ft_away"), F.concat_ws(" ", F.lit("Club"), "home"), F.concat_ws(" ", F.lit("Club"), "away"), *odds)
     line = F.when(F.col("match_id") % 2 == 0, short).otherwise(F.concat(short, F.lit(";" * 98), F.concat_ws(";", F.concat_ws(" ", F.lit("League"), "league"), "match_date")))
     body = history(spark, d).select("league", "match_id", line.alias("value"))
-    heads = body.select("league").distinct().select("league", F.explode(F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long"))).alias("match_id"), F.lit("heading;").alias("value"))
     path = folder(spark, "odds-csv")
-    body.unionByName(heads).repartition("league").sortWithinPartitions("league", "match_id").select("league", "value").write.partitionBy("league").text(path)
+    _league_files(body, path)
     return E.read_odds_csv(spark, path).select("code_kod", "ht_iy", "ft_ms", "home_team", "away_team", "ft_1_a", "ft_x_a", "ft_2_a", "country_league", "date_time")
 
 
@@ -387,10 +397,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("full_odds_csv", f"{FULL_BASE} SELECT CAST(match_id AS VARCHAR) AS code_kod, {HT} AS ht_iy, {FT} AS ft_ms, 'League ' || league AS country_league, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ALL_ODDS) + " FROM hist")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """All odds columns as decimal-comma text in files of a league, behind two headings each, and back."""
-    odds = [F.coalesce(F.translate(F.col(c).cast("string"), ".", ","), F.lit("")) for c in ALL_ODDS]
-    line = F.concat_ws(";", "match_id", _dash("ht_home", "ht_away"), _dash("ft_home", "ft_away"), F.lit("H"), F.lit("A"), *odds, F.concat_ws(" ", F.lit("League"), "league"), "match_date")
+    odds = F.transform(F.array(*[F.col(c).cast("double") for c in ALL_ODDS]), lambda x: F.coalesce(F.translate(x.cast("string"), ".", ","), F.lit("")))
+    line = F.concat_ws(";", "match_id", _dash("ht_home", "ht_away"), _dash("ft_home", "ft_away"), F.lit("H"), F.lit("A"), odds, F.concat_ws(" ", F.lit("League"), "league"), "match_date")
     body = full_history(spark, d).select("league", "match_id", line.alias("value"))
-    heads = body.select("league").distinct().select("league", F.explode(F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long"))).alias("match_id"), F.lit("heading;").alias("value"))
     path = folder(spark, "full-odds-csv")
-    body.unionByName(heads).repartition("league").sortWithinPartitions("league", "match_id").select("league", "value").write.partitionBy("league").text(path)
+    _league_files(body, path)
     return E.read_odds_csv(spark, path).select("code_kod", "ht_iy", "ft_ms", "country_league", *ALL_ODDS)

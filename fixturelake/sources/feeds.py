@@ -17,10 +17,12 @@ ODDS_JSON = """struct<data:struct<findOddsByEventId:struct<odds:array<struct<boo
 def read_odds_csv(spark: SparkSession, path: str) -> DataFrame:
     """The odds history of ``;`` files: two heading lines each, decimal commas, short rows padded with null."""
     names = [*HISTORY_TEXT, *[c["name"] for c in odds_columns()], "country_league", "date_time"]
-    cells = without_headings(spark.read.text(path)).select(F.split("value", ";").alias("c"))
-    text = {n: F.nullif(trim(F.get("c", F.lit(k))), F.lit("")) for k, n in enumerate(names)}
-    number = {n: F.translate(c, ",", ".").try_cast("double") for n, c in text.items()}
-    return cells.select(*[(text if n in HISTORY_TEXT or n in names[-2:] else number)[n].alias(n) for n in names])
+    lines = without_headings(spark.read.text(path))
+    # numbers are read in a loop over the cells: an expression a column makes methods that are too long for the JVM to compile
+    cells = lines.select(F.transform(F.split("value", ";"), lambda x: F.nullif(trim(x), F.lit(""))).alias("c"))
+    parsed = cells.select("c", F.transform("c", lambda x: F.translate(x, ",", ".").try_cast("double")).alias("n"))
+    texts = {*HISTORY_TEXT, *names[-2:]}
+    return parsed.select(*[F.get("c" if n in texts else "n", F.lit(k)).alias(n) for k, n in enumerate(names)])
 
 
 def without_headings(lines: DataFrame, n: int = 2) -> DataFrame:

@@ -144,3 +144,12 @@ def test_odds_reports_have_no_pivot_and_name_each_odds_once(spark):
     assert "pivotfirst" not in plan.lower() and plan.count("Generate explode") == 1 and "posexplode" not in plan
     twice = spark.createDataFrame([(1, "a", "5"), (1, "a", "5"), (1, "b", None)], "id long, odds_key string, odds string")
     assert list(map(tuple, E.odds_report(twice, ["id"], ["a", "b"]).collect())) == [(1, "5", "-")]
+
+
+def test_a_league_has_more_files_where_it_has_more_matches(spark, tmp_path):
+    from fixturelake.plans.round_trips import _league_files
+
+    lines = spark.range(40).selectExpr("CAST(id % 2 AS INT) AS league", "id AS match_id", "concat(id, ';') AS value")
+    _league_files(lines, str(tmp_path / "f"), ids=10)
+    assert len(list((tmp_path / "f").rglob("part-*.txt"))) == 8
+    assert sorted(int(r.code_kod) for r in E.read_odds_csv(spark, str(tmp_path / "f")).collect()) == list(range(40))
