@@ -126,6 +126,48 @@ def test_suffix_dedup_digest(spark, tmp_path):
     assert got == [(1, len(text), none), (1, len(text), none), (2, 0, hashlib.sha256(text[:399].encode()).hexdigest()), (3, 0, none)]
 
 
+@pytest.mark.parametrize(("width", "gram"), [(400, 64), (40, 8), (41, 8), (40, 39), (40, 40)])
+def test_segments_of_a_shared_window_agree_beside_their_anchor(width, gram):
+    rng = random.Random(width + gram)
+    passage = prose(rng, width // 4 + 30).encode()
+    raws = [b"".join((prose(rng, rng.randint(0, 150)).encode(), passage[rng.randrange(20) :], prose(rng, rng.randint(0, 150)).encode())) for _ in range(8)]
+    met, pairs = defaultdict(list), 0
+    for raw in raws:
+        for anchor, start, end, double, bands in zip(*suffix.segments(raw, width, gram), strict=True):
+            for at in range(start, end - width + 1):
+                met[raw[at : at + width]].append((anchor, double, bands))
+    for same in met.values():
+        for anchor, double, bands in same[1:]:
+            pairs += 1
+            assert anchor == same[0][0]
+            assert double or same[0][1] or ((bands == same[0][2]) & (bands != 0)).any()
+    assert pairs > 100
+
+
+@pytest.mark.parametrize(("size", "compared"), [(290, False), (450, True)])
+def test_texts_of_a_short_common_passage_are_not_compared(spark, tmp_path, monkeypatch, size, compared):
+    rng, written, write = random.Random(size), {}, suffix.Tables.write
+    passage = prose(rng, 150)[:size]
+    texts = [f"{prose(rng, rng.randint(80, 120))} \u20ac{passage} {prose(rng, rng.randint(80, 120))}" for _ in range(40)]
+    raws = [x.encode() for x in texts]
+    seen_at = Counter(b[i : i + 400] for b in raws for i in range(len(b) - 399))
+
+    def seen(self, df, name):
+        out = write(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix.Tables, "write", seen)
+    frame(spark, [(i, x, "", "", 0) for i, x in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op2_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, b in enumerate(raws):
+        gone = {at + k for at in range(len(b) - 399) if seen_at[b[at : at + 400]] > 1 for k in range(400)}
+        want[i] = (len(b), len(gone), int(bool(gone)), hashlib.sha256(bytes(x for at, x in enumerate(b) if at not in gone)).hexdigest())
+    assert got == want and all((v[1] > 0) == compared for v in got.values())
+    assert (written["pieces"] > 0) == compared
+
+
 def test_chunks(spark):
     rows = corpus(6)
     docs = frame(spark, rows)
