@@ -194,3 +194,45 @@ def test_cross_lines_are_the_report_laid_flat(spark):
     flat = report.selectExpr("league", "target_id", "signals", "other_id", "team", "posexplode(matches) as (pos, m)").select("league", "target_id", "signals", "other_id", "team", "pos", "m.season", "m.round", "m.match_id", "m.ht", "m.ft", "m.place")
     got = P.cross_fixture_lines(current, past).select(*flat.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, flat.collect())) and got.count() > 200
+
+
+def test_pairs_in_blocks_are_neither_written_nor_dealt_out(spark, monkeypatch):
+    rng = random.Random(12)
+    names = [f"k{k}" for k in range(7)]
+    base = [[rng.choice([0.0, None, 1.5, 2.0, 2.1]) for _ in names] for _ in range(40)]
+    rows = [(i, "d", 0, 0, i % 3, 0, *base[i % 40]) for i in range(200)]
+    tolerances, thresholds = [0.02, 0.1], [1.0, 0.8]
+    want = []
+    for t in rows[::4]:
+        known = [k for k in range(6, 13) if t[k]]
+        for h in rows:
+            for tol in tolerances:
+                ratio = sum(abs((h[k] or 0.0) - t[k]) / t[k] <= tol for k in known) / len(known) if known and h[0] != t[0] else 0.0
+                want += [(t[0], h[0], tol, th, ratio) for th in thresholds if ratio >= th]
+    written, write = {}, H.Tables.write
+
+    def noted(self, df, name):
+        out = write(self, df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(H.Tables, "write", noted)
+    monkeypatch.setattr(H, "BLOCK_TOKENS", 20)
+    monkeypatch.setattr(H, "LISTED", 2)
+    monkeypatch.setattr(H, "FEW_ROWS", 30)
+    df = frame(spark, rows, names)
+    targets, rows_of = df.where("match_id % 4 = 0"), lambda x: sorted(tuple(r) for r in x.collect())
+    grid = (names, tolerances, thresholds)
+    near = H.near_kinds(targets, df, names, tolerances, 0.8)
+    assert len(near.blocks) > 2 and near.pairs.count() == near.pairs.select("target", "kind").distinct().count()
+    similar = H.similar_matches(targets, df, *grid)
+    # lists of each block's tokens are dealt out by target once, pairs never
+    assert "hashpartitioning(match_id" not in (plan := similar._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan and "Window" not in plan
+    assert rows_of(similar) == sorted(want) and len(want) > 1_000
+    assert max(n for name, n in written.items() if name not in ("similar-index", "similar-wanted")) <= 200 and "similar" not in written
+    whole = spark.createDataFrame(want, similar.schema)
+    assert rows_of(H.similar_top(targets, df, *grid, 3)) == rows_of(H.top_similar(whole, 3).select("target_id", "match_id", "tolerance", "threshold", "ratio", "rank"))
+    counted = whole.join(df.select("match_id", "ft_home"), "match_id").groupBy("target_id", "tolerance", "threshold", "ft_home").count()
+    assert rows_of(H.similar_counts(targets, df, *grid, "ft_home")) == rows_of(counted)
+    best = H.best_combination(H.similarity_grid(whole), tolerances).join(H.top_similar(whole, 3), ["target_id", "tolerance", "threshold"])
+    assert rows_of(H.similarity_report(targets, df, *grid, 3)) == rows_of(best)
