@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixturelake.operators import history as H
 from fixturelake.operators import patterns as P
@@ -236,3 +237,12 @@ def test_pairs_in_blocks_are_neither_written_nor_dealt_out(spark, monkeypatch):
     assert rows_of(H.similar_counts(targets, df, *grid, "ft_home")) == rows_of(counted)
     best = H.best_combination(H.similarity_grid(whole), tolerances).join(H.top_similar(whole, 3), ["target_id", "tolerance", "threshold"])
     assert rows_of(H.similarity_report(targets, df, *grid, 3)) == rows_of(best)
+
+
+def test_few_weeks_that_become_many_rows_go_to_every_task(spark):
+    match = lambda i, season: (i, 1, season, 1, i % 10, (i + 1 + i // 10 % 5) % 10, 0, 0, i % 3, 1)
+    names = "match_id long, league int, season int, round int, home int, away int, ht_home int, ht_away int, ft_home int, ft_away int"
+    current, past = spark.createDataFrame([match(i, 9) for i in range(60)], names), spark.createDataFrame([match(100 + i, i % 4) for i in range(200)], names)
+    for rows in (P.cross_fixture(current, past), P.cross_fixture_lines(current, past)):
+        tasks = [r.n for r in rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+        assert len(tasks) >= 8 and max(tasks) < sum(tasks) / 3
